@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.llm import bpe_trie, line_dedup, packing, pii
+from fluvia.llm import bpe_trie, gif_media, line_dedup, packing, pii, simhash
 from fluvia.llm.common import documents
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encoding_digests(documents(spark, sf_dir))
 
 
+def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.media_digests(documents(spark, sf_dir))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(documents(spark, sf_dir))
 
@@ -29,7 +37,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_bpe_trie, op6_pii, op9_line_dedup, op10_packing)
+    found = (op3_simhash, op4_bpe_trie, op5_gif_media, op6_pii, op9_line_dedup, op10_packing)
     return {f.__name__: f for f in found}
 
 
