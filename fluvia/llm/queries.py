@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.llm import bpe_trie, gif_media, line_dedup, packing, pii, simhash
-from fluvia.llm.common import documents
+from fluvia.llm import bpe_trie, gif_media, line_dedup, packing, pii, simhash, toxicity
+from fluvia.llm.common import documents, table
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, net)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_simhash, op4_bpe_trie, op5_gif_media, op6_pii, op9_line_dedup, op10_packing)
+    found = (op2_toxicity, op3_simhash, op4_bpe_trie, op5_gif_media, op6_pii, op9_line_dedup, op10_packing)
     return {f.__name__: f for f in found}
 
 
