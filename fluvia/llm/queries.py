@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.llm import bpe_trie, gif_media, line_dedup, packing, pii, simhash, toxicity
+from fluvia.llm import ann, bpe_trie, gif_media, line_dedup, packing, pii, secret_scan, simhash, toxicity
 from fluvia.llm.common import documents, table
 
 
@@ -34,6 +34,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(documents(spark, sf_dir))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(documents(spark, sf_dir))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_common_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -44,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_toxicity, op3_simhash, op4_bpe_trie, op5_gif_media, op6_pii, op9_line_dedup, op10_packing)
+    found = (op2_toxicity, op3_simhash, op4_bpe_trie, op5_gif_media, op6_pii, op7_secret_scan, op8_ann, op9_line_dedup, op10_packing)
     return {f.__name__: f for f in found}
 
 
