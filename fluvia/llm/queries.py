@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.llm import ann, bpe_trie, gif_media, line_dedup, packing, pii, secret_scan, simhash, toxicity
+from fluvia.llm import ann, bpe_trie, gif_media, line_dedup, packing, pii, secret_scan, simhash, suffix_dedup, toxicity
 from fluvia.llm.common import documents, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return kept.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -52,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_toxicity, op3_simhash, op4_bpe_trie, op5_gif_media, op6_pii, op7_secret_scan, op8_ann, op9_line_dedup, op10_packing)
+    found = (op1_suffix_dedup, op2_toxicity, op3_simhash, op4_bpe_trie, op5_gif_media, op6_pii, op7_secret_scan, op8_ann, op9_line_dedup, op10_packing)
     return {f.__name__: f for f in found}
 
 
