@@ -81,7 +81,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
 
     A document's ids are those of its text (null or empty: none) and end_id. Full windows are cut
     off its front and stand alone; the rest is cut into equal pieces of at most PIECE tokens, which
-    share windows with other documents' pieces. start counts the document's ids before the piece,
+    share windows with other documents' pieces. Sequences are full or nearly so; at the end of a
+    partition some have a smaller power of two as their length. start counts the document's ids before the piece,
     offset the ids before it in its sequence; offsets have no gaps. ids_crc32 is that of the piece's
     ids as little-endian unsigned 32-bit numbers; ids array<int> is left out without with_ids.
     Rows that repeat a doc_id are separate documents. sequence_id is unique over the table. An empty
@@ -110,6 +111,29 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
                 offset += size
             sequence += 1
 
+        def carve(size):
+            """The last size tokens of the block's pieces, taken off; a piece is cut where they begin."""
+            taken = []
+            while size:
+                doc, start, raw, n = items.pop()
+                keep = max(0, len(raw) // 4 - size)
+                if keep:
+                    items.append((doc, start, raw[: 4 * keep], n))
+                taken.append((doc, start + keep, raw[4 * keep :], n))
+                size -= len(raw) // 4 - keep
+            return taken[::-1]
+
+        def finish():
+            """Close a partition's last block, which doesn't fill its windows: what whole windows leave
+            goes into sequences of a power of two, and the end of the rest is cut fine."""
+            tail = tokens % (window - SLACK)
+            for bit in reversed(range(tail.bit_length())):
+                if tail >> bit & 1:
+                    emit(carve(1 << bit))
+            for doc, start, raw, n in carve(min(FINE_TOKENS, tokens - tail)):
+                items.extend((doc, start + i, raw[4 * i : 4 * (i + FINE)], n) for i in range(0, len(raw) // 4, FINE))
+            close()
+
         def close():
             nonlocal items, tokens
             for group in windows_for([len(x[2]) // 4 for x in items], window):
@@ -144,7 +168,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
             if len(out) >= 4096:
                 yield rows()
         if items:
-            close()
+            finish()
         if out:
             yield rows()
 
