@@ -16,6 +16,7 @@ text. Everything is exact: what is compared are whole segments and windows.
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ from fluvia.session import materialize
 #: Bytes of a string that counts as repeated, and of an anchor.
 WIDTH, ANCHOR = 50, 16
 #: Bytes of text a task cuts at a time, and bytes of text per bucket.
-CHUNK_BYTES, BUCKET_BYTES = 24 << 20, 4 << 20
-#: Bytes of different segments in one index.
-INDEX_BYTES = 1 << 20
+CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
+#: Bytes of different segments in one index, and bytes whose prefix sums are held at a time.
+INDEX_BYTES, HASHED_BYTES = 1 << 20, 1 << 20
 
 _U = np.uint64
 #: Odd constants of the hashes; their values don't matter.
@@ -83,6 +84,17 @@ def _slice_hashes(sums, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]
     return [_mix((s[stop] - s[start]) * back[start]) for s, back in sums]
 
 
+def _segment_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Hashes of segments in the order of their starts; only a block of prefix sums is held at a time."""
+    cuts = np.searchsorted(start, np.arange(0, len(data) + HASHED_BYTES, HASHED_BYTES))
+    parts = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            low, stop = start[a], start[a:b] + size[a:b]
+            parts.append(_slice_hashes(_prefix_hashes(data[low : stop.max()]), start[a:b] - low, stop - low))
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indices of the slices from start with the given sizes, one after another."""
     ends = np.cumsum(size)
@@ -229,18 +241,21 @@ class RunLengthIndex:
         return rows, bounds
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
-    """Columns of one table as compressed bytes."""
-    batch = pa.record_batch([pa.array(c) for c in columns], [str(i) for i in range(len(columns))])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def _pack(ids, sigs, number, first, windows, offset, body) -> bytes:
+    """Segments of one bucket as bytes: documents, then columns of segments, then what they hold, compressed."""
+    columns = (ids.astype("<i8"), sigs.astype("<i8"), number.astype("<i4"), first.astype("<i4"), windows.astype("u1"), offset.astype("u1"))
+    numbers = pa.compress(b"".join(c.tobytes() for c in columns), codec="zstd", asbytes=True)
+    return struct.pack("<4I", len(ids), len(number), len(body), len(numbers)) + numbers + pa.compress(body.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
-    columns = pa.ipc.open_stream(blob).read_all().combine_chunks().columns
-    return [c.to_numpy() for c in columns]
+    docs, segments, size, width = struct.unpack_from("<4I", blob)
+    at, out = 0, []
+    numbers = pa.decompress(blob[16 : 16 + width], 16 * docs + 10 * segments, codec="zstd", asbytes=True)
+    for kind, n in (("<i8", docs), ("<i8", docs), ("<i4", segments), ("<i4", segments), ("u1", segments), ("u1", segments)):
+        out.append(np.frombuffer(numbers, kind, n, at))
+        at += out[-1].nbytes
+    return [*out, np.frombuffer(pa.decompress(blob[16 + width :], size, codec="zstd", asbytes=True), np.uint8)]
 
 
 _FOUND = "doc long, sig long, starts array<int>, stops array<int>"
@@ -258,7 +273,7 @@ def _cut_chunk(texts: list[tuple[int, int, bytes]], buckets: int):
     if not len(first):
         return
     start, size = first + base[owner], windows + WIDTH - 1
-    one, two = _slice_hashes(_prefix_hashes(data), start, start + size)
+    one, two = _segment_hashes(data, start, size)
     doc = np.array([d for d, *_ in texts], np.int64)[owner]
     sig = np.array([s for _, s, _ in texts], np.int64)[owner]
     # Equal segments: all of a larger doc_id than the first holder's are settled here.
@@ -285,21 +300,21 @@ def _cut_chunk(texts: list[tuple[int, int, bytes]], buckets: int):
         # Documents by number, with a table of those that occur: both compress well.
         here, number = np.unique(owner[k], return_inverse=True)
         ids, sigs = np.array([texts[i][0] for i in here], np.int64), np.array([texts[i][1] for i in here], np.int64)
-        blob = [_pack([ids, sigs]), _pack([number.astype(np.int32), first[k].astype(np.int32), windows[k].astype(np.uint8), (anchor[k] - first[k]).astype(np.uint8)]), _pack([data[_spread(start[k], size[k])]])]
+        blob = _pack(ids, sigs, number, first[k], windows[k], anchor[k] - first[k], data[_spread(start[k], size[k])])
         yield int(bucket[a]), None, None, None, None, blob
 
 
-def _settle(tables: list[list[bytes]]) -> tuple[list, list, list, list]:
+def _settle(tables: list[bytes]) -> tuple[list, list, list, list]:
     """Spans that a bucket's segments lose, by document."""
     doc, sig, first, windows, offset, parts = [], [], [], [], [], []
-    for docs, numbers, body in tables:
-        (ids, sigs), (number, at, count, off) = _unpack(docs), _unpack(numbers)
+    for blob in tables:
+        ids, sigs, number, at, count, off, body = _unpack(blob)
         doc.append(ids[number])
         sig.append(sigs[number])
         first.append(at.astype(np.int64))
         windows.append(count.astype(np.int64))
         offset.append(off.astype(np.int64))
-        parts.append(_unpack(body)[0])
+        parts.append(body)
     doc, sig, first, windows, offset = map(np.concatenate, (doc, sig, first, windows, offset))
     data = np.concatenate(parts)
     size = windows + WIDTH - 1
@@ -310,13 +325,14 @@ def _settle(tables: list[list[bytes]]) -> tuple[list, list, list, list]:
     cuts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
     group = np.repeat(np.arange(len(cuts)), np.diff(cuts, append=len(order)))
     shared = np.minimum.reduceat(doc[order], cuts) < np.maximum.reduceat(doc[order], cuts)
-    keep = order[shared[group]]
-    if not len(keep):
+    keep = np.zeros(len(order), bool)
+    keep[order[shared[group]]] = True
+    if not keep.any():
         return [], [], [], []
-    doc, sig, first, windows, size, start, h = (x[keep] for x in (doc, sig, first, windows, size, start, h))
-    data = data[_spread(start, size)]
+    data = data[np.repeat(keep, size)]
+    doc, sig, first, windows, size, h = (x[keep] for x in (doc, sig, first, windows, size, h))
     start = np.cumsum(size) - size
-    one, two = _slice_hashes(_prefix_hashes(data), start, start + size)
+    one, two = _segment_hashes(data, start, size)
     # Different segments of each anchor, with the smallest doc_id of each.
     order = np.lexsort((doc, two, one, h))
     new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
@@ -358,7 +374,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(8, math.ceil(total / BUCKET_BYTES))
-    schema = f"part long, {_FOUND}, blob array<binary>"
+    schema = f"part long, {_FOUND}, blob binary"
 
     def run(batches):
         chunk, held = [], 0
@@ -368,7 +384,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             for i in range(0, len(out), 256):
                 part, doc, sig, starts, stops, blob = zip(*out[i : i + 256], strict=True)
                 lists = lambda v: pa.array([x if x is None else x.astype(np.int32) for x in v], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(doc, pa.int64()), pa.array(sig, pa.int64()), lists(starts), lists(stops), pa.array(blob, pa.list_(pa.binary()))], ["part", "doc", "sig", "starts", "stops", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(doc, pa.int64()), pa.array(sig, pa.int64()), lists(starts), lists(stops), pa.array(blob, pa.binary())], ["part", "doc", "sig", "starts", "stops", "blob"])
 
         for batch in slices(batches):
             for doc, sig, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
