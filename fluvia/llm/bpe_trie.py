@@ -4,11 +4,12 @@ The distinct words of a batch are inserted into a trie whose edges are bytes. A
 gives each node the last token of the encoding of the prefix that it stands for: the longest token
 that ends there and forms a stable pair with the last token before it. Prefixes that words share
 are therefore encoded once, and a word's ids are read by stepping back from its leaf.
-Words recur, so their encodings stay in a bounded table per task; no data is shuffled.
+Words recur, so their encodings stay in a bounded table per worker process; no data is shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -20,9 +21,9 @@ from pyspark.sql import DataFrame
 
 from fluvia.llm.common import map_texts
 
-#: Words whose encodings a task keeps at most; the table is emptied when full.
+#: Words whose encodings a process keeps at most; the table is emptied when full.
 MEMO_WORDS = 500_000
-#: Pairs of tokens of which a task keeps whether merging leaves them apart.
+#: Pairs of tokens of which a process keeps whether merging leaves them apart.
 MEMO_PAIRS = 2_000_000
 
 
@@ -41,12 +42,16 @@ def _byte_symbols() -> dict[str, int]:
 
 
 class TrieEncoder:
-    """Encodes as the tokenizer file says: normaliser, split, then merges with word ends."""
+    """Encodes as the tokenizer file says: normaliser, split, then merges with word ends.
+
+    forms: in which forms encodings of words are kept: "raw" (bytes of ids), "ids" and "text".
+    """
 
     #: Characters for which this module's own normaliser and split are used; others go through the library's.
     _SAFE = [chr(c) for c in (*range(0x300), *range(0x2010, 0x2028), 0x20AC)]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, forms: tuple[str, ...] = ("raw", "ids", "text")):
+        self.forms = forms
         spec = json.load(open(path, encoding="utf-8"))
         model, symbols = spec["model"], _byte_symbols()
         self.path, self.suffix = path, model["end_of_word_suffix"]
@@ -187,19 +192,20 @@ class TrieEncoder:
     def prepare(self, texts: list[str | None]) -> list[list[str]]:
         """Words of each text, after one trie has encoded all those that the table lacks."""
         pieces = [self._pieces(t) for t in texts]
-        new = set().union(*pieces).difference(self.ids)
-        if new and len(self.ids) + len(new) > MEMO_WORDS:
+        known = getattr(self, self.forms[0])
+        new = set().union(*pieces).difference(known)
+        if new and len(known) + len(new) > MEMO_WORDS:
             for memo in (self.ids, self.raw, self.text):
                 memo.clear()
             new = set().union(*pieces)
-        for s in new & self.special.keys():
-            self.ids[s], self.raw[s], self.text[s] = str(self.special[s]), struct.pack("<I", self.special[s]), s
         words = sorted(w.encode() for w in new - self.special.keys())
-        for b, ids in zip(words, self.encode_words(words), strict=True):
-            w = b.decode()
-            self.ids[w] = " ".join(map(str, ids))
-            self.raw[w] = struct.pack(f"<{len(ids)}I", *ids)
-            self.text[w] = " ".join([self.token[i] for i in ids])
+        coded = [*((w.decode(), ids) for w, ids in zip(words, self.encode_words(words), strict=True)), *((w, [self.special[w]]) for w in new & self.special.keys())]
+        if "raw" in self.forms:
+            self.raw.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in coded)
+        if "ids" in self.forms:
+            self.ids.update((w, " ".join(map(str, ids))) for w, ids in coded)
+        if "text" in self.forms:
+            self.text.update((w, " ".join([self.token[i] for i in ids])) for w, ids in coded)
         return pieces
 
     def encode_raw(self, words: list[str]) -> bytes:
@@ -223,11 +229,17 @@ class TrieEncoder:
         return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
+@functools.lru_cache(maxsize=2)
+def shared_encoder(path: str, *forms: str) -> TrieEncoder:
+    """This process's encoder for a file: Spark's Python workers outlive tasks, and so do its words."""
+    return TrieEncoder(path, forms)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with ids array<int> of the whole text. Null or empty text: no ids. Other columns stay."""
 
     def make():
-        encoder = TrieEncoder(path or tokenizer_path())
+        encoder = shared_encoder(path or tokenizer_path(), "raw")
         return lambda texts: [[np.frombuffer(encoder.encode_raw(w), np.int32) for w in encoder.prepare(texts)]]
 
     return map_texts(docs, make, "ids array<int>")
@@ -237,7 +249,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded with decoded string, from its ids. Null ids: empty text. Other columns stay."""
 
     def make():
-        encoder = TrieEncoder(path or tokenizer_path())
+        encoder = shared_encoder(path or tokenizer_path(), "raw")
         return lambda ids: [[encoder.decode(x or []) for x in ids]]
 
     return map_texts(encoded, make, "decoded string", text="ids")
@@ -251,7 +263,7 @@ def encoding_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
 
     def make():
-        encoder = TrieEncoder(path or tokenizer_path())
+        encoder = shared_encoder(path or tokenizer_path(), "ids", "text")
         return lambda texts: list(zip(*map(encoder.digest, encoder.prepare(texts)), strict=True)) or [[], [], []]
 
     return map_texts(docs.select("doc_id", "text"), make, "n_tokens long, ids_sha256 string, decoded_sha256 string", drop=("text",))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from fluvia.llm.bpe_trie import TrieEncoder, tokenizer_path
+from fluvia.llm.bpe_trie import shared_encoder, tokenizer_path
 from fluvia.llm.common import slices
 
 #: Tokens a window holds, windows a block fills, and tokens a piece has at most.
@@ -95,7 +95,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        encoder = TrieEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer, "raw")
         key = TaskContext.get().partitionId() << 40
         out: list[tuple] = []
         sequence = 0
