@@ -113,16 +113,17 @@ def _join_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _by_document(doc, sig, start, stop) -> tuple[list, list, list, list]:
     """One row per document with its joined spans."""
-    order = np.lexsort((start, sig, doc))
+    if not len(doc):
+        return [], [], [], []
+    order = np.lexsort((sig, doc))
     doc, sig, start, stop = doc[order], sig[order], start[order], stop[order]
-    cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1])) + 1
-    rows: tuple[list, list, list, list] = ([], [], [], [])
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(doc)], strict=True):
-        if b > a:
-            s, e = _join_spans(start[a:b], stop[a:b])
-            for column, value in zip(rows, (int(doc[a]), int(sig[a]), s, e), strict=True):
-                column.append(value)
-    return rows
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1])])
+    # Each document's spans lie in a range of their own, so that all are joined at once.
+    shift = (np.cumsum(new) - 1) << 40
+    start, stop = _join_spans(start + shift, stop + shift)
+    cuts = np.searchsorted(start >> 40, np.arange(1, new.sum()))
+    low = (1 << 40) - 1
+    return doc[new].tolist(), sig[new].tolist(), np.split(start & low, cuts), np.split(stop & low, cuts)
 
 
 class RunLengthIndex:
@@ -141,22 +142,20 @@ class RunLengthIndex:
         body[self.stops] = False
         text[:n][body] = data.astype(np.int64) + 1
         self.text, self.n = text[:n], n
-        owner = np.repeat(np.arange(self.count), sizes + 1)
-        left = self.stops[owner] - np.arange(n)  # bytes up to the terminator
-        # First seven symbols as one number, nothing behind a terminator; ties there go by segment.
+        left = np.repeat(self.stops, sizes + 1) - np.arange(n)  # bytes up to the terminator
+        # First seven symbols as one number, nothing behind a terminator; ties there go by segment, which is their order.
         key = np.zeros(n, np.int64)
         for j in range(7):
             key = key << 9 | np.where(left > j, text[j : j + n], 0)
-        suffixes = np.lexsort((np.where(left < 7, owner + 1, 0), key))
-        tie = np.where(left < 7, owner + 1, 0)[suffixes]
-        new = np.concatenate([[0], (key[suffixes][1:] != key[suffixes][:-1]) | (tie[1:] != tie[:-1])])
+        suffixes = np.argsort(key, kind="stable")
+        new = np.concatenate([[0], (key[suffixes][1:] != key[suffixes][:-1]) | (left[suffixes[1:]] < 7)])
         rank = np.empty(n, np.int64)
         rank[suffixes] = np.cumsum(new)
         depth = 7
         while rank[suffixes[-1]] < n - 1:  # prefix doubling; a suffix is unique once its terminator is in reach
             after = np.where(left >= depth, rank[np.minimum(np.arange(n) + depth, n - 1)] + 1, 0)
             key = rank * (n + 1) + after
-            suffixes = np.argsort(key, kind="stable")
+            suffixes = np.argsort(key)
             ordered = key[suffixes]
             rank[suffixes] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
             depth *= 2
