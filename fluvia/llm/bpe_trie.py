@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from fluvia.llm.common import map_texts
 
 #: Words whose encodings a process keeps at most; the table is emptied when full.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 750_000
 #: Pairs of tokens of which a process keeps whether merging leaves them apart.
 MEMO_PAIRS = 2_000_000
 
@@ -95,13 +95,14 @@ class TrieEncoder:
 
     @staticmethod
     def _lengths(tokens: dict[bytes, int]) -> dict[bytes, list[int]]:
-        """For each pair of bytes (or single byte at a word's start), the lengths of tokens that can end there, longest first."""
+        """Lengths of the tokens that end in a given way, longest first: by their last four bytes, and by
+        fewer for text whose last four end no token of four bytes or more."""
+        short = lambda k: [n for n in (3, 2, 1) if n <= len(k) and k[len(k) - n :] in tokens]
         by: dict[bytes, set[int]] = {}
         for t in tokens:
-            by.setdefault(t[-2:], set()).add(len(t))
-        for pair in [bytes((a, b)) for a in range(256) for b in range(256)]:
-            by.setdefault(pair, set()).update(by.get(pair[1:], ()))
-        return {k: sorted(v, reverse=True) for k, v in by.items()}
+            if len(t) >= 4:
+                by.setdefault(t[-4:], set()).add(len(t))
+        return {k: sorted(v, reverse=True) + short(k) for k, v in by.items()} | {t: short(t) for t in tokens if len(t) < 4}
 
     def _stable(self, a: int, b: int, limit: int = 1 << 40) -> bool:
         """Whether merging leaves tokens a and b apart when they stand side by side (merges below limit count)."""
@@ -121,8 +122,9 @@ class TrieEncoder:
 
     def _last(self, word: bytes, end: int, last: list[int], tokens: dict[bytes, int], lengths: dict[bytes, list[int]]) -> tuple[int, int]:
         """Last token of word[:end] and where it starts; last: the last tokens of the shorter prefixes."""
-        stable = self.stable
-        for n in lengths.get(word[max(0, end - 2) : end], ()):
+        stable, get = self.stable, lengths.get
+        low = end - 4 if end > 4 else 0
+        for n in get(word[low:end]) or get(word[max(low, end - 3) : end]) or get(word[max(low, end - 2) : end]) or get(word[end - 1 : end], ()):
             if n <= end and (t := tokens.get(word[end - n : end])) is not None:
                 if n == end:
                     return t, 0
