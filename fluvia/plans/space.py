@@ -147,12 +147,12 @@ _TWO = f"{_BOTH}, nb AS (SELECT bo.a, o.m, bo.b, bo.dist, o.value, row_number()
 
 @query("stations obs_month", f"{_TWO}, l AS (SELECT *, 5e-1+(g2-g1)/(2*g) AS w FROM gg) SELECT a AS stn, m, round(w*v1+(1-w)*v2,6) AS estimate, round(greatest(0,w*g1+(1-w)*g2+g1-(1-w)*g),6) AS variance FROM l")
 def krige_ordinary_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kriged(spark, sf_dir, "ordinary", 2).where("weights = 1").select("stn", "m", "estimate", "variance")
+    return kriged(spark, sf_dir, "ordinary", 2).join(two_or_more(spark, sf_dir), ["stn", "m"], "left_semi").select("stn", "m", "estimate", "variance")
 
 
 @query("stations obs_month", f"{_TWO}, l AS (SELECT *, ((13-g1)*13-(13-g2)*(13-g))/(169-(13-g)*(13-g)) AS w1, ((13-g2)*13-(13-g1)*(13-g))/(169-(13-g)*(13-g)) AS w2 FROM gg) SELECT a AS stn, m, round(w1*v1+w2*v2,6) AS estimate, round(greatest(0,13-w1*(13-g1)-w2*(13-g2)),6) AS variance FROM l")
 def krige_simple_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kriged(spark, sf_dir, "simple", 2).where("weights is not null and not isnan(weights)").join(two_or_more(spark, sf_dir), ["stn", "m"], "left_semi").select("stn", "m", "estimate", "variance")
+    return kriged(spark, sf_dir, "simple", 2).join(two_or_more(spark, sf_dir), ["stn", "m"], "left_semi").select("stn", "m", "estimate", "variance")
 
 
 def two_or_more(spark: SparkSession, sf_dir: str) -> DataFrame:

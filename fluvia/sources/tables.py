@@ -38,7 +38,7 @@ def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.trim("value"), r"\r?\n").alias("lines"))
     head = lambda i: F.split(F.trim(F.col("lines")[i]), r"\s+")[1].cast("double")
-    named = files.select("file", head(1).alias("rows"), head(2).alias("x0"), head(3).alias("y0"), head(4).alias("size"), head(5).alias("none"), F.slice("lines", 7, F.size("lines")).alias("body"))
+    named = files.select("file", head(1).alias("rows"), head(2).alias("x0"), head(3).alias("y0"), head(4).alias("size"), head(5).alias("none"), F.filter(F.slice("lines", 7, F.size("lines")), lambda x: F.trim(x) != "").alias("body"))
     rows = named.select("*", F.posexplode("body").alias("r", "line")).drop("body")
     cells = rows.select("*", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("c", "v"))
     v = F.col("v").try_cast("double")
