@@ -422,6 +422,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # A document's rows here number at most its segments; lists are bounded by its length.
     spans = found.groupBy("doc", "sig").agg(F.flatten(F.collect_list("starts")).alias("starts_"), F.flatten(F.collect_list("stops")).alias("stops_"))
     spans = materialize(spans.toDF("span_doc_", "span_sig_", "starts_", "stops_"), "spans")
+    del found
     release(docs.sparkSession)
     joined = signed.join(spans, (signed["doc_id"] == spans["span_doc_"]) & (signed["sig_"] == spans["span_sig_"]), "left").drop("span_doc_", "span_sig_", "sig_")
 
