@@ -32,6 +32,8 @@ WIDTH, ANCHOR = 50, 16
 CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
 #: Bytes of different segments in one index, and bytes whose prefix sums are held at a time.
 INDEX_BYTES, HASHED_BYTES = 1 << 20, 1 << 20
+#: Compression of what is shuffled.
+LEVEL = 3
 
 _U = np.uint64
 #: Odd constants of the hashes; their values don't matter.
@@ -243,8 +245,9 @@ class RunLengthIndex:
 def _pack(ids, sigs, number, first, windows, offset, body) -> bytes:
     """Segments of one bucket as bytes: documents, then columns of segments, then what they hold, compressed."""
     columns = (ids.astype("<i8"), sigs.astype("<i8"), number.astype("<i4"), first.astype("<i4"), windows.astype("u1"), offset.astype("u1"))
-    numbers = pa.compress(b"".join(c.tobytes() for c in columns), codec="zstd", asbytes=True)
-    return struct.pack("<4I", len(ids), len(number), len(body), len(numbers)) + numbers + pa.compress(body.tobytes(), codec="zstd", asbytes=True)
+    codec = pa.Codec("zstd", compression_level=LEVEL)
+    numbers = codec.compress(b"".join(c.tobytes() for c in columns), asbytes=True)
+    return struct.pack("<4I", len(ids), len(number), len(body), len(numbers)) + numbers + codec.compress(body.tobytes(), asbytes=True)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
