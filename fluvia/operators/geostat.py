@@ -15,8 +15,8 @@ from fluvia.operators.spatial import station_pairs, tiled_pairs
 Model = list[tuple[float, str, float]]
 
 
-def value_pairs(obs: DataFrame, stations: DataFrame, reach: float, time: str) -> DataFrame:
-    """(time, a, b, dist, va, vb) for stations within reach that have a value at the same time."""
+def value_pairs(obs: DataFrame, stations: DataFrame, reach: float | None, time: str) -> DataFrame:
+    """(time, a, b, dist, va, vb) for stations within reach (None: all) that have a value at the same time."""
     near = station_pairs(stations, reach)
     va, vb = obs.select(F.col("stn").alias("a"), time, F.col("value").alias("va")), obs.select(F.col("stn").alias("b"), time, F.col("value").alias("vb"))
     return near.join(va, "a").join(vb, ["b", time])
@@ -81,6 +81,10 @@ def fit_models(bins: DataFrame, by: str, kinds: tuple[str, ...] = ("Sph", "Exp",
     return bins.select(by, "dist", "classic", "n").groupBy(by).applyInPandas(fit, f"{by} {key}, model string, objective double, aic double")
 
 
+#: Targets whose right-hand sides are held at a time.
+TARGETS = 512
+
+
 def _solve(kind: str, model: Model, x, y, z, drift, x0, y0, d0, sill, limit) -> tuple[float, float, float, str]:
     """Estimate, variance, sum of weights and status at one target."""
     n = len(z)
@@ -137,15 +141,99 @@ def krige(neighbours: DataFrame, model: Model, kind: str = "ordinary", sill: flo
     return neighbours.mapInPandas(run, schema)
 
 
-def with_neighbours(targets: DataFrame, stations: DataFrame, obs: DataFrame, time: str, k: int, reach: float, itself: bool = False) -> DataFrame:
-    """(stn, time, x, y, drift, near): the k nearest stations with a value at each time, ties to the smaller id."""
+def _solve_all(kind: str, model: Model, x, y, z, drift, targets: np.ndarray, own: np.ndarray, sill, limit) -> list[tuple[float, float, float, str]]:
+    """_solve at each target (x, y, drift) from all points but its own (an index, or -1).
+
+    All targets share one system, which is inverted once. To leave point i out, the i-th right-hand
+    side is moved until the i-th weight is zero, which solves the system without row and column i.
+    Where this can't be done, a target's system is solved by itself.
+    """
+    n, out = len(z), []
+    alone = lambda t: _solve(kind, model, *(v[np.arange(n) != own[t]] for v in (x, y, z, drift)), *targets[t], sill, limit)
+    if n < 2:
+        return [(np.nan, np.nan, np.nan, "empty") if not n or own[t] >= 0 else alone(t) for t in range(len(targets))]
+    between = gamma_array(np.hypot(x[:, None] - x, y[:, None] - y), model)
+    sides = [] if kind == "simple" else [np.ones(n), drift] if kind == "drift" else [np.ones(n)]
+    m = len(sides)
+    left = np.zeros((n + m, n + m))
+    left[:n, :n] = sill - between if kind == "simple" else between
+    del between
+    for i, s in enumerate(sides):
+        left[n + i, :n] = left[:n, n + i] = s
+    try:
+        inverse = np.linalg.inv(left)
+    except np.linalg.LinAlgError:
+        return [alone(t) for t in range(len(targets))]
+    pivots, least = np.diag(inverse), 1e-12 * np.abs(inverse[:n, :n]).max()
+    for at in range(0, len(targets), TARGETS):
+        x0, y0, d0 = targets[at : at + TARGETS].T
+        across = gamma_array(np.hypot(x[:, None] - x0, y[:, None] - y0), model)
+        right = np.zeros((n + m, len(x0)))
+        right[:n] = sill - across if kind == "simple" else across
+        right[n : n + 1] = 1.0
+        right[n + 1 :] = d0
+        w = inverse @ right
+        i = own[at : at + TARGETS]
+        t = np.nonzero(i >= 0)[0]
+        sure = np.abs(pivots[i[t]]) > least
+        lost, t = t[~sure], t[sure]
+        w[:, t] -= inverse[:, i[t]] * (w[i[t], t] / pivots[i[t]])
+        w[i[t], t] = 0.0
+        lam = w[:n]
+        if kind == "indicator":
+            value = np.maximum(0.0, lam[z <= limit].sum(0))
+            variance = value * (1 - value)
+        else:
+            value = z @ lam
+            variance = np.maximum(0.0, sill - (lam * right).sum(0) if kind == "simple" else (w * right).sum(0))
+        made = [(*row, "ok") for row in zip(value.tolist(), variance.tolist(), lam.sum(0).tolist(), strict=True)]
+        for j in lost.tolist():
+            made[j] = alone(at + j)
+        out += made
+    return out
+
+
+def krige_all(targets: DataFrame, stations: DataFrame, obs: DataFrame, time: str, model: Model, kind: str = "ordinary", sill: float | None = None, limit: float = 0.0, itself: bool = False) -> DataFrame:
+    """krige() at each target and time from all stations that have a value at the time.
+
+    targets and stations: stn, x, y, z (the drift); a target's own station is left out unless itself
+    is set. Gives (stn, time, estimate, variance, weights, status) for every target at every time of
+    obs; where nobody else has a value the status is 'empty'. The work is spread over times: a task holds
+    the dense system of one time (a few times 8 bytes for the square of its stations) and its targets.
+    """
+    c0 = sum(s for s, _, _ in model) if sill is None else sill
+    place = [F.col(c).cast("double").alias(c) for c in ("x", "y", "z")]
+    at = targets.select("stn", *place).crossJoin(obs.select(F.col(time).alias("t_")).distinct()).select("stn", F.col("t_").alias(time), "x", "y", "z")
+    values = obs.where("value is not null").select("stn", time, "value").join(stations.select("stn", *place), "stn")
+    kinds = {"stn": targets.schema["stn"].dataType.simpleString(), time: obs.schema[time].dataType.simpleString()}
+    schema = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "estimate double, variance double, weights double, status string"])
+
+    def solve(known: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("stn")
+        x, y, z, d = (known[c].to_numpy(float) for c in ("x", "y", "value", "z"))
+        index = {} if itself else {s: i for i, s in enumerate(known["stn"])}
+        own = np.array([index.get(s, -1) for s in wanted["stn"]], np.int64)
+        rows = _solve_all(kind, model, x, y, z, d, wanted[["x", "y", "z"]].to_numpy(float), own, c0, limit)
+        out = wanted[["stn", time]].reset_index(drop=True)
+        out[["estimate", "variance", "weights", "status"]] = pd.DataFrame(rows, columns=list("evws"))
+        return out
+
+    return values.groupBy(time).cogroup(at.groupBy(time)).applyInPandas(solve, schema)
+
+
+def with_neighbours(targets: DataFrame, stations: DataFrame, obs: DataFrame, time: str, k: int | None = None, reach: float | None = None, itself: bool = False) -> DataFrame:
+    """(stn, time, x, y, drift, near): the k nearest stations with a value at each time, ties to the smaller id.
+
+    By default all of them, at any distance, each target with a list of its own; krige_all does that with one system a time.
+    """
     left = targets.select(F.col("stn").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
     right = stations.select(F.col("stn").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
     pairs = tiled_pairs(left, right, reach)
     pairs = pairs if itself else pairs.where("a <> b")
     rows = pairs.join(obs.where("value is not null").select(F.col("stn").alias("b"), time, "value"), "b")
     place = F.row_number().over(Window.partitionBy("a", time).orderBy("dist", "b"))
-    best = rows.withColumn("place", place).where(F.col("place") <= k)
+    best = rows.withColumn("place", place)
+    best = best if k is None else best.where(F.col("place") <= k)
     entry = F.struct("place", F.col("bx").alias("x"), F.col("by").alias("y"), "value", F.col("bz").alias("drift"))
     grouped = best.groupBy(F.col("a").alias("stn"), time).agg(F.first("ax").alias("x"), F.first("ay").alias("y"), F.first("az").alias("drift"), F.sort_array(F.collect_list(entry)).alias("near"))
     return grouped.withColumn("near", F.transform("near", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["value"].alias("value"), p["drift"].alias("drift"))))

@@ -2,7 +2,7 @@
 
 Nearby things meet on tiles: both sides get the number of their tile, one side also those around it,
 and an equality join on the tile does the rest, so that no side is broadcast and none is crossed with
-the other. Station tables whose size is bounded by `most` rows may be collected into one row instead.
+the other. Without a reach every pair is asked for, so the two sides are crossed.
 """
 
 from __future__ import annotations
@@ -15,25 +15,27 @@ def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 
 
-def tiled_pairs(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
-    """Pairs of (a, ax, ay, ...) and (b, bx, by, ...) at a distance of at most reach, with dist."""
+def tiled_pairs(left: DataFrame, right: DataFrame, reach: float | None = None) -> DataFrame:
+    """Pairs of (a, ax, ay, ...) and (b, bx, by, ...) at a distance of at most reach (all by default), with dist."""
+    d = distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    if reach is None:
+        return left.crossJoin(right).withColumn("dist", d)
     tile = lambda c: F.floor(F.col(c) / reach).cast("long")
     around = F.array(*(F.lit(k) for k in (-1, 0, 1)))
     near = left.select("*", F.explode(around).alias("i_")).select("*", F.explode(around).alias("j_"))
     near = near.withColumn("tx", tile("ax") + F.col("i_")).withColumn("ty", tile("ay") + F.col("j_")).drop("i_", "j_")
     far = right.withColumn("tx", tile("bx")).withColumn("ty", tile("by"))
-    d = distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return near.join(far, ["tx", "ty"]).withColumn("dist", d).where(F.col("dist") <= reach).drop("tx", "ty")
 
 
-def station_pairs(stations: DataFrame, reach: float) -> DataFrame:
-    """(a, b, dist) for stations a < b within reach of each other."""
+def station_pairs(stations: DataFrame, reach: float | None = None) -> DataFrame:
+    """(a, b, dist) for stations a < b within reach of each other, all pairs by default."""
     left, right = stations.select(F.col("stn").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), stations.select(F.col("stn").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
     return tiled_pairs(left, right, reach).where("a < b").select("a", "b", "dist")
 
 
-def nearest_stations(stations: DataFrame, k: int, reach: float) -> DataFrame:
-    """(a, b, dist, place): each station's k nearest others within reach, ties to the smaller id."""
+def nearest_stations(stations: DataFrame, k: int, reach: float | None = None) -> DataFrame:
+    """(a, b, dist, place): each station's k nearest others (within reach, if given), ties to the smaller id."""
     pairs = station_pairs(stations, reach)
     both = pairs.union(pairs.select("b", "a", "dist"))
     place = F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))

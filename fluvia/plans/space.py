@@ -10,6 +10,7 @@ from fluvia.functions import variogram
 from fluvia.operators import geostat, raster, spatial
 from fluvia.plans.registry import query, r6
 
+#: The reach that the SQL of these queries sets; queries without SQL and the operators' defaults have none.
 REACH = 250.0
 MODEL = "2.0 Nug(0) + 8.0 Sph(300) + 3.0 Exp(120)"
 _D = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))"
@@ -160,24 +161,30 @@ def two_or_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geostat.with_neighbours(s, s, adapt.obs_month(spark, sf_dir), "m", 2, REACH).where(F.size("near") > 1).select("stn", "m")
 
 
+def kriged_from_all(spark: SparkSession, sf_dir: str, kind: str, **more) -> DataFrame:
+    s = stations(spark, sf_dir)
+    made = geostat.krige_all(s, s, adapt.obs_month(spark, sf_dir), "m", variogram.parse(MODEL), kind, **more)
+    return made.select("stn", "m", *(r6(c).alias(c) for c in ("estimate", "variance", "weights")), "status")
+
+
 @query()
 def krige_ordinary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kriged(spark, sf_dir, "ordinary", 12)
+    return kriged_from_all(spark, sf_dir, "ordinary")
 
 
 @query()
 def krige_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kriged(spark, sf_dir, "simple", 12)
+    return kriged_from_all(spark, sf_dir, "simple")
 
 
 @query()
 def krige_edk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kriged(spark, sf_dir, "drift", 12)
+    return kriged_from_all(spark, sf_dir, "drift")
 
 
 @query()
 def krige_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kriged(spark, sf_dir, "indicator", 12, limit=25.0)
+    return kriged_from_all(spark, sf_dir, "indicator", limit=25.0)
 
 
 def stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
