@@ -138,10 +138,14 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs with only the row of smallest doc_id of each group of near duplicates; columns stay.
+    """docs with one row of each group of near duplicates; columns stay.
 
-    Rows that repeat a kept doc_id collapse to one of them.
+    Groups are those of rows, whatever their doc_id: rows that share one or have none stay unless they
+    are near copies. The row of smallest doc_id is kept, nulls last, then that of the smallest hash of the text.
     """
-    classes = near_duplicates(docs, words)
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id_")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id_"]).drop("kept_id_").dropDuplicates(["doc_id"])
+    row = "near_row_"
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), row)
+    first = groups.join(rows.select(row, order.alias("order")), row).groupBy("component_id").agg(F.min("order").alias("order"))
+    return rows.join(first.select(F.col("order")[row].alias(row)), row, "left_semi").select(*docs.columns)

@@ -85,3 +85,12 @@ def test_one_of_each_group_stays(awkward, nothing):
     want = simhash.near_duplicates(awkward).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     assert ids == sorted(r["doc_id"] for r in want.collect()) and 17 not in ids and 16 in ids
     assert simhash.near_duplicates(nothing).count() == 0
+
+
+def test_groups_are_of_rows(spark):
+    """Null doc_ids and one doc_id with different texts lose nothing but near copies."""
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdef"}
+    rows = [(None, "a"), (None, "a"), (None, "b"), (1, "b"), (2, "c"), (2, "d"), (3, "c"), (4, "e"), (5, "e"), (5, "f"), (5, "f")]
+    df = spark.createDataFrame([(i, text[k], k) for i, k in rows], "doc_id long, text string, fp string").repartition(4)
+    got = sorted((r["fp"], r["doc_id"]) for r in simhash.keep_one_each(df).collect())
+    assert got == [("a", None), ("b", 1), ("c", 2), ("d", 2), ("e", 4), ("f", 5)]
