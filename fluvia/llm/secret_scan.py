@@ -17,9 +17,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A candidate: a whole run of at least 16 key characters, a digit among them. Runs are tried at their
-#: start only, so matching is linear. Then the characters of context on either side.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*+[0-9])[A-Za-z0-9+/_=\-]{16,}+"
+#: How names of secrets end where a value follows; there a run of eight characters is enough.
+ASSIGNED = r"(?i:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential)[\"']?[ ]?[=:][ ]?[\"'`]?"
+#: A candidate: a whole run of at least 16 key characters, or of 8 where a secret is assigned; '=' belongs to
+#: it as trailing padding only, so NAME=value is two runs. Runs are tried at their start only, so matching is
+#: linear. The forest decides on all of them. Then the characters of context on either side.
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?:[A-Za-z0-9+/_\-]{16,}+|(?<=" + ASSIGNED + r")[A-Za-z0-9+/_\-]{8,15}+(?![A-Za-z0-9+/_\-]))(?:={1,2}(?![A-Za-z0-9+/_=\-]))?"
 BEFORE, AFTER = 48, 24
 #: Trees of the forest, their depth, the least findings in a leaf, share of trees that must agree.
 TREES, DEPTH, LEAF, SEED, THRESHOLD = 11, 5, 4, 5, 0.5
@@ -103,6 +106,9 @@ def labelled_findings(per_label: int = FINDINGS, seed: int = SEED) -> list[tuple
                 lambda: "ghp_" + pick(wide, 36, 36),
                 lambda: "sk_live_" + pick(wide, 24, 24),
                 lambda: "xoxb-" + pick(string.digits, 11, 12) + "-" + pick(wide, 24, 24),
+                lambda: pick(string.ascii_letters, 20, 40),
+                lambda: pick(wide, 10, 15),
+                lambda: rng.choice(DICTIONARY) + str(rng.randint(1, 99)) + rng.choice(DICTIONARY).capitalize(),
             )
         )()
         issued = body[:4] in ("AKIA", "ghp_", "sk_l", "xoxb")
@@ -120,6 +126,10 @@ def labelled_findings(per_label: int = FINDINGS, seed: int = SEED) -> list[tuple
                 lambda: ("", pick(string.ascii_lowercase[:12], 16, 30) + pick(string.digits, 1, 2), " "),
                 lambda: ("password: ", "_".join(rng.choice(DICTIONARY) for _ in range(3)) + pick(string.digits, 1, 1), "\n"),
                 lambda: ("", "-".join((pick(string.digits, 4, 4), *(pick(string.digits, 2, 2) for _ in range(5)))), " "),
+                lambda: ("", "".join(rng.choice(DICTIONARY) for _ in range(3)), " "),
+                lambda: ("call ", "".join(rng.choice(DICTIONARY).capitalize() for _ in range(3)), "("),
+                lambda: ("/", "/".join(rng.choice(DICTIONARY) for _ in range(4)), " "),
+                lambda: ("", rng.choice("-_=") * rng.randint(16, 60), "\n"),
             )
         )()
         rows.append((prose() + lead, body, tail, 0))

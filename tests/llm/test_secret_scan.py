@@ -59,3 +59,21 @@ def test_no_python_in_the_plan(spark, forest, sample, nothing):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert not any(w in inspect.getsource(secret_scan) for w in ("udf", "mapIn", "applyIn", ".rdd"))
     assert secret_scan.scan_secrets(nothing, forest).count() == 0
+
+
+def test_exact_spans_of_assigned_values(spark, forest):
+    key, letters = "aZ8kQ2mX7pL4vN9bT6yR1cW3", "qZkTbWmXpLrVnJdYhRgCsFwK"
+    texts = [
+        (1, f"API_KEY={key}\nDEBUG=1", key),
+        (2, "token=0123456789abcdef0123456789abcdef01234567 rest", "0123456789abcdef0123456789abcdef01234567"),
+        (3, f"https://host.example/get?page=2&access_token={key}&lang=en", key),
+        (4, f'secret = "{letters}"', letters),
+        (5, "password: hunter2Secret\n", "hunter2Secret"),
+        (6, "secret=QWxhZGRpbjpvcGVuIHNlc2FtZQ==\n", "QWxhZGRpbjpvcGVuIHNlc2FtZQ=="),
+        (7, "an internationalization of the configurationElement and ================", None),
+    ]
+    df = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    got = {}
+    for r in secret_scan.scan_secrets(df, forest).collect():
+        got.setdefault(r["doc_id"], []).append(texts[r["doc_id"] - 1][1][r["start"] : r["start"] + r["length"]])
+    assert got == {i: [want] for i, _, want in texts if want}
