@@ -13,10 +13,6 @@ from fluvia.llm import line_dedup, packing, pii, simhash, toxicity
 from fluvia.llm.common import table
 from fluvia.session import materialize
 
-#: Score from which a document is rejected; higher than the operator's own threshold, to keep clean ones.
-REJECT = 0.5
-
-
 def _as_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns of docs, n_chars counted anew."""
     if "n_chars" in columns:
@@ -25,9 +21,9 @@ def _as_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity network, trained on labelled ones, scores below REJECT."""
+    """Documents that the toxicity network, trained on labelled ones, doesn't predict to be toxic."""
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, net).where(F.col("score") < REJECT).select(*docs.columns)
+    return toxicity.score_documents(docs, net).where("predicted = 0").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
