@@ -1,19 +1,22 @@
 """SimHash near-dedup by meet-in-the-middle ball hashing.
 
-Two fingerprints of 64 bits that differ in at most three have a half of 32 bits in which they differ
-in at most one: half the radius. Every distinct fingerprint emits, for each half, the variants within
-that radius which clear a bit, and itself; two halves one bit apart meet at the smaller of them, and
-equal ones at themselves. Rows are shuffled on (half, variant) and colliding pairs are verified.
-
-Buckets above a size are not paired: their fingerprints emit balls in all 64 bits instead, of radius
-one and of radius two (with both flips in one half). Whoever meets a radius-one member of a ball is at
-most three bits away from it, so one link to the smallest such member joins the whole ball: links
-grow with the members of a ball and not with their pairs, and none between components is lost.
+Two fingerprints of 64 bits that differ in at most three have a variant in common that is at most one
+bit from the one and at most two from the other: half the radius, rounded down and up. So every distinct
+fingerprint emits all variants of both balls (1 + 64 near ones, 2,016 at two bits), variants are
+shuffled, and where balls meet the fingerprints are linked and verified.
+
+Variants are shuffled by a code of theirs: the parities of some groups of their bits. A flip changes the
+parity of its group alone, so the variants of one fingerprint with the same code follow from it and the
+code; they travel as one number, and a task expands those of its codes, a slice at a time.
+
+Whoever meets a near member of a ball is at most three bits away from it, so a link to the smallest
+such member joins the whole ball: links grow with the members of a ball and not with their pairs, and
+none between components is lost. A task keeps a spanning forest of its links.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,8 @@ from fluvia.session import materialize
 
 #: Differing bits at which fingerprints link (the ball arithmetic below is for three).
 RADIUS = 3
-#: Fingerprints of a bucket whose pairs are compared one by one; larger buckets use whole balls.
-PAIRED = 128
+#: Fingerprints that a task is meant to hold for one code, and variants that it expands at a time.
+HELD, SLICE = 1 << 21, 1 << 20
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -49,70 +52,122 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
-def _ball_rows(batches, variants):
-    for batch in batches:
-        prints = batch.column(0).to_numpy().view(np.uint64)
-        for i in range(0, len(prints), 1 << 12):
-            yield from variants(prints[i : i + (1 << 12)])
-
-
-def _half_variants(prints: np.ndarray):
-    """(half and variant as one key, fingerprint): each half itself and with one set bit cleared."""
-    for half in (0, 1):
-        value = prints >> np.uint64(32) if half else prints & np.uint64(0xFFFFFFFF)
-        keys, owners = [value], [prints]
-        for bit in range(32):
-            mask = np.uint64(1 << bit)
-            has = (value & mask) != 0
-            keys.append(value[has] ^ mask)
-            owners.append(prints[has])
-        key = np.concatenate(keys) | np.uint64(half << 32)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.concatenate(owners).view(np.int64))], ["key", "fp"])
+def code_bits(count: int) -> int:
+    """Parities of a code, so that of count fingerprints some HELD are sent to one code."""
+    bits = 8
+    while bits < 32 and count * (1 + bits + math.comb(bits, 2)) > HELD << bits:
+        bits += 4
+    return bits
 
 
-#: Flips of a full fingerprint: none and single ones (radius one), pairs within a half (radius two).
-_NEAR = [0, *(1 << i for i in range(64))]
-_FAR = [1 << i | 1 << j for h in (0, 32) for i, j in itertools.combinations(range(h, h + 32), 2)]
+def codes(prints: np.ndarray, bits: int) -> np.ndarray:
+    """Codes of fingerprints: the parity of each of some groups of neighbouring bits."""
+    out = np.zeros(len(prints), np.int64)
+    for j in range(bits):
+        low, high = 64 * j // bits, 64 * (j + 1) // bits
+        mask = np.uint64((1 << high) - (1 << low))
+        out |= (np.bitwise_count(prints & mask) & 1).astype(np.int64) << j
+    return out
 
 
-def _full_variants(prints: np.ndarray):
-    """(variant, fingerprint, near): near where the variant is within radius one."""
-    for near, flips in ((True, _NEAR), (False, _FAR)):
-        for i in range(0, len(flips), 64):
-            part = np.array(flips[i : i + 64], np.uint64)
-            key = (prints[:, None] ^ part).reshape(-1)
-            owner = np.repeat(prints, len(part))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner.view(np.int64)), pa.array(np.full(len(key), near))], ["key", "fp", "near"])
+def _flips(bits: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By the change of the code: flips of at most one bit, and those of two bits."""
+    single = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    i, j = np.triu_indices(64, 1)
+    near, far = np.append(single, np.uint64(0)), single[i] | single[j]
+    near_codes, far_codes = codes(near, bits), codes(far, bits)
+    return {int(c): (near[near_codes == c], far[far_codes == c]) for c in np.union1d(near_codes, far_codes)}
 
 
-def _paired_links(batches):
-    """Verified pairs of each bucket (a list of at most PAIRED fingerprints)."""
+def _emit(batches, bits: int):
+    """(code, fingerprints as bytes): each fingerprint at every code that a variant of it has."""
+    changes = np.array(sorted(_flips(bits)))
     for batch in batches:
-        a, b = [], []
-        for bucket in batch.column(0).to_pylist():
-            v = np.array(sorted(bucket), np.int64)
-            apart = np.bitwise_count(v[:, None].view(np.uint64) ^ v.view(np.uint64))
-            i, j = np.nonzero(np.triu(apart <= RADIUS, 1))
-            a.append(v[i])
-            b.append(v[j])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        prints = batch.column(0).to_numpy().view(np.uint64)
+        for at in range(0, len(prints), 1 << 14):
+            part = prints[at : at + (1 << 14)]
+            code = (codes(part, bits)[:, None] ^ changes).reshape(-1)
+            order = np.argsort(code, kind="stable")
+            code, owner = code[order], np.repeat(part, len(changes))[order]
+            cuts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            blobs = [x.tobytes() for x in np.split(owner, cuts[1:])] if len(cuts) else []
+            yield pa.RecordBatch.from_arrays([pa.array(code[cuts]), pa.array(blobs, pa.binary())], ["code", "fps"])
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links (a, b) that a spanning forest of them needs."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = np.split(ends, 2)
+    root, kept = np.arange(len(nodes)), []
+    left = np.arange(len(i))
+    while len(left):
+        left = left[root[i[left]] != root[j[left]]]
+        p, q = root[i[left]], root[j[left]]
+        high, low = np.maximum(p, q), np.minimum(p, q)
+        picked, at = np.unique(high, return_index=True)  # each root joins a smaller one: no circles
+        kept.append(left[at])
+        root[picked] = low[at]
+        while True:
+            above = root[root]
+            if np.array_equal(above, root):
+                break
+            root = above
+    kept = np.concatenate(kept) if kept else left
+    return a[kept], b[kept]
+
+
+def _meet(code: int, prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints whose balls meet at variants of one code."""
+    prints = np.unique(prints)
+    change = codes(prints, bits) ^ code
+    order = np.argsort(change, kind="stable")
+    kinds, cuts = np.unique(change[order], return_index=True)
+    flips = _flips(bits)
+    groups = [(prints[part], *flips[int(kind)]) for kind, part in zip(kinds, np.split(order, cuts[1:]), strict=True)]
+    near = np.concatenate([(f[:, None] ^ n).reshape(-1) for f, n, _ in groups])
+    owner = np.concatenate([np.repeat(f, len(n)) for f, n, _ in groups])
+    order = np.lexsort((owner, near))
+    near, owner = near[order], owner[order]
+    variant, first = np.unique(near, return_index=True)
+    hub = owner[first]
+    to = np.repeat(hub, np.diff(first, append=len(near)))
+    a, b = [to[to != owner]], [owner[to != owner]]
+    # A table of bits of the near variants spares most far ones the search.
+    size = 1 << max(10, int(len(variant)).bit_length() + 4)
+    place = lambda v: ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+    table = np.zeros(size, bool)
+    table[place(variant)] = True
+    for f, _, flip in groups:
+        step = max(1, SLICE // max(1, len(flip)))
+        for at in range(0, len(f), step) if len(flip) else ():
+            part = f[at : at + step]
+            far = (part[:, None] ^ flip).reshape(-1)
+            some = np.flatnonzero(table[place(far)])
+            found = np.minimum(np.searchsorted(variant, far[some]), len(variant) - 1)
+            met = variant[found] == far[some]
+            to, back = hub[found[met]], part[some[met] // len(flip)]
+            # The same two fingerprints may meet at several variants.
+            pair = np.unique(np.stack([to, back], 1), axis=0)
+            a.append(pair[:, 0])
+            b.append(pair[:, 1])
+    a, b = np.concatenate(a), np.concatenate(b)
+    close = (a != b) & (np.bitwise_count(a ^ b) <= RADIUS)
+    return _forest(a[close], b[close])
 
 
 def link_fingerprints(prints: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) within RADIUS bits: enough of them to join
     all that are linked, every one of them verified."""
-    rows = lambda: prints.select("fp").mapInArrow(lambda it: _ball_rows(it, _half_variants), "key long, fp long")
-    sizes = materialize(rows().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
-    shared = materialize(rows().join(sizes, "key"), "shared-buckets")
-    buckets = shared.where(F.col("n") <= PAIRED).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
-    paired = buckets.mapInArrow(_paired_links, "a long, b long")
-    dense = shared.where(F.col("n") > PAIRED).select("fp").distinct()
-    balls = dense.mapInArrow(lambda it: _ball_rows(it, _full_variants), "key long, fp long, near boolean")
-    # A ball has a bounded number of members (those within two flips of its centre), so a group is small.
-    hubs = balls.groupBy("key").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("a"), F.collect_list("fp").alias("fps")).where("a is not null and size(fps) > 1")
-    starred = hubs.select("a", F.explode("fps").alias("b")).where(f"a <> b and bit_count(a ^ b) <= {RADIUS}")
-    return paired.union(starred)
+    bits = code_bits(prints.count())
+
+    def meet(table: pa.Table) -> pa.Table:
+        code = table["code"][0].as_py()
+        held = np.concatenate([np.frombuffer(x, np.uint64) for x in table["fps"].to_pylist()])
+        a, b = _meet(code, held, bits)
+        return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    sent = prints.select("fp").mapInArrow(lambda it: _emit(it, bits), "code long, fps binary")
+    return sent.groupBy("code").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:

@@ -53,8 +53,9 @@ def test_against_all_pairs(request, name):
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got} == {(d, f"{v:016x}", want[d]) for d, v in prints.items()}
 
 
-def test_large_buckets_lose_no_link(spark, monkeypatch):
-    """A dense cloud of fingerprints, so that buckets are larger than those that are paired."""
+@pytest.mark.parametrize("held", [1 << 21, 20])
+def test_large_buckets_lose_no_link(spark, monkeypatch, held):
+    """A dense cloud of fingerprints, expanded in small slices and with codes of several lengths."""
     rng = random.Random(4)
     seen = {0}
     while len(seen) < 500:
@@ -64,7 +65,8 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         seen.add(v)
     signed = [v - (1 << 64) if v >> 63 else v for v in seen]
     df = spark.createDataFrame([(v,) for v in signed], "fp long")
-    monkeypatch.setattr(simhash, "PAIRED", 3)
+    monkeypatch.setattr(simhash, "SLICE", 5000)
+    monkeypatch.setattr(simhash, "HELD", held)
     links = [(r["a"], r["b"]) for r in simhash.link_fingerprints(df).collect()]
     assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in links)
     want = components({v: v & (1 << 64) - 1 for v in signed})
@@ -94,3 +96,17 @@ def test_groups_are_of_rows(spark):
     df = spark.createDataFrame([(i, text[k], k) for i, k in rows], "doc_id long, text string, fp string").repartition(4)
     got = sorted((r["fp"], r["doc_id"]) for r in simhash.keep_one_each(df).collect())
     assert got == [("a", None), ("b", 1), ("c", 2), ("d", 2), ("e", 4), ("f", 5)]
+
+
+def test_codes_of_all_variants():
+    """A fingerprint is sent to the code of every variant within two bits, and meets there."""
+    import numpy as np
+
+    value = np.array([0x0123456789ABCDEF], np.uint64)
+    for bits in (8, 12, 20):
+        flips = simhash._flips(bits)
+        every = np.concatenate([np.concatenate(v) for v in flips.values()])
+        assert len(np.unique(every)) == len(every) == 1 + 64 + 2016
+        for change, (near, far) in flips.items():
+            for part in (near, far):
+                assert (simhash.codes(value ^ part, bits) == simhash.codes(value, bits)[0] ^ change).all()
