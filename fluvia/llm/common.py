@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -73,13 +71,3 @@ def map_texts(
 
     return docs.mapInArrow(run, out)
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished jobs: its cleaner acts when the driver collects garbage.
-
-    Listeners hold on to a finished query for a moment, hence the pause.
-    """
-    for _ in range(2):
-        time.sleep(1)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()

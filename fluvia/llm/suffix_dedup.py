@@ -3,14 +3,16 @@
 Equal strings of WIDTH bytes have the same anchor, the leftmost k-gram with the smallest hash in them.
 Each document is cut into segments, runs of neighbouring windows with one anchor, and a segment goes
 to the bucket of its anchor's hash, so that equal windows always meet, whatever documents hold them.
-A bucket keeps the anchors that two documents share, puts equal segments together, and builds a
-run-compressed Burrows-Wheeler transform of the different ones, with samples of the suffix array at
-the ends of its runs. Segments stream through it backwards; the row where a window's match ends names
-the interval of equal windows, and the smallest doc_id of that interval decides about the window.
+A bucket puts equal segments together. Of the different segments of an anchor the first holders' are
+indexed, in rounds: a run-compressed Burrows-Wheeler transform of them with samples of the suffix array
+at the ends of its runs. All segments of the round's anchors stream through it backwards, and their
+matching statistics (length and row of the longest match from each place) mark windows that an indexed
+segment holds, with the smallest doc_id among the rows that agree. Segments with windows left go on to
+the next round. Hashes only route, and spare windows that no other segment holds; what removes a byte is
+a match of WIDTH bytes in the index.
 
 Copies of a segment inside a task are settled there, so a hot passage sends one segment per task.
-Buckets grow with the number of anchors, not with how often one is repeated, and their number with the
-text. Everything is exact: what is compared are whole segments and windows.
+Every lost segment gives one row, and buckets grow in number with the text.
 """
 
 from __future__ import annotations
@@ -23,15 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import map_texts, release, slices
-from fluvia.session import materialize
+from fluvia.llm.common import map_texts, slices
 
 #: Bytes of a string that counts as repeated, and of an anchor.
 WIDTH, ANCHOR = 50, 16
 #: Bytes of text a task cuts at a time, and bytes of text per bucket.
 CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
-#: Bytes of different segments in one index, and bytes whose prefix sums are held at a time.
-INDEX_BYTES, HASHED_BYTES = 1 << 20, 1 << 20
+#: Bytes of segments in one index, those of one anchor in it, and bytes whose prefix sums are held at a time.
+INDEX_BYTES, LEADERS, HASHED_BYTES = 1 << 20, 1 << 12, 1 << 20
 #: Compression of what is shuffled.
 LEVEL = 3
 
@@ -97,6 +98,23 @@ def _segment_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> li
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
+def _window_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray):
+    """Pairs of hashes of all windows of segments, in the order of the segments."""
+    order = np.argsort(start, kind="stable")
+    windows = size - WIDTH + 1
+    bounds = np.cumsum(windows) - windows
+    out = [np.zeros(int(windows.sum()), np.uint64) for _ in range(2)]
+    cuts = np.searchsorted(start[order], np.arange(0, len(data) + HASHED_BYTES, HASHED_BYTES))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            part = order[a:b]
+            low = start[part[0]]
+            at = _spread(start[part] - low, windows[part])
+            for o, h in zip(out, _slice_hashes(_prefix_hashes(data[low : int((start[part] + size[part]).max())]), at, at + WIDTH), strict=True):
+                o[_spread(bounds[part], windows[part])] = h
+    yield out
+
+
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indices of the slices from start with the given sizes, one after another."""
     ends = np.cumsum(size)
@@ -113,29 +131,47 @@ def _join_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.nda
     return start[new], stop[np.append(np.flatnonzero(new)[1:] - 1, len(stop) - 1)]
 
 
-def _by_document(doc, sig, start, stop) -> tuple[list, list, list, list]:
-    """One row per document with its joined spans."""
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the slices of the given sizes from a and from b hold the same bytes."""
+    out = np.ones(len(a), bool)
+    for i in range(0, len(a), 1 << 14):
+        part = slice(i, i + (1 << 14))
+        differs = data[_spread(a[part], size[part])] != data[_spread(b[part], size[part])]
+        out[part] = ~np.logical_or.reduceat(differs, np.cumsum(size[part]) - size[part])
+    return out
+
+
+def _copies(data: np.ndarray, start: np.ndarray, size: np.ndarray, order: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether each segment but the first, in the given order, holds the same bytes as the one before it."""
+    a, b = order[1:], order[:-1]
+    same = (one[a] == one[b]) & (two[a] == two[b]) & (size[a] == size[b])
+    some = np.flatnonzero(same)
+    same[some] = _equal(data, start[a[some]], start[b[some]], size[a[some]])
+    return same
+
+
+def _by_document(doc, sig, start, stop):
+    """Joined spans of each document: numbers of documents and signatures, starts, stops; one row a span."""
     if not len(doc):
-        return [], [], [], []
+        return doc, sig, start, stop
     order = np.lexsort((sig, doc))
     doc, sig, start, stop = doc[order], sig[order], start[order], stop[order]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1])])
     # Each document's spans lie in a range of their own, so that all are joined at once.
-    shift = (np.cumsum(new) - 1) << 40
-    start, stop = _join_spans(start + shift, stop + shift)
-    cuts = np.searchsorted(start >> 40, np.arange(1, new.sum()))
-    low = (1 << 40) - 1
-    return doc[new].tolist(), sig[new].tolist(), np.split(start & low, cuts), np.split(stop & low, cuts)
+    which = np.cumsum(new) - 1
+    start, stop = _join_spans(start + (which << 40), stop + (which << 40))
+    low, which = (1 << 40) - 1, start >> 40
+    return doc[new][which], sig[new][which], start & low, stop - (which << 40)
 
 
 class RunLengthIndex:
     """A run-compressed Burrows-Wheeler transform of segments, with suffix samples at run ends.
 
-    data: the segments' bytes one after another; sizes: theirs. Each segment ends with a terminator
-    of its own, smaller than every byte, in the order of the segments.
+    data: the segments' bytes one after another; sizes: theirs; least: a number of each. Each segment ends
+    with a terminator of its own, smaller than every byte, in the order of the segments.
     """
 
-    def __init__(self, data: np.ndarray, sizes: np.ndarray):
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, least: np.ndarray):
         self.count, self.sizes = len(sizes), sizes
         n = len(data) + self.count
         self.stops = np.cumsum(sizes + 1) - 1  # places of the terminators
@@ -143,8 +179,8 @@ class RunLengthIndex:
         body = np.ones(n, bool)
         body[self.stops] = False
         text[:n][body] = data.astype(np.int64) + 1
-        self.text, self.n = text[:n], n
-        left = np.repeat(self.stops, sizes + 1) - np.arange(n)  # bytes up to the terminator
+        self.n = n
+        self.left = left = np.repeat(self.stops, sizes + 1) - np.arange(n)  # bytes up to the terminator
         # First seven symbols as one number, nothing behind a terminator; ties there go by segment, which is their order.
         key = np.zeros(n, np.int64)
         for j in range(7):
@@ -161,7 +197,7 @@ class RunLengthIndex:
             ordered = key[suffixes]
             rank[suffixes] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
             depth *= 2
-        before = np.where(np.concatenate([[True], ~body[:-1]]), 0, self.text[np.maximum(np.arange(n) - 1, 0)])
+        before = np.where(np.concatenate([[True], ~body[:-1]]), 0, text[np.maximum(np.arange(n) - 1, 0)])
         bwt = before[suffixes]
         self.run_start = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         self.head = bwt[self.run_start]
@@ -169,77 +205,93 @@ class RunLengthIndex:
         self.first_sample = suffixes[self.run_start]
         self.last_sample = suffixes[self.run_start + length - 1]
         by_head = np.argsort(self.head, kind="stable")
-        self.by_head = by_head
+        self.by_head, self.length, self.jumps = by_head, length, 0
+        self.ordered = self.head[by_head] * len(by_head) + by_head
         earlier = np.cumsum(length[by_head]) - length[by_head]
         self.lf = np.empty(len(by_head), np.int64)  # row that a run's first row is mapped to
         self.lf[by_head] = earlier
         self.head_bounds = np.searchsorted(self.head[by_head], np.arange(258))
-        sums = _prefix_hashes(data)
-        place = np.cumsum(body) - 1  # of a byte of the text among data
-        whole = left >= WIDTH
-        start = np.where(whole, place, 0)
-        one, two = _slice_hashes(sums, start, np.where(whole, start + WIDTH, 0))
-        one, two, whole = one[suffixes], two[suffixes], whole[suffixes]
-        #: For each row, the interval of rows that start with the same WIDTH bytes; -1: shorter suffixes.
-        fresh = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | ~whole[1:] | ~whole[:-1]])
-        self.interval = np.where(whole, np.cumsum(fresh) - 1, -1)
-
-    def step(self, row: np.ndarray, place: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Extend matches at rows (whose suffixes start at place) to the left by a symbol.
-
-        Where the row's run has another head, the match moves to the nearest row before it, else after
-        it, that has the symbol; its place is the sample kept for that end of the run.
+        # Rows whose suffixes agree in WIDTH bytes lie together; each knows the smallest number of their segments.
+        self.bytes = np.zeros(n + WIDTH, np.uint8)
+        self.bytes[:n][body] = data
+        whole = left[suffixes] >= WIDTH
+        fresh = np.ones(n, bool)
+        pairs = np.flatnonzero(whole[1:] & whole[:-1]) + 1
+        for i in range(0, len(pairs), 1 << 16):
+            part = pairs[i : i + (1 << 16)]
+            fresh[part] = self.lce(suffixes[part], suffixes[part - 1], WIDTH) < WIDTH
+        cuts = np.flatnonzero(fresh)
+        owner = np.repeat(np.arange(self.count), sizes + 1)[suffixes]
+        self.least = np.repeat(np.minimum.reduceat(least[owner], cuts), np.diff(cuts, append=n))
+
+    def lce(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+        """Bytes in which the suffixes at places a and b agree, up to most and to their terminators."""
+        reach = np.minimum(np.minimum(self.left[a], self.left[b]), most)
+        size, going, at = np.zeros(len(a), np.int64), np.arange(len(a)), 0
+        while len(going):
+            span = np.arange(at, at + 16)
+            last = len(self.bytes) - 1
+            same = self.bytes[np.minimum(a[going, None] + span, last)] == self.bytes[np.minimum(b[going, None] + span, last)]
+            run = np.where(same.all(1), 16, np.argmin(same, 1))
+            size[going] += run
+            at += 16
+            going = going[(run == 16) & (at < most)]
+        return np.minimum(size, reach)
+
+    def _nearest(self, run: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest runs before and after the given ones that have the symbol as head; -1: none."""
+        low, high = self.head_bounds[symbol], self.head_bounds[symbol + 1]
+        j = np.searchsorted(self.ordered, symbol * len(self.head) + run)
+        before, after = np.full(len(run), -1), np.full(len(run), -1)
+        some = j > low
+        before[some] = self.by_head[j[some] - 1]
+        some = j < high
+        after[some] = self.by_head[j[some]]
+        return before, after
+
+    def step(self, row, place, size, symbol) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Extend matches (of size bytes, at rows whose suffixes start at place) to the left by a symbol.
+
+        Where the row's run has another head, the match moves to the end of a run before it or to the start
+        of one after it that has the symbol, whichever agrees longer; the samples kept there say where those
+        suffixes start.
         """
         run = np.searchsorted(self.run_start, row, "right") - 1
         other = np.flatnonzero(self.head[run] != symbol)
         if len(other):
-            row, place, run = row.copy(), place.copy(), run.copy()
-            for i in other:
-                lo, hi = self.head_bounds[symbol[i]], self.head_bounds[symbol[i] + 1]
-                if lo == hi:  # the symbol isn't in the text: the match starts anew
-                    row[i], place[i], run[i] = -1, -1, -1
-                    continue
-                j = lo + np.searchsorted(self.by_head[lo:hi], run[i])
-                if j > lo:
-                    run[i] = self.by_head[j - 1]
-                    row[i] = (self.run_start[run[i] + 1] if run[i] + 1 < len(self.run_start) else self.n) - 1
-                    place[i] = self.last_sample[run[i]]
-                else:
-                    run[i] = self.by_head[j]
-                    row[i], place[i] = self.run_start[run[i]], self.first_sample[run[i]]
-        found = run >= 0
-        return np.where(found, self.lf[run] + row - self.run_start[run], 0), np.where(found, place - 1, self.n - 1)
-
-    def matching_statistics(self, pattern: bytes) -> list[tuple[int, int]]:
-        """For each place of a pattern: length of a long match in the segments, and where it starts in the text.
-
-        Matches follow one occurrence from right to left; a length counts the bytes that really agree.
+            self.jumps += len(other)
+            row, place, size, run = row.copy(), place.copy(), size.copy(), run.copy()
+            before, after = self._nearest(run[other], symbol[other])
+            here, up, down = place[other], self.last_sample[before], self.first_sample[after]
+            most = int(size[other].max(initial=1)) or 1
+            agree_up = np.where(before >= 0, np.minimum(self.lce(here, up, most), size[other]), -1)
+            agree_down = np.where(after >= 0, np.minimum(self.lce(here, down, most), size[other]), -1)
+            higher = agree_up >= agree_down
+            chosen = np.where(higher, before, after)
+            run[other], size[other] = chosen, np.where(higher, agree_up, agree_down)
+            row[other] = np.where(higher, self.run_start[chosen] + self.length[chosen] - 1, self.run_start[chosen])
+            place[other] = np.where(higher, up, down)
+        found = run >= 0  # else the symbol isn't in the text: the match starts anew
+        return np.where(found, self.lf[run] + row - self.run_start[run], 0), np.where(found, place - 1, self.stops[0]), np.where(found, size + 1, 0)
+
+    def stream(self, data: np.ndarray, sizes: np.ndarray):
+        """Matching statistics of segments given as bytes, all of them streamed from their ends at once.
+
+        Yields, for 1, 2, 3, ... bytes taken, the segments still going, and for each the length of the longest
+        match that starts there and a row of such a match.
         """
-        row, place, out = np.array([0]), np.array([self.stops[0]]), []
-        symbols = np.frombuffer(pattern, np.uint8).astype(np.int64) + 1
-        for i in range(len(pattern) - 1, -1, -1):
-            row, place = self.step(row, place, symbols[i : i + 1])
-            p, size = int(place[0]), 0
-            while i + size < len(pattern) and p + size < self.n and self.text[p + size] == symbols[i + size]:
-                size += 1
-            out.append((size, p))
-        return out[::-1]
-
-    def window_rows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of all windows of all segments, in order, by streaming the segments from their ends."""
-        windows = self.sizes - WIDTH + 1
-        bounds = np.concatenate([[0], np.cumsum(windows)])
-        rows = np.empty(bounds[-1], np.int64)
-        row, place, alive = np.arange(self.count), self.stops.copy(), np.arange(self.count)
-        for taken in range(1, int(self.sizes.max()) + 1):
-            going = self.sizes[alive] >= taken
-            row, place, alive = row[going], place[going], alive[going]
-            row, place = self.step(row, place, self.text[place - 1])
-            window = self.sizes[alive] - taken
-            whole = taken >= WIDTH
-            if whole:
-                rows[bounds[alive] + window] = row
-        return rows, bounds
+        stops, symbols = np.cumsum(sizes), data.astype(np.int64) + 1
+        alive = np.arange(len(sizes))
+        row, place, size = np.zeros(len(sizes), np.int64), np.full(len(sizes), self.stops[0]), np.zeros(len(sizes), np.int64)
+        for taken in range(1, int(sizes.max(initial=0)) + 1):
+            going = sizes[alive] >= taken
+            row, place, size, alive = row[going], place[going], size[going], alive[going]
+            row, place, size = self.step(row, place, size, symbols[stops[alive] - taken])
+            yield taken, alive, size, row
+
+    def matching_statistics(self, pattern: bytes) -> list[int]:
+        """For each place of a pattern, the length of the longest match in a segment that starts there."""
+        return [int(size[0]) for _, _, size, _ in self.stream(np.frombuffer(pattern, np.uint8), np.array([len(pattern)]))][::-1]
 
 
 def _pack(ids, sigs, number, first, windows, offset, body) -> bytes:
@@ -260,7 +312,7 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return [*out, np.frombuffer(pa.decompress(blob[16 + width :], size, codec="zstd", asbytes=True), np.uint8)]
 
 
-_FOUND = "doc long, sig long, starts array<int>, stops array<int>"
+_FOUND = "doc long, sig long, start int, stop int"
 
 
 def _cut_chunk(texts: list[tuple[int, int, bytes]], buckets: int):
@@ -280,15 +332,14 @@ def _cut_chunk(texts: list[tuple[int, int, bytes]], buckets: int):
     sig = np.array([s for _, s, _ in texts], np.int64)[owner]
     # Equal segments: all of a larger doc_id than the first holder's are settled here.
     order = np.lexsort((np.arange(len(first)), two, one))
-    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (size[order][1:] == size[order][:-1])
+    same = _copies(data, start, size, order, one, two)
     leader = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))
     holder = np.empty(len(order), np.int64)
     holder[order] = doc[order][leader]
     done = doc > holder
     if done.any():
-        rows = _by_document(doc[done], sig[done], first[done], (first + size)[done])
-        for d, s, a, b in zip(*rows, strict=True):
-            yield d % buckets, d, s, a, b, None
+        for row in zip(*(x.tolist() for x in _by_document(doc[done], sig[done], first[done], (first + size)[done])), strict=True):
+            yield row[0] % buckets, *row, None
     keep = np.flatnonzero(~done)
     w = _words(np.concatenate([data, np.zeros(8, np.uint8)]), len(data))
     place = anchor + base[owner]
@@ -306,8 +357,48 @@ def _cut_chunk(texts: list[tuple[int, int, bytes]], buckets: int):
         yield int(bucket[a]), None, None, None, None, blob
 
 
-def _settle(tables: list[bytes]) -> tuple[list, list, list, list]:
-    """Spans that a bucket's segments lose, by document."""
+def _match_windows(data, start, size, anchor, least, bounds, window_least) -> None:
+    """Lower window_least of each window of different segments to the smallest number of a segment that holds it.
+
+    Segments come in the order of their anchors; windows of one are those from its bounds on.
+    """
+    one, two = (np.concatenate(x) for x in zip(*_window_hashes(data, start, size), strict=True))
+    # A window no other segment has the hashes of is nobody else's.
+    order = np.lexsort((two, one))
+    twin = np.zeros(len(one), bool)
+    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+    twin[order[1:][same]] = twin[order[:-1][same]] = True
+    open_ = np.add.reduceat(twin, bounds[:-1]) > 0
+    alive = np.flatnonzero(open_)
+    alive = alive[np.lexsort((least[alive], anchor[alive]))]
+    leaders = 1
+    while len(alive):
+        cuts = np.flatnonzero(np.concatenate([[True], anchor[alive][1:] != anchor[alive][:-1]]))
+        members = np.diff(cuts, append=len(alive))
+        cuts, members = cuts[members > 1], members[members > 1]
+        led = np.minimum(members, leaders)
+        weight = np.cumsum(led) * (2 * WIDTH)
+        rest = []
+        for groups in np.split(np.arange(len(cuts)), np.flatnonzero(np.diff(weight // INDEX_BYTES)) + 1):
+            if not len(groups):
+                continue
+            first, all_ = alive[_spread(cuts[groups], led[groups])], alive[_spread(cuts[groups], members[groups])]
+            index = RunLengthIndex(data[_spread(start[first], size[first])], size[first], least[first])
+            for taken, going, length, row in index.stream(data[_spread(start[all_], size[all_])], size[all_]):
+                hit = np.flatnonzero(length >= WIDTH)
+                if len(hit):
+                    seg = all_[going[hit]]
+                    at = bounds[seg] + size[seg] - taken
+                    window_least[at] = np.minimum(window_least[at], index.least[row[hit]])
+                    twin[at[index.least[row[hit]] < least[seg]]] = False
+            later = alive[_spread(cuts[groups] + led[groups], members[groups] - led[groups])]
+            rest.append(later[np.logical_or.reduceat(twin, bounds[:-1])[later]] if len(later) else later)
+        alive = np.concatenate(rest) if rest else alive[:0]
+        leaders = min(4 * leaders, LEADERS)
+
+
+def _settle(tables: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that a bucket's segments lose: documents, signatures, starts, stops; of each segment its runs."""
     doc, sig, first, windows, offset, parts = [], [], [], [], [], []
     for blob in tables:
         ids, sigs, number, at, count, off, body = _unpack(blob)
@@ -330,46 +421,33 @@ def _settle(tables: list[bytes]) -> tuple[list, list, list, list]:
     keep = np.zeros(len(order), bool)
     keep[order[shared[group]]] = True
     if not keep.any():
-        return [], [], [], []
+        return (np.zeros(0, np.int64),) * 4
     data = data[np.repeat(keep, size)]
     doc, sig, first, windows, size, h = (x[keep] for x in (doc, sig, first, windows, size, h))
     start = np.cumsum(size) - size
     one, two = _segment_hashes(data, start, size)
     # Different segments of each anchor, with the smallest doc_id of each.
     order = np.lexsort((doc, two, one, h))
-    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | ~_copies(data, start, size, order, one, two)])
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
     lead = order[new]
     least = doc[lead]
     bounds = np.concatenate([[0], np.cumsum(windows[lead])])
     window_least = np.repeat(least, windows[lead])
-    # Anchors with one segment need no index; the others' segments are indexed, a few groups at a time.
-    _, at, members = np.unique(h[lead], return_index=True, return_counts=True)
-    batch, held = [], 0
-    many = [(a, n) for a, n in zip(at.tolist(), members.tolist(), strict=True) if n > 1]
-    for i, (a, n) in enumerate(many):
-        batch.append(np.arange(a, a + n))
-        held += int(size[lead[a : a + n]].sum())
-        if held >= INDEX_BYTES or i + 1 == len(many):
-            seg = np.concatenate(batch)
-            index = RunLengthIndex(data[_spread(start[lead[seg]], size[lead[seg]])], size[lead[seg]])
-            rows, row_bounds = index.window_rows()
-            interval = index.interval[rows]
-            least_of = np.full(int(interval.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least_of, interval, np.repeat(least[seg], np.diff(row_bounds)))
-            window_least[_spread(bounds[seg], np.diff(row_bounds))] = least_of[interval]
-            batch, held = [], 0
+    _match_windows(data, start[lead], size[lead], h[lead], least, bounds, window_least)
     # Every record's windows against its own doc_id.
     at = _spread(bounds[which], windows)
     lost = window_least[at] < np.repeat(doc, windows)
     record = np.repeat(np.arange(len(doc)), windows)[lost]
-    begin = (_spread(first, windows))[lost]
-    return _by_document(doc[record], sig[record], begin, begin + WIDTH) if len(record) else ([], [], [], [])
+    begin = _spread(first, windows)[lost]
+    new = np.flatnonzero(np.concatenate([[True], (record[1:] != record[:-1]) | (begin[1:] != begin[:-1] + 1)])) if len(record) else record
+    last = np.append(new[1:], len(record))[: len(new)] - 1
+    return doc[record[new]], sig[record[new]], begin[new], begin[last] + WIDTH
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, sig, starts, stops): spans of bytes of documents covered by strings that a smaller doc_id holds.
+    """(doc, sig, start, stop): spans of bytes of documents covered by strings that a smaller doc_id holds.
 
     docs: doc_id, sig (a number that tells texts of one doc_id apart) and text. A document may have
     several rows; its spans are those of all of them together.
@@ -377,6 +455,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(8, math.ceil(total / BUCKET_BYTES))
     schema = f"part long, {_FOUND}, blob binary"
+    columns = ("part", pa.int64()), ("doc", pa.int64()), ("sig", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("blob", pa.binary())
 
     def run(batches):
         chunk, held = [], 0
@@ -384,9 +463,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         def rows():
             out = list(_cut_chunk(chunk, buckets))
             for i in range(0, len(out), 256):
-                part, doc, sig, starts, stops, blob = zip(*out[i : i + 256], strict=True)
-                lists = lambda v: pa.array([x if x is None else x.astype(np.int32) for x in v], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(doc, pa.int64()), pa.array(sig, pa.int64()), lists(starts), lists(stops), pa.array(blob, pa.binary())], ["part", "doc", "sig", "starts", "stops", "blob"])
+                arrays = [pa.array(v, t) for v, (_, t) in zip(zip(*out[i : i + 256], strict=True), columns, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, [n for n, _ in columns])
 
         for batch in slices(batches):
             for doc, sig, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -400,12 +478,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield from rows()
 
     def settle(table: pa.Table) -> pa.Table:
-        given = table.filter(pa.compute.is_valid(table["doc"])).select(["doc", "sig", "starts", "stops"])
+        given = table.filter(pa.compute.is_valid(table["doc"])).select(["doc", "sig", "start", "stop"])
         tables = [b for b in table["blob"].to_pylist() if b is not None]
-        doc, sig, starts, stops = _settle(tables) if tables else ([], [], [], [])
-        lists = lambda v: pa.array([x.astype(np.int32) for x in v], pa.list_(pa.int32()))
-        made = pa.table([pa.array(doc, pa.int64()), pa.array(sig, pa.int64()), lists(starts), lists(stops)], ["doc", "sig", "starts", "stops"])
-        return pa.concat_tables([given.cast(made.schema), made])
+        if not tables:
+            return given
+        made = [pa.array(v, t) for v, (_, t) in zip(_settle(tables), columns[1:5], strict=True)]
+        return pa.concat_tables([given, pa.table(made, ["doc", "sig", "start", "stop"]).cast(given.schema)])
 
     usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WIDTH)).select(F.col("doc_id").cast("long"), "sig", "text")
     return usable.mapInArrow(run, schema).groupBy("part").applyInArrow(settle, _FOUND)
@@ -418,26 +496,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     smaller doc_id; strings are judged on the input. spans are the maximal removed runs, in bytes of
     the text's UTF-8; kept is the rest, which may cut characters. Null text counts as empty. A null
     doc_id is smaller than none and larger than none. Rows that repeat a doc_id are parts of one
-    document and never evidence against each other. An empty table gives an empty table.
+    document and never evidence against each other. A very long text is cut by itself, in memory
+    proportional to its length. An empty table gives an empty table.
     """
     signed = docs.withColumn("sig_", F.xxhash64("text"))
     found = repeated_spans(signed.select("doc_id", F.col("sig_").alias("sig"), "text"))
-    # A document's rows here number at most its segments; lists are bounded by its length.
-    spans = found.groupBy("doc", "sig").agg(F.flatten(F.collect_list("starts")).alias("starts_"), F.flatten(F.collect_list("stops")).alias("stops_"))
-    spans = materialize(spans.toDF("span_doc_", "span_sig_", "starts_", "stops_"), "spans")
-    del found
-    release(docs.sparkSession)
-    joined = signed.join(spans, (signed["doc_id"] == spans["span_doc_"]) & (signed["sig_"] == spans["span_sig_"]), "left").drop("span_doc_", "span_sig_", "sig_")
-
-    def work(texts, starts, stops):
-        kept, sizes, spans = [], [], []
-        for t, a, b in zip(texts, starts, stops, strict=True):
-            data = (t or "").encode()
-            a, b = _join_spans(np.array(a or (), np.int64), np.array(b or (), np.int64))
+    # A document's rows here number at most its segments; the list is bounded by its length.
+    spans = found.groupBy("doc", "sig").agg(F.collect_list(F.struct("start", "stop")).alias("spans_")).toDF("span_doc_", "span_sig_", "spans_")
+    # Texts travel compressed to their spans.
+    packed = map_texts(signed, lambda: lambda texts: [[None if t is None else pa.compress(t.encode(), "zstd", asbytes=True) for t in texts], [None if t is None else len(t.encode()) for t in texts]], "packed_ binary, size_ int", drop=("text",))
+    joined = packed.join(spans, (packed["doc_id"] == spans["span_doc_"]) & (packed["sig_"] == spans["span_sig_"]), "left").drop("span_doc_", "span_sig_", "sig_")
+
+    def work(texts, sizes, found):
+        kept, spans = [], []
+        for t, n, given in zip(texts, sizes, found, strict=True):
+            data = b"" if t is None else pa.decompress(t, n, "zstd", asbytes=True)
+            a, b = _join_spans(*np.array([(x["start"], x["stop"]) for x in given or ()], np.int64).reshape(-1, 2).T)
             edges = [0, *np.stack([a, b], 1).reshape(-1).tolist(), len(data)]
             kept.append(b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
-            sizes.append(len(data))
             spans.append([{"start": i, "stop": j} for i, j in zip(a.tolist(), b.tolist(), strict=True)])
-        return kept, sizes, spans
+        return kept, [n or 0 for n in sizes], spans
 
-    return map_texts(joined, lambda: work, "kept binary, n_bytes long, spans array<struct<start:long,stop:long>>", extra=("starts_", "stops_"), drop=("text", "starts_", "stops_"))
+    return map_texts(joined, lambda: work, "kept binary, n_bytes long, spans array<struct<start:long,stop:long>>", text="packed_", extra=("size_", "spans_"), drop=("packed_", "size_", "spans_"))

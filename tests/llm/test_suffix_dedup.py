@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,16 +52,70 @@ def test_empty_and_null_ids(spark, nothing):
     assert got == {None: 120, 5: 120, 9: 0}
 
 
+PARTS = [b"abracadabra" * 6, b"abracadabra" * 5 + b"xyz" * 6, bytes(range(97, 123)) * 3]
+
+
+def longest(pattern, parts):
+    """Length of the longest match in a part from each place of the pattern."""
+    return [max(n for n in range(len(pattern) - i + 1) if any(pattern[i : i + n] in p for p in parts)) for i in range(len(pattern))]
+
+
+def index_of(parts):
+    return suffix_dedup.RunLengthIndex(np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts]), np.arange(len(parts)) + 7)
+
+
 def test_index_of_repetitive_segments():
-    import numpy as np
-
-    parts = [b"abracadabra" * 6, b"abracadabra" * 5 + b"xyz" * 6, bytes(range(97, 123)) * 3]
-    index = suffix_dedup.RunLengthIndex(np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts]))
-    assert len(index.head) < index.n  # runs
-    text = b"\0".join(parts)
-    for size, at in index.matching_statistics(b"cadabraabracadab"):
-        assert size == 0 or (index.text[at : at + size] - 1).astype(np.uint8).tobytes() in text
-    assert index.matching_statistics(b"abracadabra" * 3)[0][0] == 33
+    index = index_of(PARTS)
+    assert len(index.head) < index.n / 2  # runs
+    for pattern in (b"cadabraabracadab", b"abracadabra" * 3, b"zzzabrac?adabraxyzxyzabra", b"\0\xff", PARTS[1]):
+        assert index.matching_statistics(pattern) == longest(pattern, PARTS)
+    assert index.jumps > 0  # samples of run ends were used
+
+
+def test_matching_statistics_of_random_texts():
+    rng = np.random.default_rng(5)
+    for letters in (2, 4):
+        parts = [bytes(rng.integers(97, 97 + letters, rng.integers(50, 90)).tolist()) for _ in range(20)]
+        index = index_of(parts)
+        for _ in range(10):
+            pattern = bytes(rng.integers(97, 98 + letters, 60).tolist()) + parts[3][:30]
+            assert index.matching_statistics(pattern) == longest(pattern, parts)
+        index.first_sample = index.last_sample = np.full_like(index.last_sample, index.stops[0])
+        assert index.matching_statistics(pattern) != longest(pattern, parts)  # the samples of run ends count
+
+
+def covered(blobs):
+    """Bytes that each document loses in a bucket."""
+    found = {}
+    for d, _, a, b in zip(*suffix_dedup._settle(blobs), strict=True):
+        found.setdefault(int(d), bytearray(500))[a:b] = b"\1" * (b - a)
+    return {d: sum(x) for d, x in found.items()}
+
+
+@pytest.mark.parametrize("broken", ["least", "runs", "hashes"])
+def test_the_index_decides(spark, monkeypatch, broken):
+    """Without the index's answers nothing is removed between different segments; without hashes all is found."""
+    shared = "the quick brown fox jumps over the lazy dog while it rains on the hills and far away"
+    rows = [(i, f"{'abcdefghij'[i]}{i * 7919} " * 3 + shared[i:] + f" {i * 104729}{'klmnopqrst'[i]}" * 3) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    if broken == "hashes":  # all windows look alike, and so do all segments
+        monkeypatch.setattr(suffix_dedup, "_slice_hashes", lambda sums, start, stop: [np.zeros(len(start), np.uint64)] * 2)
+        blobs = [r[-1] for r in suffix_dedup._cut_chunk([(d, 0, t.encode()) for d, t in rows], 1) if r[-1] is not None]
+        assert covered(blobs) == {r[0]: r[2] for r in brute(rows) if r[2]}
+        return
+    assert result(df) == brute(rows)
+    whole = suffix_dedup.RunLengthIndex.__init__
+
+    def spoilt(self, data, sizes, least):
+        whole(self, data, sizes, least)
+        if broken == "least":
+            self.least = np.full_like(self.least, 1 << 40)
+        else:
+            self.lf = np.zeros_like(self.lf)
+
+    monkeypatch.setattr(suffix_dedup.RunLengthIndex, "__init__", spoilt)
+    blobs = [r[-1] for r in suffix_dedup._cut_chunk([(d, 0, t.encode()) for d, t in rows], 1) if r[-1] is not None]
+    assert sum(covered(blobs).values()) < sum(r[2] for r in brute(rows)) * 0.5
 
 
 def test_other_columns_stay(awkward):
