@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import release
 from fluvia.session import materialize
 
 #: Neighbours in the graph; places a vector joins and members of a place; pairs that a member takes from one place.
@@ -160,7 +159,6 @@ def build_graph(nodes: DataFrame) -> DataFrame:
     graph = _improve(_cells(nodes, nodes.count()), None)
     for _ in range(ROUNDS):
         graph = _improve(_neighbour_places(graph, nodes), graph)
-        release(nodes.sparkSession)
     return graph
 
 
