@@ -1,11 +1,11 @@
 """Media columns: GIF images in binary columns, decoded to timed frames with colour histograms.
 
 The decoder reads LZW code streams, applies global and local palettes, interlacing, transparency
-and disposal, and returns one composed canvas per frame with its delay. Code streams are expanded
+and disposal, and gives one composed canvas per frame with its delay, one at a time. Code streams are expanded
 with numpy: within the codes between two clear codes every code is a literal or a copy of earlier
 output, so all of them are resolved together by pointer doubling.
 The encoder stores bytes as 8-bit grey samples in frames of bounded height, so that a text of any
-length is held losslessly and in bounded memory.
+length is held losslessly; memory is that of the text, its stored form and one frame.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ from fluvia.llm.common import map_texts
 
 #: Samples in a row, rows of a frame at most, and a frame's time in hundredths of a second.
 ROW, FRAME_ROWS, DELAY = 192, 512, 10
+#: Largest canvas or frame that is decoded (four bytes a pixel are held).
+PIXELS = 1 << 24
 #: Codes between two clear codes that get a table entry, with 8-bit samples.
 _FULL = 4096 - 258
 
@@ -148,13 +151,21 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def decode_gif(data: bytes) -> list[Frame]:
-    """Frames of a GIF, each with the RGBA canvas (height, width, 4) that a viewer shows.
+def decode_gif(data: bytes) -> Iterator[Frame]:
+    """Frames of a GIF one by one, each with the RGBA canvas (height, width, 4) that a viewer shows.
 
     Local palettes stand before the global one; a transparent sample leaves the canvas as it is.
     Disposal 2 clears the frame's place before the next frame, 3 restores what stood there, others
-    leave it. Missing samples count as 0, surplus ones are ignored. Not a GIF: ValueError.
+    leave it. Missing samples count as 0, surplus ones are ignored. Bytes that aren't a GIF, that end within
+    a header or a palette or hold codes that can't be, and canvases or frames of over PIXELS: ValueError.
     """
+    try:
+        yield from _frames(data)
+    except (struct.error, IndexError) as damage:
+        raise ValueError("damaged GIF") from damage
+
+
+def _frames(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
@@ -163,8 +174,9 @@ def decode_gif(data: bytes) -> list[Frame]:
         n = 3 << ((flags & 7) + 1)
         shared = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
         at += n
-    canvas = np.zeros((height, width, 4), np.uint8)
-    frames, control = [], (0, 0, None)
+    if width * height > PIXELS:
+        raise ValueError("canvas too large")
+    canvas, control = np.zeros((height, width, 4), np.uint8), (0, 0, None)
     while at < len(data):
         kind = data[at]
         if kind == 0x21 and at + 1 < len(data):
@@ -182,6 +194,8 @@ def decode_gif(data: bytes) -> list[Frame]:
                 palette = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
                 at += n
             bits = data[at]
+            if w * h > PIXELS or not 1 <= bits <= 8:
+                raise ValueError("not a frame")
             stream, at = _blocks(data, at + 1)
             samples = lzw_decode(stream, bits)[: w * h]
             if len(samples) < w * h:
@@ -204,14 +218,13 @@ def decode_gif(data: bytes) -> list[Frame]:
             else:
                 shown = patch != transparent
                 place[shown] = colours[patch[shown]]
-            frames.append(Frame(delay, left, top, w, h, disposal, transparent, grid.reshape(-1), canvas.copy()))
+            yield Frame(delay, left, top, w, h, disposal, transparent, grid.reshape(-1), canvas.copy())
             if disposal == 2:
                 place[:] = 0
             elif disposal == 3:
                 canvas = under
         else:  # the trailer, or what can't be read
             break
-    return frames
 
 
 def encode_gif(payload: bytes, row: int = ROW) -> bytes:
@@ -249,17 +262,18 @@ def store_texts(docs: DataFrame) -> DataFrame:
 def decode_media(media: DataFrame) -> DataFrame:
     """media with frames array<struct<delay, left, top, width, height, disposal, histogram, samples>>.
 
-    Null media and bytes that aren't a GIF: null frames. Other columns and rows stay.
+    Null media, bytes that aren't a GIF and damaged ones: null frames. A GIF without a frame: no frames.
+    Only one canvas is held at a time. Other columns and rows stay.
     """
 
     def work(blobs):
         out = []
         for blob in blobs:
             try:
-                frames = None if blob is None else decode_gif(blob)
+                frames = None if blob is None else [{"delay": f.delay, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "disposal": f.disposal, "histogram": histogram(f.canvas), "samples": f.samples.tobytes()} for f in decode_gif(blob)]
             except ValueError:
                 frames = None
-            out.append(frames and [{"delay": f.delay, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "disposal": f.disposal, "histogram": histogram(f.canvas), "samples": f.samples.tobytes()} for f in frames])
+            out.append(frames)
         return [out]
 
     frame = "struct<delay:int,left:int,top:int,width:int,height:int,disposal:int,histogram:array<int>,samples:binary>"
@@ -277,12 +291,15 @@ def media_digests(docs: DataFrame) -> DataFrame:
         rows = []
         for t in texts:
             media = encode_gif(pad_payload(t))
-            frames = decode_gif(media)
-            # The grey palette gives samples as colours; a frame's own place on the canvas holds them.
-            parts = [f.canvas[f.top : f.top + f.height, f.left : f.left + f.width] for f in frames]
-            payload = b"".join(np.ascontiguousarray(p[:, :, 0]).tobytes() for p in parts)
-            bins = np.sum([histogram(p) for p in parts], axis=0).tolist()
-            feature = f"{len(frames)};{sum(f.delay for f in frames)};" + ",".join(map(str, bins))
+            parts, bins, delay = [], np.zeros(16, np.int64), 0
+            for f in decode_gif(media):
+                # The grey palette gives samples as colours; a frame's own place on the canvas holds them.
+                place = f.canvas[f.top : f.top + f.height, f.left : f.left + f.width]
+                parts.append(np.ascontiguousarray(place[:, :, 0]).tobytes())
+                bins += histogram(place)
+                delay += f.delay
+            payload = b"".join(parts)
+            feature = f"{len(parts)};{delay};" + ",".join(map(str, bins.tolist()))
             rows.append((len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         return list(zip(*rows, strict=True))
 

@@ -71,7 +71,7 @@ def test_disposal_transparency_palettes():
     dot = frame([1], (1, 1, 1, 1), (2, 7, None))
     hole = frame([2, 3, 3, 2], (0, 0, 2, 2), (3, 9, 3))
     own = frame([0], (0, 0, 1, 1), None, bytes(WHITE * 4))
-    f = gif_media.decode_gif(gif(whole, dot, hole, own))
+    f = list(gif_media.decode_gif(gif(whole, dot, hole, own)))
     assert [(x.delay, x.disposal, x.transparent) for x in f] == [(5, 1, None), (7, 2, None), (9, 3, 3), (0, 0, None)]
     assert colours(f[0]) == [[RED, RED], [RED, RED]]
     assert colours(f[1]) == [[RED, RED], [RED, GREEN]]
@@ -80,7 +80,7 @@ def test_disposal_transparency_palettes():
 
 
 def test_interlaced_rows():
-    f = gif_media.decode_gif(gif(frame([0, 1, 2, 3, 0], (0, 0, 1, 5), interlaced=True), size=(1, 5)))
+    f = list(gif_media.decode_gif(gif(frame([0, 1, 2, 3, 0], (0, 0, 1, 5), interlaced=True), size=(1, 5))))
     assert [row[0] for row in colours(f[0])] == [RED, WHITE, BLUE, RED, GREEN]
 
 
@@ -92,3 +92,19 @@ def test_media_columns(spark, awkward, nothing):
     odd = spark.createDataFrame([(1, None), (2, b"no gif"), (3, b"")], "id long, media binary")
     assert [r["frames"] for r in gif_media.decode_media(odd).collect()] == [None] * 3
     assert gif_media.media_digests(nothing).count() == 0
+
+
+def test_damaged_media(spark):
+    """Every cut, and many flips of a byte, give frames or null; huge canvases and frames give null."""
+    rng = random.Random(9)
+    good = gif_media.encode_gif(gif_media.pad_payload("some text " * 90))
+    blobs = [good[:n] for n in range(0, len(good), 7)] + [None, b"", b"GIF89a"]
+    for _ in range(300):
+        i = rng.randrange(len(good))
+        blobs.append(good[:i] + bytes((rng.randrange(256),)) + good[i + 1 :])
+    huge = [good[:6] + struct.pack("<HH", 65535, 65535) + good[10:], good.replace(struct.pack("<HHHH", 0, 0, 192, 5), struct.pack("<HHHH", 0, 0, 65535, 65535))]
+    assert huge[1] != good
+    df = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(blobs + huge + [good])], "i int, media binary")
+    rows = {r["i"]: r["frames"] for r in gif_media.decode_media(df).collect()}
+    assert len(rows) == len(blobs) + 3 and len(rows[len(blobs) + 2]) == 1
+    assert rows[len(blobs)] is None and rows[len(blobs) + 1] is None
