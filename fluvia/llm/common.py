@@ -69,5 +69,6 @@ def map_texts(
             arrays = [part.column(part.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(v, t) for v, t in zip(columns, types, strict=True))], order)
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, out)
 
