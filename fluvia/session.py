@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,26 +30,48 @@ def build_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8
     return ship(spark)
 
 
+@lru_cache(maxsize=4)
+def _archive(application: str) -> str:
+    """A zip file of this package, made once for each application."""
+    return shutil.make_archive(f"{_own_folder()}/fluvia-{application}", "zip", ROOT, "fluvia")
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """A folder of the driver's own, removed when it ends."""
+    path = tempfile.mkdtemp(prefix="fluvia-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from the repository folder."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    """Let Python workers import this package, wherever they run: Spark sends it to them."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        sc.addPyFile(_archive(sc.applicationId))
+        _shipped.add(sc.applicationId)
     return spark
 
 
+_shipped: set[str] = set()
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where unset, one of our own."""
+    """This application's folder in the shared one that spark.checkpoint.dir names.
+
+    Where that is unset, a local session takes a folder of its own; elsewhere executors couldn't read
+    one, so it has to be set. What an application leaves there can be removed when it has ended.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='fluvia-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"file://{_own_folder()}"
+    return f"{path.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back: cuts lineage."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(ship(df.sparkSession))}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
