@@ -1,8 +1,10 @@
 """Suffix-array dedup with a run-length index: remove long byte strings that an earlier document holds.
 
 Equal strings of WIDTH bytes have the same anchor, the leftmost k-gram with the smallest hash in them.
-Each document is cut into segments, runs of neighbouring windows with one anchor, and a segment goes
-to the bucket of its anchor's hash, so that equal windows always meet, whatever documents hold them.
+Documents are dealt out in chunks. A chunk first asks, by hash, which of its anchors any other document
+has; only runs of neighbouring windows of such anchors (segments) are sent on, to the bucket of the
+anchor's hash, so that equal windows always meet, whatever documents hold them.
+
 A bucket puts equal segments together. Of the different segments of an anchor the first holders' are
 indexed, in rounds: a run-compressed Burrows-Wheeler transform of them with samples of the suffix array
 at the ends of its runs. All segments of the round's anchors stream through it backwards, and their
@@ -11,7 +13,7 @@ segment holds, with the smallest doc_id among the rows that agree. Segments with
 the next round. Hashes only route, and spare windows that no other segment holds; what removes a byte is
 a match of WIDTH bytes in the index.
 
-Copies of a segment inside a task are settled there, so a hot passage sends one segment per task.
+Copies of a segment inside a chunk are settled there, so a hot passage sends one segment per chunk.
 Every lost segment gives one row, and buckets grow in number with the text.
 """
 
@@ -24,12 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from fluvia.llm.common import map_texts, slices
+from fluvia.llm.common import map_texts
 
 #: Bytes of a string that counts as repeated, and of an anchor.
 WIDTH, ANCHOR = 50, 16
-#: Bytes of text a task cuts at a time, and bytes of text per bucket.
+#: Bytes of text of a chunk and of a bucket, on average.
 CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
 #: Bytes of segments in one index, those of one anchor in it, and bytes whose prefix sums are held at a time.
 INDEX_BYTES, LEADERS, HASHED_BYTES = 1 << 20, 1 << 12, 1 << 20
@@ -52,22 +56,34 @@ def _words(data: bytes | np.ndarray, n: int) -> np.ndarray:
     return np.ndarray((n,), "<u8", data, 0, (1,))
 
 
-def cut(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of a document: first window, number of windows, place of the anchor."""
-    n = len(data) - WIDTH + 1
-    if n <= 0:
-        return (np.zeros(0, np.int64),) * 3
-    w = _words(data, len(data) - 7)
-    h = _mix((w[:-8] * _A) ^ (w[8:] * _B))
-    at, span = np.arange(len(h), dtype=np.int32), 1
-    goal = WIDTH - ANCHOR + 1
-    while span < goal:  # the leftmost smallest of the next 1, 2, 4, ... places
-        step = min(span, goal - span)
-        right = h[step:] < h[:-step]
-        h, at = np.where(right, h[step:], h[:-step]), np.where(right, at[step:], at[:-step])
-        span += step
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return first, np.diff(first, append=n), at[first].astype(np.int64)
+def _anchor_hashes(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    w = _words(np.concatenate([data, np.zeros(8, np.uint8)]), len(data))
+    return _mix((w[place] * _A) ^ (w[place + 8] * _B))
+
+
+def cut(data: np.ndarray, base: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of documents that lie one after another: their document, first window, windows, place of the anchor."""
+    out = []
+    which = (base + sizes) // HASHED_BYTES
+    for docs in np.split(np.arange(len(base)), np.flatnonzero(np.diff(which)) + 1):
+        low, high = (int(base[docs[0]]), int(base[docs[-1]] + sizes[docs[-1]])) if len(docs) else (0, 0)
+        if high - low < WIDTH:
+            continue
+        w = _words(data[low:high], high - low - 7)
+        h = _mix((w[:-8] * _A) ^ (w[8:] * _B))
+        at, span, goal = np.arange(len(h), dtype=np.int32), 1, WIDTH - ANCHOR + 1
+        while span < goal:  # the leftmost smallest of the next 1, 2, 4, ... places
+            step = min(span, goal - span)
+            right = h[step:] < h[:-step]
+            h, at = np.where(right, h[step:], h[:-step]), np.where(right, at[step:], at[:-step])
+            span += step
+        # Windows that lie within a document; a segment ends with it.
+        windows = np.maximum(sizes[docs] - WIDTH + 1, 0)
+        place, owner = _spread(base[docs] - low, windows), np.repeat(docs, windows)
+        at = at[place]
+        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])])) if len(at) else place
+        out.append((owner[new], place[new] + low, np.diff(new, append=len(at)), at[new].astype(np.int64) + low))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
 
 def _prefix_hashes(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -315,18 +331,70 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
 _FOUND = "doc long, sig long, start int, stop int"
 
 
-def _cut_chunk(texts: list[tuple[int, int, bytes]], buckets: int):
-    """Rows of one chunk: settled spans by document, and for each bucket a blob of segments to settle."""
-    texts = sorted(texts, key=lambda x: x[:2])
+def _laid_out(texts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after another, where each begins, and their sizes."""
     sizes = np.array([len(t) for *_, t in texts], np.int64)
-    base = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(t for *_, t in texts), np.uint8)
-    parts = [cut(t) for *_, t in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(p[0]) for p in parts])
-    first, windows, anchor = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
-    if not len(first):
+    return np.frombuffer(b"".join(t for *_, t in texts), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def _split(order: np.ndarray, key: np.ndarray):
+    """(key, members) of each run of equal keys."""
+    if not len(key):
+        return []
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return zip(key[cuts].tolist(), np.split(order, cuts[1:]), strict=True)
+
+
+def _ask(texts: list[tuple[int, int, bytes]], buckets: int):
+    """For each bucket, hashes of a chunk's anchors as bytes; the lowest bit tells that two of its documents hold one."""
+    data, base, sizes = _laid_out(texts)
+    owner, _, _, anchor = cut(data, base, sizes)
+    doc = np.array([d for d, *_ in texts], np.int64)[owner]
+    h = _anchor_hashes(data, anchor) & ~_U(1)
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else order
+    last = np.append(cuts[1:], len(h))[: len(cuts)] - 1
+    h = h[cuts] | (doc[cuts] != doc[last]).astype(np.uint64)
+    bucket = ((h >> _U(8)) % _U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    for b, members in _split(order, bucket[order]):
+        yield b, h[members].tobytes()
+
+
+def _tell(chunks: list[int], blobs: list[bytes]):
+    """For each chunk, those of its anchors that another chunk has too or two of its documents."""
+    parts = [np.frombuffer(b, np.uint64) for b in blobs]
+    h = np.concatenate(parts)
+    chunk = np.repeat(np.array(chunks, np.int64), [len(p) for p in parts])
+    order = np.argsort(h, kind="stable")
+    h, chunk = h[order], chunk[order]
+    bare = h >> _U(1)
+    cuts = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]]))
+    count = np.diff(cuts, append=len(h))
+    shared = np.repeat((count > 1) | ((h[cuts + count - 1] & _U(1)) == 1), count)
+    h, chunk = h[shared] & ~_U(1), chunk[shared]
+    order = np.argsort(chunk, kind="stable")
+    for c, members in _split(order, chunk[order]):
+        yield c, h[members].tobytes()
+
+
+def _cut_chunk(texts: list[tuple[int, int, bytes]], buckets: int, shared: np.ndarray | None = None):
+    """Rows of one chunk: settled spans by document, and for each bucket a blob of segments to settle.
+
+    shared: sorted hashes of the anchors that matter; all by default.
+    """
+    texts = sorted(texts, key=lambda x: x[:2])
+    data, base, sizes = _laid_out(texts)
+    owner, start, windows, anchor = cut(data, base, sizes)
+    if shared is not None and len(start):
+        h = _anchor_hashes(data, anchor) & ~_U(1)
+        at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
+        known = shared[at] == h if len(shared) else np.zeros(len(h), bool)
+        owner, start, windows, anchor = owner[known], start[known], windows[known], anchor[known]
+    if not len(start):
         return
-    start, size = first + base[owner], windows + WIDTH - 1
+    first, size = start - base[owner], windows + WIDTH - 1
     one, two = _segment_hashes(data, start, size)
     doc = np.array([d for d, *_ in texts], np.int64)[owner]
     sig = np.array([s for _, s, _ in texts], np.int64)[owner]
@@ -341,20 +409,13 @@ def _cut_chunk(texts: list[tuple[int, int, bytes]], buckets: int):
         for row in zip(*(x.tolist() for x in _by_document(doc[done], sig[done], first[done], (first + size)[done])), strict=True):
             yield row[0] % buckets, *row, None
     keep = np.flatnonzero(~done)
-    w = _words(np.concatenate([data, np.zeros(8, np.uint8)]), len(data))
-    place = anchor + base[owner]
-    h = _mix((w[place[keep]] * _A) ^ (w[place[keep] + 8] * _B))
-    bucket = ((h >> _U(8)) % _U(buckets)).astype(np.int64)
+    bucket = ((_anchor_hashes(data, anchor[keep]) >> _U(8)) % _U(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
-    keep, bucket = keep[by], bucket[by]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    for a, b in zip(cuts, np.append(cuts[1:], len(keep)), strict=True):
-        k = keep[a:b]
+    for b, k in _split(keep[by], bucket[by]):
         # Documents by number, with a table of those that occur: both compress well.
         here, number = np.unique(owner[k], return_inverse=True)
         ids, sigs = np.array([texts[i][0] for i in here], np.int64), np.array([texts[i][1] for i in here], np.int64)
-        blob = _pack(ids, sigs, number, first[k], windows[k], anchor[k] - first[k], data[_spread(start[k], size[k])])
-        yield int(bucket[a]), None, None, None, None, blob
+        yield b, None, None, None, None, _pack(ids, sigs, number, first[k], windows[k], anchor[k] - start[k], data[_spread(start[k], size[k])])
 
 
 def _match_windows(data, start, size, anchor, least, bounds, window_least) -> None:
@@ -412,8 +473,7 @@ def _settle(tables: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     data = np.concatenate(parts)
     size = windows + WIDTH - 1
     start = np.cumsum(size) - size
-    w = _words(np.concatenate([data, np.zeros(8, np.uint8)]), len(data))
-    h = _mix((w[start + offset] * _A) ^ (w[start + offset + 8] * _B))
+    h = _anchor_hashes(data, start + offset)
     order = np.argsort(h, kind="stable")
     cuts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
     group = np.repeat(np.arange(len(cuts)), np.diff(cuts, append=len(order)))
@@ -446,47 +506,48 @@ def _settle(tables: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return doc[record[new]], sig[record[new]], begin[new], begin[last] + WIDTH
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, sig, start, stop): spans of bytes of documents covered by strings that a smaller doc_id holds.
+def _chunk(doc: str, sig: str, chunks: int):
+    return F.pmod(F.xxhash64(F.col(doc).cast("long"), sig), F.lit(chunks))
 
-    docs: doc_id, sig (a number that tells texts of one doc_id apart) and text. A document may have
-    several rows; its spans are those of all of them together.
-    """
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = max(8, math.ceil(total / BUCKET_BYTES))
-    schema = f"part long, {_FOUND}, blob binary"
+
+def _texts(table: pa.Table) -> list[tuple[int, int, bytes]]:
+    """Number, signature and bytes of a chunk's documents that can hold a string of WIDTH bytes."""
+    rows = zip(*(table[c].to_pylist() for c in ("doc_id", "sig_", "packed_", "size_")), strict=True)
+    return [(d, s, pa.decompress(t, n, "zstd", asbytes=True)) for d, s, t, n in rows if d is not None and (n or 0) >= WIDTH]
+
+
+def _repeated_spans(packed: DataFrame, chunks: int, buckets: int) -> DataFrame:
+    """(doc, sig, start, stop): spans of bytes of documents covered by strings that a smaller doc_id holds."""
     columns = ("part", pa.int64()), ("doc", pa.int64()), ("sig", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("blob", pa.binary())
 
-    def run(batches):
-        chunk, held = [], 0
-
-        def rows():
-            out = list(_cut_chunk(chunk, buckets))
-            for i in range(0, len(out), 256):
-                arrays = [pa.array(v, t) for v, (_, t) in zip(zip(*out[i : i + 256], strict=True), columns, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, [n for n, _ in columns])
-
-        for batch in slices(batches):
-            for doc, sig, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                data = text.encode()
-                chunk.append((doc, sig, data))
-                held += len(data)
-                if held >= CHUNK_BYTES:
-                    yield from rows()
-                    chunk, held = [], 0
-        if chunk:
-            yield from rows()
+    def made(rows: list[tuple], named) -> pa.Table:
+        values = zip(*rows, strict=True) if rows else [[]] * len(named)
+        return pa.table([pa.array(v, t) for v, (_, t) in zip(values, named, strict=True)], [n for n, _ in named])
+
+    def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = [(b, key[0].as_py(), h) for b, h in _ask(_texts(table), buckets)]
+        return made(rows, (("bucket", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary())))
+
+    def tell(table: pa.Table) -> pa.Table:
+        rows = list(_tell(table["chunk"].to_pylist(), table["hashes"].to_pylist()))
+        return made(rows, (("chunk", pa.int64()), ("hashes", pa.binary())))
+
+    def send(table: pa.Table, told: pa.Table) -> pa.Table:
+        shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for h in told["hashes"].to_pylist())]))
+        return made(list(_cut_chunk(_texts(table), buckets, shared)) if len(shared) else [], columns)
 
     def settle(table: pa.Table) -> pa.Table:
         given = table.filter(pa.compute.is_valid(table["doc"])).select(["doc", "sig", "start", "stop"])
         tables = [b for b in table["blob"].to_pylist() if b is not None]
         if not tables:
             return given
-        made = [pa.array(v, t) for v, (_, t) in zip(_settle(tables), columns[1:5], strict=True)]
-        return pa.concat_tables([given, pa.table(made, ["doc", "sig", "start", "stop"]).cast(given.schema)])
+        found = [pa.array(v, t) for v, (_, t) in zip(_settle(tables), columns[1:5], strict=True)]
+        return pa.concat_tables([given, pa.table(found, ["doc", "sig", "start", "stop"]).cast(given.schema)])
 
-    usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WIDTH)).select(F.col("doc_id").cast("long"), "sig", "text")
-    return usable.mapInArrow(run, schema).groupBy("part").applyInArrow(settle, _FOUND)
+    asked = packed.groupBy("chunk_").applyInArrow(ask, "bucket long, chunk long, hashes binary")
+    told = asked.groupBy("bucket").applyInArrow(tell, "chunk long, hashes binary")
+    sent = packed.groupBy("chunk_").cogroup(told.groupBy("chunk")).applyInArrow(send, f"part long, {_FOUND}, blob binary")
+    return sent.groupBy("part").applyInArrow(settle, _FOUND)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -496,25 +557,31 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     smaller doc_id; strings are judged on the input. spans are the maximal removed runs, in bytes of
     the text's UTF-8; kept is the rest, which may cut characters. Null text counts as empty. A null
     doc_id is smaller than none and larger than none. Rows that repeat a doc_id are parts of one
-    document and never evidence against each other. A very long text is cut by itself, in memory
-    proportional to its length. An empty table gives an empty table.
+    document and never evidence against each other; rows of one text and doc_id share a chunk. A very
+    long text is held whole by its chunk's task. An empty table gives an empty table.
     """
-    signed = docs.withColumn("sig_", F.xxhash64("text"))
-    found = repeated_spans(signed.select("doc_id", F.col("sig_").alias("sig"), "text"))
-    # A document's rows here number at most its segments; the list is bounded by its length.
-    spans = found.groupBy("doc", "sig").agg(F.collect_list(F.struct("start", "stop")).alias("spans_")).toDF("span_doc_", "span_sig_", "spans_")
-    # Texts travel compressed to their spans.
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    chunks, buckets = max(1, math.ceil(total / CHUNK_BYTES)), max(8, math.ceil(total / BUCKET_BYTES))
+    signed = docs.withColumn("sig_", F.xxhash64("text")).withColumn("chunk_", _chunk("doc_id", "sig_", chunks))
+    # Texts travel compressed, once: all that reads chunks reads the same exchange.
     packed = map_texts(signed, lambda: lambda texts: [[None if t is None else pa.compress(t.encode(), "zstd", asbytes=True) for t in texts], [None if t is None else len(t.encode()) for t in texts]], "packed_ binary, size_ int", drop=("text",))
-    joined = packed.join(spans, (packed["doc_id"] == spans["span_doc_"]) & (packed["sig_"] == spans["span_sig_"]), "left").drop("span_doc_", "span_sig_", "sig_")
-
-    def work(texts, sizes, found):
-        kept, spans = [], []
-        for t, n, given in zip(texts, sizes, found, strict=True):
+    found = _repeated_spans(packed, chunks, buckets).withColumn("chunk", _chunk("doc", "sig", chunks))
+    kept = [f for f in docs.schema.fields if f.name not in ("text", "kept", "n_bytes", "spans")]
+    schema = T.StructType([*kept, *T._parse_datatype_string("kept binary, n_bytes long, spans array<struct<start:long,stop:long>>").fields])
+    added = to_arrow_schema(T.StructType(schema.fields[len(kept) :]))
+
+    def finish(table: pa.Table, lost: pa.Table) -> pa.Table:
+        doc, sig, start, stop = (lost[c].to_numpy() for c in ("doc", "sig", "start", "stop"))
+        spans = {}
+        for d, s, a, b in zip(*(x.tolist() for x in _by_document(doc, sig, start.astype(np.int64), stop.astype(np.int64))), strict=True):
+            spans.setdefault((d, s), []).append((a, b))
+        rows = []
+        for d, s, t, n in zip(*(table[c].to_pylist() for c in ("doc_id", "sig_", "packed_", "size_")), strict=True):
             data = b"" if t is None else pa.decompress(t, n, "zstd", asbytes=True)
-            a, b = _join_spans(*np.array([(x["start"], x["stop"]) for x in given or ()], np.int64).reshape(-1, 2).T)
-            edges = [0, *np.stack([a, b], 1).reshape(-1).tolist(), len(data)]
-            kept.append(b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
-            spans.append([{"start": i, "stop": j} for i, j in zip(a.tolist(), b.tolist(), strict=True)])
-        return kept, [n or 0 for n in sizes], spans
+            gone = spans.get((d, s), [])
+            edges = [0, *(x for span in gone for x in span), len(data)]
+            rows.append((b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)), n or 0, [{"start": i, "stop": j} for i, j in gone]))
+        arrays = [pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, added, strict=True)]
+        return pa.table([*(table[f.name] for f in kept), *arrays], [f.name for f in schema.fields])
 
-    return map_texts(joined, lambda: work, "kept binary, n_bytes long, spans array<struct<start:long,stop:long>>", text="packed_", extra=("size_", "spans_"), drop=("packed_", "size_", "spans_"))
+    return packed.groupBy("chunk_").cogroup(found.groupBy("chunk")).applyInArrow(finish, schema)
