@@ -13,8 +13,9 @@ segment holds, with the smallest doc_id among the rows that agree. Segments with
 the next round. Hashes only route, and spare windows that no other segment holds; what removes a byte is
 a match of WIDTH bytes in the index.
 
-Copies of a segment inside a chunk are settled there, so a hot passage sends one segment per chunk.
-Every lost segment gives one row, and buckets grow in number with the text.
+Copies of a segment inside a chunk are settled there, so a hot passage sends one segment per chunk. An
+anchor of very many chunks would fill a bucket with what stands around it: its windows go one by one to
+the buckets of their own hashes. Every lost segment gives one row, and buckets grow in number with the text.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ WIDTH, ANCHOR = 50, 16
 CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
 #: Bytes of segments in one index, those of one anchor in it, and bytes whose prefix sums are held at a time.
 INDEX_BYTES, LEADERS, HASHED_BYTES = 1 << 20, 1 << 12, 1 << 20
+#: Chunks from which on an anchor's windows are sent one by one, each to the bucket of its own hash.
+HOT_CHUNKS = 256
 #: Compression of what is shuffled.
 LEVEL = 3
 
@@ -362,8 +365,11 @@ def _ask(texts: list[tuple[int, int, bytes]], buckets: int):
         yield b, h[members].tobytes()
 
 
-def _tell(chunks: list[int], blobs: list[bytes]):
-    """For each chunk, those of its anchors that another chunk has too or two of its documents."""
+def _tell(chunks: list[int], blobs: list[bytes], hot: int = HOT_CHUNKS):
+    """For each chunk, those of its anchors that another chunk has too or two of its documents.
+
+    The lowest bit of an anchor's hash now tells that many chunks have it.
+    """
     parts = [np.frombuffer(b, np.uint64) for b in blobs]
     h = np.concatenate(parts)
     chunk = np.repeat(np.array(chunks, np.int64), [len(p) for p in parts])
@@ -373,7 +379,7 @@ def _tell(chunks: list[int], blobs: list[bytes]):
     cuts = np.flatnonzero(np.concatenate([[True], bare[1:] != bare[:-1]]))
     count = np.diff(cuts, append=len(h))
     shared = np.repeat((count > 1) | ((h[cuts + count - 1] & _U(1)) == 1), count)
-    h, chunk = h[shared] & ~_U(1), chunk[shared]
+    h, chunk = (h & ~_U(1) | np.repeat(count >= hot, count).astype(np.uint64))[shared], chunk[shared]
     order = np.argsort(chunk, kind="stable")
     for c, members in _split(order, chunk[order]):
         yield c, h[members].tobytes()
@@ -382,18 +388,24 @@ def _tell(chunks: list[int], blobs: list[bytes]):
 def _cut_chunk(texts: list[tuple[int, int, bytes]], buckets: int, shared: np.ndarray | None = None):
     """Rows of one chunk: settled spans by document, and for each bucket a blob of segments to settle.
 
-    shared: sorted hashes of the anchors that matter; all by default.
+    shared: sorted hashes of the anchors that matter, the lowest bit set for hot ones; all by default, none hot.
     """
     texts = sorted(texts, key=lambda x: x[:2])
     data, base, sizes = _laid_out(texts)
     owner, start, windows, anchor = cut(data, base, sizes)
+    hot = np.zeros(len(start), bool)
     if shared is not None and len(start):
-        h = _anchor_hashes(data, anchor) & ~_U(1)
-        at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
-        known = shared[at] == h if len(shared) else np.zeros(len(h), bool)
-        owner, start, windows, anchor = owner[known], start[known], windows[known], anchor[known]
+        bare, h = shared & ~_U(1), _anchor_hashes(data, anchor) & ~_U(1)
+        at = np.minimum(np.searchsorted(bare, h), max(0, len(bare) - 1))
+        known = bare[at] == h if len(bare) else hot
+        owner, start, windows, anchor, at = owner[known], start[known], windows[known], anchor[known], at[known]
+        hot = (shared[at] & _U(1)) == 1
     if not len(start):
         return
+    if hot.any():  # each of their windows becomes a segment
+        times = np.where(hot, windows, 1)
+        start, hot = _spread(start, times), np.repeat(hot, times)
+        owner, anchor, windows = np.repeat(owner, times), np.repeat(anchor, times), np.where(hot, 1, np.repeat(windows, times))
     first, size = start - base[owner], windows + WIDTH - 1
     one, two = _segment_hashes(data, start, size)
     doc = np.array([d for d, *_ in texts], np.int64)[owner]
@@ -409,7 +421,7 @@ def _cut_chunk(texts: list[tuple[int, int, bytes]], buckets: int, shared: np.nda
         for row in zip(*(x.tolist() for x in _by_document(doc[done], sig[done], first[done], (first + size)[done])), strict=True):
             yield row[0] % buckets, *row, None
     keep = np.flatnonzero(~done)
-    bucket = ((_anchor_hashes(data, anchor[keep]) >> _U(8)) % _U(buckets)).astype(np.int64)
+    bucket = ((np.where(hot[keep], one[keep], _anchor_hashes(data, anchor[keep])) >> _U(8)) % _U(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     for b, k in _split(keep[by], bucket[by]):
         # Documents by number, with a table of those that occur: both compress well.
@@ -518,6 +530,7 @@ def _texts(table: pa.Table) -> list[tuple[int, int, bytes]]:
 
 def _repeated_spans(packed: DataFrame, chunks: int, buckets: int) -> DataFrame:
     """(doc, sig, start, stop): spans of bytes of documents covered by strings that a smaller doc_id holds."""
+    hot = HOT_CHUNKS
     columns = ("part", pa.int64()), ("doc", pa.int64()), ("sig", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("blob", pa.binary())
 
     def made(rows: list[tuple], named) -> pa.Table:
@@ -529,7 +542,7 @@ def _repeated_spans(packed: DataFrame, chunks: int, buckets: int) -> DataFrame:
         return made(rows, (("bucket", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary())))
 
     def tell(table: pa.Table) -> pa.Table:
-        rows = list(_tell(table["chunk"].to_pylist(), table["hashes"].to_pylist()))
+        rows = list(_tell(table["chunk"].to_pylist(), table["hashes"].to_pylist(), hot))
         return made(rows, (("chunk", pa.int64()), ("hashes", pa.binary())))
 
     def send(table: pa.Table, told: pa.Table) -> pa.Table:

@@ -122,3 +122,16 @@ def test_other_columns_stay(awkward):
     out = suffix_dedup.remove_repeats(awkward)
     assert set(out.columns) == set(awkward.columns) - {"text"} | {"kept", "n_bytes", "spans"}
     assert out.where(F.col("lang") == "keep").count() == awkward.count()
+
+
+def test_hot_anchors_are_split(spark, sample, monkeypatch):
+    """As if every anchor were that of very many chunks, in small chunks and buckets."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 1 << 16)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 1 << 15)
+    monkeypatch.setattr(suffix_dedup, "HOT_CHUNKS", 2)
+    df = sample.where("length(text) < 20000")
+    assert result(df) == brute(pairs(df))
+    texts = [(i, 0, t.encode()) for i, t in pairs(df)]
+    asked = [(b, i % 3, h) for i in range(3) for b, h in suffix_dedup._ask(texts[i::3], 1)]
+    told = list(suffix_dedup._tell([c for _, c, _ in asked], [h for *_, h in asked], 2))
+    assert any((np.frombuffer(h, np.uint64) & np.uint64(1)).any() for _, h in told)
