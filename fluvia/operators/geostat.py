@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvia.functions.variogram import format_model, gamma_array
-from fluvia.operators.spatial import station_pairs, tiled_pairs
+from fluvia.functions.variogram import format_model, gamma_array, parse
+from fluvia.operators.select import clamp_field
+from fluvia.operators.spatial import station_pairs
 
 Model = list[tuple[float, str, float]]
 
@@ -81,36 +82,51 @@ def fit_models(bins: DataFrame, by: str, kinds: tuple[str, ...] = ("Sph", "Exp",
     return bins.select(by, "dist", "classic", "n").groupBy(by).applyInPandas(fit, f"{by} {key}, model string, objective double, aic double")
 
 
-#: Targets whose right-hand sides are held at a time.
-TARGETS = 512
+#: Targets whose right-hand sides are held at a time, and numbers of stacked systems.
+TARGETS, STACKED = 512, 1 << 21
 
 
-def _solve(kind: str, model: Model, x, y, z, drift, x0, y0, d0, sill, limit) -> tuple[float, float, float, str]:
-    """Estimate, variance, sum of weights and status at one target."""
-    n = len(z)
-    between = gamma_array(np.hypot(x[:, None] - x, y[:, None] - y), model)
-    across = gamma_array(np.hypot(x - x0, y - y0), model)
+def _sides(kind: str, drift: np.ndarray) -> np.ndarray:
+    """What weights have to meet besides: nothing, a sum of one, or that and the drifts; one row each, stacks in front."""
     if kind == "simple":
-        left, right = sill - between, sill - across
-    else:
-        sides = [np.ones(n)] + ([drift] if kind == "drift" else [])
-        m = len(sides)
-        left = np.zeros((n + m, n + m))
-        left[:n, :n] = between
-        for i, s in enumerate(sides):
-            left[n + i, :n] = left[:n, n + i] = s
-        right = np.concatenate([across, [1.0], *([[d0]] if kind == "drift" else [])])
+        return np.zeros((*drift.shape[:-2], 0, drift.shape[-2]))
+    ones = np.ones((*drift.shape[:-2], 1, drift.shape[-2]))
+    return np.concatenate([ones, np.swapaxes(drift, -1, -2)], -2) if kind == "drift" else ones
+
+
+def _systems(kind: str, model: Model, x, y, z, drift, x0, y0, d0, sill: float, limit: float) -> list[tuple[float, float, float, str]]:
+    """Estimate, variance, sum of weights and status at each target; x, y, z: (targets, points), drift: (targets, points, drifts)."""
+    t, n = z.shape
+    between = gamma_array(np.hypot(x[:, :, None] - x[:, None], y[:, :, None] - y[:, None]), model)
+    across = gamma_array(np.hypot(x - x0[:, None], y - y0[:, None]), model)
+    sides = _sides(kind, drift)
+    m = sides.shape[1]
+    left, right = np.zeros((t, n + m, n + m)), np.zeros((t, n + m))
+    left[:, :n, :n] = sill - between if kind == "simple" else between
+    left[:, n:, :n], left[:, :n, n:] = sides, np.swapaxes(sides, 1, 2)
+    right[:, :n] = sill - across if kind == "simple" else across
+    right[:, n : n + 1] = 1.0
+    right[:, n + 1 :] = d0 if m > 1 else 0
     try:
-        w = np.linalg.solve(left, right)
+        w = np.linalg.solve(left, right[..., None])[..., 0]
     except np.linalg.LinAlgError:
-        return np.nan, np.nan, np.nan, "singular"
-    lam = w[:n]
+        if t == 1:
+            return [(np.nan, np.nan, np.nan, "singular")]
+        return [row for i in range(t) for row in _systems(kind, model, *(v[i : i + 1] for v in (x, y, z, drift, x0, y0, d0)), sill, limit)]
+    lam = w[:, :n]
     if kind == "indicator":
-        p = max(0.0, float(lam[z <= limit].sum()))
-        return p, p * (1 - p), float(lam.sum()), "ok"
-    value = float(lam @ z)
-    variance = float(sill - lam @ right) if kind == "simple" else float(w @ right)
-    return value, max(0.0, variance), float(lam.sum()), "ok"
+        value = np.maximum(0.0, np.where(z <= limit, lam, 0.0).sum(1))
+        variance = value * (1 - value)
+    else:
+        value = (lam * z).sum(1)
+        variance = np.maximum(0.0, sill - (lam * right[:, :n]).sum(1) if kind == "simple" else (w * right).sum(1))
+    return [(*row, "ok") for row in zip(value.tolist(), variance.tolist(), lam.sum(1).tolist(), strict=True)]
+
+
+def _solve(kind: str, model: Model, x, y, z, drift, x0, y0, d0, sill, limit) -> tuple[float, float, float, str]:
+    """_systems at one target from points given as plain arrays; drift and d0: one drift or rows of them."""
+    one = np.asarray(drift, float).reshape(1, len(z), -1)
+    return _systems(kind, model, *(np.asarray(v, float)[None] for v in (x, y, z)), one, np.array([x0]), np.array([y0]), np.asarray(d0, float).reshape(1, -1), sill, limit)[0]
 
 
 def krige(neighbours: DataFrame, model: Model, kind: str = "ordinary", sill: float | None = None, limit: float = 0.0) -> DataFrame:
@@ -118,7 +134,7 @@ def krige(neighbours: DataFrame, model: Model, kind: str = "ordinary", sill: flo
 
     neighbours: one row per target with x, y, drift and near array<struct<x, y, value, drift>>; other
     columns stay. Adds estimate, variance, weights and status ('ok', 'singular' or 'empty').
-    Targets are spread over tasks and solved in Arrow batches; a target's system has the size of its list.
+    Targets are spread over tasks; those of a batch with lists of equal length are solved together.
     """
     c0 = sum(s for s, _, _ in model) if sill is None else sill
     keep = [f for f in neighbours.schema.fields if f.name not in ("x", "y", "drift", "near")]
@@ -127,13 +143,15 @@ def krige(neighbours: DataFrame, model: Model, kind: str = "ordinary", sill: flo
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for near, x0, y0, d0 in zip(frame["near"], frame["x"], frame["y"], frame["drift"], strict=True):
-                if near is None or not len(near):
-                    rows.append((np.nan, np.nan, np.nan, "empty"))
-                    continue
-                x, y, z, d = np.array([(p["x"], p["y"], p["value"], p["drift"]) for p in near], float).T
-                rows.append(_solve(kind, model, x, y, z, d, x0, y0, d0, c0, limit))
+            rows = [(np.nan, np.nan, np.nan, "empty")] * len(frame)
+            sizes = np.array([0 if near is None else len(near) for near in frame["near"]])
+            x0, y0, d0 = (frame[c].to_numpy(float) for c in ("x", "y", "drift"))
+            for n in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == n)
+                for part in np.array_split(at, -(-len(at) * n * n // STACKED)):
+                    x, y, z, d = np.moveaxis(np.array([[(p["x"], p["y"], p["value"], p["drift"]) for p in frame["near"].iloc[i]] for i in part], float), 2, 0)
+                    for i, row in zip(part, _systems(kind, model, x, y, z, d[..., None], x0[part], y0[part], d0[part, None], c0, limit), strict=True):
+                        rows[i] = row
             out = frame[names].reset_index(drop=True)
             out[["estimate", "variance", "weights", "status"]] = pd.DataFrame(rows, columns=list("evws"))
             yield out
@@ -141,37 +159,56 @@ def krige(neighbours: DataFrame, model: Model, kind: str = "ordinary", sill: flo
     return neighbours.mapInPandas(run, schema)
 
 
+def _solve_nearest(kind: str, model: Model, x, y, z, drift, targets: np.ndarray, own: np.ndarray, k: int, sill, limit) -> list[tuple[float, float, float, str]]:
+    """_solve at each target (x, y, drifts) from its k nearest points but its own (an index, or -1), ties in their order."""
+    out = [(np.nan, np.nan, np.nan, "empty")] * len(targets)
+    for alone in (False, True):
+        some = np.flatnonzero((own >= 0) == alone)
+        n = min(k, len(z) - alone)
+        if n < 1:
+            continue
+        for part in np.array_split(some, max(1, -(-len(some) * max(len(z), n * n) // STACKED))):
+            d = np.hypot(targets[part, :1] - x, targets[part, 1:2] - y)
+            if alone:
+                d[np.arange(len(part)), own[part]] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, :n]
+            rows = _systems(kind, model, x[near], y[near], z[near], drift[near], targets[part, 0], targets[part, 1], targets[part, 2:], sill, limit)
+            for i, row in zip(part, rows, strict=True):
+                out[i] = row
+    return out
+
+
 def _solve_all(kind: str, model: Model, x, y, z, drift, targets: np.ndarray, own: np.ndarray, sill, limit) -> list[tuple[float, float, float, str]]:
-    """_solve at each target (x, y, drift) from all points but its own (an index, or -1).
+    """_solve at each target (x, y, drifts) from all points but its own (an index, or -1).
 
     All targets share one system, which is inverted once. To leave point i out, the i-th right-hand
     side is moved until the i-th weight is zero, which solves the system without row and column i.
     Where this can't be done, a target's system is solved by itself.
     """
     n, out = len(z), []
-    alone = lambda t: _solve(kind, model, *(v[np.arange(n) != own[t]] for v in (x, y, z, drift)), *targets[t], sill, limit)
+    alone = lambda t: _solve(kind, model, *(v[np.arange(n) != own[t]] for v in (x, y, z, drift)), *targets[t, :2], targets[t, 2:], sill, limit)
     if n < 2:
         return [(np.nan, np.nan, np.nan, "empty") if not n or own[t] >= 0 else alone(t) for t in range(len(targets))]
     between = gamma_array(np.hypot(x[:, None] - x, y[:, None] - y), model)
-    sides = [] if kind == "simple" else [np.ones(n), drift] if kind == "drift" else [np.ones(n)]
+    sides = _sides(kind, drift)
     m = len(sides)
     left = np.zeros((n + m, n + m))
     left[:n, :n] = sill - between if kind == "simple" else between
     del between
-    for i, s in enumerate(sides):
-        left[n + i, :n] = left[:n, n + i] = s
+    left[n:, :n], left[:n, n:] = sides, sides.T
     try:
         inverse = np.linalg.inv(left)
     except np.linalg.LinAlgError:
         return [alone(t) for t in range(len(targets))]
     pivots, least = np.diag(inverse), 1e-12 * np.abs(inverse[:n, :n]).max()
     for at in range(0, len(targets), TARGETS):
-        x0, y0, d0 = targets[at : at + TARGETS].T
+        x0, y0, *d0 = targets[at : at + TARGETS].T
         across = gamma_array(np.hypot(x[:, None] - x0, y[:, None] - y0), model)
         right = np.zeros((n + m, len(x0)))
         right[:n] = sill - across if kind == "simple" else across
         right[n : n + 1] = 1.0
-        right[n + 1 :] = d0
+        if m > 1:
+            right[n + 1 :] = d0
         w = inverse @ right
         i = own[at : at + TARGETS]
         t = np.nonzero(i >= 0)[0]
@@ -193,47 +230,67 @@ def _solve_all(kind: str, model: Model, x, y, z, drift, targets: np.ndarray, own
     return out
 
 
-def krige_all(targets: DataFrame, stations: DataFrame, obs: DataFrame, time: str, model: Model, kind: str = "ordinary", sill: float | None = None, limit: float = 0.0, itself: bool = False) -> DataFrame:
-    """krige() at each target and time from all stations that have a value at the time.
-
-    targets and stations: stn, x, y, z (the drift); a target's own station is left out unless itself
-    is set. Gives (stn, time, estimate, variance, weights, status) for every target at every time of
-    obs; where nobody else has a value the status is 'empty'. The work is spread over times: a task holds
-    the dense system of one time (a few times 8 bytes for the square of its stations) and its targets.
+def krige_all(
+    targets: DataFrame,
+    stations: DataFrame,
+    obs: DataFrame,
+    time: str,
+    model: Model | DataFrame,
+    kind: str = "ordinary",
+    sill: float | None = None,
+    limit: float = 0.0,
+    itself: bool = False,
+    k: int | None = None,
+    drifts: tuple[str, ...] = ("z",),
+) -> DataFrame:
+    """krige() at each target and time from all stations that have a value at the time, or the k nearest of them.
+
+    targets and stations: stn, x, y and the drifts; a target's own station is left out unless itself is
+    set. model: one for all times, or a table (time, model) of model texts. sill: of simple kriging; by
+    default the variance of the values of the time. Gives (stn, time, estimate, variance, weights, n,
+    status) for every target at every time of obs; n: stations used; status: 'ok', 'singular', 'empty' (nobody
+    else has a value) or 'no model'. The work is spread over times: a task holds the dense system of one
+    time (a few times 8 bytes for the square of its stations; with k, of k) and its targets.
     """
-    c0 = sum(s for s, _, _ in model) if sill is None else sill
-    place = [F.col(c).cast("double").alias(c) for c in ("x", "y", "z")]
-    at = targets.select("stn", *place).crossJoin(obs.select(F.col(time).alias("t_")).distinct()).select("stn", F.col("t_").alias(time), "x", "y", "z")
+    place = [F.col(c).cast("double").alias(c) for c in dict.fromkeys(("x", "y", *drifts))]
+    at = targets.select("stn", *place).crossJoin(F.broadcast(obs.select(F.col(time).alias("t_")).distinct())).withColumnRenamed("t_", time)
     values = obs.where("value is not null").select("stn", time, "value").join(stations.select("stn", *place), "stn")
+    if isinstance(model, DataFrame):
+        values = values.join(model.select(time, F.col("model").alias("model_")), time, "left")
+    else:
+        values = values.withColumn("model_", F.lit(format_model(model, None)))
     kinds = {"stn": targets.schema["stn"].dataType.simpleString(), time: obs.schema[time].dataType.simpleString()}
-    schema = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "estimate double, variance double, weights double, status string"])
+    schema = ", ".join([*(f"{c} {t}" for c, t in kinds.items()), "estimate double, variance double, weights double, n int, status string"])
 
     def solve(known: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         known = known.sort_values("stn")
-        x, y, z, d = (known[c].to_numpy(float) for c in ("x", "y", "value", "z"))
+        x, y, z = (known[c].to_numpy(float) for c in ("x", "y", "value"))
+        drift = known[list(drifts)].to_numpy(float)
         index = {} if itself else {s: i for i, s in enumerate(known["stn"])}
         own = np.array([index.get(s, -1) for s in wanted["stn"]], np.int64)
-        rows = _solve_all(kind, model, x, y, z, d, wanted[["x", "y", "z"]].to_numpy(float), own, c0, limit)
+        goal = wanted[["x", "y", *drifts]].to_numpy(float)
+        text = known["model_"].iloc[0] if len(known) else ""
+        used = np.minimum(len(z) - (own >= 0), k or len(z))
+        if text is None or text != text:
+            rows = [(np.nan, np.nan, np.nan, "no model")] * len(wanted)
+        elif not len(known):
+            rows = [(np.nan, np.nan, np.nan, "empty")] * len(wanted)
+        else:
+            c0 = sill if sill is not None else float(z.var()) if kind == "simple" else 0.0
+            rows = _solve_all(kind, parse(text), x, y, z, drift, goal, own, c0, limit) if k is None else _solve_nearest(kind, parse(text), x, y, z, drift, goal, own, k, c0, limit)
         out = wanted[["stn", time]].reset_index(drop=True)
-        out[["estimate", "variance", "weights", "status"]] = pd.DataFrame(rows, columns=list("evws"))
+        made = pd.DataFrame(rows, columns=list("evws"))
+        out["estimate"], out["variance"], out["weights"], out["n"], out["status"] = made["e"], made["v"], made["w"], used, made["s"]
         return out
 
     return values.groupBy(time).cogroup(at.groupBy(time)).applyInPandas(solve, schema)
 
 
-def with_neighbours(targets: DataFrame, stations: DataFrame, obs: DataFrame, time: str, k: int | None = None, reach: float | None = None, itself: bool = False) -> DataFrame:
-    """(stn, time, x, y, drift, near): the k nearest stations with a value at each time, ties to the smaller id.
+def krige_fields(targets: DataFrame, stations: DataFrame, obs: DataFrame, time: str, models: DataFrame, kind: str = "ordinary", low: float | str | None = "min_in", high: float | str | None = "max_in", **more) -> DataFrame:
+    """krige_all with a model of each time, its estimates held between low and high (see select.clamp_field).
 
-    By default all of them, at any distance, each target with a list of its own; krige_all does that with one system a time.
+    Times without a model, and targets that can't be solved, keep their status and have no estimate.
     """
-    left = targets.select(F.col("stn").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
-    right = stations.select(F.col("stn").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
-    pairs = tiled_pairs(left, right, reach)
-    pairs = pairs if itself else pairs.where("a <> b")
-    rows = pairs.join(obs.where("value is not null").select(F.col("stn").alias("b"), time, "value"), "b")
-    place = F.row_number().over(Window.partitionBy("a", time).orderBy("dist", "b"))
-    best = rows.withColumn("place", place)
-    best = best if k is None else best.where(F.col("place") <= k)
-    entry = F.struct("place", F.col("bx").alias("x"), F.col("by").alias("y"), "value", F.col("bz").alias("drift"))
-    grouped = best.groupBy(F.col("a").alias("stn"), time).agg(F.first("ax").alias("x"), F.first("ay").alias("y"), F.first("az").alias("drift"), F.sort_array(F.collect_list(entry)).alias("near"))
-    return grouped.withColumn("near", F.transform("near", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["value"].alias("value"), p["drift"].alias("drift"))))
+    made = krige_all(targets, stations, obs, time, models, kind, **more)
+    made = made.withColumn("value", F.nanvl("estimate", F.lit(None).cast("double"))).drop("estimate")
+    return clamp_field(made, obs.where("value is not null"), time, low, high).withColumnRenamed("value", "estimate")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,8 @@ def properties(cells: DataFrame) -> DataFrame:
     """One row: extent, numbers of rows, columns and values, least and largest value."""
     size = lambda k: (F.max(k) - F.min(k) + 1)
     return cells.agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("r").alias("r0"), F.max("r").alias("r1"), size("c").alias("cols"), size("r").alias("rows"), F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+def nearest_index(at: Column, first: float, size: float, low: int, high: int) -> Column:
+    """Index of the nearest of evenly spaced centres (that of index 0 at first), from low to high; ties to the smaller."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.ceil((at - first) / size - 0.5).cast("int")))

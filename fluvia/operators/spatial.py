@@ -7,10 +7,18 @@ the other. Without a reach every pair is asked for, so the two sides are crossed
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Fixed value: change of temperature with a metre of height.
+LAPSE = -0.0064
+
+
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 
@@ -35,11 +43,105 @@ def station_pairs(stations: DataFrame, reach: float | None = None) -> DataFrame:
 
 
 def nearest_stations(stations: DataFrame, k: int, reach: float | None = None) -> DataFrame:
-    """(a, b, dist, place): each station's k nearest others (within reach, if given), ties to the smaller id."""
-    pairs = station_pairs(stations, reach)
-    both = pairs.union(pairs.select("b", "a", "dist"))
-    place = F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))
-    return both.withColumn("place", place).where(F.col("place") <= k)
+    """(a, b, dist, place): each station's k nearest others (within reach, if given), ties to the smaller id.
+
+    Without a reach, rounds of doubling reaches find them: stations with k others in reach are done, the rest
+    look further, until the reach spans all. The driver only learns whether any are left.
+    """
+    left, right = stations.select(F.col("stn").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), stations.select(F.col("stn").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    span = stations.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    widest = 0.0 if not span["n"] else math.hypot(span["x1"] - span["x0"], span["y1"] - span["y0"])
+    now = reach or max(widest * math.sqrt((k + 1) / max(1, span["n"])), 1e-9)
+    place, found = F.row_number().over(Window.partitionBy("a").orderBy("dist", "b")), None
+    while True:
+        last = reach is not None or now >= widest
+        pairs = tiled_pairs(left, right, now).where("a <> b").select("a", "b", "dist").withColumn("place", place)
+        best = pairs.where(F.col("place") <= k)
+        if not last:
+            best = best.withColumn("n_", F.count(F.lit(1)).over(Window.partitionBy("a"))).where(F.col("n_") == k).drop("n_")
+        found = best if found is None else found.union(best)
+        if last:
+            return found
+        left = left.join(best.select("a").distinct(), "a", "left_anti")
+        if left.isEmpty():
+            return found
+        now *= 2
+
+
+def smallest_distance(stations: DataFrame) -> DataFrame:
+    """(dist): the smallest distance above zero between stations; null where there is none."""
+    places = stations.groupBy("x", "y").agg(F.min("stn").alias("stn"))
+    return nearest_stations(places, 1).agg(F.min("dist").alias("dist"))
+
+
+#: Targets whose distances are held at a time.
+TARGETS = 512
+
+
+def idw_all(targets: DataFrame, stations: DataFrame, obs: DataFrame, time: str, power: float, itself: bool = False, heights: float | None = None) -> DataFrame:
+    """(stn, time, value): inverse-distance mean at each target and time of all stations with a value then.
+
+    targets, stations: stn, x, y (and z); a target's own station is left out unless itself is set. Where
+    stations stand on the target, the mean of their values. heights: the power of a second interpolation, of
+    the heights of the same stations; the value is then corrected by LAPSE for the target's height
+    above that. A target with nobody else has null. A task holds the values of one time and TARGETS rows of distances.
+    """
+    columns = ["x", "y", "z"] if heights is not None else ["x", "y"]
+    place = [F.col(c).cast("double").alias(c) for c in columns]
+    wanted = targets.select("stn", *place).crossJoin(F.broadcast(obs.select(F.col(time).alias("t_")).distinct())).withColumnRenamed("t_", time)
+    known = obs.where("value is not null").select("stn", time, F.col("value").cast("double").alias("value")).join(stations.select("stn", *place), "stn")
+    kinds = {"stn": targets.schema["stn"].dataType.simpleString(), time: obs.schema[time].dataType.simpleString()}
+    schema = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "value double"])
+
+    def solve(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+        index = {} if itself else {s: i for i, s in enumerate(have["stn"])}
+        own = np.array([index.get(s, -1) for s in want["stn"]], np.int64)
+        x, y, v = (have[c].to_numpy(float) for c in ("x", "y", "value"))
+        values = [v] if heights is None else [v, have["z"].to_numpy(float)]
+        made = []
+        for at in range(0, len(want), TARGETS):
+            part = want.iloc[at : at + TARGETS]
+            d = np.hypot(part["x"].to_numpy(float)[:, None] - x, part["y"].to_numpy(float)[:, None] - y)
+            here = own[at : at + TARGETS]
+            some = np.flatnonzero(here >= 0)
+            out = []
+            for z, p in zip(values, (power, heights), strict=False):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    w = d**-p
+                w[some, here[some]] = 0.0
+                hit = np.isinf(w)
+                w[hit.any(1)] = 0.0
+                w[hit] = 1.0
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    out.append((w * z).sum(1) / w.sum(1))
+            made.append(out[0] if heights is None else out[0] + LAPSE * (part["z"].to_numpy(float) - out[1]))
+        out = want[["stn", time]].reset_index(drop=True)
+        out["value"] = np.concatenate(made) if made else np.zeros(0)
+        return out
+
+    rows = known.groupBy(time).cogroup(wanted.groupBy(time)).applyInPandas(solve, schema)
+    return rows.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+
+
+def idw_validate(stations: DataFrame, obs: DataFrame, roles: DataFrame, time: str, power: float) -> DataFrame:
+    """(stn, time, value, estimate) of validation stations from control stations alone.
+
+    roles: stn, time, role ('ctrl' or 'valid'). Times that lack either are skipped.
+    """
+    given = obs.join(roles, ["stn", time])
+    both = given.groupBy(time).agg(F.count_if(F.col("role") == "ctrl").alias("c_"), F.count_if(F.col("role") == "valid").alias("v_")).where("c_ > 0 and v_ > 0").select(time)
+    given = given.join(both, time, "left_semi")
+    made = idw_all(stations, stations, given.where("role = 'ctrl'").select("stn", time, "value"), time, power).withColumnRenamed("value", "estimate")
+    return given.where("role = 'valid'").select("stn", time, "value").join(made, ["stn", time])
+
+
+def mesh(points: DataFrame, cell: float, margin: int = 2) -> DataFrame:
+    """(r, c, x, y): centres of square cells over the envelope of points and margin cells around it, rows from the top."""
+    box = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    low, high = (lambda c: F.floor(F.col(c) / cell) - margin), (lambda c: F.floor(F.col(c) / cell) + margin)
+    rows = box.select(F.explode(F.sequence(low("y0"), high("y1"))).alias("j"), F.col("x0"), F.col("x1"), high("y1").alias("top"))
+    cells = rows.select("j", "top", F.explode(F.sequence(low("x0"), high("x1"))).alias("i"), low("x0").alias("left"))
+    return cells.select((F.col("top") - F.col("j")).cast("int").alias("r"), (F.col("i") - F.col("left")).cast("int").alias("c"), ((F.col("i") + 0.5) * cell).alias("x"), ((F.col("j") + 0.5) * cell).alias("y"))
 
 
 def idw(rows: DataFrame, by: list[str], power: float) -> DataFrame:

@@ -10,12 +10,13 @@ from fluvia.functions import variogram
 from fluvia.operators import geostat, raster, spatial
 from fluvia.plans.registry import query, r6
 
-#: The reach that the SQL of these queries sets; queries without SQL and the operators' defaults have none.
+#: Largest distance of the pairs of an empirical variogram: its cut. Nothing else has a reach.
 REACH = 250.0
 MODEL = "2.0 Nug(0) + 8.0 Sph(300) + 3.0 Exp(120)"
 _D = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))"
 _PAIRS = f"pr AS (SELECT a.stn AS a, b.stn AS b, {_D} AS dist, a.z AS az, b.z AS bz FROM stations a JOIN stations b ON a.stn<b.stn WHERE {_D}<=25e1)"
-_BOTH = f"{_PAIRS}, bo AS (SELECT a, b, dist FROM pr UNION ALL SELECT b, a, dist FROM pr)"
+_EVERY = f"pr AS (SELECT a.stn AS a, b.stn AS b, {_D} AS dist FROM stations a JOIN stations b ON a.stn<b.stn)"
+_BOTH = f"{_EVERY}, bo AS (SELECT a, b, dist FROM pr UNION ALL SELECT b, a, dist FROM pr)"
 _VP = f"{_PAIRS}, vp AS (SELECT pr.*, va.m, va.value AS va, vb.value AS vb FROM pr JOIN obs_month va ON va.stn=pr.a JOIN obs_month vb ON vb.stn=pr.b AND vb.m=va.m)"
 _BINNED = "round(avg(dist),6) AS dist, round(sum((va-vb)*(va-vb))/(2*count(*)),6) AS classic, round(pow(sum(sqrt(abs(va-vb)))/count(*),4)/(457e-3+494e-3/count(*))/2,6) AS robust, count(*) AS n"
 
@@ -24,29 +25,26 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapt.stations(spark, sf_dir)
 
 
-@query("stations", f"{_PAIRS} SELECT a, b, round(dist,6) AS dist FROM pr")
+@query("stations", f"{_EVERY} SELECT a, b, round(dist,6) AS dist FROM pr")
 def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.station_pairs(stations(spark, sf_dir), REACH).withColumn("dist", r6("dist"))
+    return spatial.station_pairs(stations(spark, sf_dir)).withColumn("dist", r6("dist"))
 
 
 @query("stations", f"{_BOTH}, p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) AS place FROM bo) SELECT a, b, round(dist,6) AS dist, place FROM p WHERE place<=5")
 def knn_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.nearest_stations(stations(spark, sf_dir), 5, REACH).withColumn("dist", r6("dist"))
+    return spatial.nearest_stations(stations(spark, sf_dir), 5).withColumn("dist", r6("dist"))
 
 
-@query("stations", f"{_PAIRS} SELECT round(99e-2*sqrt(min(dist)*min(dist)/2),6) AS cell_size FROM pr WHERE dist>0")
+@query("stations", f"{_EVERY} SELECT round(99e-2*sqrt(min(dist)*min(dist)/2),6) AS cell_size FROM pr WHERE dist>0")
 def cell_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.min("dist")
-    return spatial.station_pairs(stations(spark, sf_dir), REACH).where("dist > 0").agg(r6(0.99 * F.sqrt(d * d / 2)).alias("cell_size"))
+    d = F.col("dist")
+    return spatial.smallest_distance(stations(spark, sf_dir)).select(r6(0.99 * F.sqrt(d * d / 2)).alias("cell_size"))
 
 
 @query("stations cells", "ax AS (SELECT DISTINCT c, c*20e0+10 AS x FROM cells), ay AS (SELECT DISTINCT r, r*20e0+10 AS y FROM cells) SELECT s.stn, (SELECT arg_min(c, (abs(ax.x-s.x), c)) FROM ax) AS c, (SELECT arg_min(r, (abs(ay.y-s.y), r)) FROM ay) AS r FROM stations s")
 def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = adapt.cells(spark, sf_dir)
-    # The two axes of a regular grid: one array each, of the grid's width and height.
-    axes = cells.agg(F.array_sort(F.collect_set("c")).alias("cs"), F.array_sort(F.collect_set("r")).alias("rs"))
-    near = lambda axis, p: F.array_min(F.transform(axis, lambda k: F.struct(F.abs(k * 20.0 + 10 - p).alias("d"), k.alias("k"))))["k"]
-    return stations(spark, sf_dir).join(F.broadcast(axes), how="cross").select("stn", near("cs", F.col("x")).alias("c"), near("rs", F.col("y")).alias("r"))
+    edges = adapt.cells(spark, sf_dir).agg(F.min("c"), F.max("c"), F.min("r"), F.max("r")).first()
+    return stations(spark, sf_dir).select("stn", raster.nearest_index(F.col("x"), 10.0, 20.0, edges[0], edges[1]).alias("c"), raster.nearest_index(F.col("y"), 10.0, 20.0, edges[2], edges[3]).alias("r"))
 
 
 def month_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,22 +92,26 @@ def variogram_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geostat.fit_models(bins, "m")
 
 
+_RAW = "coalesce(avg(value) FILTER (WHERE dist=0), sum(value/(dist*dist)) FILTER (WHERE dist>0)/sum(1/(dist*dist)) FILTER (WHERE dist>0))"
 _IDW = "round(coalesce(avg(value) FILTER (WHERE dist=0), sum(value/(dist*dist)) FILTER (WHERE dist>0)/sum(1/(dist*dist)) FILTER (WHERE dist>0)),6)"
 
 
+def idw_rows(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    s = stations(spark, sf_dir)
+    return spatial.idw_all(s, s, adapt.obs_month(spark, sf_dir), "m", 2, **more).where("value is not null")
+
+
 @query("stations obs_month", f"{_BOTH} SELECT bo.a AS stn, o.m, {_IDW} AS value FROM bo JOIN obs_month o ON o.stn=bo.b GROUP BY bo.a, o.m")
 def idw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spatial.station_pairs(stations(spark, sf_dir), REACH)
-    both = pairs.union(pairs.select("b", "a", "dist")).toDF("target", "stn", "dist")
-    rows = both.join(adapt.obs_month(spark, sf_dir), "stn")
-    return spatial.idw(rows, ["target", "m"], 2).select(F.col("target").alias("stn"), "m", r6("value").alias("value"))
+    return idw_rows(spark, sf_dir).select("stn", "m", r6("value").alias("value"))
 
 
-@query("stations cells", "t AS (SELECT r, c, c*20e0+10 AS x, r*20e0+10 AS y FROM cells), j AS (SELECT r, c, s.z AS value, sqrt((t.x-s.x)*(t.x-s.x)+(t.y-s.y)*(t.y-s.y)) AS dist FROM t, stations s WHERE sqrt((t.x-s.x)*(t.x-s.x)+(t.y-s.y)*(t.y-s.y))<=25e1) SELECT r, c, " + _IDW + " AS value FROM j GROUP BY r, c")
+@query("stations cells", "t AS (SELECT r, c, c*20e0+10 AS x, r*20e0+10 AS y FROM cells), j AS (SELECT r, c, s.z AS value, sqrt((t.x-s.x)*(t.x-s.x)+(t.y-s.y)*(t.y-s.y)) AS dist FROM t, stations s) SELECT r, c, " + _IDW + " AS value FROM j GROUP BY r, c")
 def idw_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = adapt.cells(spark, sf_dir).select("r", "c", (F.col("c") * 20.0 + 10).alias("ax"), (F.col("r") * 20.0 + 10).alias("ay"))
-    points = stations(spark, sf_dir).select(F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("value"))
-    return spatial.idw(spatial.tiled_pairs(grid, points, REACH), ["r", "c"], 2).withColumn("value", r6("value"))
+    grid = adapt.cells(spark, sf_dir).select(F.struct("r", "c").alias("stn"), (F.col("c") * 20.0 + 10).alias("x"), (F.col("r") * 20.0 + 10).alias("y"))
+    s = stations(spark, sf_dir)
+    made = spatial.idw_all(grid.withColumn("stn", F.col("stn.r") * 1000 + F.col("stn.c")), s, s.select("stn", F.lit(0).alias("t"), F.col("z").alias("value")), "t", 2, itself=True)
+    return made.select(F.floor(F.col("stn") / 1000).cast("int").alias("r"), (F.col("stn") % 1000).cast("int").alias("c"), r6("value").alias("value"))
 
 
 @query("stations obs_month", f"{_BOTH}, e AS (SELECT bo.a AS stn, o.m, {_IDW} AS value FROM bo JOIN obs_month o ON o.stn=bo.b GROUP BY bo.a, o.m) SELECT e.stn, count(*) AS n, round(avg(o.value-e.value),6) AS bias, round(sqrt(avg((o.value-e.value)*(o.value-e.value))),6) AS rmse FROM e JOIN obs_month o ON o.stn=e.stn AND o.m=e.m GROUP BY e.stn")
@@ -119,14 +121,25 @@ def idw_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(adapt.obs_month(spark, sf_dir), ["stn", "m"]).groupBy("stn").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(e)).alias("bias"), r6(F.sqrt(F.avg(e * e))).alias("rmse"))
 
 
-@query("stations obs_month", f"{_BOTH}, e AS (SELECT bo.a AS stn, o.m, {_IDW} AS value FROM bo JOIN obs_month o ON o.stn=bo.b GROUP BY bo.a, o.m), h AS (SELECT bo.a AS stn, {_IDW.replace('value', 's.z')} AS z FROM bo JOIN stations s ON s.stn=bo.b GROUP BY bo.a) SELECT e.stn, e.m, round(e.value-64e-4*(s.z-h.z)/100,5) AS value FROM e JOIN h ON h.stn=e.stn JOIN stations s ON s.stn=e.stn")
+@query("stations obs_month", f"{_BOTH}, ro AS (SELECT stn, m, value, CASE WHEN (stn+m) % 3=0 THEN 'valid' ELSE 'ctrl' END AS role FROM obs_month WHERE m % 7<>0), e AS (SELECT bo.a AS stn, o.m, {_IDW} AS estimate FROM bo JOIN ro o ON o.stn=bo.b AND o.role='ctrl' GROUP BY bo.a, o.m) SELECT v.stn, v.m, round(v.value,6) AS value, e.estimate FROM ro v JOIN e ON e.stn=v.stn AND e.m=v.m WHERE v.role='valid'")
+def idw_validate_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = adapt.obs_month(spark, sf_dir)
+    roles = obs.where("m % 7 <> 0").select("stn", "m", F.when((F.col("stn") + F.col("m")) % 3 == 0, "valid").otherwise("ctrl").alias("role"))
+    made = spatial.idw_validate(stations(spark, sf_dir), obs, roles, "m", 2)
+    return made.where("estimate is not null").select("stn", "m", r6("value").alias("value"), r6("estimate").alias("estimate"))
+
+
+@query("stations obs_month", f"{_BOTH}, j AS (SELECT bo.a, o.m, bo.dist, o.value, s.z FROM bo JOIN obs_month o ON o.stn=bo.b JOIN stations s ON s.stn=bo.b WHERE (o.stn+o.m) % 3<>0), e AS (SELECT a, m, {_RAW} AS value, {_RAW.replace('value', 'z').replace('dist*dist', 'dist')} AS zi FROM j GROUP BY a, m) SELECT e.a AS stn, m, round(e.value-64e-4*(s.z-e.zi),6) AS value FROM e JOIN stations s ON s.stn=e.a")
 def idw_lapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heights are interpolated, with a power of their own, from the stations that have a value at the time."""
     s = stations(spark, sf_dir)
-    pairs = spatial.station_pairs(s, REACH)
-    both = pairs.union(pairs.select("b", "a", "dist")).toDF("target", "stn", "dist")
-    height = spatial.idw(both.join(s.select("stn", F.col("z").alias("value")), "stn"), ["target"], 2).toDF("stn", "zi")
-    made = idw_points(spark, sf_dir).join(height, "stn").join(s, "stn")
-    return made.select("stn", "m", F.round(F.col("value") - 0.0064 * (F.col("z") - r6("zi")) / 100, 5).alias("value"))
+    made = spatial.idw_all(s, s, adapt.obs_month(spark, sf_dir).where("(stn + m) % 3 <> 0"), "m", 2, heights=1)
+    return made.where("value is not null").select("stn", "m", r6("value").alias("value"))
+
+
+@query("stations", "b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM stations), i AS (SELECT unnest(generate_series(CAST(floor(x0/100) AS BIGINT)-2, CAST(floor(x1/100) AS BIGINT)+2)) AS i FROM b), j AS (SELECT unnest(generate_series(CAST(floor(y0/100) AS BIGINT)-2, CAST(floor(y1/100) AS BIGINT)+2)) AS j FROM b) SELECT CAST((SELECT max(j) FROM j)-j AS INT) AS r, CAST(i-(SELECT min(i) FROM i) AS INT) AS c, (i+5e-1)*100 AS x, (j+5e-1)*100 AS y FROM i, j")
+def target_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.mesh(stations(spark, sf_dir), 100.0)
 
 
 @query("stations obs_month", "SELECT m, round(regr_slope(value, z),9) AS slope, round(regr_intercept(value, z),6) AS intercept, round(corr(value, z),6) AS rho, count(*) AS n FROM obs_month JOIN stations ON obs_month.stn=stations.stn GROUP BY m")
@@ -135,30 +148,25 @@ def drift_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("m").agg(F.round(F.regr_slope("value", "z"), 9).alias("slope"), r6(F.regr_intercept("value", "z")).alias("intercept"), r6(F.corr("value", "z")).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
-def kriged(spark: SparkSession, sf_dir: str, kind: str, k: int, **more) -> DataFrame:
-    s = stations(spark, sf_dir)
-    near = geostat.with_neighbours(s, s, adapt.obs_month(spark, sf_dir), "m", k, REACH)
-    made = geostat.krige(near, variogram.parse(MODEL), kind, **more)
-    return made.select("stn", "m", *(r6(c).alias(c) for c in ("estimate", "variance", "weights")), "status")
-
-
 # With two neighbours the systems have closed forms, which SQL can check.
 _TWO = f"{_BOTH}, nb AS (SELECT bo.a, o.m, bo.b, bo.dist, o.value, row_number() OVER (PARTITION BY bo.a, o.m ORDER BY bo.dist, bo.b) AS place FROM bo JOIN obs_month o ON o.stn=bo.b), tw AS (SELECT p.a, p.m, p.value AS v1, q.value AS v2, {_GAMMA.format(h='p.dist')} AS g1, {_GAMMA.format(h='q.dist')} AS g2, sqrt((s.x-t.x)*(s.x-t.x)+(s.y-t.y)*(s.y-t.y)) AS h FROM nb p JOIN nb q ON p.a=q.a AND p.m=q.m AND p.place=1 AND q.place=2 JOIN stations s ON s.stn=p.b JOIN stations t ON t.stn=q.b), gg AS (SELECT *, {_GAMMA.format(h='h')} AS g FROM tw)"
 
 
 @query("stations obs_month", f"{_TWO}, l AS (SELECT *, 5e-1+(g2-g1)/(2*g) AS w FROM gg) SELECT a AS stn, m, round(w*v1+(1-w)*v2,6) AS estimate, round(greatest(0,w*g1+(1-w)*g2+g1-(1-w)*g),6) AS variance FROM l")
 def krige_ordinary_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kriged(spark, sf_dir, "ordinary", 2).join(two_or_more(spark, sf_dir), ["stn", "m"], "left_semi").select("stn", "m", "estimate", "variance")
+    return kriged_from_two(spark, sf_dir, "ordinary")
 
 
 @query("stations obs_month", f"{_TWO}, l AS (SELECT *, ((13-g1)*13-(13-g2)*(13-g))/(169-(13-g)*(13-g)) AS w1, ((13-g2)*13-(13-g1)*(13-g))/(169-(13-g)*(13-g)) AS w2 FROM gg) SELECT a AS stn, m, round(w1*v1+w2*v2,6) AS estimate, round(greatest(0,13-w1*(13-g1)-w2*(13-g2)),6) AS variance FROM l")
 def krige_simple_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kriged(spark, sf_dir, "simple", 2).join(two_or_more(spark, sf_dir), ["stn", "m"], "left_semi").select("stn", "m", "estimate", "variance")
+    return kriged_from_two(spark, sf_dir, "simple", sill=13.0)
 
 
-def two_or_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kriged_from_two(spark: SparkSession, sf_dir: str, kind: str, **more) -> DataFrame:
+    """From the two nearest, where there are two."""
     s = stations(spark, sf_dir)
-    return geostat.with_neighbours(s, s, adapt.obs_month(spark, sf_dir), "m", 2, REACH).where(F.size("near") > 1).select("stn", "m")
+    made = geostat.krige_all(s, s, adapt.obs_month(spark, sf_dir), "m", variogram.parse(MODEL), kind, k=2, **more)
+    return made.where("n = 2").select("stn", "m", r6("estimate").alias("estimate"), r6("variance").alias("variance"))
 
 
 def kriged_from_all(spark: SparkSession, sf_dir: str, kind: str, **more) -> DataFrame:
@@ -248,3 +256,18 @@ def block_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("pt").orderBy("t")
     rows = adapt.field(spark, sf_dir).withColumn("i", F.row_number().over(w)).withColumn("acc", F.col("value") - F.lag("value", 8).over(w)).withColumn("mean", F.avg("value").over(w.rowsBetween(-8, 0)))
     return rows.where((F.col("i") > 8) & ((F.col("i") - 1) % 8 == 0)).select("pt", "t", r6("acc").alias("acc"), r6("mean").alias("mean"))
+
+
+@query()
+def krige_edk_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kriged_from_all(spark, sf_dir, "drift", drifts=("z", "x"))
+
+
+@query()
+def krige_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields on a mesh with the model of each month, held within the month's values."""
+    obs = adapt.obs_month(spark, sf_dir)
+    models = obs.where("m % 5 <> 0").select("m").distinct().withColumn("model", F.when(F.col("m") % 2 == 0, MODEL).otherwise("4.0 Sph(500)"))
+    cells = spatial.mesh(stations(spark, sf_dir), 100.0).withColumn("stn", F.col("r") * 1000 + F.col("c"))
+    made = geostat.krige_fields(cells, stations(spark, sf_dir), obs, "m", models, itself=True, drifts=())
+    return made.select("m", F.floor(F.col("stn") / 1000).cast("int").alias("r"), (F.col("stn") % 1000).cast("int").alias("c"), r6("estimate").alias("estimate"), r6("variance").alias("variance"), "status")
