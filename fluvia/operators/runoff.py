@@ -1,7 +1,8 @@
-"""Rainfall-runoff: recurrences along time as higher-order functions over one ordered array per basin.
+"""Rainfall-runoff: snow, soil and two stores along time, routing, and calibration.
 
-Basins run in parallel and their steps in order, inside the JVM; a basin's series is one row. Only the
-calibration, a search over parameters, runs numpy, one task per population.
+Series, cells and populations are spread over tasks by their keys; along time a task keeps the stores of
+one of them and steps through it once (numpy carries all parameter sets of a search together).
+Everything between series - areas, scores, populations, folds - is relational.
 """
 
 from __future__ import annotations
@@ -39,55 +40,122 @@ class Bucket:
 BOUNDS = {"tt": (-1, 1), "c_melt": (0.01, 6), "fc": (30, 300), "beta": (1, 6), "pwp": (25, 300), "ur_thresh": (0, 20), "k_uu": (0, 1), "k_ul": (0.005, 1), "k_d": (1e-4, 1), "k_ll": (1e-4, 1)}
 
 
-def along_time(rows: DataFrame, by: str, time: str, columns: list[str]) -> DataFrame:
-    """(by, steps): one array of structs per group in the order of time."""
-    return rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(time, *columns))).alias("steps"))
-
-
-def _scan(steps: str, start: Column, step) -> Column:
-    """States after each step: a fold that keeps its history, last state at the end."""
-    history = F.aggregate(F.col(steps), F.array(start), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
-    return F.slice(history, F.lit(2), F.size(steps))
+#: Names of the thirteen outputs of a step, in mm but for discharge.
+OUTPUTS = ("snow", "liquid", "moisture", "runoff", "et", "depth", "discharge", "upper", "fast", "slow", "seep", "lower", "base")
+_NUMBERS = ", ".join(f"{n} double" for n in OUTPUTS)
 
 
 def muskingum(flows: DataFrame, by: str, time: str, value: str, lag: float, weight: float, dt: float = 1.0) -> DataFrame:
     """(by, time, outflow) of a linear channel; the first outflow is the first inflow."""
     below = 2 * lag * (1 - weight) + dt
     c1, c2, c3 = (dt - 2 * lag * weight) / below, (dt + 2 * lag * weight) / below, (2 * lag * (1 - weight) - dt) / below
-    rows = along_time(flows, by, time, [value])
-    start = F.struct(F.col("steps")[0][value].alias("i"), F.col("steps")[0][value].alias("o"))
-    step = lambda s, x: F.struct(x[value].alias("i"), (x[value] * c1 + s["i"] * c2 + s["o"] * c3).alias("o"))
-    routed = rows.select(by, "steps", _scan("steps", start, step).alias("states"))
-    pairs = routed.select(by, F.posexplode(F.arrays_zip("steps", "states")).alias("k", "x"))
-    return pairs.select(by, F.col(f"x.steps.{time}").alias(time), F.when(F.col("k") == 0, F.col(f"x.steps.{value}")).otherwise(F.col("x.states.o")).alias("outflow"))
+    types = {f.name: f.dataType.simpleString() for f in flows.schema.fields}
+
+    def route(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(time)
+        i = frame[value].to_numpy(float)
+        into = np.append(i[:1], c1 * i[1:] + c2 * i[:-1]).tolist()
+        out = into[:1]
+        for v in into[1:]:
+            out.append(v + c3 * out[-1])
+        return pd.DataFrame({by: keys[0], time: frame[time], "outflow": out})
+
+    return flows.select(by, time, value).groupBy(by).applyInPandas(route, f"{by} {types[by]}, {time} {types[time]}, outflow double")
+
+
+def _simulate(p: np.ndarray, temp, prec, pet, start: Bucket, ratio: float = 1.0, cells: bool = False, keep: bool = False):
+    """Discharge (members, steps) of many parameter sets (members, 10) together, and with keep all outputs by name.
+
+    cells: the variant for cells, whose parameters have an eleventh, melt by precipitation; there the slow
+    outlet is fed by what the fast one leaves, and wet soil yields all of its rain. Members whose beta is
+    below 1, whose field capacity isn't positive or whose soil falls below 0 have no numbers from then on.
+    """
+    tt, melt_rate, fc, beta, pwp, thresh, k_uu, k_ul, k_d, k_ll = p[:, :10].T
+    wet_melt = p[:, 10] if cells else 0.0
+    n = len(p)
+    snow, sm, up, lo = (np.full(n, v, float) for v in (start.snow, start.moisture, start.upper, start.lower))
+    sm = np.where((beta < 1) | (fc <= 0), np.nan, sm)
+    out = np.empty((n, len(temp)))
+    kept = {k: np.empty((n, len(temp))) for k in OUTPUTS} if keep else None
+    for i, (t, r, e) in enumerate(zip(temp, prec, pet, strict=True)):
+        sm = np.where(sm < 0, np.nan, sm)
+        melt, cold = (melt_rate + wet_melt * r) * (t - tt), t < tt
+        liquid = np.where(cold, 0.0, r + np.minimum(snow, melt))
+        snow = np.where(cold, snow + r, np.maximum(0.0, snow - melt))
+        ratio_fc = sm / fc
+        wet = np.where(sm > pwp, 1.0, ratio_fc)
+        et = wet * e
+        share = (wet if cells else ratio_fc) ** beta
+        fast = np.maximum(0.0, k_uu * (up - thresh))
+        seep = (up - fast) * k_d
+        slow = np.maximum(0.0, (up - seep - (fast if cells else 0.0)) * k_ul)
+        base = lo * k_ll
+        rain = liquid * share
+        up = np.maximum(0.0, up + rain - fast - slow - seep)
+        lo = lo + seep - base
+        sm = sm - et + liquid * (1 - share)
+        depth = fast + slow + base + 0 * sm
+        out[:, i] = ratio * depth
+        if keep:
+            for k, v in zip(OUTPUTS, (snow, liquid, sm, rain, et, depth, ratio * depth, up, fast, slow, seep, lo, base), strict=True):
+                kept[k][:, i] = v
+    return (out, kept) if keep else out
+
+
+def _vector(p: Bucket) -> np.ndarray:
+    return np.array([[getattr(p, k) for k in BOUNDS]], float)
 
 
 def lumped(forcing: DataFrame, by: str, time: str, p: Bucket, ratio: float = 1.0) -> DataFrame:
-    """(by, time, snow, liquid, moisture, et, upper, lower, discharge) of a snow, soil and two-store model.
+    """(by, time, OUTPUTS) of a snow, soil and two-store model; forcing has temp, prec and pet.
+
+    Stores at the start of a step feed its fluxes; ratio turns depth into discharge. A beta below 1 is
+    refused; from a step on at which the soil has fallen below 0 outputs are null.
+    """
+    if p.beta < 1 or p.fc <= 0:
+        raise ValueError("beta has to be 1 or more, and field capacity above 0")
+    return run(forcing.withColumns({k: F.lit(float(getattr(p, k))) for k in BOUNDS}), by, time, p, ratio)
+
+
+def run(forcing: DataFrame, by: str, time: str, start: Bucket | None = None, ratio: float = 1.0, extra: tuple[str, ...] = (), cells: bool = False) -> DataFrame:
+    """(by, extra, time, OUTPUTS) with the parameters that stand in each series' rows under their names.
 
-    forcing has temp, prec and pet. Stores at the start of a step feed its fluxes.
+    A series is told by `by` and the extra columns; it fits in a task. cells: the variant for cells (melt_rain too).
     """
-    zero = F.lit(0.0)
-    state = lambda **v: F.struct(*(c.alias(k) for k, c in v.items()))
-    start = state(snow=F.lit(p.snow), liquid=zero, moisture=F.lit(p.moisture), et=zero, upper=F.lit(p.upper), lower=F.lit(p.lower), discharge=zero)
-
-    def step(s, x):
-        melt = F.lit(p.c_melt) * (x["temp"] - p.tt)
-        cold = x["temp"] < p.tt
-        snow = F.when(cold, s["snow"] + x["prec"]).otherwise(F.greatest(zero, s["snow"] - melt))
-        liquid = F.when(cold, 0.0).otherwise(x["prec"] + F.least(s["snow"], melt))
-        et = F.when(s["moisture"] > p.pwp, x["pet"]).otherwise(s["moisture"] / p.fc * x["pet"])
-        share = F.pow(s["moisture"] / p.fc, F.lit(p.beta))
-        fast = F.greatest(zero, p.k_uu * (s["upper"] - p.ur_thresh))
-        seep = (s["upper"] - fast) * p.k_d
-        slow = F.greatest(zero, (s["upper"] - seep) * p.k_ul)
-        base = s["lower"] * p.k_ll
-        upper = F.greatest(zero, s["upper"] + liquid * share - fast - slow - seep)
-        return state(snow=snow, liquid=liquid, moisture=s["moisture"] - et + liquid * (1 - share), et=et, upper=upper, lower=s["lower"] + seep - base, discharge=(fast + slow + base) * ratio)
-
-    rows = along_time(forcing, by, time, ["temp", "prec", "pet"])
-    made = rows.select(by, F.explode(F.arrays_zip("steps", _scan("steps", start, step).alias("states"))).alias("x"))
-    return made.select(by, F.col(f"x.steps.{time}").alias(time), "x.states.*")
+    begin, keys = start or Bucket(), [by, *extra]
+    names = [*BOUNDS, "melt_rain"] if cells else list(BOUNDS)
+    types = {f.name: f.dataType.simpleString() for f in forcing.schema.fields}
+
+    def step(found: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(time)
+        p = frame[names].iloc[:1].to_numpy(float)
+        _, kept = _simulate(p, *(frame[c].to_numpy(float) for c in ("temp", "prec", "pet")), begin, ratio, cells, True)
+        out = pd.DataFrame({k: v[0] for k, v in kept.items()})
+        out.insert(0, time, frame[time].to_numpy())
+        for i, (k, v) in enumerate(zip(keys, found, strict=True)):
+            out.insert(i, k, v)
+        return out
+
+    schema = ", ".join([*(f"{k} {types[k]}" for k in (*keys, time)), _NUMBERS])
+    made = forcing.select(*keys, time, "temp", "prec", "pet", *names).groupBy(*keys).applyInPandas(step, schema)
+    return made.withColumns({k: F.nanvl(k, F.lit(None).cast("double")) for k in OUTPUTS})
+
+
+def distributed(forcing: DataFrame, areas: DataFrame, by: str, cell: str, time: str, start: Bucket | None = None, ratio: float = 1.0) -> DataFrame:
+    """(by, time, discharge, lower): sums of cells, weighted by their areas (by, cell, area).
+
+    forcing: by, cell, time, temp, prec, pet and the eleven parameters of each cell. Cells run apart from each other.
+    """
+    made = run(forcing, by, time, start, ratio, (cell,), True).join(areas, [by, cell])
+    weighted = lambda c: F.sum(F.col(c) * F.col("area")).alias(c)
+    return made.groupBy(by, time).agg(weighted("discharge"), weighted("lower"))
+
+
+def auto_weights(observed: DataFrame, by: str) -> DataFrame:
+    """(by, ns, ln_ns): weights of both scores from the share of flows that reach the mean."""
+    mean = observed.groupBy(by).agg(F.avg("q_obs").alias("m_"))
+    share = observed.join(mean, by).groupBy(by).agg(F.avg(F.when(F.col("q_obs") >= F.col("m_"), 1.0).otherwise(0.0)).alias("ln_ns"))
+    return share.select(by, (1 - F.col("ln_ns")).alias("ns"), "ln_ns")
 
 
 def water_balance(rows: DataFrame, by: str, step: str, block: int) -> DataFrame:
@@ -101,66 +169,180 @@ def fold_of(place: Column, n: Column, k: int) -> Column:
     return F.floor(((place + 1) * k - 1) / n).cast("int")
 
 
-def _simulate(p: np.ndarray, temp, prec, pet, start: Bucket) -> np.ndarray:
-    """Discharge (members, steps) of many parameter sets together."""
-    tt, melt_rate, fc, beta, pwp, thresh, k_uu, k_ul, k_d, k_ll = p.T
-    n = len(p)
-    snow, sm, up, lo = (np.full(n, v) for v in (start.snow, start.moisture, start.upper, start.lower))
-    out = np.empty((n, len(temp)))
-    for i, (t, r, e) in enumerate(zip(temp, prec, pet, strict=True)):
-        melt, cold = melt_rate * (t - tt), t < tt
-        liquid = np.where(cold, 0.0, r + np.minimum(snow, melt))
-        snow = np.where(cold, snow + r, np.maximum(0.0, snow - melt))
-        ratio = np.clip(sm / fc, 0.0, None)
-        et = np.where(sm > pwp, e, ratio * e)
-        share = ratio**beta
-        fast = np.maximum(0.0, k_uu * (up - thresh))
-        seep = (up - fast) * k_d
-        slow = np.maximum(0.0, (up - seep) * k_ul)
-        base = lo * k_ll
-        up = np.maximum(0.0, up + liquid * share - fast - slow - seep)
-        lo = lo + seep - base
-        sm = np.maximum(0.0, sm - et + liquid * (1 - share))
-        out[:, i] = fast + slow + base
-    return out
+def _scores(q: np.ndarray, obs: np.ndarray) -> np.ndarray:
+    """Nash-Sutcliffe, that of logarithms, and Kling-Gupta of each simulated series (rows)."""
+    with np.errstate(all="ignore"):
+        ns = 1 - ((q - obs) ** 2).sum(1) / ((obs - obs.mean()) ** 2).sum()
+        ok = (obs > 0) & (q > 0)
+        a, b, n = np.where(ok, np.log(obs), 0.0), np.where(ok, np.log(q), 0.0), ok.sum(1)
+        spread = (a * a).sum(1) - a.sum(1) ** 2 / n
+        ln_ns = 1 - ((a - b) ** 2).sum(1) / spread
+        mq, mo = q.mean(1), obs.mean()
+        rho = ((q - mq[:, None]) * (obs - mo)).mean(1) / (q.std(1) * obs.std())
+        kge = 1 - np.sqrt((rho - 1) ** 2 + (mq / mo - 1) ** 2 + (q.std(1) / mq / (obs.std() / mo) - 1) ** 2)
+    return np.stack([ns, ln_ns, kge], 1)
+
+
+#: What a parameter set costs that can't be: its wilting point reaches field capacity, or its states run away.
+REFUSED = 1e4
 
 
-def _cost(p: np.ndarray, data: pd.DataFrame, start: Bucket) -> np.ndarray:
-    """One minus Nash-Sutcliffe; a fixed large cost where the wilting point reaches field capacity or states run away."""
+def _cost(p: np.ndarray, data: pd.DataFrame, start: Bucket, weights: np.ndarray) -> np.ndarray:
+    """Sum of weight * (1 - score)."""
     q = _simulate(p, *(data[c].to_numpy(float) for c in ("temp", "prec", "pet")), start)
-    obs = data["q_obs"].to_numpy(float)
-    spread = ((obs - obs.mean()) ** 2).sum()
-    cost = ((q - obs) ** 2).sum(1) / max(spread, 1e-12)
-    return np.where(np.isfinite(cost) & (p[:, 4] < p[:, 2]), cost, 1e5)
+    used = weights > 0
+    cost = (weights[used] * (1 - _scores(q, data["q_obs"].to_numpy(float))[:, used])).sum(1)
+    return np.where(np.isfinite(cost) & (p[:, 4] < p[:, 2]), cost, REFUSED * (1 + p[:, 4] / 300))
+
+
+def _evolve(data: pd.DataFrame, seed, start: Bucket, weights: np.ndarray, members: int, generations: int, patience: int, tolerance: float):
+    """Parameter sets and costs after differential evolution: rand/1/bin from a stratified start, each member with
+    factors of its own; it ends with the generations, or when costs lie within tolerance, or when the
+    best hasn't improved for `patience` generations."""
+    low, high = np.array(list(BOUNDS.values()), float).T
+    rng = np.random.default_rng(seed)
+    strata = (np.argsort(rng.random((len(low), members)), axis=1).T + rng.random((members, len(low)))) / members
+    pop = low + strata * (high - low)
+    cost, still, best = _cost(pop, data, start, weights), 0, np.inf
+    for _ in range(generations):
+        picks = np.array([rng.choice(np.delete(np.arange(members), i), 3, replace=False) for i in range(members)])
+        f, cr = rng.uniform(0.4, 0.9, (members, 1)), rng.uniform(0.5, 1.0, (members, 1))
+        trial = pop[picks[:, 0]] + f * (pop[picks[:, 1]] - pop[picks[:, 2]])
+        cross = rng.random(pop.shape) < cr
+        cross[np.arange(members), rng.integers(0, len(low), members)] = True
+        trial = np.where(cross, trial, pop)
+        trial = np.where((trial < low) | (trial > high), rng.uniform(low, high, pop.shape), trial)
+        new = _cost(trial, data, start, weights)
+        better = new <= cost
+        pop[better], cost[better] = trial[better], new[better]
+        still = 0 if cost.min() < best else still + 1
+        best = float(cost.min())
+        if still >= patience or cost.max() - best < tolerance:
+            break
+    return pop, cost
+
+
+def calibrate(
+    forcing: DataFrame,
+    by: str,
+    time: str,
+    members: int = 40,
+    generations: int = 60,
+    start: Bucket | None = None,
+    weights: tuple[float, float, float] | str = (1.0, 0.0, 0.0),
+    populations: int = 1,
+    whole: bool = False,
+    patience: int = 60,
+    tolerance: float = 1e-7,
+    extra: tuple[str, ...] = (),
+) -> DataFrame:
+    """(by, extra, pop, cost, params...): the best set of each population of a differential evolution.
+
+    weights: of Nash-Sutcliffe, its logarithmic form and Kling-Gupta in the cost, or 'auto' (auto_weights).
+    One task per series and population, seeded by their keys; whole: every member, not the best alone. Bounds are BOUNDS.
+    """
+    begin, names, keys = start or Bucket(), list(BOUNDS), [by, *extra, "pop"]
+    if weights == "auto":
+        chosen = forcing.join(auto_weights(forcing.select(by, "q_obs"), by).toDF(by, "w0_", "w1_"), by).withColumn("w2_", F.lit(0.0))
+    else:
+        chosen = forcing.withColumns({f"w{i}_": F.lit(float(w)) for i, w in enumerate(weights)})
+    many = chosen.withColumn("pop", F.explode(F.sequence(F.lit(0), F.lit(populations - 1))))
+    types = {f.name: f.dataType.simpleString() for f in many.schema.fields}
+
+    def search(found: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        data = frame.sort_values(time)
+        seed = [17, *(zlib.crc32(str(k).encode()) for k in found)]
+        pop, cost = _evolve(data, seed, begin, data[["w0_", "w1_", "w2_"]].iloc[0].to_numpy(float), members, generations, patience, tolerance)
+        kept = np.argsort(cost, kind="stable") if whole else [int(np.argmin(cost))]
+        return pd.DataFrame([(*found, float(cost[i]), *pop[i]) for i in kept], columns=[*keys, "cost", *names])
+
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "cost double", *(f"{n} double" for n in names)])
+    return many.groupBy(*keys).applyInPandas(search, schema)
+
 
+def score(runs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ns, ln_ns, kge) from q_obs and discharge."""
+    from fluvia.functions import stats
 
-def calibrate(forcing: DataFrame, by: str, time: str, members: int = 40, generations: int = 60, start: Bucket | None = None) -> DataFrame:
-    """(by, cost, params...): differential evolution (rand/1/bin), one task per group, seeded by the group's key.
+    o, q = F.col("q_obs"), F.col("discharge")
+    return runs.groupBy(*by).agg(stats.nash_sutcliffe(o, q).alias("ns"), stats.log_nash_sutcliffe(o, q).alias("ln_ns"), stats.kling_gupta(o, q).alias("kge"))
 
-    Bounds are BOUNDS. A group's series fits in a task; more groups are more tasks.
+
+def kfold_matrix(forcing: DataFrame, by: str, time: str, k: int, **options) -> DataFrame:
+    """(by, fitted, tested, ns, ln_ns, kge): a model calibrated on each fold, scored on every fold.
+
+    Folds are consecutive parts of a series; a model runs through the whole series, so that stores are warm.
     """
-    begin, names = start or Bucket(), list(BOUNDS)
-    low, high = np.array(list(BOUNDS.values()), float).T
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(by).orderBy(time)) - 1
+    folds = forcing.withColumn("tested", fold_of(place, F.count(F.lit(1)).over(Window.partitionBy(by)), k))
+    best = calibrate(folds.withColumnRenamed("tested", "fitted"), by, time, extra=("fitted",), **options).drop("cost", "pop")
+    runs = run(folds.join(best, by), by, time, options.get("start"), extra=("fitted",))
+    return score(runs.join(folds.select(by, time, "tested", "q_obs"), [by, time]), [by, "fitted", "tested"])
+
+
+def population_stats(population: DataFrame, by: str) -> DataFrame:
+    """(by, pop, param, low, high, mean, sd) over the members of each population (calibrate with whole)."""
+    long = population.unpivot([by, "pop"], list(BOUNDS), "param", "value")
+    v = F.col("value")
+    return long.groupBy(by, "pop", "param").agg(F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
+
+
+def parameter_rank_correlations(population: DataFrame, by: str) -> DataFrame:
+    """(by, pop, a, b, rho): rank correlation of each pair of parameters over a population's members."""
+    from fluvia.operators.series import average_rank
+
+    keys = [by, "pop"]
+    ranked = population.select(*keys, *(average_rank(F.col(n), *keys).alias(n) for n in BOUNDS))
+    names = list(BOUNDS)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    wide = ranked.groupBy(*keys).agg(*(F.corr(a, b).alias(f"{a}/{b}") for a, b in pairs))
+    split = F.split("pair", "/")
+    return wide.unpivot(keys, [f"{a}/{b}" for a, b in pairs], "pair", "rho").select(*keys, split[0].alias("a"), split[1].alias("b"), "rho")
+
+
+def sensitivity(forcing: DataFrame, by: str, time: str, sets: int = 50, start: Bucket | None = None, seed: int = 17) -> DataFrame:
+    """(by, set, kind, ns, ln_ns, kge): scores along a line between two random parameter sets ('params'), and of blends
+    of the hydrographs at its ends ('flows')."""
+    begin, (low, high) = start or Bucket(), np.array(list(BOUNDS.values()), float).T
     key = forcing.schema[by].dataType.simpleString()
 
-    def search(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def walk(found: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         data = frame.sort_values(time)
-        rng = np.random.default_rng([17, zlib.crc32(str(keys[0]).encode())])
-        strata = (np.argsort(rng.random((len(low), members)), axis=1).T + rng.random((members, len(low)))) / members
-        pop = low + strata * (high - low)
-        cost = _cost(pop, data, begin)
-        for _ in range(generations):
-            picks = np.array([rng.choice(np.delete(np.arange(members), i), 3, replace=False) for i in range(members)])
-            f, cr = rng.uniform(0.4, 0.9, (members, 1)), rng.uniform(0.5, 1.0, (members, 1))
-            trial = pop[picks[:, 0]] + f * (pop[picks[:, 1]] - pop[picks[:, 2]])
-            cross = rng.random(pop.shape) < cr
-            cross[np.arange(members), rng.integers(0, len(low), members)] = True
-            trial = np.where(cross, trial, pop)
-            trial = np.where((trial < low) | (trial > high), rng.uniform(low, high, pop.shape), trial)
-            new = _cost(trial, data, begin)
-            better = new <= cost
-            pop[better], cost[better] = trial[better], new[better]
-        i = int(np.argmin(cost))
-        return pd.DataFrame([(keys[0], float(cost[i]), *pop[i])], columns=[by, "cost", *names])
-
-    return forcing.groupBy(by).applyInPandas(search, f"{by} {key}, cost double, " + ", ".join(f"{n} double" for n in names))
+        rng = np.random.default_rng([seed, zlib.crc32(str(found[0]).encode())])
+        ends = np.sort(low + (high - low) * rng.random((2, len(low))), axis=0)
+        line = np.linspace(ends[0], ends[1], sets)
+        q, obs = _simulate(line, *(data[c].to_numpy(float) for c in ("temp", "prec", "pet")), begin), data["q_obs"].to_numpy(float)
+        alpha = np.linspace(1, 0, sets)[:, None]
+        rows = [(found[0], i, kind, *map(float, r)) for kind, s in (("params", _scores(q, obs)), ("flows", _scores(alpha * q[0] + (1 - alpha) * q[-1], obs))) for i, r in enumerate(s)]
+        return pd.DataFrame(rows, columns=[by, "set", "kind", "ns", "ln_ns", "kge"])
+
+    return forcing.groupBy(by).applyInPandas(walk, f"{by} {key}, set int, kind string, ns double, ln_ns double, kge double")
+
+
+def trajectories(shots: DataFrame, drag: float, steps: int = 2000, dt: float = 0.01, gravity: float = 9.81) -> DataFrame:
+    """shots (speed, angle in degrees, wind, ...) with distance and time of a ball's flight under quadratic drag
+    relative to the wind; it ends where it meets the ground, found by going back along its last step."""
+    keep = shots.columns
+
+    def fly(frames):
+        for f in frames:
+            v, a, wind = (f[c].to_numpy(float) for c in ("speed", "angle", "wind"))
+            vx, vy = v * np.cos(np.radians(a)), v * np.sin(np.radians(a))
+            x, y, t = np.zeros((3, len(f)))
+            flying = np.ones(len(f), bool)
+            for _ in range(steps):
+                rx = vx - wind
+                speed = np.hypot(rx, vy)
+                nx, ny = x + vx * dt, y + vy * dt
+                back = np.where(flying & (ny < 0), y / np.where(y == ny, 1, y - ny), 1.0)
+                x, y, t = (np.where(flying, c + (n - c) * back, c) for c, n in ((x, nx), (y, ny), (t, t + dt)))
+                flying &= back >= 1.0
+                vx, vy = vx - drag * speed * rx * dt, vy - (gravity + drag * speed * vy) * dt
+                if not flying.any():
+                    break
+            yield f.assign(distance=x, time=t)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shots.schema.fields)
+    return shots.select(*keep).mapInPandas(fly, f"{fields}, distance double, time double")

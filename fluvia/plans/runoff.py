@@ -49,10 +49,10 @@ _MODEL = f"""{_NUM}, r AS (SELECT DISTINCT basin, CAST(NULL AS DATE) AS d, CAST(
 UNION ALL SELECT f.basin, f.d, f.i, CASE WHEN f.temp<{P.tt}e0 THEN r.snow+f.prec ELSE greatest(0e0,r.snow-{P.c_melt}e0*(f.temp-{P.tt}e0)) END, {_LIQ}, r.moisture-{_ET}+{_LIQ}*(1-{_SHARE}), {_ET}, greatest(0e0,r.upper+{_LIQ}*{_SHARE}-{_FAST}-{_SLOW}-{_SEEP}), r.lower+{_SEEP}-r.lower*{P.k_ll}e0, {_FAST}+{_SLOW}+r.lower*{P.k_ll}e0, f.prec FROM r JOIN f ON f.basin=r.basin AND f.i=r.i+1)"""
 
 
-@query("forcing", f"{_MODEL} SELECT basin, d, round(snow,6) AS snow, round(moisture,6) AS moisture, round(upper,6) AS upper, round(lower,6) AS lower, round(discharge,6) AS discharge FROM r WHERE i>0")
+@query("forcing", f"{_MODEL} SELECT basin, d, round(snow,6) AS snow, round(moisture,6) AS moisture, round(upper,6) AS upper, round(lower,6) AS lower, round(discharge,6) AS discharge, round(liquid,6) AS liquid, round(et,6) AS et, round(discharge,6) AS depth FROM r WHERE i>0")
 def runoff_lumped(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = runoff.lumped(adapt.forcing(spark, sf_dir), "basin", "d", P)
-    return made.select("basin", "d", *(r6(c).alias(c) for c in ("snow", "moisture", "upper", "lower", "discharge")))
+    return made.select("basin", "d", *(r6(c).alias(c) for c in ("snow", "moisture", "upper", "lower", "discharge", "liquid", "et", "depth")))
 
 
 def simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +82,56 @@ def kfold_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def calibrate_de(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runoff.calibrate(adapt.forcing(spark, sf_dir), "basin", "d")
+    return runoff.calibrate(adapt.forcing(spark, sf_dir), "basin", "d").drop("pop")
+
+
+@query("forcing", "a AS (SELECT basin, avg(CASE WHEN q_obs>=m THEN 1e0 ELSE 0e0 END) AS s FROM (SELECT basin, q_obs, avg(q_obs) OVER (PARTITION BY basin) AS m FROM forcing) GROUP BY basin) SELECT basin, round(1-s,6) AS ns, round(s,6) AS ln_ns FROM a")
+def auto_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runoff.auto_weights(adapt.forcing(spark, sf_dir), "basin").select("basin", r6("ns").alias("ns"), r6("ln_ns").alias("ln_ns"))
+
+
+_CELL = f"""c AS (SELECT f.basin, f.d, f.i, k.cell, f.temp-k.cell AS temp, f.prec, f.pet FROM f, (SELECT unnest(range(3)) AS cell) k),
+s AS (SELECT DISTINCT basin, CAST(NULL AS DATE) AS d, CAST(0 AS BIGINT) AS i, cell, 0e0 AS snow, {P.moisture}e0 AS moisture, {P.upper}e0 AS upper, {P.lower}e0 AS lower, 0e0 AS q FROM c
+UNION ALL SELECT basin, d, i, cell, snow1, moisture-wet*pet+liq*(1-pow(wet,{P.beta}e0)), greatest(0e0,upper-fast-slow-seep+liq*pow(wet,{P.beta}e0)), lower+seep-lower*{P.k_ll}e0, fast+slow+lower*{P.k_ll}e0 FROM (SELECT *, greatest(0e0,(upper-fast-seep)*{P.k_ul}e0) AS slow FROM (SELECT *, (upper-fast)*{P.k_d}e0 AS seep FROM (SELECT c.basin, c.d, c.i, c.cell, c.pet, s.moisture, s.upper, s.lower, CASE WHEN c.temp<{P.tt}e0 THEN s.snow+c.prec ELSE greatest(0e0,s.snow-({P.c_melt}e0+1e-1*c.prec)*(c.temp-{P.tt}e0)) END AS snow1, CASE WHEN c.temp<{P.tt}e0 THEN 0e0 ELSE c.prec+least(s.snow,({P.c_melt}e0+1e-1*c.prec)*(c.temp-{P.tt}e0)) END AS liq, CASE WHEN s.moisture>{P.pwp}e0 THEN 1e0 ELSE s.moisture/{P.fc}e0 END AS wet, greatest(0e0,{P.k_uu}e0*(s.upper-{P.ur_thresh}e0)) AS fast FROM s JOIN c ON c.basin=s.basin AND c.cell=s.cell AND c.i=s.i+1))))"""
+
+
+@query("forcing", f"{_NUM}, {_CELL} SELECT basin, d, round(sum(q*(cell+1)/6e0),6) AS discharge, round(sum(lower*(cell+1)/6e0),6) AS lower FROM s WHERE i>0 GROUP BY basin, d")
+def runoff_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three cells a basin, each a degree colder than the one before, with a sixth, a third and half of the area."""
+    forcing = adapt.forcing(spark, sf_dir).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("temp", F.col("temp") - F.col("cell"))
+    params = {k: F.lit(float(getattr(P, k))) for k in runoff.BOUNDS} | {"melt_rain": F.lit(0.1)}
+    areas = forcing.select("basin", "cell").distinct().withColumn("area", (F.col("cell") + 1) / 6.0)
+    made = runoff.distributed(forcing.withColumns(params), areas, "basin", "cell", "d")
+    return made.select("basin", "d", r6("discharge").alias("discharge"), r6("lower").alias("lower"))
+
+
+@query()
+def kfold_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = runoff.kfold_matrix(adapt.forcing(spark, sf_dir), "basin", "d", 3, members=20, generations=15)
+    return made.select("basin", "fitted", "tested", *(r6(c).alias(c) for c in ("ns", "ln_ns", "kge")))
+
+
+def population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runoff.calibrate(adapt.forcing(spark, sf_dir), "basin", "d", 20, 10, weights="auto", populations=2, whole=True)
+
+
+@query()
+def de_population_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runoff.population_stats(population(spark, sf_dir), "basin")
+
+
+@query()
+def param_rank_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runoff.parameter_rank_correlations(population(spark, sf_dir), "basin")
+
+
+@query()
+def sensitivity_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runoff.sensitivity(adapt.forcing(spark, sf_dir), "basin", "d")
+
+
+@query()
+def ballistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred winds for each of some angles, normal with mean -10 and standard deviation 10."""
+    shots = spark.range(9 * 100).select((F.col("id") % 9 * 10 + 5).cast("double").alias("angle"), F.lit(60.0).alias("speed"), (F.randn(7) * 10 - 10).alias("wind"))
+    return runoff.trajectories(shots, 0.002)
