@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,16 +66,100 @@ def mixed_probabilities(obs: DataFrame, dry: float, damp: float) -> DataFrame:
     return rows.withColumn("p", p).drop("wet", "r", "m", "p0", "p1")
 
 
-def correlations(obs: DataFrame, time: str) -> DataFrame:
-    """(a, b, rho, n) for stations a < b over common steps."""
-    return pairs_in_common(obs, time).groupBy("a", "b").agg(F.corr("va", "vb").alias("rho"), F.count(F.lit(1)).alias("n"))
-
-
-def rank_correlations(obs: DataFrame, time: str) -> DataFrame:
+def average_ranks(m: np.ndarray) -> np.ndarray:
+    """Ranks from 1 within each column, ties at their mean."""
+    n = len(m)
+    order = np.argsort(m, axis=0, kind="stable")
+    ordered, place = np.take_along_axis(m, order, 0), np.arange(n)[:, None]
+    new, last = np.ones(m.shape, bool), np.ones(m.shape, bool)
+    new[1:] = last[:-1] = ordered[1:] != ordered[:-1]
+    low = np.maximum.accumulate(np.where(new, place, 0), 0)
+    high = np.minimum.accumulate(np.where(last, place, n)[::-1], 0)[::-1]
+    out = np.empty(m.shape)
+    np.put_along_axis(out, order, (low + high) / 2 + 1, 0)
+    return out
+
+
+#: Stations of a block; a task holds two blocks' values.
+BLOCK = 128
+
+
+def _moments(x: np.ndarray, y: np.ndarray, mx: np.ndarray, my: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Correlations and numbers of common values of the columns of x with those of y; masks say where there are any."""
+    n = mx.T @ my
+    with np.errstate(all="ignore"):
+        sx, sy = x.T @ my / n, mx.T @ y / n
+        cov, vx, vy = x.T @ y / n - sx * sy, (x * x).T @ my / n - sx**2, mx.T @ (y * y) / n - sy**2
+        flat = (vx <= 1e-13 * (1 + sx**2)) | (vy <= 1e-13 * (1 + sy**2)) | (n < 2)
+        rho = np.where(flat, np.nan, cov / np.sqrt(vx * vy))
+    return rho, n
+
+
+def _ranked_moments(x: np.ndarray, y: np.ndarray, mx: np.ndarray, my: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _moments, of ranks within each pair's common values: columns with equal masks are ranked together."""
+    rho, n = np.full((x.shape[1], y.shape[1]), np.nan), (mx.T @ my)
+    kinds = [np.unique(m, axis=1, return_inverse=True) for m in (mx, my)]
+    for i in range(kinds[0][0].shape[1]):
+        left = np.flatnonzero(kinds[0][1].ravel() == i)
+        for j in range(kinds[1][0].shape[1]):
+            right = np.flatnonzero(kinds[1][1].ravel() == j)
+            common = (kinds[0][0][:, i] * kinds[1][0][:, j]) > 0
+            if common.sum() < 2:
+                continue
+            rx, ry = average_ranks(x[common][:, left]), average_ranks(y[common][:, right])
+            middle = (common.sum() + 1) / 2
+            one = np.ones_like
+            rho[np.ix_(left, right)] = _moments(rx - middle, ry - middle, one(rx), one(ry))[0]
+    return rho, n
+
+
+def _block_pairs(obs: DataFrame, time: str, moments, block: int) -> DataFrame:
+    """(a, b, rho, n) for stations a < b with common steps.
+
+    Stations are dealt out in blocks, and every pair of blocks is a task's work: a product of two masked
+    matrices. A row is sent once for each other block, so what is shuffled grows with the rows times
+    the blocks, not with the pairs of rows.
+    """
+    known = obs.where("value is not null").select("stn", time, F.col("value").cast("double").alias("value"))
+    blocks = max(1, -(-known.select("stn").distinct().count() // block))
+    own = F.pmod(F.xxhash64("stn"), F.lit(blocks)).cast("int")
+    dealt = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") < F.col("other")).alias("first"), "stn", time, "value")
+    kind = dict(obs.dtypes)["stn"]
+
+    def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        steps = pd.factorize(frame[time])[0]
+        height = int(steps.max()) + 1
+        sides = []
+        for part in (frame["first"].to_numpy(), ~frame["first"].to_numpy()) if key[0] != key[1] else (np.ones(len(frame), bool),):
+            place, names = pd.factorize(frame["stn"].to_numpy()[part], sort=True)
+            x, mask = np.zeros((height, len(names))), np.zeros((height, len(names)))
+            x[steps[part], place], mask[steps[part], place] = frame["value"].to_numpy()[part], 1.0
+            if len(names):
+                x = (x - x.sum(0) / mask.sum(0)) * mask  # moments don't depend on it, their rounding does
+            sides.append((names, x, mask))
+        (an, x, mx), (bn, y, my) = sides[0], sides[-1]
+        rho, n = moments(x, y, mx, my)
+        keep = n > 0
+        if key[0] == key[1]:
+            keep &= np.triu(np.ones(keep.shape, bool), 1)
+        i, j = np.nonzero(keep)
+        a, b = np.asarray(an)[i], np.asarray(bn)[j]
+        turn = a > b
+        return pd.DataFrame({"a": np.where(turn, b, a), "b": np.where(turn, a, b), "rho": rho[i, j], "n": n[i, j].astype(np.int64)})
+
+    made = sent.groupBy("i", "j").applyInPandas(work, f"a {kind}, b {kind}, rho double, n long")
+    return made.withColumn("rho", F.nanvl("rho", F.lit(None).cast("double")))
+
+
+def correlations(obs: DataFrame, time: str, block: int = BLOCK) -> DataFrame:
+    """(a, b, rho, n) for stations a < b over common steps; rho is null where either doesn't vary there."""
+    return _block_pairs(obs, time, _moments, block)
+
+
+def rank_correlations(obs: DataFrame, time: str, block: int = BLOCK) -> DataFrame:
     """As correlations, of mean ranks within each pair's common steps."""
-    both = pairs_in_common(obs, time)
-    ranked = both.withColumn("ra", average_rank(F.col("va"), "a", "b")).withColumn("rb", average_rank(F.col("vb"), "a", "b"))
-    return ranked.groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return _block_pairs(obs, time, _ranked_moments, block)
 
 
 def correlated_neighbours(obs: DataFrame, time: str, most: int, least_rho: float, more_than: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fluvia import adapt
 from fluvia.functions import normal, stats
-from fluvia.operators import copula, series
+from fluvia.operators import copula, infill, series, spatial
 from fluvia.plans.registry import query, r6
 
 BINS = 5
@@ -40,7 +40,7 @@ def min_valid_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("series", "SELECT a.stn AS a, b.stn AS b, count(*) AS n FROM series a JOIN series b ON a.d=b.d AND a.stn<b.stn GROUP BY a.stn, b.stn")
 def complete_case_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.pairs_in_common(adapt.series(spark, sf_dir), "d").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return series.correlations(adapt.series(spark, sf_dir), "d").select("a", "b", "n")
 
 
 @query("obs", "SELECT stn, round(min(value),6) AS low, round(max(value),6) AS high, round(avg(value),6) AS mean, round(stddev_samp(value),6) AS sd, round(stddev_samp(value)/avg(value),6) AS cov, round(skewness(value),6) AS skew, count(value) AS n FROM obs GROUP BY stn")
@@ -128,7 +128,7 @@ def cond_cumm_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("obs_month", f"{_UV} SELECT a.stn, round(sum(sign(a.u-b.u)*sign(a.v-b.v))/sqrt(sum(abs(sign(a.u-b.u)))*sum(abs(sign(a.v-b.v)))),6) AS tau_b FROM uv a JOIN uv b ON a.stn=b.stn AND a.m<b.m GROUP BY a.stn")
 def kendall_tau_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copula.kendall_tau_b(pairs_with_mean(spark, sf_dir), "stn", "m").select("stn", r6("tau_b").alias("tau_b"))
+    return copula.kendall_tau_b(pairs_with_mean(spark, sf_dir), "stn").select("stn", r6("tau_b").alias("tau_b"))
 
 
 _AXIS = "ax AS (SELECT (unnest(range(1, 20)))/20e0 AS p)"
@@ -153,11 +153,14 @@ def skill_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapt.forcing(spark, sf_dir).groupBy("basin").agg(r6(stats.nash_sutcliffe(o, s)).alias("ns"), r6(stats.log_nash_sutcliffe(o, s)).alias("ln_ns"), r6(stats.kling_gupta(o, s)).alias("kge"))
 
 
-@query("forcing", "c AS (SELECT dayofweek(d) AS k, avg(q_obs) AS cyc FROM forcing GROUP BY 1), j AS (SELECT basin, q_obs AS o, prec*0.1e0 AS s, cyc FROM forcing JOIN c ON dayofweek(d)=k) SELECT basin, round(1-sum((o-s)*(o-s))/sum((o-cyc)*(o-cyc)),6) AS ns_cycle FROM j GROUP BY basin")
+@query("obs", "j AS (SELECT stn, d, value AS o, 9e-1*value+2+(stn % 3) AS s, avg(value) OVER (PARTITION BY stn, dayofyear(d)) AS c, avg(ln(value)) OVER (PARTITION BY stn, dayofyear(d)) AS lc FROM obs) SELECT stn, round(1-sum((o-s)*(o-s))/sum((o-c)*(o-c)),5) AS ns_cycle, round(1-sum((ln(o)-ln(s))*(ln(o)-ln(s)))/sum((ln(o)-lc)*(ln(o)-lc)),5) AS ln_ns_cycle FROM j GROUP BY stn")
 def skill_vs_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapt.forcing(spark, sf_dir).withColumn("k", F.dayofweek("d"))
-    cycle = rows.groupBy("k").agg(F.avg("q_obs").alias("cyc"))
-    return rows.join(cycle, "k").groupBy("basin").agg(r6(stats.skill_against(F.col("q_obs"), F.col("prec") * 0.1, F.col("cyc"))).alias("ns_cycle"))
+    """Against the mean of each day of the year, of values and of logarithms."""
+    day = Window.partitionBy("stn", F.dayofyear("d"))
+    o = F.col("value")
+    rows = adapt.obs(spark, sf_dir).withColumn("value", o.cast("double")).withColumn("s", 0.9 * o + 2 + F.col("stn") % 3).withColumn("c", F.avg("value").over(day)).withColumn("lc", F.avg(F.ln("value")).over(day))
+    plain, logs = stats.skill_against(o, F.col("s"), F.col("c")), stats.skill_against(F.ln(o), F.ln("s"), F.col("lc"))
+    return rows.groupBy("stn").agg((F.round(plain, 5) + 0.0).alias("ns_cycle"), (F.round(logs, 5) + 0.0).alias("ln_ns_cycle"))
 
 
 @query("forcing", "c AS (SELECT basin, q_obs AS o, prec*0.1e0 AS s FROM forcing) SELECT basin, round(avg(o-s),6) AS bias, round(avg(abs(o-s)),6) AS mae, round(sqrt(avg((o-s)*(o-s))),6) AS rmse, round(avg(o),6) AS mean_obs, round(var_pop(o),6) AS var_obs, round(avg(s),6) AS mean_sim, round(var_pop(s),6) AS var_sim, round(corr(o,s),6) AS pearson FROM c GROUP BY basin")
@@ -167,18 +170,72 @@ def error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapt.forcing(spark, sf_dir).groupBy("basin").agg(*(r6(c).alias(k) for k, c in made.items()))
 
 
-@query("obs_month", f"{_UV}, k AS (SELECT stn, u, v, rank() OVER (PARTITION BY stn ORDER BY v) AS r, count(*) OVER (PARTITION BY stn) AS n FROM uv) SELECT stn, round(100e0*avg(CASE WHEN abs(u-v)<=sqrt(-5e-1*ln(25e-3)/n) THEN 1e0 ELSE 0e0 END),6) AS inside FROM k GROUP BY stn")
+@query("obs_month", "p AS (SELECT stn, m, (rank() OVER (PARTITION BY m ORDER BY value)+(count(*) OVER (PARTITION BY m, value)-1)/2e0)/(count(*) OVER (PARTITION BY m)+1) AS p FROM obs_month), k AS (SELECT stn, p, row_number() OVER (PARTITION BY stn ORDER BY p)/(count(*) OVER (PARTITION BY stn)+1e0) AS t, sqrt(-5e-1*ln(25e-3)/count(*) OVER (PARTITION BY stn)) AS b FROM p) SELECT stn, round(100*avg(CASE WHEN p BETWEEN greatest(0,t-b) AND least(1,t+b) THEN 1e0 ELSE 0e0 END),6) AS inside FROM k GROUP BY stn")
 def ks_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count(F.lit(1)).over(Window.partitionBy("stn"))
-    band = F.sqrt(-0.5 * F.log(F.lit(0.05 / 2)) / n)
-    rows = pairs_with_mean(spark, sf_dir).select("stn", F.when(F.abs(F.col("u") - F.col("v")) <= band, 1.0).otherwise(0.0).alias("hit"))
-    return rows.groupBy("stn").agg(r6(100 * F.avg("hit")).alias("inside"))
+    """Of the positions of a station's values among all stations of the month."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("m")) + 1
+    rows = adapt.obs_month(spark, sf_dir).withColumn("p", series.average_rank(F.col("value"), "m") / n)
+    return infill.ks_share(rows, "stn", "p").withColumn("inside", r6("inside"))
 
 
-@query("obs_month", "q AS (SELECT stn, quantile_cont(value, 5e-2) AS lo, quantile_cont(value, 95e-2) AS hi FROM obs_month GROUP BY stn), f AS (SELECT o.stn, o.m, CASE WHEN value<lo THEN -1 WHEN value>hi THEN 1 ELSE 0 END AS flag FROM obs_month o JOIN q ON o.stn=q.stn) SELECT stn, m, flag, round(100e0*avg(abs(flag)) OVER (PARTITION BY stn),6) AS flagged FROM f")
+# One neighbour has a closed form, which SQL can check.
+_ONE = "nn AS (SELECT a.stn, b.stn AS nb, row_number() OVER (PARTITION BY a.stn ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.stn) AS k FROM stations a JOIN stations b ON a.stn<>b.stn), jn AS (SELECT nn.stn, o.m, o.value AS v, p.value AS w FROM nn JOIN obs_month o ON o.stn=nn.stn JOIN obs_month p ON p.stn=nn.nb AND p.m=o.m WHERE k=1), rk AS (SELECT stn, m, v, count(*) OVER (PARTITION BY stn) AS n, rank() OVER (PARTITION BY stn ORDER BY v)+(count(*) OVER (PARTITION BY stn,v)-1)/2e0 AS rv, rank() OVER (PARTITION BY stn ORDER BY w)+(count(*) OVER (PARTITION BY stn,w)-1)/2e0 AS rw FROM jn), sc AS (SELECT stn, m, v, n, {0} AS zv, {1} AS zw FROM rk), rh AS (SELECT stn, corr(zv,zw) AS rho FROM sc GROUP BY stn)".format(normal.ppf_sql("(rv/(n+1))"), normal.ppf_sql("(rw/(n+1))"))
+
+
+def nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return spatial.nearest_stations(adapt.stations(spark, sf_dir), k).select(F.col("a").alias("stn"), F.col("b").alias("neighbour"), "place")
+
+
+@query("stations obs_month", f"{_ONE} SELECT sc.stn, m, CAST(n AS INT) AS n_recs, round(rho*zw,6)+0e0 AS mu, round(sqrt(1-rho*rho),6) AS sigma FROM sc JOIN rh ON rh.stn=sc.stn WHERE n>=20 AND rho*rho<1")
+def infill_one_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.infill(adapt.obs_month(spark, sf_dir), nearest(spark, sf_dir, 1), "m", everywhere=True)
+    return made.where("mu is not null and observed is not null").select("stn", "m", "n_recs", r6("mu").alias("mu"), r6("sigma").alias("sigma"))
+
+
+def discharge(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    obs = adapt.obs_month(spark, sf_dir)
+    return infill.infill(obs, series.correlated_neighbours(obs, "m", 4, 0.0, 20).select("stn", "neighbour", "place"), "m", infill.Settings(**more), everywhere=True)
+
+
+@query()
+def infill_discharge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discharge(spark, sf_dir).drop("density", "draws")
+
+
+@query()
+def infill_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discharge(spark, sf_dir, draws=5).select("stn", "m", "status", "draws")
+
+
+@query()
+def infill_precip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rain = adapt.series(spark, sf_dir).withColumn("value", F.greatest(F.lit(0.0), F.col("value") - 45))
+    near = series.correlated_neighbours(rain, "d", 4, 0.0, 15).select("stn", "neighbour", "place")
+    return infill.infill(rain, near, "d", infill.Settings(kind="precipitation", min_valid=15, dry=0.0, damp=1.0)).drop("density", "draws")
+
+
+@query()
 def qc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed values against the conditional quantiles of their neighbours."""
+    made = infill.flags(discharge(spark, sf_dir)).where("flag is not null").select("stn", "m", "flag")
+    return made.withColumn("flagged", r6(100 * F.avg(F.abs("flag")).over(Window.partitionBy("stn"))))
+
+
+@query()
+def infill_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.summary(discharge(spark, sf_dir))
+
+
+@query()
+def copula_symmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each station's nearest three."""
     obs = adapt.obs_month(spark, sf_dir)
-    band = obs.groupBy("stn").agg(F.percentile("value", F.lit(0.05)).alias("lo"), F.percentile("value", F.lit(0.95)).alias("hi"))
-    flag = F.when(F.col("value") < F.col("lo"), -1).when(F.col("value") > F.col("hi"), 1).otherwise(0)
-    rows = obs.join(band, "stn").select("stn", "m", flag.alias("flag"))
-    return rows.withColumn("flagged", r6(100 * F.avg(F.abs("flag")).over(Window.partitionBy("stn"))))
+    near = nearest(spark, sf_dir, 3).select(F.col("stn").alias("a"), F.col("neighbour").alias("b"))
+    rows = near.join(obs.select(F.col("stn").alias("a"), "m", F.col("value").alias("va")), "a").join(obs.select(F.col("stn").alias("b"), "m", F.col("value").alias("vb")), ["b", "m"])
+    return infill.symmetric_pairs(rows.select("a", "b", "va", "vb"))
+
+
+@query("forcing", "c AS (SELECT basin, q_obs AS o, prec*0.1e0 AS s FROM forcing), k AS (SELECT basin, rank() OVER (PARTITION BY basin ORDER BY o)+(count(*) OVER (PARTITION BY basin,o)-1)/2e0 AS a, rank() OVER (PARTITION BY basin ORDER BY s)+(count(*) OVER (PARTITION BY basin,s)-1)/2e0 AS b FROM c) SELECT basin, round(corr(a,b),6) AS spearman FROM k GROUP BY basin")
+def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapt.forcing(spark, sf_dir).select("basin", F.col("q_obs").alias("o"), (F.col("prec") * 0.1).alias("s"))
+    return infill.spearman(rows, "basin", "o", "s").withColumn("spearman", r6("spearman"))
