@@ -31,13 +31,13 @@ SEED = 11
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of rows that take part: one per vec_id, not null, all finite, not all zero,
-    of the length that most rows have (ties: the shorter)."""
+    """vec_id and embedding of rows that take part: not null, all finite, not all zero, of the length
+    that most rows have (ties: the shorter; no product is defined with others); equal rows once."""
     rows = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
     finite = "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < cast('Infinity' as double))"
     rows = rows.where(finite).where("exists(embedding, x -> x <> 0)")
     size = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    return rows.where(F.size("embedding") == (size["size"] if size else 0)).dropDuplicates(["vec_id"])
+    return rows.where(F.size("embedding") == (size["size"] if size else 0)).distinct()
 
 
 def _codes(vectors: np.ndarray) -> np.ndarray:
@@ -228,13 +228,14 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> Data
 
     Candidates are all rows but the query's own; nearness is the inner product in double precision;
     ties go to the smaller vec_id. Null, zero and non-finite vectors, and those of an odd length,
-    take no part; rows that repeat a vec_id count once. An empty table gives no rows.
+    take no part. A vec_id with several vectors is a candidate with each of them, never its own, and asks with
+    the smallest; rows that repeat both count once. An empty table gives no rows.
     """
     rows = materialize(usable(vectors), "vectors")
-    # Equal vectors are one node, named after the smallest id; of its copies only k + 1 can ever be returned.
+    # Equal vectors are one node, numbered here; of its copies only k + 1 can ever be returned.
     order = Window.partitionBy("embedding").orderBy("vec_id")
     copies = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("copies"))
-    named = materialize(copies.select(F.col("copies")[0].alias("node"), "embedding", "copies"), "distinct-vectors")
+    named = materialize(copies.select(F.monotonically_increasing_id().alias("node"), "embedding", "copies"), "distinct-vectors")
 
     def encode(batches):
         for batch in batches:
@@ -244,7 +245,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> Data
 
     nodes = materialize(named.select("node", "embedding").mapInArrow(encode, "node long, code binary"), "nodes")
     graph = build_graph(nodes)
-    asking = materialize(rows.where(F.col("vec_id") % every == 0).join(named.select("node", "embedding"), "embedding").select("vec_id", "node"), "queries")
+    asking = materialize(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).join(named.select("node", "embedding"), "embedding").select("vec_id", "node"), "queries")
     query_nodes = asking.select("node").distinct()
     lone = query_nodes.select("node", F.col("node").alias("near"))
     pool = search(graph, nodes, query_nodes)

@@ -26,8 +26,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?:[A-Za-z0-9+/_\-]{16,}+|(?<=" + ASSIGNED +
 BEFORE, AFTER = 48, 24
 #: Trees of the forest, their depth, the least findings in a leaf, share of trees that must agree.
 TREES, DEPTH, LEAF, SEED, THRESHOLD = 11, 5, 4, 5, 0.5
-#: Findings of either label that the built-in training set has.
-FINDINGS = 700
+#: Findings of either label that the built-in training set has, and that are learnt from a table at most.
+FINDINGS, LABELLED = 700, 5000
 
 #: Words whose letters count as covered by a dictionary.
 DICTIONARY = (
@@ -157,8 +157,17 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int):
     return f, cut, _grow(x[low], y[low], rng, depth - 1), _grow(x[~low], y[~low], rng, depth - 1)
 
 
-def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None = None) -> list:
-    """Trees trained on labelled findings (before, candidate, after, label), the built-in ones by default."""
+def train_forest(spark: SparkSession, findings: list[tuple[str, str, str, int]] | DataFrame | None = None) -> list:
+    """Trees trained on labelled findings (before, candidate, after, label), the built-in ones by default.
+
+    From a table of findings, the LABELLED of either label whose hashes are smallest are learnt from, those
+    with a null or a label other than 0 or 1 never.
+    """
+    if isinstance(findings, DataFrame):
+        columns = ("before", "candidate", "after", "label")
+        known = findings.select(*columns).where("label in (0, 1) and before is not null and candidate is not null and after is not null").distinct()
+        order = F.xxhash64(*columns)
+        findings = [tuple(r) for y in (0, 1) for r in known.where(F.col("label") == y).orderBy(order, *columns).limit(LABELLED).collect()]
     findings = findings or labelled_findings()
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     values = ",".join(f"({i},{quote(b)},{quote(c)},{quote(a)},{y})" for i, (b, c, a, y) in enumerate(findings))

@@ -61,3 +61,12 @@ def test_recall(spark, scale):
         hits += len({v for v, _ in mine} & set(ids[best].tolist()))
         total += len(best)
     assert hits / total >= 0.9, hits / total
+
+
+def test_one_id_with_several_vectors(spark):
+    """Each vector is a candidate, none for its own id; the id asks with the smallest."""
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(20, [5.0, 0.5]), (7, [100.0, 0.0]), (7, [100.0, 0.0])]
+    got = gathered(ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5))
+    own = min(x for v, x in rows if v == 20)
+    want = sorted({(-float(np.dot(own, x)), v, tuple(x)) for v, x in rows if v != 20})[:5]
+    assert got == {20: [(v, -s) for s, v, _ in want]}
