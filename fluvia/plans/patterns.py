@@ -87,4 +87,76 @@ def cp_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("field series", f"{_COND}, ob AS (SELECT stn, sqrt(sum(n*(p0-q0)*(p0-q0))/first(total))+sqrt(sum(n*(p1-q1)*(p1-q1))/first(total)) AS o1, sum(n*abs(mean/overall-1))/first(total) AS o3, sum(n*(mean-overall)*(mean-overall))/first(total) AS o6 FROM co GROUP BY stn) SELECT round(sum(o1),5) AS o1, round(sum(o3),5) AS o3, round(sum(o6),4) AS o6 FROM ob")
 def cp_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = patterns.objectives(conditional(spark, sf_dir), 2)
-    return made.select(F.round("o1", 5).alias("o1"), F.round("o3", 5).alias("o3"), F.round("o6", 4).alias("o6"))
+    return made.select(F.round("shares", 5).alias("o1"), F.round("ratios", 5).alias("o3"), F.round("squares", 4).alias("o6"))
+
+
+def _sql_conditional(name: str, first: float, second: float) -> str:
+    """Common table expressions like those of _COND for the values of another table, their names ending in its own."""
+    j = f"j_{name} AS (SELECT w.*, cp FROM {name} w JOIN sel ON sel.t=w.t)"
+    ins = f"ins_{name} AS (SELECT stn, cp, count(*) AS n, avg(value) AS mean, avg(CASE WHEN value>={first} THEN 1e0 ELSE 0e0 END) AS p0, avg(CASE WHEN value>={second} THEN 1e0 ELSE 0e0 END) AS p1 FROM j_{name} GROUP BY stn, cp)"
+    al = f"al_{name} AS (SELECT stn, count(*) AS total, avg(value) AS overall, avg(CASE WHEN value>{first} THEN 1e0 ELSE 0e0 END) AS q0, avg(CASE WHEN value>{second} THEN 1e0 ELSE 0e0 END) AS q1 FROM j_{name} GROUP BY stn)"
+    ob = f"ob_{name} AS (SELECT sum(a) AS shares, sum(b) AS ratios, sum(c) AS squares FROM (SELECT i.stn, sqrt(sum(n*(p0-q0)*(p0-q0))/first(total))+sqrt(sum(n*(p1-q1)*(p1-q1))/first(total)) AS a, sum(n*abs(mean/overall-1))/first(total) AS b, sum(n*(mean-overall)*(mean-overall))/first(total) AS c FROM ins_{name} i JOIN al_{name} a ON a.stn=i.stn GROUP BY i.stn))"
+    return ", ".join((j, ins, al, ob))
+
+
+_OTHERS = f"""{_SEL}, rain AS (SELECT stn, d AS t, value FROM series), cats AS (SELECT stn % 4 AS stn, t, avg(value) AS value FROM rain GROUP BY 1, 2),
+wet AS (SELECT stn % 3 AS stn, t, avg(CASE WHEN value>4e1 THEN 1e0 ELSE 0e0 END) AS value FROM rain GROUP BY 1, 2),
+ww AS (SELECT t, max(value) FILTER (WHERE stn=0) AS a, max(value) FILTER (WHERE stn=1) AS b, max(value) FILTER (WHERE stn=2) AS c FROM wet GROUP BY t),
+two AS (SELECT 0 AS stn, t, CASE WHEN a+b-2*a*b<45e-2 THEN 0e0 ELSE a+b-2*a*b END AS value FROM ww), three AS (SELECT 0 AS stn, t, a+b+c+(a+b-c+1)+(b+c-a+1)+(a+c-b+1) AS value FROM ww),
+lor AS (SELECT stn, t, sum(value) OVER (PARTITION BY t ORDER BY stn)/sum(value) OVER (PARTITION BY t) AS value FROM cats),
+{_sql_conditional('rain', 40.0, 60.0)}, {_sql_conditional('cats', 45.0, 55.0)}, {_sql_conditional('wet', 0.5, 0.7)}, {_sql_conditional('two', 0.5, 0.7)}, {_sql_conditional('three', 0.5, 0.7)}, {_sql_conditional('lor', 0.5, 0.7)},
+pt AS (SELECT a.shares AS o1, b.shares AS o2, a.ratios AS o3, c.shares AS o4, b.ratios AS o5, d.squares AS o6, e.squares AS o7, f.ratios AS o8 FROM ob_rain a, ob_cats b, ob_wet c, ob_two d, ob_three e, ob_lor f), fr AS (SELECT cp, count(*)/(SELECT count(*) FROM sel)::DOUBLE AS share FROM sel WHERE cp<{CPS} GROUP BY cp), la AS (SELECT sum(greatest(0e0,15e-2-share))+({CPS}-count(*))*15e-2 AS lack FROM fr)"""
+
+
+def wetness_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The series that the eight objectives read."""
+    from pyspark.sql import Window
+
+    rain = adapt.series(spark, sf_dir).withColumnRenamed("d", "t")
+    cats = rain.groupBy((F.col("stn") % 4).alias("stn"), "t").agg(F.avg("value").alias("value"))
+    wet = rain.groupBy((F.col("stn") % 3).alias("stn"), "t").agg(F.avg(F.when(F.col("value") > 40, 1.0).otherwise(0.0)).alias("value"))
+    wide = wet.groupBy("t").pivot("stn", [0, 1, 2]).agg(F.max("value")).toDF("t", "a", "b", "c")
+    two = wide.select(F.lit(0).alias("stn"), "t", patterns.wet_pair(F.col("a"), F.col("b"), 0.45).alias("value"))
+    three = wide.select(F.lit(0).alias("stn"), "t", patterns.wet_three(*map(F.col, "abc")).alias("value"))
+    step = Window.partitionBy("t")
+    lorenz = cats.select("stn", "t", (F.sum("value").over(step.orderBy("stn")) / F.sum("value").over(step)).alias("value"))
+    return {"rain": rain, "cats": cats, "wet": wet, "two": two, "three": three, "lor": lorenz}
+
+
+@query("field series", f"{_OTHERS} SELECT round(o2,5) AS o2, round(o4,5) AS o4, round(o5,5) AS o5, round(o6,5) AS o6, round(o7,5) AS o7, round(o8,5) AS o8, round(o1+o2+o3+o4+o5+o6+o7+o8,4) AS total, round((o1+o2+o3+o4+o5+o6+o7+o8)*(1-2*lack),4) AS objective FROM pt, la")
+def cp_objectives_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight, their sum, and the sum less the penalty for rare patterns."""
+    sel, limits = chosen(spark, sf_dir), {"rain": [40.0, 60.0], "cats": [45.0, 55.0]}
+    one = None
+    for name, table in wetness_tables(spark, sf_dir).items():
+        part = patterns.objectives(patterns.conditional(sel, table, limits.get(name, [0.5, 0.7])), 2).toDF(*(f"{name}_{c}" for c in ("shares", "ratios", "squares")))
+        one = part if one is None else one.crossJoin(F.broadcast(part))  # one row each
+    names = {"o1": "rain_shares", "o2": "cats_shares", "o3": "rain_ratios", "o4": "wet_shares", "o5": "cats_ratios", "o6": "two_squares", "o7": "three_squares", "o8": "lor_ratios"}
+    one = one.select(*(F.col(c).alias(k) for k, c in names.items())).withColumn("total", sum((F.col(k) for k in list(names)[1:]), F.col("o1")))
+    counts = patterns.frequency(sel).select("cp", "n").crossJoin(F.broadcast(one))
+    final = patterns.penalised(F.col("total"), counts, CPS, 0.15, 2.0)
+    return one.crossJoin(F.broadcast(final)).select(*(F.round(k, 5).alias(k) for k in names if k not in ("o1", "o3")), F.round("total", 4).alias("total"), F.round("objective", 4).alias("objective"))
+
+
+@query("field series", f"{_SEL}, gen AS (SELECT g.g AS gen, t, CASE WHEN cp={NONE} THEN {NONE} ELSE (cp+g.g*(1+dayofmonth(t) % 2)) % {CPS} END AS cp FROM sel, (SELECT unnest(range(4)) AS g) g), j AS (SELECT gen, s.stn, s.value, cp FROM series s JOIN gen ON gen.t=s.d), ins AS (SELECT gen, stn, cp, count(*) AS n, avg(value) AS mean, avg(CASE WHEN value>=4e1 THEN 1e0 ELSE 0e0 END) AS p0, avg(CASE WHEN value>=6e1 THEN 1e0 ELSE 0e0 END) AS p1 FROM j GROUP BY ALL), al AS (SELECT gen, stn, count(*) AS total, avg(value) AS overall, avg(CASE WHEN value>4e1 THEN 1e0 ELSE 0e0 END) AS q0, avg(CASE WHEN value>6e1 THEN 1e0 ELSE 0e0 END) AS q1 FROM j GROUP BY ALL), o AS (SELECT gen, i.stn, sqrt(sum(n*(p0-q0)*(p0-q0))/first(total))+sqrt(sum(n*(p1-q1)*(p1-q1))/first(total)) AS a, sum(n*abs(mean/overall-1))/first(total) AS b FROM ins i JOIN al USING (gen, stn) GROUP BY gen, i.stn) SELECT CAST(gen AS INT) AS gen, round(sum(a),5) AS o1, round(sum(b),5) AS o3 FROM o GROUP BY gen")
+def cp_score_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of four classifications at once."""
+    many = chosen(spark, sf_dir).withColumn("gen", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    turned = (F.col("cp") + F.col("gen") * (1 + F.dayofmonth("t") % 2)) % CPS
+    many = many.select("gen", "t", F.when(F.col("cp") == NONE, NONE).otherwise(turned).alias("cp"))
+    rows = patterns.conditional(many, adapt.series(spark, sf_dir).withColumnRenamed("d", "t"), [40.0, 60.0], ("gen",))
+    return patterns.objectives(rows, 2, ("gen",)).select("gen", F.round("shares", 5).alias("o1"), F.round("ratios", 5).alias("o3"))
+
+
+@query("field series", f"{_SEL}, j AS (SELECT CASE WHEN dayofmonth(s.d)<=20 THEN 'calibration' ELSE 'validation' END AS period, s.stn, s.value, cp FROM series s JOIN sel ON sel.t=s.d), ins AS (SELECT period, stn, cp, count(*) AS n, avg(value) AS mean, avg(CASE WHEN value>=4e1 THEN 1e0 ELSE 0e0 END) AS p0, avg(CASE WHEN value>=6e1 THEN 1e0 ELSE 0e0 END) AS p1 FROM j GROUP BY ALL), al AS (SELECT period, stn, count(*) AS total, avg(value) AS overall, avg(CASE WHEN value>4e1 THEN 1e0 ELSE 0e0 END) AS q0, avg(CASE WHEN value>6e1 THEN 1e0 ELSE 0e0 END) AS q1 FROM j GROUP BY ALL) SELECT period, i.stn, round(sqrt(sum(n*(p0-q0)*(p0-q0))/first(total)),6) AS i1, round(sqrt(sum(n*(p1-q1)*(p1-q1))/first(total)),6) AS i2, round(sum(abs(greatest(1e-100,mean/overall)-1)*n)/first(total),6) AS i3 FROM ins i JOIN al USING (period, stn) GROUP BY period, i.stn")
+def cp_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules judged on two periods."""
+    periods = chosen(spark, sf_dir).withColumn("period", F.when(F.dayofmonth("t") <= 20, "calibration").otherwise("validation"))
+    rows = patterns.conditional(periods, adapt.series(spark, sf_dir).withColumnRenamed("d", "t"), [40.0, 60.0], ("period",))
+    return patterns.quality(rows, ("period",)).select("period", "stn", *(r6(c).alias(c) for c in ("i1", "i2", "i3")))
+
+
+@query()
+def cp_anneal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rain = adapt.series(spark, sf_dir).withColumnRenamed("d", "t")
+    return patterns.anneal(scaled(spark, sf_dir), rain, NUMBERS, CPS, [40.0, 60.0], chains=2, iterations=600)
