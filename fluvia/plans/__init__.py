@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fluvia.plans import patterns, runoff, select, series, space  # noqa: F401
+from fluvia.plans import geometry, patterns, runoff, select, series, space  # noqa: F401
 from fluvia.plans.registry import PLANS, SQL
 
 
