@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,18 +46,128 @@ def equal_count(pairs: DataFrame, per_bin: int, *by: str) -> DataFrame:
     return pairs.withColumn("bin", F.floor((place - 1) / per_bin).cast("int"))
 
 
-def fit_models(bins: DataFrame, by: str, kinds: tuple[str, ...] = ("Sph", "Exp", "Gau"), steps: int = 24) -> DataFrame:
-    """(by, model, objective, aic): for each group of bins (dist, classic, n) the best model of one type.
+def lag_bins(pairs: DataFrame, width: float, cut: float, *by: str, start: float | None = None) -> DataFrame:
+    """Pairs of at most cut, in bins from the smallest distance of their group (or start) on, each closed below and
+    open above, the last ending with the cut and holding it; bin, low and high are added."""
+    low = F.min("dist").over(Window.partitionBy(*by)) if start is None else F.lit(start)
+    near = pairs.where(F.col("dist") <= cut).withColumn("l_", low)
+    last = F.greatest(F.lit(0), F.ceil((cut - F.col("l_")) / width) - 1)
+    k = F.least(F.floor((F.col("dist") - F.col("l_")) / width), last)
+    placed = near.where(F.col("dist") >= F.col("l_")).withColumn("bin", k.cast("int"))
+    edge = lambda n: F.col("l_") + n * width
+    return placed.withColumn("low", edge(F.col("bin"))).withColumn("high", F.least(edge(F.col("bin") + 1), F.lit(cut))).drop("l_")
 
-    For every type and range of a grid the sill is the weighted least-squares one; the range is then
-    refined by golden sections around the best. Groups with fewer than three bins get no row.
+
+def search_lag(pairs: DataFrame, cut: float, least: int, rounds: int = 100) -> float | None:
+    """The smallest bin width, out of 0.95, 0.95^2, ... of the range of distances while above the smallest of them,
+    with which every bin holds at least so many pairs; None if there is none.
+
+    All widths are counted in one job: a pair is a row for each; what comes back is a number per width.
+    """
+    low = pairs.where(F.col("dist") <= cut).agg(F.min("dist").alias("l")).first()["l"]
+    if low is None:
+        return None
+    widths, w = [], 0.95 * (cut - low)
+    while len(widths) < rounds and w > low and w > 0:
+        widths.append(w)
+        w *= 0.95
+    if not widths:
+        return None
+    many = pairs.where(F.col("dist") <= cut).select("dist").withColumn("w", F.explode(F.array(*map(F.lit, widths))))
+    last = F.greatest(F.lit(0), F.ceil((cut - low) / F.col("w")) - 1)
+    counts = many.groupBy("w", F.least(F.floor((F.col("dist") - low) / F.col("w")), last).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    full = counts.groupBy("w").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("bins")).where((F.col("n") >= least) & (F.col("bins") == F.greatest(F.lit(1), F.ceil((cut - low) / F.col("w")))))
+    return full.agg(F.min("w").alias("w")).first()["w"]
+
+
+def flattening(bins: DataFrame, variance: float, tolerance: float = 0.025) -> float | None:
+    """Distance at which a variogram of equal bins (bin, dist, classic) flattens: the last bin, among the first four fifths
+    and behind that of the steepest fall, that rises by less than tolerance of the variance; None if there is none.
+
+    bins are a variogram's few; they are brought to the driver."""
+    rows = bins.orderBy("bin").select("dist", "classic").collect()
+    rows = rows[: int(0.8 * len(rows))]
+    steps = np.round(np.diff([r["classic"] for r in rows]) / variance, 2)
+    if not len(steps) or steps.min() > tolerance:
+        return None
+    start, found = int(steps.argmin()) + 1, None
+    for i, v in enumerate(steps[start:]):
+        if 0 < v < tolerance:
+            found = rows[start + i]["dist"]
+    return found
+
+
+def cut_distance(pairs: DataFrame, share: float | str = 0.5, variance: float | None = None) -> float:
+    """Largest distance of the pairs that count: a share of the largest there is, or 'auto' (flattening of 20 bins, else half)."""
+    far = pairs.agg(F.max("dist").alias("d")).first()["d"]
+    if share != "auto":
+        return far * float(share)
+    found = flattening(binned(lag_bins(pairs, far / 20, far), ["bin"]), variance or 1.0)
+    return found if found is not None else far * 0.5
+
+
+#: Types of variogram terms that are fitted, and how many numbers each has.
+FITTED = {"Nug": 1, "Sph": 2, "Exp": 2, "Gau": 2, "Lin": 2}
+
+
+def _fit(h: np.ndarray, g: np.ndarray, w: np.ndarray, kinds: tuple[str, ...], grid: int) -> tuple[float, Model]:
+    """Weighted least squares of a nested model: ranges over a grid, then refined in turn by golden sections; sills, which
+    enter linearly, by least squares with none below zero for each choice of ranges."""
+
+    def sills(ranges):
+        shapes = np.stack([gamma_array(h, [(1.0, k, r)]) for k, r in zip(kinds, ranges, strict=True)], 1) * np.sqrt(w)[:, None]
+        goal, used, s = g * np.sqrt(w), np.ones(len(kinds), bool), np.zeros(len(kinds))
+        while used.any():
+            s[:] = 0
+            s[used] = np.linalg.lstsq(shapes[:, used], goal, rcond=None)[0]
+            if (s[used] > 0).all():
+                break
+            used &= s > 0
+        else:
+            s[:] = 0
+        return float(((shapes @ s - goal) ** 2).sum()), s
+
+    free = [i for i, k in enumerate(kinds) if FITTED[k] == 2]
+    choices = np.linspace(h.min() + 1e-6, 1.5 * h.max(), grid)
+    start, cost = None, np.inf
+    for pick in itertools.product(choices, repeat=len(free)):
+        ranges = np.zeros(len(kinds))
+        ranges[free] = pick
+        if any(b < a for a, b in itertools.pairwise(pick)) and len(set(kinds[i] for i in free)) == 1:
+            continue
+        c, _ = sills(ranges)
+        if c < cost:
+            start, cost = ranges, c
+    step, ratio = choices[1] - choices[0] if grid > 1 else h.max(), (5**0.5 - 1) / 2
+    for _ in range(3 if len(free) > 1 else 1):
+        for i in free:
+            lo, hi = max(1e-6, start[i] - step), start[i] + step
+            for _ in range(25):
+                a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
+                one, two = start.copy(), start.copy()
+                one[i], two[i] = a, b
+                lo, hi = (lo, b) if sills(one)[0] <= sills(two)[0] else (a, hi)
+            moved = start.copy()
+            moved[i] = (lo + hi) / 2
+            c, _ = sills(moved)
+            if c <= cost:
+                start, cost = moved, c
+    cost, s = sills(start)
+    model = sorted(((float(v), k, float(r)) for v, k, r in zip(s, kinds, start, strict=True) if v > 0), key=lambda t: t[2])
+    return cost, model or [(1e-9, "Nug", 0.0)]
+
+
+def fit_models(bins: DataFrame, by: str, kinds: tuple[str, ...] = ("Nug", "Sph", "Exp", "Gau"), terms: int = 2, n_best: int = 1, grid: int = 5) -> DataFrame:
+    """(by, place, model, objective, aic): for each group of bins (dist, classic, n) the n_best nested models.
+
+    Every choice of up to `terms` of the kinds is fitted, in any order of ranges, with weights n / gamma^2;
+    models are told apart by AIC, N log(objective) + 2 k, and their terms stand in the order of ranges. A task
+    fits one group and choice. Groups with fewer than three bins get no row.
     """
     key = bins.schema[by].dataType.simpleString()
-
-    def objective(kind, reach, h, g, w):
-        shape = gamma_array(h, [(1.0, kind, reach)])
-        sill = max(1e-9, float((w * shape * g).sum() / max(1e-12, (w * shape * shape).sum())))
-        return float((w * (sill * shape - g) ** 2).sum()), sill
+    names = [k for k in kinds if k in FITTED]
+    combos = [c for n in range(1, terms + 1) for c in itertools.combinations_with_replacement(names, n) if c.count("Nug") < 2 and c != ("Nug",)]
+    tried = bins.select(by, "dist", "classic", "n").withColumn("kinds", F.explode(F.array(*(F.lit("+".join(c)) for c in combos))))
 
     def fit(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("dist")
@@ -64,22 +175,48 @@ def fit_models(bins: DataFrame, by: str, kinds: tuple[str, ...] = ("Sph", "Exp",
         columns = [by, "model", "objective", "aic"]
         if len(h) < 3 or h.max() <= 0:
             return pd.DataFrame([], columns=columns)
-        w, best = n / np.maximum(g, 1e-9) ** 2, None
-        for kind in kinds:
-            ranges = np.linspace(h.min() + 1e-6, 2 * h.max(), steps)
-            costs = [objective(kind, r, h, g, w)[0] for r in ranges]
-            i = int(np.argmin(costs))
-            lo, hi, ratio = ranges[max(0, i - 1)], ranges[min(steps - 1, i + 1)], (5**0.5 - 1) / 2
-            for _ in range(30):
-                a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-                lo, hi = (lo, b) if objective(kind, a, h, g, w)[0] <= objective(kind, b, h, g, w)[0] else (a, hi)
-            reach = (lo + hi) / 2
-            cost, sill = objective(kind, reach, h, g, w)
-            if best is None or cost < best[0]:
-                best = cost, format_model([(sill, kind, reach)])
-        return pd.DataFrame([(keys[0], best[1], best[0], len(h) * np.log(max(best[0], 1e-300)) + 4)], columns=columns)
-
-    return bins.select(by, "dist", "classic", "n").groupBy(by).applyInPandas(fit, f"{by} {key}, model string, objective double, aic double")
+        chosen = tuple(keys[1].split("+"))
+        cost, model = _fit(h, g, n / np.maximum(g, 1e-9) ** 2, chosen, grid)
+        aic = len(h) * np.log(max(cost, 1e-300)) + 2 * sum(FITTED[k] for k in chosen)
+        return pd.DataFrame([(keys[0], format_model(model), cost, aic)], columns=columns)
+
+    made = tried.groupBy(by, "kinds").applyInPandas(fit, f"{by} {key}, model string, objective double, aic double").distinct()
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.round("aic", 6), "model"))
+    return made.withColumn("place", place).where(F.col("place") <= n_best).select(by, "place", "model", "objective", "aic")
+
+
+def fit_times(obs: DataFrame, stations: DataFrame, time: str, width: float, cut: float, least: int = 20, **options) -> DataFrame:
+    """fit_models for every time at which at least so many stations have a value."""
+    known = obs.where("value is not null")
+    enough = known.groupBy(time).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") >= least).select(time)
+    pairs = value_pairs(known.join(enough, time, "left_semi"), stations, cut, time)
+    return fit_models(binned(lag_bins(pairs, width, cut, time, start=0.0), [time, "bin"]), time, **options)
+
+
+def drift_fields(obs: DataFrame, stations: DataFrame, time: str, drift: str, degree: int, cells: DataFrame) -> DataFrame:
+    """(time, r, c, value): a polynomial of a drift fitted to each time's values, at the drift of cells (r, c, drift).
+
+    Sums of powers per time make the normal equations; a task solves those of a time. Times with no more stations than the degree get no row.
+    """
+    d = F.col("d_")
+    rows = obs.where("value is not null").join(stations.select("stn", F.col(drift).cast("double").alias("d_")), "stn")
+    scale = rows.agg(F.avg("d_").alias("m"), F.coalesce(F.nullif(F.stddev_pop("d_"), F.lit(0.0)), F.lit(1.0)).alias("s")).first()
+    z = (d - scale["m"]) / scale["s"]
+    sums = rows.groupBy(time).agg(*(F.sum(F.pow(z, F.lit(float(i)))).alias(f"x{i}") for i in range(2 * degree + 1)), *(F.sum(F.pow(z, F.lit(float(i))) * F.col("value")).alias(f"y{i}") for i in range(degree + 1)), F.count_distinct("d_").alias("k"))
+    kind = obs.schema[time].dataType.simpleString()
+
+    def solve(frames):
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                left = np.array([[r[f"x{i + j}"] for j in range(degree + 1)] for i in range(degree + 1)])
+                out.append((r[time], np.linalg.solve(left, [r[f"y{i}"] for i in range(degree + 1)]).tolist()))
+            yield pd.DataFrame(out, columns=[time, "b_"])
+
+    fitted = sums.where(F.col("k") > degree).mapInPandas(solve, f"{time} {kind}, b_ array<double>")
+    at = (F.col(drift).cast("double") - scale["m"]) / scale["s"]
+    value = sum((F.col("b_")[i] * F.pow(at, F.lit(float(i))) for i in range(1, degree + 1)), F.col("b_")[0])
+    return cells.crossJoin(F.broadcast(fitted)).select(time, "r", "c", value.alias("value"))
 
 
 #: Targets whose right-hand sides are held at a time, and numbers of stacked systems.

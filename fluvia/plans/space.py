@@ -88,8 +88,39 @@ def variogram_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def variogram_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = geostat.binned(geostat.equal_width(month_pairs(spark, sf_dir), 25.0), ["m", "bin"])
-    return geostat.fit_models(bins, "m")
+    """The two best nested models of each third month with values of at least five stations."""
+    obs = adapt.obs_month(spark, sf_dir).where("m % 3 = 0")
+    made = geostat.fit_times(obs, stations(spark, sf_dir), "m", 50.0, 600.0, 5, n_best=2)
+    return made.select("m", "place", "model", r6("objective").alias("objective"), r6("aic").alias("aic"))
+
+
+_CUT = "ft AS (SELECT max(dist)*35e-2 AS cut, min(dist) AS lo FROM pr), wd AS (SELECT k, (cut-lo)*pow(95e-2,k) AS w, cut, lo FROM ft, (SELECT unnest(range(1,101)) AS k)), ct AS (SELECT k, w, cut, lo, least(floor((dist-lo)/w), greatest(0, ceil((cut-lo)/w)-1)) AS b, count(*) AS n FROM wd, pr WHERE dist<=cut AND w>lo GROUP BY ALL), ok AS (SELECT w FROM ct GROUP BY k, w, cut, lo HAVING min(n)>=2 AND count(*)=greatest(1, ceil((cut-lo)/w)))"
+
+
+@query("stations", f"{_EVERY}, {_CUT} SELECT round(max(cut),6) AS cut, (SELECT round(min(w),5) FROM ok) AS width FROM ft")
+def lag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cut at 0.35 of the largest distance, and the smallest width whose bins all hold two pairs."""
+    pairs = spatial.station_pairs(stations(spark, sf_dir))
+    cut = geostat.cut_distance(pairs, 0.35)
+    width = geostat.search_lag(pairs, cut, 2)
+    return spark.createDataFrame([(round(cut, 6), None if width is None else round(width, 5))], "cut double, width double")
+
+
+@query("stations", f"{_EVERY}, e AS (SELECT *, least(CAST(floor((dist-15e0)/70) AS INT),5) AS bin FROM pr WHERE dist>=15 AND dist<=400) SELECT bin, 15e0+bin*70 AS low, least(400e0,15e0+(bin+1)*70) AS high, round(avg(dist),6) AS dist, count(*) AS n FROM e GROUP BY bin")
+def lag_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = geostat.lag_bins(spatial.station_pairs(stations(spark, sf_dir)), 70.0, 400.0, start=15.0)
+    return made.groupBy("bin", "low", "high").agg(r6(F.avg("dist")).alias("dist"), F.count(F.lit(1)).alias("n"))
+
+
+@query("", "m AS (SELECT 13e0 AS sill, 120e0 AS last) SELECT * FROM m")
+def total_sill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([variogram.total_sill_last_range(variogram.parse(MODEL))], "sill double, last double")
+
+
+@query("stations obs_month cells", "q AS (SELECT o.m, regr_slope(value, z) AS a, regr_intercept(value, z) AS b FROM obs_month o JOIN stations s ON s.stn=o.stn GROUP BY o.m HAVING count(DISTINCT z)>1) SELECT q.m, r, c, round(b+a*k.value,5) AS value FROM q, (SELECT r, c, value FROM cells WHERE r<3 AND r*50+c>0) k")
+def drift_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = adapt.cells(spark, sf_dir).where("r < 3 and r * 50 + c > 0").select("r", "c", F.col("value").alias("z"))
+    return geostat.drift_fields(adapt.obs_month(spark, sf_dir), stations(spark, sf_dir), "m", "z", 1, grid).withColumn("value", F.round("value", 5))
 
 
 _RAW = "coalesce(avg(value) FILTER (WHERE dist=0), sum(value/(dist*dist)) FILTER (WHERE dist>0)/sum(1/(dist*dist)) FILTER (WHERE dist>0))"
