@@ -420,7 +420,9 @@ def krige_all(
         out["estimate"], out["variance"], out["weights"], out["n"], out["status"] = made["e"], made["v"], made["w"], used, made["s"]
         return out
 
-    return values.groupBy(time).cogroup(at.groupBy(time)).applyInPandas(solve, schema)
+    # Times are few and heavy: their tables are small, so that Spark would put many of them into one task.
+    n = max(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * obs.sparkSession.sparkContext.defaultParallelism)
+    return values.repartition(n, time).groupBy(time).cogroup(at.repartition(n, time).groupBy(time)).applyInPandas(solve, schema)
 
 
 def krige_fields(targets: DataFrame, stations: DataFrame, obs: DataFrame, time: str, models: DataFrame, kind: str = "ordinary", low: float | str | None = "min_in", high: float | str | None = "max_in", **more) -> DataFrame:
