@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.llm import ann, bpe_trie, gif_media, line_dedup, packing, pii, secret_scan, simhash, suffix_dedup, toxicity
+from fluvia.llm import ann, bpe_trie, exact_dedup, gif_media, line_dedup, packing, pii, secret_scan, simhash, suffix_dedup, toxicity
 from fluvia.llm.common import documents, table
+from fluvia.session import ship
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +58,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), with_ids=False)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(ship(spark), f"{sf_dir}/documents.parquet")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_toxicity, op3_simhash, op4_bpe_trie, op5_gif_media, op6_pii, op7_secret_scan, op8_ann, op9_line_dedup, op10_packing)
+    found = (op1_suffix_dedup, op2_toxicity, op3_simhash, op4_bpe_trie, op5_gif_media, op6_pii, op7_secret_scan, op8_ann, op9_line_dedup, op10_packing, op11_exact_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op9_line_dedup": line_dedup.ORACLE_SQL, "op11_exact_dedup": exact_dedup.ORACLE_SQL}
