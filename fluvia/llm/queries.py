@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluvia.llm import ann, bpe_trie, exact_dedup, gif_media, line_dedup, packing, pii, secret_scan, simhash, suffix_dedup, toxicity
+from fluvia.llm import ann, bpe_trie, dual_tree, exact_dedup, gif_media, line_dedup, packing, pii, ranked_search, secret_scan, simhash, suffix_dedup, toxicity
 from fluvia.llm.common import documents, table
 from fluvia.session import ship
 
@@ -62,10 +62,19 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(ship(spark), f"{sf_dir}/documents.parquet")
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(documents(spark, sf_dir))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_dedup, op2_toxicity, op3_simhash, op4_bpe_trie, op5_gif_media, op6_pii, op7_secret_scan, op8_ann, op9_line_dedup, op10_packing, op11_exact_dedup)
+    found = (op1_suffix_dedup, op2_toxicity, op3_simhash, op4_bpe_trie, op5_gif_media, op6_pii, op7_secret_scan, op8_ann, op9_line_dedup, op10_packing, op11_exact_dedup, op12_centroid_clustering, op13_ranked_search)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.ORACLE_SQL, "op11_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op9_line_dedup": line_dedup.ORACLE_SQL, "op11_exact_dedup": exact_dedup.ORACLE_SQL, "op12_centroid_clustering": dual_tree.oracle_sql(), "op13_ranked_search": ranked_search.ORACLE_SQL}
