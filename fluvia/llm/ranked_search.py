@@ -232,11 +232,13 @@ def _top(scored: DataFrame, k: int, tier: int) -> DataFrame:
     return ranked.select("item", "rank", "doc_id", "score", F.lit(tier).alias("tier"))
 
 
-def _exact(index: Index, weights: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(item, doc_id, score) of candidates (item, shard, doc, doc_id), from the postings of all tiers."""
+def _exact(index: Index, weights: DataFrame, candidates: DataFrame, terms: DataFrame) -> DataFrame:
+    """(item, doc_id, score) of candidates (item, shard, doc, doc_id), from the postings of all tiers; terms: those of weights."""
     there = candidates.groupBy("item", "shard").agg(F.collect_list(F.struct("doc", "doc_id")).alias("wanted"))
     asked = there.join(weights, "item").select("item", "shard", "term", "w", "wanted")
-    met = asked.join(index.postings.select("shard", "term", "docs", "impacts"), ["shard", "term"])
+    # Few of the index's terms are asked for: the others go before postings are shuffled.
+    postings = index.postings.select("shard", "term", "docs", "impacts").join(terms, "term", "left_semi")
+    met = asked.join(postings, ["shard", "term"])
     each = met.select("item", "shard", "w", F.explode("wanted").alias("x"), "docs", "impacts")
     impact = F.coalesce(F.try_element_at("impacts", F.nullif(F.array_position("docs", F.col("x.doc")), F.lit(0)).cast("int")), F.lit(0))
     return each.groupBy("item", "shard", F.col("x.doc").alias("doc"), F.col("x.doc_id").alias("doc_id")).agg(F.sum(F.col("w") * impact).alias("score")).select("item", "doc_id", "score")
@@ -252,7 +254,8 @@ def search(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
     """
     asked = materialize(item_terms(items), "item-terms")
     names = materialize(asked.select("item_id").distinct().select(F.monotonically_increasing_id().alias("item"), "item_id"), "items")
-    df = index.postings.where("tier = 0").join(asked.select("term").distinct(), "term").groupBy("term").agg(F.sum("df").alias("df"))
+    terms = materialize(asked.select("term").distinct(), "terms")
+    df = index.postings.where("tier = 0").join(terms, "term").groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log((2 * F.lit(index.documents) + 2).cast("double") / (2 * F.col("df") + 1).cast("double")))
     numbered = asked.join(names, asked["item_id"].eqNullSafe(names["item_id"])).select("item", "term", "times")
     weights = materialize(numbered.join(df, "term").select("item", "term", (F.col("times") * weight).cast("long").alias("w")).where("w > 0"), "item-weights")
@@ -266,7 +269,7 @@ def search(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
         others = shown.where("doc is null").groupBy("item").agg(F.max("high").alias("others"))
         proven = materialize(floor.join(others, "item").where("others < floor").select("item", "floor"), "proven")
         candidates = shown.where("doc is not null").join(proven, "item").where("high >= floor").select("item", "shard", "doc", "doc_id")
-        found.append(_top(_exact(index, weights, candidates), k, tier))
+        found.append(_top(_exact(index, weights, candidates, terms), k, tier))
         pending = materialize(pending.join(proven, "item", "left_anti"), "pending")
         if not pending.limit(1).count():
             break
