@@ -7,21 +7,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.functions.variogram import format_model, gamma_array, parse
+from fluvia.operators.fields import meet, numbers, own_places, unit_rows
 from fluvia.operators.select import clamp_field
 from fluvia.operators.spatial import station_pairs
+from fluvia.session import materialize
 
 Model = list[tuple[float, str, float]]
 
 
-def value_pairs(obs: DataFrame, stations: DataFrame, reach: float | None, time: str) -> DataFrame:
-    """(time, a, b, dist, va, vb) for stations within reach (None: all) that have a value at the same time."""
+#: Steps of a piece of a series that travels as an array; ranges of distances that pairs are dealt to.
+PIECE, RANGES = 64, 64
+
+
+def _pieces(obs: DataFrame, time: str, stn: str, values: str) -> DataFrame:
+    """(stn, piece, values): series cut into arrays of PIECE steps, in their order, without a value where there is none."""
+    step = (F.unix_date(time) if dict(obs.dtypes)[time] == "date" else F.col(time)).cast("long")
+    rows = obs.where("value is not null").select(F.col("stn").alias(stn), F.floor(step / PIECE).alias("piece"), F.pmod(step, F.lit(PIECE)).cast("int").alias("i_"), "value")
+    found = rows.groupBy(stn, "piece").agg(F.map_from_entries(F.collect_list(F.struct("i_", "value"))).alias("m_"))
+    return found.select(stn, "piece", F.transform(F.sequence(F.lit(0), F.lit(PIECE - 1)), lambda i: F.try_element_at("m_", i)).alias(values))
+
+
+def value_pairs(obs: DataFrame, stations: DataFrame, reach: float | None, time: str, ranged: bool = False) -> DataFrame:
+    """(time, a, b, dist, va, vb) for stations within reach (None: all) that have a value at the same time.
+
+    obs: one row a station and time. Where times are dates or whole numbers, series meet as arrays of PIECE steps, so
+    that pairs are shuffled once a piece, not once a time. ranged: adds range, that of the pair's place in the
+    order of (dist, a, b), the same for all times, for equal_count.
+    """
     near = station_pairs(stations, reach)
-    va, vb = obs.select(F.col("stn").alias("a"), time, F.col("value").alias("va")), obs.select(F.col("stn").alias("b"), time, F.col("value").alias("vb"))
-    return near.join(va, "a").join(vb, ["b", time])
+    if ranged:
+        near = materialize(near.repartitionByRange(RANGES, "dist", "a", "b").withColumn("range", F.spark_partition_id()), "ranged-pairs")
+    kind = dict(obs.dtypes)[time]
+    more = ["range"] if ranged else []
+    if kind not in ("date", "tinyint", "smallint", "int", "bigint"):
+        va, vb = obs.select(F.col("stn").alias("a"), time, F.col("value").alias("va")), obs.select(F.col("stn").alias("b"), time, F.col("value").alias("vb"))
+        return near.join(va, "a").join(vb, ["b", time]).select(time, "a", "b", "dist", "va", "vb", *more)
+    met = near.join(_pieces(obs, time, "a", "as_"), "a").join(_pieces(obs, time, "b", "bs_"), ["b", "piece"])
+    each = met.select("a", "b", "dist", *more, "piece", F.posexplode(F.arrays_zip("as_", "bs_")).alias("i_", "v_"))
+    each = each.where("v_.as_ is not null and v_.bs_ is not null")
+    step = F.col("piece") * PIECE + F.col("i_")
+    back = F.date_from_unix_date(step.cast("int")) if kind == "date" else step.cast(kind)
+    return each.select(back.alias(time), "a", "b", "dist", F.col("v_.as_").alias("va"), F.col("v_.bs_").alias("vb"), *more)
 
 
 def cloud(pairs: DataFrame) -> DataFrame:
@@ -41,9 +72,17 @@ def equal_width(pairs: DataFrame, width: float) -> DataFrame:
 
 
 def equal_count(pairs: DataFrame, per_bin: int, *by: str) -> DataFrame:
-    """Bins of per_bin pairs each, in the order of distance, within each group."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("dist", "a", "b"))
-    return pairs.withColumn("bin", F.floor((place - 1) / per_bin).cast("int"))
+    """Bins of per_bin pairs each, in the order of (dist, a, b), within each group.
+
+    pairs come from value_pairs(ranged=True): a pair's place is its place among those of its group and range, and
+    the number of pairs of the group in the ranges before. A window thus holds a range, not a group.
+    """
+    counts = pairs.groupBy(*by, "range").agg(F.count(F.lit(1)).alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*by, "range", before.alias("before_"))
+    place = F.row_number().over(Window.partitionBy(*by, "range").orderBy("dist", "a", "b"))
+    placed = pairs.withColumn("place_", place).join(starts, [*by, "range"])
+    return placed.withColumn("bin", F.floor((F.col("before_") + F.col("place_") - 1) / per_bin).cast("int")).drop("before_", "place_", "range")
 
 
 def lag_bins(pairs: DataFrame, width: float, cut: float, *by: str, start: float | None = None) -> DataFrame:
@@ -62,7 +101,7 @@ def search_lag(pairs: DataFrame, cut: float, least: int, rounds: int = 100) -> f
     """The smallest bin width, out of 0.95, 0.95^2, ... of the range of distances while above the smallest of them,
     with which every bin holds at least so many pairs; None if there is none.
 
-    All widths are counted in one job: a pair is a row for each; what comes back is a number per width.
+    All widths are counted in one job, in each task's arrays: a task gives a number for each bin of each width.
     """
     low = pairs.where(F.col("dist") <= cut).agg(F.min("dist").alias("l")).first()["l"]
     if low is None:
@@ -73,11 +112,20 @@ def search_lag(pairs: DataFrame, cut: float, least: int, rounds: int = 100) -> f
         w *= 0.95
     if not widths:
         return None
-    many = pairs.where(F.col("dist") <= cut).select("dist").withColumn("w", F.explode(F.array(*map(F.lit, widths))))
-    last = F.greatest(F.lit(0), F.ceil((cut - low) / F.col("w")) - 1)
-    counts = many.groupBy("w", F.least(F.floor((F.col("dist") - low) / F.col("w")), last).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    full = counts.groupBy("w").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("bins")).where((F.col("n") >= least) & (F.col("bins") == F.greatest(F.lit(1), F.ceil((cut - low) / F.col("w")))))
-    return full.agg(F.min("w").alias("w")).first()["w"]
+    bins = [max(1, int(np.ceil((cut - low) / w))) for w in widths]
+
+    def count(batches):
+        total = [np.zeros(n, np.int64) for n in bins]
+        for batch in batches:
+            d = batch.column(0).to_numpy() - low
+            for i, w in enumerate(widths):
+                total[i] += np.bincount(np.minimum(np.floor(d / w), bins[i] - 1).astype(np.int64), minlength=bins[i])
+        for i, n in enumerate(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), i, np.int32)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], ["w", "k", "n"])
+
+    counts = pairs.where(F.col("dist") <= cut).select(F.col("dist").cast("double")).mapInArrow(count, "w int, k int, n long").groupBy("w", "k").agg(F.sum("n").alias("n"))
+    full = counts.groupBy("w").agg(F.min("n").alias("n")).where(F.col("n") >= max(1, least)).agg(F.max("w").alias("w")).first()["w"]
+    return None if full is None else widths[full]
 
 
 def flattening(bins: DataFrame, variance: float, tolerance: float = 0.025) -> float | None:
@@ -221,84 +269,135 @@ def drift_fields(obs: DataFrame, stations: DataFrame, time: str, drift: str, deg
 
 #: Targets whose right-hand sides are held at a time, and numbers of stacked systems.
 TARGETS, STACKED = 512, 1 << 21
+#: Kinds without a condition on the sum of weights.
+_SIMPLE = ("simple", "indicator_simple")
+_KINDS = ("ordinary", "drift", "indicator", *_SIMPLE)
+
+
+class Estimates:
+    """What kriging gives at some targets: arrays of estimates, variances, sums of weights, multipliers (one row a target) and statuses."""
+
+    def __init__(self, n: int, m: int, status: str = "empty"):
+        self.value, self.variance, self.weights = (np.full(n, np.nan) for _ in range(3))
+        self.multipliers, self.status = np.full((n, m), np.nan), np.full(n, status, object)
+
+    def put(self, at, other: Estimates) -> None:
+        for name in ("value", "variance", "weights", "multipliers", "status"):
+            getattr(self, name)[at] = getattr(other, name)
+
+    def one(self, i: int = 0) -> tuple[float, float, float, str]:
+        return float(self.value[i]), float(self.variance[i]), float(self.weights[i]), str(self.status[i])
 
 
 def _sides(kind: str, drift: np.ndarray) -> np.ndarray:
     """What weights have to meet besides: nothing, a sum of one, or that and the drifts; one row each, stacks in front."""
-    if kind == "simple":
+    if kind in _SIMPLE:
         return np.zeros((*drift.shape[:-2], 0, drift.shape[-2]))
     ones = np.ones((*drift.shape[:-2], 1, drift.shape[-2]))
     return np.concatenate([ones, np.swapaxes(drift, -1, -2)], -2) if kind == "drift" else ones
 
 
-def _systems(kind: str, model: Model, x, y, z, drift, x0, y0, d0, sill: float, limit: float) -> list[tuple[float, float, float, str]]:
-    """Estimate, variance, sum of weights and status at each target; x, y, z: (targets, points), drift: (targets, points, drifts)."""
-    t, n = z.shape
-    between = gamma_array(np.hypot(x[:, :, None] - x[:, None], y[:, :, None] - y[:, None]), model)
+def _left(kind: str, model: Model, x, y, drift, sill: float) -> np.ndarray:
+    """The matrix of the system, or of a stack of them."""
+    n, sides = x.shape[-1], _sides(kind, drift)
+    m = sides.shape[-2]
+    left = np.zeros((*x.shape[:-1], n + m, n + m))
+    between = gamma_array(np.hypot(x[..., :, None] - x[..., None, :], y[..., :, None] - y[..., None, :]), model)
+    left[..., :n, :n] = sill - between if kind in _SIMPLE else between
+    left[..., n:, :n], left[..., :n, n:] = sides, np.swapaxes(sides, -1, -2)
+    return left
+
+
+def _right(kind: str, model: Model, x, y, x0, y0, d0, m: int, sill: float) -> np.ndarray:
+    """Right-hand sides, one row a target; x, y: of all points, or a row for each target."""
     across = gamma_array(np.hypot(x - x0[:, None], y - y0[:, None]), model)
-    sides = _sides(kind, drift)
-    m = sides.shape[1]
-    left, right = np.zeros((t, n + m, n + m)), np.zeros((t, n + m))
-    left[:, :n, :n] = sill - between if kind == "simple" else between
-    left[:, n:, :n], left[:, :n, n:] = sides, np.swapaxes(sides, 1, 2)
-    right[:, :n] = sill - across if kind == "simple" else across
-    right[:, n : n + 1] = 1.0
-    right[:, n + 1 :] = d0 if m > 1 else 0
+    right = np.ones((len(x0), across.shape[1] + m))
+    right[:, : across.shape[1]] = sill - across if kind in _SIMPLE else across
+    if m > 1:
+        right[:, across.shape[1] + 1 :] = d0
+    return right
+
+
+def _estimates(kind: str, w: np.ndarray, right: np.ndarray, z: np.ndarray, sill: float, limit: float) -> Estimates:
+    """From solutions and right-hand sides, one row a target; z: of all points, or a row for each target."""
+    n = z.shape[-1]
+    lam, out = w[:, :n], Estimates(len(w), w.shape[1] - n, "ok")
+    if kind.startswith("indicator"):
+        out.value = np.maximum(0.0, np.where(z <= limit, lam, 0.0).sum(1))
+        out.variance = out.value * (1 - out.value)
+    else:
+        out.value = (lam * z).sum(1)
+        out.variance = np.maximum(0.0, sill - (lam * right[:, :n]).sum(1) if kind == "simple" else (w * right).sum(1))
+    out.weights, out.multipliers = lam.sum(1), w[:, n:]
+    return out
+
+
+def _multipliers(kind: str, drifts: int) -> int:
+    return 0 if kind in _SIMPLE else 1 + drifts * (kind == "drift")
+
+
+def _systems(kind: str, model: Model, x, y, z, drift, x0, y0, d0, sill: float, limit: float) -> Estimates:
+    """At each target from points of its own; x, y, z: (targets, points), drift: (targets, points, drifts)."""
+    t, n = z.shape
+    left = _left(kind, model, x, y, drift, sill)
+    m = left.shape[-1] - n
+    right = _right(kind, model, x, y, x0, y0, d0, m, sill)
     try:
         w = np.linalg.solve(left, right[..., None])[..., 0]
     except np.linalg.LinAlgError:
-        if t == 1:
-            return [(np.nan, np.nan, np.nan, "singular")]
-        return [row for i in range(t) for row in _systems(kind, model, *(v[i : i + 1] for v in (x, y, z, drift, x0, y0, d0)), sill, limit)]
-    lam = w[:, :n]
-    if kind == "indicator":
-        value = np.maximum(0.0, np.where(z <= limit, lam, 0.0).sum(1))
-        variance = value * (1 - value)
-    else:
-        value = (lam * z).sum(1)
-        variance = np.maximum(0.0, sill - (lam * right[:, :n]).sum(1) if kind == "simple" else (w * right).sum(1))
-    return [(*row, "ok") for row in zip(value.tolist(), variance.tolist(), lam.sum(1).tolist(), strict=True)]
+        out = Estimates(t, m, "singular")
+        for i in range(t if t > 1 else 0):
+            out.put([i], _systems(kind, model, *(v[i : i + 1] for v in (x, y, z, drift, x0, y0, d0)), sill, limit))
+        return out
+    return _estimates(kind, w, right, z, sill, limit)
 
 
-def _solve(kind: str, model: Model, x, y, z, drift, x0, y0, d0, sill, limit) -> tuple[float, float, float, str]:
+def _alone(kind: str, model: Model, x, y, z, drift, x0, y0, d0, sill, limit) -> Estimates:
     """_systems at one target from points given as plain arrays; drift and d0: one drift or rows of them."""
     one = np.asarray(drift, float).reshape(1, len(z), -1)
-    return _systems(kind, model, *(np.asarray(v, float)[None] for v in (x, y, z)), one, np.array([x0]), np.array([y0]), np.asarray(d0, float).reshape(1, -1), sill, limit)[0]
+    return _systems(kind, model, *(np.asarray(v, float)[None] for v in (x, y, z)), one, np.array([x0]), np.array([y0]), np.asarray(d0, float).reshape(1, -1), sill, limit)
+
+
+def _solve(*args) -> tuple[float, float, float, str]:
+    """Estimate, variance, sum of weights and status at one target."""
+    return _alone(*args).one()
+
+
+_MADE = "estimate double, variance double, weights double, multipliers array<double>, status string"
 
 
 def krige(neighbours: DataFrame, model: Model, kind: str = "ordinary", sill: float | None = None, limit: float = 0.0) -> DataFrame:
-    """Kriging at each target from its own neighbours: 'ordinary', 'simple', 'drift' or 'indicator'.
+    """Kriging at each target from its own neighbours: 'ordinary', 'simple', 'drift', 'indicator' or 'indicator_simple'.
 
     neighbours: one row per target with x, y, drift and near array<struct<x, y, value, drift>>; other
-    columns stay. Adds estimate, variance, weights and status ('ok', 'singular' or 'empty').
+    columns stay. Adds estimate, variance, weights, multipliers and status ('ok', 'singular' or 'empty').
     Targets are spread over tasks; those of a batch with lists of equal length are solved together.
     """
     c0 = sum(s for s, _, _ in model) if sill is None else sill
     keep = [f for f in neighbours.schema.fields if f.name not in ("x", "y", "drift", "near")]
     names = [f.name for f in keep]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keep), "estimate double, variance double, weights double, status string"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keep), _MADE])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(np.nan, np.nan, np.nan, "empty")] * len(frame)
+            made = Estimates(len(frame), _multipliers(kind, 1))
             sizes = np.array([0 if near is None else len(near) for near in frame["near"]])
             x0, y0, d0 = (frame[c].to_numpy(float) for c in ("x", "y", "drift"))
             for n in np.unique(sizes[sizes > 0]):
                 at = np.flatnonzero(sizes == n)
                 for part in np.array_split(at, -(-len(at) * n * n // STACKED)):
                     x, y, z, d = np.moveaxis(np.array([[(p["x"], p["y"], p["value"], p["drift"]) for p in frame["near"].iloc[i]] for i in part], float), 2, 0)
-                    for i, row in zip(part, _systems(kind, model, x, y, z, d[..., None], x0[part], y0[part], d0[part, None], c0, limit), strict=True):
-                        rows[i] = row
+                    made.put(part, _systems(kind, model, x, y, z, d[..., None], x0[part], y0[part], d0[part, None], c0, limit))
             out = frame[names].reset_index(drop=True)
-            out[["estimate", "variance", "weights", "status"]] = pd.DataFrame(rows, columns=list("evws"))
+            out["estimate"], out["variance"], out["weights"], out["multipliers"], out["status"] = made.value, made.variance, made.weights, made.multipliers.tolist(), made.status
             yield out
 
     return neighbours.mapInPandas(run, schema)
 
 
-def _solve_nearest(kind: str, model: Model, x, y, z, drift, targets: np.ndarray, own: np.ndarray, k: int, sill, limit) -> list[tuple[float, float, float, str]]:
-    """_solve at each target (x, y, drifts) from its k nearest points but its own (an index, or -1), ties in their order."""
-    out = [(np.nan, np.nan, np.nan, "empty")] * len(targets)
+def _solve_nearest(kind: str, model: Model, x, y, z, drift, targets: np.ndarray, own: np.ndarray, k: int, sill, limit) -> Estimates:
+    """At each target (x, y, drifts) from its k nearest points but its own (an index, or -1), ties in their order."""
+    out = Estimates(len(targets), _multipliers(kind, drift.shape[1]))
     for alone in (False, True):
         some = np.flatnonzero((own >= 0) == alone)
         n = min(k, len(z) - alone)
@@ -309,61 +408,62 @@ def _solve_nearest(kind: str, model: Model, x, y, z, drift, targets: np.ndarray,
             if alone:
                 d[np.arange(len(part)), own[part]] = np.inf
             near = np.argsort(d, axis=1, kind="stable")[:, :n]
-            rows = _systems(kind, model, x[near], y[near], z[near], drift[near], targets[part, 0], targets[part, 1], targets[part, 2:], sill, limit)
-            for i, row in zip(part, rows, strict=True):
-                out[i] = row
+            out.put(part, _systems(kind, model, x[near], y[near], z[near], drift[near], targets[part, 0], targets[part, 1], targets[part, 2:], sill, limit))
     return out
 
 
-def _solve_all(kind: str, model: Model, x, y, z, drift, targets: np.ndarray, own: np.ndarray, sill, limit) -> list[tuple[float, float, float, str]]:
-    """_solve at each target (x, y, drifts) from all points but its own (an index, or -1).
-
-    All targets share one system, which is inverted once. To leave point i out, the i-th right-hand
-    side is moved until the i-th weight is zero, which solves the system without row and column i.
-    Where this can't be done, a target's system is solved by itself.
-    """
-    n, out = len(z), []
-    alone = lambda t: _solve(kind, model, *(v[np.arange(n) != own[t]] for v in (x, y, z, drift)), *targets[t, :2], targets[t, 2:], sill, limit)
-    if n < 2:
-        return [(np.nan, np.nan, np.nan, "empty") if not n or own[t] >= 0 else alone(t) for t in range(len(targets))]
-    between = gamma_array(np.hypot(x[:, None] - x, y[:, None] - y), model)
-    sides = _sides(kind, drift)
-    m = len(sides)
-    left = np.zeros((n + m, n + m))
-    left[:n, :n] = sill - between if kind == "simple" else between
-    del between
-    left[n:, :n], left[:n, n:] = sides, sides.T
+def _inverse(kind: str, model: Model, x, y, drift, sill) -> np.ndarray | None:
+    """Of the system of all points, which targets share; None where there is none."""
     try:
-        inverse = np.linalg.inv(left)
+        return np.linalg.inv(_left(kind, model, x, y, drift, sill)) if len(x) > 1 else None
     except np.linalg.LinAlgError:
-        return [alone(t) for t in range(len(targets))]
-    pivots, least = np.diag(inverse), 1e-12 * np.abs(inverse[:n, :n]).max()
-    for at in range(0, len(targets), TARGETS):
-        x0, y0, *d0 = targets[at : at + TARGETS].T
-        across = gamma_array(np.hypot(x[:, None] - x0, y[:, None] - y0), model)
-        right = np.zeros((n + m, len(x0)))
-        right[:n] = sill - across if kind == "simple" else across
-        right[n : n + 1] = 1.0
-        if m > 1:
-            right[n + 1 :] = d0
-        w = inverse @ right
-        i = own[at : at + TARGETS]
-        t = np.nonzero(i >= 0)[0]
-        sure = np.abs(pivots[i[t]]) > least
-        lost, t = t[~sure], t[sure]
-        w[:, t] -= inverse[:, i[t]] * (w[i[t], t] / pivots[i[t]])
-        w[i[t], t] = 0.0
-        lam = w[:n]
-        if kind == "indicator":
-            value = np.maximum(0.0, lam[z <= limit].sum(0))
-            variance = value * (1 - value)
-        else:
-            value = z @ lam
-            variance = np.maximum(0.0, sill - (lam * right).sum(0) if kind == "simple" else (w * right).sum(0))
-        made = [(*row, "ok") for row in zip(value.tolist(), variance.tolist(), lam.sum(0).tolist(), strict=True)]
-        for j in lost.tolist():
-            made[j] = alone(at + j)
-        out += made
+        return None
+
+
+def _pack(inverse: np.ndarray | None) -> bytes | None:
+    """The upper half of a symmetric matrix."""
+    return None if inverse is None else np.concatenate([inverse[i, i:] for i in range(len(inverse))]).tobytes()
+
+
+def _unpack(half: bytes | None) -> np.ndarray | None:
+    if half is None:
+        return None
+    flat = np.frombuffer(half, float)
+    n = int((8 * len(flat) + 1) ** 0.5 - 1) // 2
+    full, at = np.empty((n, n)), 0
+    for i in range(n):
+        full[i, i:] = full[i:, i] = flat[at : at + n - i]
+        at += n - i
+    return full
+
+
+def _solve_all(kind: str, model: Model, x, y, z, drift, targets: np.ndarray, own: np.ndarray, sill, limit, inverse: np.ndarray | None) -> Estimates:
+    """At each target (x, y, drifts) from all points but its own (an index, or -1), by the inverse that all share.
+
+    To leave point i out, the i-th right-hand side is moved until the i-th weight is zero, which solves the
+    system without row and column i. Where this can't be done, a target's system is solved by itself.
+    """
+    n, m = len(z), _multipliers(kind, drift.shape[1])
+    out = Estimates(len(targets), m)
+    lost = np.flatnonzero((n > 0) & ((own < 0) | (n > 1))) if inverse is None else []
+    if inverse is not None:
+        pivots, least = np.diag(inverse), 1e-12 * np.abs(inverse[:n, :n]).max()
+        away = []
+        for at in range(0, len(targets), TARGETS):
+            x0, y0, *d0 = targets[at : at + TARGETS].T
+            right = _right(kind, model, x, y, x0, y0, np.transpose(d0), m, sill)
+            w = right @ inverse
+            i = own[at : at + TARGETS]
+            t = np.nonzero(i >= 0)[0]
+            sure = np.abs(pivots[i[t]]) > least
+            away += (at + t[~sure]).tolist()
+            t = t[sure]
+            w[t] -= inverse[i[t]] * (w[t, i[t]] / pivots[i[t]])[:, None]
+            w[t, i[t]] = 0.0
+            out.put(slice(at, at + len(x0)), _estimates(kind, w, right, z, sill, limit))
+        lost = away
+    for t in lost:
+        out.put([t], _alone(kind, model, *(v[np.arange(n) != own[t]] for v in (x, y, z, drift)), *targets[t, :2], targets[t, 2:], sill, limit))
     return out
 
 
@@ -383,46 +483,65 @@ def krige_all(
     """krige() at each target and time from all stations that have a value at the time, or the k nearest of them.
 
     targets and stations: stn, x, y and the drifts; a target's own station is left out unless itself is
-    set. model: one for all times, or a table (time, model) of model texts. sill: of simple kriging; by
-    default the variance of the values of the time. Gives (stn, time, estimate, variance, weights, n,
-    status) for every target at every time of obs; n: stations used; status: 'ok', 'singular', 'empty' (nobody
-    else has a value) or 'no model'. The work is spread over times: a task holds the dense system of one
-    time (a few times 8 bytes for the square of its stations; with k, of k) and its targets.
+    set. model: one for all times, or a table (time, model) of model texts. sill: of the simple kinds; by
+    default the variance of the values of the time. Gives (stn, time, estimate, variance, weights, multipliers,
+    n, status) for every target at every time of obs; n: stations used; status: 'ok', 'singular', 'empty' (nobody
+    else has a value) or 'no model'. A time's system is inverted once, in a task of its own, and
+    sent to the blocks of targets (see fields.meet): a task holds the dense system of one time (a few times 8
+    bytes for the square of its stations; with k, of k) and a block of targets.
     """
+    if kind not in _KINDS:
+        raise ValueError(f"kind is one of {', '.join(_KINDS)}")
     place = [F.col(c).cast("double").alias(c) for c in dict.fromkeys(("x", "y", *drifts))]
-    at = targets.select("stn", *place).crossJoin(F.broadcast(obs.select(F.col(time).alias("t_")).distinct())).withColumnRenamed("t_", time)
-    values = obs.where("value is not null").select("stn", time, "value").join(stations.select("stn", *place), "stn")
+    wanted = targets.select("stn", *place)
+    own = F.col("stn").cast(targets.schema["stn"].dataType)
+    values = obs.where("value is not null").select("stn", time, F.col("value").cast("double").alias("value")).join(stations.select("stn", *place), "stn").withColumn("stn", own)
+    values = obs.select(time).distinct().join(values, time, "left")
     if isinstance(model, DataFrame):
         values = values.join(model.select(time, F.col("model").alias("model_")), time, "left")
     else:
         values = values.withColumn("model_", F.lit(format_model(model, None)))
     kinds = {"stn": targets.schema["stn"].dataType.simpleString(), time: obs.schema[time].dataType.simpleString()}
-    schema = ", ".join([*(f"{c} {t}" for c, t in kinds.items()), "estimate double, variance double, weights double, n int, status string"])
 
-    def solve(known: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        known = known.sort_values("stn")
+    def factor(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        text = frame["model_"].iloc[0]
+        known = frame[frame["value"].notna()].sort_values("stn")
         x, y, z = (known[c].to_numpy(float) for c in ("x", "y", "value"))
         drift = known[list(drifts)].to_numpy(float)
-        index = {} if itself else {s: i for i, s in enumerate(known["stn"])}
-        own = np.array([index.get(s, -1) for s in wanted["stn"]], np.int64)
-        goal = wanted[["x", "y", *drifts]].to_numpy(float)
-        text = known["model_"].iloc[0] if len(known) else ""
-        used = np.minimum(len(z) - (own >= 0), k or len(z))
-        if text is None or text != text:
-            rows = [(np.nan, np.nan, np.nan, "no model")] * len(wanted)
-        elif not len(known):
-            rows = [(np.nan, np.nan, np.nan, "empty")] * len(wanted)
-        else:
-            c0 = sill if sill is not None else float(z.var()) if kind == "simple" else 0.0
-            rows = _solve_all(kind, parse(text), x, y, z, drift, goal, own, c0, limit) if k is None else _solve_nearest(kind, parse(text), x, y, z, drift, goal, own, k, c0, limit)
-        out = wanted[["stn", time]].reset_index(drop=True)
-        made = pd.DataFrame(rows, columns=list("evws"))
-        out["estimate"], out["variance"], out["weights"], out["n"], out["status"] = made["e"], made["v"], made["w"], used, made["s"]
-        return out
+        c0 = sill if sill is not None else float(z.var()) if kind in _SIMPLE and len(z) else 0.0
+        half = None if k is not None or not isinstance(text, str) else _pack(_inverse(kind, parse(text), x, y, drift, c0))
+        made = {time: key[0], "model_": text if isinstance(text, str) else None, "sill_": c0, "stns": known["stn"].tolist(), "x": x, "y": y, "z_": z, "drift": drift.ravel(), "inverse": half}
+        return pd.DataFrame([list(made.values())], columns=list(made))
 
-    # Times are few and heavy: their tables are small, so that Spark would put many of them into one task.
+    # One row a time. Times are few and heavy: their tables are small, so that Spark would put many of them into one task.
     n = max(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * obs.sparkSession.sparkContext.defaultParallelism)
-    return values.repartition(n, time).groupBy(time).cogroup(at.repartition(n, time).groupBy(time)).applyInPandas(solve, schema)
+    arrays = ", ".join(f"{c} array<double>" for c in ("x", "y", "z_", "drift"))
+    systems = values.repartition(n, time).groupBy(time).applyInPandas(factor, f"{time} {kinds[time]}, model_ string, sill_ double, stns array<{kinds['stn']}>, {arrays}, inverse binary")
+
+    def solve(batches):
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+            for i in range(batch.num_rows):
+                goal = column("wanted")[i].values
+                x, y, z = (numbers(column(c), i) for c in ("x", "y", "z_"))
+                drift = numbers(column("drift"), i).reshape(len(z), len(drifts))
+                own = np.full(len(goal), -1) if itself else own_places(goal.field("stn"), column("stns")[i].values)
+                at = np.stack([goal.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", *drifts)], 1).astype(float)
+                text, c0 = column("model_")[i].as_py(), column("sill_")[i].as_py()
+                if text is None:
+                    made = Estimates(len(goal), _multipliers(kind, len(drifts)), "no model")
+                elif k is None:
+                    made = _solve_all(kind, parse(text), x, y, z, drift, at, own, c0, limit, _unpack(column("inverse")[i].as_py()))
+                else:
+                    made = _solve_nearest(kind, parse(text), x, y, z, drift, at, own, k, c0, limit)
+                used = np.minimum(len(z) - (own >= 0), k if k is not None else len(z)).astype(np.int32)
+                m = made.multipliers.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(goal) + 1) * m).astype(np.int32)), pa.array(made.multipliers.ravel()))
+                yield pa.RecordBatch.from_arrays([goal.field("stn"), unit_rows(batch, time, i, len(goal)), pa.array(made.value), pa.array(made.variance), pa.array(made.weights), lists, pa.array(used), pa.array(made.status, pa.string())], names)
+
+    names = ["stn", time, "estimate", "variance", "weights", "multipliers", "n", "status"]
+    out = f"stn {kinds['stn']}, {time} {kinds[time]}, {_MADE.replace('status', 'n int, status')}"
+    return meet(systems, wanted, time).mapInArrow(solve, out)
 
 
 def krige_fields(targets: DataFrame, stations: DataFrame, obs: DataFrame, time: str, models: DataFrame, kind: str = "ordinary", low: float | str | None = "min_in", high: float | str | None = "max_in", **more) -> DataFrame:

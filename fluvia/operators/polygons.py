@@ -7,11 +7,11 @@ equality joins; what is exact follows on the pairs that met.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RINGS = "array<array<struct<x:double,y:double>>>"
+from fluvia.operators.outlines import RINGS, union  # noqa: F401
 
 
 def _next(ring: Column) -> Column:
@@ -26,12 +26,6 @@ def ring_area(ring: Column) -> Column:
     return F.aggregate(cross, F.lit(0.0), lambda a, v: a + v) / 2
 
 
-def area(rings: Column) -> Column:
-    """Area of a polygon whose first ring is its outline and whose others are holes."""
-    each = F.transform(rings, lambda r: F.abs(ring_area(r)))
-    return 2 * F.coalesce(F.get(each, F.lit(0)), F.lit(0.0)) - F.aggregate(each, F.lit(0.0), lambda a, v: a + v)
-
-
 def contains(rings: Column, x: Column, y: Column) -> Column:
     """Whether a point lies within: an odd number of edges crosses the ray to its right. Lower and left edges belong to a polygon."""
 
@@ -42,6 +36,20 @@ def contains(rings: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.transform(rings, crossings), F.lit(0), lambda a, v: a + v) % 2 == 1
 
 
+def _is_hole(rings: Column, ring: Column, i: Column) -> Column:
+    """Whether an odd number of the other rings holds the middle of a ring's first side."""
+    p, q = ring[0], F.get(ring, F.lit(1))
+    x, y = (p["x"] + q["x"]) / 2, (p["y"] + q["y"]) / 2
+    around = F.transform(rings, lambda other, j: F.when((i != j) & contains(F.array(other), x, y), 1).otherwise(0))
+    return F.aggregate(around, F.lit(0), lambda a, v: a + v) % 2 == 1
+
+
+def area(rings: Column) -> Column:
+    """Area of a polygon of any number of parts and holes, told by the even-odd rule: rings in an odd number of others are holes."""
+    each = F.transform(rings, lambda r, i: F.when(F.size(r) < 3, 0.0).when(_is_hole(rings, r, i), -F.abs(ring_area(r))).otherwise(F.abs(ring_area(r))))
+    return F.aggregate(each, F.lit(0.0), lambda a, v: a + v)
+
+
 def extents(polygons: DataFrame) -> DataFrame:
     """polygons with x0, x1, y0, y1."""
     points = F.flatten("rings")
@@ -83,22 +91,11 @@ def mask(cells: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
     return cells.join(inside, ["r", "c"], "left").withColumn("value", F.when(F.col("in_"), F.col("value"))).drop("in_")
 
 
-def dissolve(polygons: DataFrame) -> DataFrame:
-    """(zone, rings, parts): the rings of all polygons of an id together."""
-    return polygons.groupBy("zone").agg(F.flatten(F.collect_list("rings")).alias("rings"), F.count(F.lit(1)).alias("parts"))
-
-
-def _half_plane(points: np.ndarray, axis: int, edge: float, sign: int) -> np.ndarray:
-    """The part of a ring at or beyond an edge across an axis."""
-    if not len(points):
-        return points
-    d = sign * (points[:, axis] - edge)
-    after, e = np.roll(points, -1, 0), np.roll(d, -1)
-    crossed = (d < 0) != (e < 0)
-    with np.errstate(all="ignore"):
-        cut = points + (after - points) * np.where(crossed, d / (d - e), 0.0)[:, None]
-    both = np.stack([points, cut], 1).reshape(-1, 2)
-    return both[np.stack([d >= 0, crossed], 1).ravel()]
+def dissolve(polygons: DataFrame, grain: float = 1e-6) -> DataFrame:
+    """(zone, rings, parts, outlines): the union of all polygons of an id (see outlines.union), of how many it is made, and how
+    many parts it has. An id without any area has no row."""
+    made = union(polygons, grain)
+    return made.join(polygons.groupBy("zone").agg(F.count(F.lit(1)).alias("parts")), "zone").select("zone", "rings", "parts", "outlines")
 
 
 def _area(points: np.ndarray) -> float:
@@ -108,40 +105,95 @@ def _area(points: np.ndarray) -> float:
     return 0.5 * float(x @ np.roll(y, -1) - y @ np.roll(x, -1))
 
 
+def _holds(points: np.ndarray, x: float, y: float) -> bool:
+    """Whether a ring holds a point, as contains() has it."""
+    if len(points) < 3:
+        return False
+    after = np.roll(points, -1, 0)
+    crossed = (points[:, 1] > y) != (after[:, 1] > y)
+    with np.errstate(all="ignore"):
+        at = (after[:, 0] - points[:, 0]) * (y - points[:, 1]) / (after[:, 1] - points[:, 1]) + points[:, 0]
+    return bool((crossed & (x < at)).sum() % 2)
+
+
+def _cut_lines(p: np.ndarray) -> np.ndarray:
+    """Pieces (x0, y0, x1, y1) of a closed ring's sides, cut at all whole numbers of either axis."""
+    q = np.roll(p, -1, 0)
+    side = [np.repeat(np.arange(len(p)), 2)]
+    at = [np.tile([0.0, 1.0], len(p))]
+    for k in (0, 1):
+        low, high = np.minimum(p[:, k], q[:, k]), np.maximum(p[:, k], q[:, k])
+        first = np.floor(low) + 1
+        n = np.maximum(0, np.ceil(high) - first).astype(np.int64)
+        own = np.repeat(np.arange(len(p)), n)
+        line = first[own] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        side.append(own)
+        at.append((line - p[own, k]) / (q[own, k] - p[own, k]))
+    side, at = np.concatenate(side), np.concatenate(at)
+    order = np.lexsort((at, side))
+    side, at = side[order], at[order]
+    points = p[side] + (q - p)[side] * at[:, None]
+    same = side[1:] == side[:-1]
+    return np.concatenate([points[:-1], points[1:]], 1)[same]
+
+
+def covered(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and shares of the unit cells that a polygon covers; outlines run against the clock and holes with it.
+
+    What a piece of boundary has to its right is summed along each row of cells: cells on the boundary get their own
+    pieces' parts, and those between them what has added up.
+    """
+    pieces = np.concatenate([_cut_lines(p) for p in rings])
+    mid = (pieces[:, :2] + pieces[:, 2:]) / 2
+    c, r = np.floor(mid).astype(np.int64).T
+    rise = pieces[:, 3] - pieces[:, 1]
+    keys, where = np.unique(np.stack([r, c], 1), axis=0, return_inverse=True)
+    where = where.ravel()
+    part, full = np.bincount(where, rise * (1 - (mid[:, 0] - c))), np.bincount(where, rise)
+    fresh = np.r_[True, keys[1:, 0] != keys[:-1, 0]]
+    total = np.cumsum(full)
+    start = np.flatnonzero(fresh)
+    base = np.repeat(total[start] - full[start], np.diff(np.r_[start, len(keys)]))
+    after = total - base
+    share = -(part + after - full)
+    # Cells between two of a row's boundary cells.
+    gap = np.where(np.r_[fresh[1:], True], 0, np.r_[keys[1:, 1], 0] - keys[:, 1] - 1)
+    gap = np.where(np.abs(after) > 1e-12, gap, 0)
+    own = np.repeat(np.arange(len(keys)), gap)
+    between = keys[own, 1] + 1 + np.arange(gap.sum()) - np.repeat(np.cumsum(gap) - gap, gap)
+    return np.r_[keys[:, 0], keys[own, 0]], np.r_[keys[:, 1], between], np.r_[share, -after[own]]
+
+
 def cell_weights(polygons: DataFrame, size: float) -> DataFrame:
     """(zone, r, c, weight): share of each polygon's area that lies in a square cell, exact for any simple rings.
 
-    A ring is cut into rows of cells and these into cells; holes count against the outline. Polygons are
-    spread over tasks, each cut by itself.
+    Rings in an odd number of others are holes and count against the rest. Polygons are spread over tasks, each cut
+    by itself, along the cells of its boundary. Polygons without area have no row.
     """
 
-    def cut(frames):
-        for frame in frames:
-            out = []
-            for zone, rings in zip(frame["zone"], frame["rings"], strict=True):
-                parts: dict[tuple[int, int], float] = {}
-                whole = 0.0
-                for k, ring in enumerate(rings if rings is not None else ()):
-                    p = np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2)
-                    if len(p) > 1 and (p[0] == p[-1]).all():
-                        p = p[:-1]
-                    turn = np.sign(_area(p)) * (1 if k == 0 else -1)
-                    whole += turn * _area(p)
-                    if not turn:
-                        continue
-                    for r in range(int(np.floor(p[:, 1].min() / size)), int(np.floor(p[:, 1].max() / size)) + 1):
-                        row = _half_plane(_half_plane(p, 1, r * size, 1), 1, (r + 1) * size, -1)
-                        if len(row) < 3:
-                            continue
-                        for c in range(int(np.floor(row[:, 0].min() / size)), int(np.floor(row[:, 0].max() / size)) + 1):
-                            a = turn * _area(_half_plane(_half_plane(row, 0, c * size, 1), 0, (c + 1) * size, -1))
-                            if a:
-                                parts[r, c] = parts.get((r, c), 0.0) + a
-                out += [(zone, r, c, a / whole) for (r, c), a in parts.items() if whole > 0 and a > 1e-12 * whole]
-            yield pd.DataFrame(out, columns=["zone", "r", "c", "weight"])
+    def cut(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shapes = batch.column(1)[i]
+                shapes = [np.stack([ring.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1).astype(float) for ring in shapes if ring.is_valid] if shapes.is_valid else []
+                shapes = [p[:-1] if len(p) > 1 and (p[0] == p[-1]).all() else p for p in shapes]
+                turned, whole = [], 0.0
+                for k, p in enumerate(shapes):
+                    a = _area(p)
+                    if a:
+                        hole = sum(_holds(q, *p[:2].mean(0)) for j, q in enumerate(shapes) if j != k) % 2 == 1
+                        whole += -abs(a) if hole else abs(a)
+                        turned.append((p if (a < 0) == hole else p[::-1]) / size)
+                if whole <= 0:
+                    continue
+                r, c, share = covered(turned)
+                share = share * size * size / whole
+                some = share > 1e-12
+                n = int(some.sum())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(n, i))), pa.array(r[some].astype(np.int32)), pa.array(c[some].astype(np.int32)), pa.array(share[some])], ["zone", "r", "c", "weight"])
 
     kind = dict(polygons.dtypes)["zone"]
-    return polygons.select("zone", "rings").mapInPandas(cut, f"zone {kind}, r int, c int, weight double")
+    return polygons.select("zone", "rings").mapInArrow(cut, f"zone {kind}, r int, c int, weight double")
 
 
 def to_wkt(rings: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluvia.operators.outlines import assemble, patch_edges
+
 
 def set_null(cells: DataFrame, low: float, high: float) -> DataFrame:
     """Values outside [low, high] become null."""
@@ -206,6 +208,14 @@ def polygonise(cells: DataFrame) -> DataFrame:
     return made.groupBy("patch").agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("cells")).join(outline, "patch")
 
 
+def patch_polygons(cells: DataFrame) -> DataFrame:
+    """(patch, value, cells, rings, outlines): each patch of equal cells as a polygon: closed rings of its corners, x along columns
+    and y along rows, its outline against the clock and its holes with it."""
+    made = patches(cells)
+    facts = made.groupBy("patch").agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("cells"))
+    return facts.join(assemble(patch_edges(made), "patch"), "patch")
+
+
 def compare_fields(observed: DataFrame, ensemble: DataFrame) -> DataFrame:
     """(t, low, high, inside, cells, n): for each time the range over a field and all members of an ensemble (t, member, r, c, value),
     the share of cells whose value lies within the members' range there, cells compared, and members that have them all."""

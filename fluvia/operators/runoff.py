@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluvia.session import materialize
+
 
 @dataclass(frozen=True)
 class Bucket:
@@ -45,22 +47,60 @@ OUTPUTS = ("snow", "liquid", "moisture", "runoff", "et", "depth", "discharge", "
 _NUMBERS = ", ".join(f"{n} double" for n in OUTPUTS)
 
 
-def muskingum(flows: DataFrame, by: str, time: str, value: str, lag: float, weight: float, dt: float = 1.0) -> DataFrame:
-    """(by, time, outflow) of a linear channel; the first outflow is the first inflow."""
+#: Steps of a part of a long series.
+PART = 100_000
+
+
+def muskingum(flows: DataFrame, by: str, time: str, value: str, lag: float, weight: float, dt: float = 1.0, part_rows: int = PART) -> DataFrame:
+    """(by, time, outflow) of a linear channel; the first outflow is the first inflow.
+
+    Series are dealt into parts of about part_rows steps by ranges of (by, time). A part's steps make one affine map of
+    the outflow before it; maps are composed over the parts of a series, a row each, and every part is
+    then routed from its own start. A task holds a part, however long the series.
+    """
     below = 2 * lag * (1 - weight) + dt
     c1, c2, c3 = (dt - 2 * lag * weight) / below, (dt + 2 * lag * weight) / below, (2 * lag * (1 - weight) - dt) / below
     types = {f.name: f.dataType.simpleString() for f in flows.schema.fields}
-
-    def route(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(time)
-        i = frame[value].to_numpy(float)
-        into = np.append(i[:1], c1 * i[1:] + c2 * i[:-1]).tolist()
-        out = into[:1]
-        for v in into[1:]:
-            out.append(v + c3 * out[-1])
-        return pd.DataFrame({by: keys[0], time: frame[time], "outflow": out})
-
-    return flows.select(by, time, value).groupBy(by).applyInPandas(route, f"{by} {types[by]}, {time} {types[time]}, outflow double")
+    rows = flows.select(F.col(by).alias("by_"), F.col(time).alias("time_"), F.col(value).cast("double").alias("value_"))
+    parts = max(1, -(-rows.count() // part_rows))
+    # Written out: the ranges have to be the same for the maps and for the routing.
+    dealt = materialize(rows.repartitionByRange(parts, "by_", "time_").withColumn("part_", F.spark_partition_id()), "parts")
+
+    def routed(i: np.ndarray, before: float | None, out: float) -> list[float]:
+        """Outflows of a part after an inflow and an outflow; at the start of a series, before is None."""
+        known = i[:1] if before is None else i[:0]
+        last = known if before is None else np.array([before])
+        into = (c1 * i[len(known) :] + c2 * np.concatenate([last, i[len(known) : -1]] if before is not None else [i[:-1]])).tolist()
+        made = known.tolist()
+        out = made[-1] if made else out
+        for v in into:
+            out = v + c3 * out
+            made.append(out)
+        return made
+
+    def summarise(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        i = frame.sort_values("time_")["value_"].to_numpy(float)
+        # As the first part of a series, and as a later one without what came before: its map is gain * out + c2 * gain' * inflow + rest.
+        rest = routed(i, 0.0, 0.0)[-1]
+        return pd.DataFrame([(*keys, routed(i, None, 0.0)[-1], rest, c3 ** len(i), c2 * c3 ** (len(i) - 1), float(i[-1]))], columns=["by_", "part_", "first", "rest", "gain", "inflow", "last"])
+
+    def compose(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        out, before, starts = 0.0, None, []
+        for r in frame.sort_values("part_").itertuples():
+            starts.append((keys[0], r.part_, before, out))
+            out = r.first if before is None else r.gain * out + r.inflow * before + r.rest
+            before = r.last
+        return pd.DataFrame(starts, columns=["by_", "part_", "before", "out"])
+
+    maps = dealt.groupBy("by_", "part_").applyInPandas(summarise, f"by_ {types[by]}, part_ int, " + ", ".join(f"{c} double" for c in ("first", "rest", "gain", "inflow", "last")))
+    starts = maps.groupBy("by_").applyInPandas(compose, f"by_ {types[by]}, part_ int, before double, out double")
+
+    def route(frame: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        frame, s = frame.sort_values("time_"), start.iloc[0]
+        made = routed(frame["value_"].to_numpy(float), None if pd.isna(s["before"]) else float(s["before"]), float(s["out"]))
+        return pd.DataFrame({by: frame["by_"], time: frame["time_"], "outflow": made})
+
+    return dealt.groupBy("by_", "part_").cogroup(starts.groupBy("by_", "part_")).applyInPandas(route, f"{by} {types[by]}, {time} {types[time]}, outflow double")
 
 
 def _simulate(p: np.ndarray, temp, prec, pet, start: Bucket, ratio: float = 1.0, cells: bool = False, keep: bool = False):

@@ -2,7 +2,7 @@
 
 Nearby things meet on tiles: both sides get the number of their tile, one side also those around it,
 and an equality join on the tile does the rest, so that no side is broadcast and none is crossed with
-the other. Without a reach every pair is asked for, so the two sides are crossed.
+the other. Where every pair is asked for, blocks of stations meet in the same way.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvia.operators.fields import meet, own_places, unit_rows
 
 #: Fixed value: change of temperature with a metre of height.
 LAPSE = -0.0064
@@ -36,10 +37,26 @@ def tiled_pairs(left: DataFrame, right: DataFrame, reach: float | None = None) -
     return near.join(far, ["tx", "ty"]).withColumn("dist", d).where(F.col("dist") <= reach).drop("tx", "ty")
 
 
+#: Stations of a block where all pairs are asked for.
+STATIONS = 512
+
+
 def station_pairs(stations: DataFrame, reach: float | None = None) -> DataFrame:
-    """(a, b, dist) for stations a < b within reach of each other, all pairs by default."""
+    """(a, b, dist) for stations a < b within reach of each other, all pairs by default.
+
+    For all pairs stations are dealt to blocks; each meets those of its own and of the later blocks in a
+    place of two blocks, by an equality join, so that every pair is made once.
+    """
     left, right = stations.select(F.col("stn").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), stations.select(F.col("stn").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return tiled_pairs(left, right, reach).where("a < b").select("a", "b", "dist")
+    if reach is not None:
+        return tiled_pairs(left, right, reach).where("a < b").select("a", "b", "dist")
+    last = max(1, -(-stations.count() // STATIONS)) - 1
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(last + 1)).cast("int")
+    left = left.withColumn("i_", block("a")).withColumn("j_", F.explode(F.sequence(F.col("i_"), F.lit(last))))
+    right = right.withColumn("j_", block("b")).withColumn("i_", F.explode(F.sequence(F.lit(0), F.col("j_"))))
+    met = left.join(right, ["i_", "j_"]).where((F.col("i_") < F.col("j_")) | (F.col("a") < F.col("b"))).where("a <> b")
+    d = distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), d.alias("dist"))
 
 
 def nearest_stations(stations: DataFrame, k: int, reach: float | None = None) -> DataFrame:
@@ -84,43 +101,44 @@ def idw_all(targets: DataFrame, stations: DataFrame, obs: DataFrame, time: str,
     targets, stations: stn, x, y (and z); a target's own station is left out unless itself is set. Where
     stations stand on the target, the mean of their values. heights: the power of a second interpolation, of
     the heights of the same stations; the value is then corrected by LAPSE for the target's height
-    above that. A target with nobody else has null. A task holds the values of one time and TARGETS rows of distances.
+    above that. A target with nobody else has null. A task holds the values of one time, a block of targets (see
+    fields.meet) and TARGETS rows of distances.
     """
     columns = ["x", "y", "z"] if heights is not None else ["x", "y"]
     place = [F.col(c).cast("double").alias(c) for c in columns]
-    wanted = targets.select("stn", *place).crossJoin(F.broadcast(obs.select(F.col(time).alias("t_")).distinct())).withColumnRenamed("t_", time)
     known = obs.where("value is not null").select("stn", time, F.col("value").cast("double").alias("value")).join(stations.select("stn", *place), "stn")
+    known = known.withColumn("stn", F.col("stn").cast(targets.schema["stn"].dataType))
     kinds = {"stn": targets.schema["stn"].dataType.simpleString(), time: obs.schema[time].dataType.simpleString()}
-    schema = ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "value double"])
-
-    def solve(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        index = {} if itself else {s: i for i, s in enumerate(have["stn"])}
-        own = np.array([index.get(s, -1) for s in want["stn"]], np.int64)
-        x, y, v = (have[c].to_numpy(float) for c in ("x", "y", "value"))
-        values = [v] if heights is None else [v, have["z"].to_numpy(float)]
-        made = []
-        for at in range(0, len(want), TARGETS):
-            part = want.iloc[at : at + TARGETS]
-            d = np.hypot(part["x"].to_numpy(float)[:, None] - x, part["y"].to_numpy(float)[:, None] - y)
-            here = own[at : at + TARGETS]
-            some = np.flatnonzero(here >= 0)
-            out = []
-            for z, p in zip(values, (power, heights), strict=False):
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    w = d**-p
-                w[some, here[some]] = 0.0
-                hit = np.isinf(w)
-                w[hit.any(1)] = 0.0
-                w[hit] = 1.0
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    out.append((w * z).sum(1) / w.sum(1))
-            made.append(out[0] if heights is None else out[0] + LAPSE * (part["z"].to_numpy(float) - out[1]))
-        out = want[["stn", time]].reset_index(drop=True)
-        out["value"] = np.concatenate(made) if made else np.zeros(0)
-        return out
-
-    rows = known.groupBy(time).cogroup(wanted.groupBy(time)).applyInPandas(solve, schema)
-    return rows.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    there = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("stn", "value", *columns)))
+    values = obs.select(time).distinct().join(known, time, "left").groupBy(time).agg(there.alias("known"))
+
+    def solve(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                have, want = (batch.column(batch.schema.get_field_index(c))[i].values for c in ("known", "wanted"))
+                number = lambda part, c: part.field(c).to_numpy(zero_copy_only=False).astype(float)
+                own = np.full(len(want), -1) if itself else own_places(want.field("stn"), have.field("stn"))
+                x, y, v = (number(have, c) for c in ("x", "y", "value"))
+                values = [v] if heights is None else [v, number(have, "z")]
+                x0, y0, z0 = (number(want, c) if c in columns else None for c in ("x", "y", "z"))
+                made = np.full(len(want), np.nan)
+                for at in range(0, len(want), TARGETS):
+                    part = slice(at, at + TARGETS)
+                    d, here = np.hypot(x0[part, None] - x, y0[part, None] - y), own[part]
+                    some, out = np.flatnonzero(here >= 0), []
+                    for z, p in zip(values, (power, heights), strict=False):
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            w = d**-p
+                        w[some, here[some]] = 0.0
+                        hit = np.isinf(w)
+                        w[hit.any(1)] = 0.0
+                        w[hit] = 1.0
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            out.append((w * z).sum(1) / w.sum(1))
+                    made[part] = out[0] if heights is None else out[0] + LAPSE * (z0[part] - out[1])
+                yield pa.RecordBatch.from_arrays([want.field("stn"), unit_rows(batch, time, i, len(want)), pa.array(made, mask=np.isnan(made))], ["stn", time, "value"])
+
+    return meet(values, targets.select("stn", *place), time).mapInArrow(solve, ", ".join([*(f"{c} {k}" for c, k in kinds.items()), "value double"]))
 
 
 def idw_validate(stations: DataFrame, obs: DataFrame, roles: DataFrame, time: str, power: float) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fluvia import adapt
 from fluvia.functions import normal, projection
-from fluvia.operators import polygons, raster
+from fluvia.operators import polygons, raster, spatial
 from fluvia.plans.registry import query, r6
 
 
@@ -59,6 +59,42 @@ def dissolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("zone", "parts", *(r6(c).alias(c) for c in ("x0", "x1", "y0", "y1")))
 
 
+_BOXES = "bx AS (SELECT stn % 3 AS zone, CAST(x AS BIGINT) AS x0, CAST(y AS BIGINT) AS y0 FROM stations)"
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of 45 by 35 around stations, those of every third under one id; some overlap, most are apart."""
+    point = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    corners = F.array(F.array(point(0.0, 0.0), point(45.0, 0.0), point(45.0, 35.0), point(0.0, 35.0)))
+    return adapt.stations(spark, sf_dir).select((F.col("stn") % 3).alias("zone"), corners.alias("rings"))
+
+
+@query("stations", f"{_BOXES}, u AS (SELECT DISTINCT zone, x0+i AS x, y0+j AS y FROM bx, (SELECT unnest(range(45)) AS i), (SELECT unnest(range(35)) AS j)) SELECT zone, (SELECT count(*) FROM bx WHERE bx.zone=u.zone) AS parts, round(count(*),4) AS area FROM u GROUP BY zone")
+def dissolve_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of unions, which SQL counts in unit squares."""
+    return polygons.dissolve(boxes(spark, sf_dir)).select("zone", "parts", F.round(polygons.area(F.col("rings")), 4).alias("area"))
+
+
+@query("stations cells", f"{_BOXES}, u AS (SELECT DISTINCT zone, x0+i AS x, y0+j AS y FROM bx, (SELECT unnest(range(45)) AS i), (SELECT unnest(range(35)) AS j)), t AS (SELECT zone, count(*) AS n FROM u GROUP BY zone), w AS (SELECT u.zone, y//20 AS r, x//20 AS c, count(*)/any_value(n) AS weight FROM u JOIN t ON t.zone=u.zone GROUP BY 1, 2, 3) SELECT zone, round(sum(value*weight),2) AS value FROM w JOIN cells k ON k.r=w.r AND k.c=w.c GROUP BY zone")
+def zonal_mean_dissolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area-weighted means over polygons of many parts."""
+    return spatial.zonal_mean(adapt.cells(spark, sf_dir), polygons.cell_weights(polygons.dissolve(boxes(spark, sf_dir)), 20.0))
+
+
+@query("stations cells", f"{_BOXES}, u AS (SELECT DISTINCT zone, x0+i AS x, y0+j AS y FROM bx, (SELECT unnest(range(45)) AS i), (SELECT unnest(range(35)) AS j)) SELECT zone, CAST(y//20 AS INT) AS r, CAST(x//20 AS INT) AS c, round(count(*)/(SELECT count(*) FROM u b WHERE b.zone=u.zone),6) AS weight FROM u GROUP BY zone, y//20, x//20")
+def dissolved_cell_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weight of each cell by itself."""
+    made = polygons.cell_weights(polygons.dissolve(boxes(spark, sf_dir)), 20.0)
+    return made.select("zone", "r", "c", r6("weight").alias("weight"))
+
+
+@query("cells", "SELECT cls AS value, round(count(*),4) AS area FROM cells GROUP BY cls")
+def polygonise_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of the rings of all patches of a class, which SQL counts in cells."""
+    patches = raster.patch_polygons(adapt.cells(spark, sf_dir).select("r", "c", F.col("cls").alias("value")))
+    return patches.groupBy("value").agg(F.round(F.sum(polygons.area(F.col("rings"))), 4).alias("area"))
+
+
 @query("stations", "SELECT stn, round(radians(x/20)*6378137e0,4) AS mx, round(ln(tan(pi()/4+radians(y/20)/2))*6378137e0,4) AS my FROM stations")
 def web_mercator(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = projection.to_web_mercator(F.col("x") / 20, F.col("y") / 20)
