@@ -31,8 +31,8 @@ _IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ACCOUNT = re.compile(r"(?:\s?(?:no|number|nr)\.?)?\s?[:#=]\s?([A-Z0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])", re.I)
-_STREET = re.compile(r"(?<![\w.])[0-9]{1,5}[A-Za-z]? (?:[A-Z][a-z]+ ){1,3}$")
-_USERINFO = re.compile(r"[^\s/@:<>\"']{1,64}:[^\s/@<>\"']{1,64}@[A-Za-z0-9.-]+")
+# A slash ends both, so that attempts from several schemes don't read the same text twice.
+_USERINFO = re.compile(r"[^\s/@:<>\"']++:[^\s/@<>\"']++@[A-Za-z0-9.-]++")
 
 
 def luhn(digits: str) -> bool:
@@ -44,6 +44,38 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def street_start(text: str, at: int, low: int) -> int | None:
+    """Where an address begins that ends with the street cue at `at`: a house number of one to five digits, perhaps a
+    letter, and one to three capitalised words before the cue; read backwards, not below low."""
+    end = at
+    for _ in range(3):
+        last = end - 1
+        if last < low or text[last] != " ":
+            return None
+        first = last
+        while first > low and "a" <= text[first - 1] <= "z":
+            first -= 1
+        if first == last or first <= low or not "A" <= text[first - 1] <= "Z":
+            return None
+        end = first - 1
+        stop = end - 1
+        if stop > low and text[stop] == " ":
+            if "A" <= text[stop - 1].upper() <= "Z":
+                stop -= 1
+            start = stop
+            while start > low and stop - start < 6 and "0" <= text[start - 1] <= "9":
+                start -= 1
+            if 1 <= stop - start <= 5 and (start == low or not (text[start - 1].isalnum() or text[start - 1] in "_.")):
+                return start
+    return None
+
+
+def _octet(digits: str) -> bool:
+    """Whether a run of digits, of any length, is at most 255."""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def _automaton() -> ahocorasick.Automaton:
     anchors = ahocorasick.Automaton()
     for c in "0123456789":
@@ -80,7 +112,7 @@ class PersonalData:
                 run_start = at == 0 or not ("0" <= text[at - 1] <= "9")
                 if run_start and at >= read["ip"] and (m := _IP.match(text, at)):
                     read["ip"] = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                    if all(map(_octet, m[0].split("."))):
                         found["ip"].append(m.span())
                 if at >= read["card"] and (m := _CARD.match(text, at)):
                     read["card"] = m.end()
@@ -107,10 +139,10 @@ class PersonalData:
                     found["account"].append(m.span(1))
             elif anchor == "street":
                 if at >= read["address"] and not text[last + 1 : last + 2].isalnum():
-                    low = max(read["address"], at - 60)
-                    if m := _STREET.search(text[low:at]):
+                    start = street_start(text, at, read["address"])
+                    if start is not None:
                         read["address"] = last + 1
-                        found["address"].append((low + m.start(), last + 1))
+                        found["address"].append((start, last + 1))
             elif at >= read["url"] and (m := _USERINFO.match(text, last + 1)):
                 read["url"] = m.end()
                 found["url"].append((at, m.end()))

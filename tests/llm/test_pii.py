@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -68,3 +69,36 @@ def test_masking_and_long_texts(spark, awkward, nothing):
     assert dict(pii.find_personal_data(awkward).dtypes)["spans"].startswith("array<struct")
     long = spark.createDataFrame([(1, "1 " * 300000), (2, "a." * 300000), (3, "+1" + "(" * 300000), (4, "a@" * 200000)], "doc_id long, text string")
     assert pii.span_digests(long).count() == 4
+
+
+#: Runs of each class of characters, and of the beginnings of all kinds.
+RUNS = ["0", "7", ".", "a", "Z", "@", "+", " ", "-", "(", ")", "/", ":", "%", "_", "\n", "é", "0.", "1.2.3.", "a.", "a@", "@a", "a@b.", "+1", "+1 ", "1 ", "1-", "4111 ", "http://", "http://a:b", "ssh://u:", "Street ", "12 Street ", "Aa ", "iban:", "account 1", "<", "日"]
+ENDS = ["", ".1.2.3", "@host.org", "12345678901", " Street", ":pw@host.org", "1"]
+
+
+def test_long_runs_of_each_class():
+    finder = pii.PersonalData()
+    for run in RUNS:
+        for end in ENDS:
+            for text in (run * (2500 // len(run)) + end, end + run * (2500 // len(run))):
+                assert [x for x in finder.find(text) if x[0] in BASE] == plain(text), (run, end)
+
+
+def test_very_long_runs_take_linear_time(spark):
+    rows = [(i, run * (600_000 // len(run)) + end) for i, (run, end) in enumerate((r, e) for r in RUNS for e in ENDS[1:3])]
+    began = time.time()
+    assert pii.mask_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).where("text is not null").count() == len(rows)
+    assert time.time() - began < 120
+
+
+def test_digits_beyond_what_int_reads():
+    assert pii.PersonalData().find("0" * 5000 + ".1.2.3")[0] == ("ip", 0, 5006)
+    assert [x for x in pii.PersonalData().find("9" * 5000 + ".1.2.3") if x[0] == "ip"] == []
+
+
+def test_no_caps_on_credentials_and_streets():
+    token, name = "t" * 700, "G" + "r" * 500
+    text = f"https://user{token}:{token}@host.org/x and 17b {name} Hill Road, 123456 Green Road, 12 green Road, 9 A Road"
+    found = [(k, text[a:b]) for k, a, b in pii.PersonalData().find(text)]
+    assert ("url", f"https://user{token}:{token}@host.org") in found
+    assert [v for k, v in found if k == "address"] == [f"17b {name} Hill Road"]
