@@ -25,6 +25,8 @@ BLOCK, LEAF, PIVOTS = 2048, 16, 256
 SCALE = 1024
 #: Components from here on can't have distances in 64 bits.
 LARGEST = 1 << 27
+#: Pairs of nodes that are held at a time, about.
+PAIRS = 1 << 16
 #: Bounds are floating: pairs are pruned only where they are apart by more than this share.
 SLACK = 1e-9
 
@@ -107,31 +109,51 @@ class Block:
     def assign(self, centroids: np.ndarray, tree: CoverTree) -> tuple[np.ndarray, int]:
         """Nearest centroid of every row (ties: the smaller number), and how many pairs of a vector and a centroid were compared."""
         out, compared = np.zeros(len(self.x), np.int64), 0
-        places = centroids[np.array(tree.centre)]
-        spread = np.array(tree.radius)
-        stack = [(0, np.array([0]))] if len(self.x) else []
+        places, spread = centroids[np.array(tree.centre)], np.array(tree.radius)
+        kids = np.array([len(c) for c in tree.children])
+        kid = np.array([x for c in tree.children for x in c], np.int64)
+        first_kid = np.cumsum(kids) - kids
+        held = np.array(tree.end) - np.array(tree.start)
+        own = self.x[self.start + self.centre]
+        # Pairs (node, node of centroids), those of a node together; all of them are pruned and opened at once.
+        stack = [(np.zeros(1, np.int64), np.zeros(1, np.int64))] if len(self.x) else []
         while stack:
-            node, near = stack.pop()
-            a, b = self.start[node], self.end[node]
-            own, radius = self.x[a:b][self.centre[node]][None], self.radius[node]
+            v, c = stack.pop()
             while True:
-                d = np.sqrt(squared(own, places[near])[0])
+                d = np.sqrt(((own[v] - places[c]) ** 2).sum(1))
+                runs = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
                 # The centre of a node of centroids is a centroid: nobody here is farther from it than this.
-                bound = (d + radius).min()
-                kept = d - radius - spread[near] <= bound * (1 + SLACK) + SLACK
-                near = near[kept]
-                wide = [c for c in near.tolist() if tree.children[c]]
-                if not wide:
+                bound = np.repeat(np.minimum.reduceat(d + self.radius[v], runs), np.diff(np.r_[runs, len(v)]))
+                kept = d - self.radius[v] - spread[c] <= bound * (1 + SLACK) + SLACK
+                v, c = v[kept], c[kept]
+                if not kids[c].any():
                     break
-                near = np.array([c for c in near.tolist() if not tree.children[c]] + [x for c in wide for x in tree.children[c]])
-            numbers = np.sort(np.concatenate([tree.order[tree.start[c] : tree.end[c]] for c in near.tolist()]))
-            if len(numbers) == 1:
-                out[a:b] = numbers[0]
-            elif self.first[node] == self.first[node + 1]:
-                compared += (b - a) * len(numbers)
+                n = np.maximum(1, kids[c])
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                v, old = np.repeat(v, n), np.repeat(c, n)
+                c = np.where(kids[old] > 0, kid[np.minimum(first_kid[old] + at, len(kid) - 1)], old)
+            runs = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            left = np.add.reduceat(held[c], runs)
+            leaf = self.first[v[runs]] == self.first[v[runs] + 1]
+            for i in np.flatnonzero(left == 1):
+                node = v[runs[i]]
+                out[self.start[node] : self.end[node]] = tree.order[tree.start[c[runs[i]]]]
+            ends = np.r_[runs[1:], len(v)]
+            for i in np.flatnonzero((left > 1) & leaf):
+                a, b = self.start[v[runs[i]]], self.end[v[runs[i]]]
+                numbers = np.sort(np.concatenate([tree.order[tree.start[k] : tree.end[k]] for k in c[runs[i] : ends[i]]]))
+                compared += int(b - a) * len(numbers)
                 out[a:b] = numbers[squared(self.x[a:b], centroids[numbers]).argmin(1)]
-            else:
-                stack.extend((int(c), near) for c in self.children[self.first[node] : self.first[node + 1]])
+            some = np.flatnonzero((left > 1) & ~leaf)
+            # A bounded number of pairs at a time.
+            for part in np.array_split(some, max(1, -(-len(v) * 8 // PAIRS))):
+                new_v, new_c = [], []
+                for i in part:
+                    below = self.children[self.first[v[runs[i]]] : self.first[v[runs[i]] + 1]]
+                    new_v.append(np.repeat(below, ends[i] - runs[i]))
+                    new_c.append(np.tile(c[runs[i] : ends[i]], len(below)))
+                if new_v:
+                    stack.append((np.concatenate(new_v).astype(np.int64), np.concatenate(new_c)))
         return out, compared
 
 
