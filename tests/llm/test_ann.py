@@ -70,3 +70,54 @@ def test_one_id_with_several_vectors(spark):
     own = min(x for v, x in rows if v == 20)
     want = sorted({(-float(np.dot(own, x)), v, tuple(x)) for v, x in rows if v != 20})[:5]
     assert got == {20: [(v, -s) for s, v, _ in want]}
+
+
+def clustered(n, d=64, tight=0.05):
+    """Random vectors, a third of them in one dense cluster."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, d))
+    x[: n // 3] = rng.normal(size=d) + tight * rng.normal(size=(n // 3, d))
+    return x[rng.permutation(n)].astype(np.float32).astype(np.float64)
+
+
+def recalls(got, x):
+    out = []
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        out.append(len({v for v, _ in got[q]} & set(np.argpartition(-s, 19)[:20].tolist())) / 20)
+    return np.sort(out)
+
+
+@pytest.mark.parametrize("tight", [0.05, 0.002])
+def test_recall_where_a_third_is_one_dense_cluster(spark, tight, monkeypatch):
+    """With pools and fronts far below the number of vectors."""
+    monkeypatch.setattr(ann, "FRONT", 64)
+    monkeypatch.setattr(ann, "POOL", 160)
+    x = clustered(4000, tight=tight)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(8)
+    found = recalls(gathered(ann.nearest_neighbours(df)), x)
+    assert found.mean() >= 0.9 and found[: len(found) // 20].mean() >= 0.5, (found.mean(), found[:10])
+
+
+def test_exact_search_and_searches_that_do_not_end(spark, monkeypatch):
+    x = clustered(900, 16)
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    want = plain(rows)
+    for options in ({"exact": True}, {}):
+        if not options:  # no round at all: everybody is left to the exact way
+            monkeypatch.setattr(ann, "SEARCH_ROUNDS", 0)
+        monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+        monkeypatch.setattr(ann, "VECTOR_BLOCK", 100)
+        got = gathered(ann.nearest_neighbours(df, **options))
+        assert got.keys() == want.keys()
+        assert all([v for v, _ in got[q]] == [v for v, _ in want[q]] for q in want)
+
+
+def test_codes_keep_what_tells_close_vectors_apart():
+    x = clustered(600, tight=0.002)
+    codes = ann.Codes(x[:256])
+    assert np.abs(codes.decode(codes.encode(x)) - x)[: 200].max() < 0.05
+    dense = x[np.linalg.norm(x - np.median(x, 0), axis=1) < 12]
+    assert np.abs(codes.decode(codes.encode(dense)) - dense).max() < 0.05
