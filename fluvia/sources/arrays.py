@@ -264,6 +264,12 @@ class NetcdfReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([*(pa.array(g.ravel()) for g in grid), pa.array(flat, mask=np.isnan(flat))], [*self.names, "value"])
 
 
+def _register(spark: SparkSession, source: type[DataSource]) -> None:
+    """Spark hands filters down to sources in Python only where the session says so."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    ship(spark).dataSource.register(source)
+
+
 #: Seconds of the units that times are counted in.
 UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
@@ -280,7 +286,7 @@ def cf_timestamp(steps: Column, units: str) -> Column:
 
 def read_netcdf(spark: SparkSession, path: str, variable: str, **ranges: tuple[float, float]) -> DataFrame:
     """A variable of a netCDF classic file as rows (see NetcdfSource); ranges: dimension=(from, to), both ends included."""
-    ship(spark).dataSource.register(NetcdfSource)
+    _register(spark, NetcdfSource)
     reader = spark.read.format("netcdf").option("path", path).option("variable", variable)
     for name, (low, high) in ranges.items():
         reader = reader.option(f"{name}.from", str(low)).option(f"{name}.to", str(high))
@@ -495,7 +501,7 @@ class GeotiffReader(DataSourceReader):
 
 def read_geotiff(spark: SparkSession, path: str, **ranges: tuple[int, int]) -> DataFrame:
     """Cells of a GeoTIFF (see GeotiffSource); ranges: r, c or band=(from, to), both ends included."""
-    ship(spark).dataSource.register(GeotiffSource)
+    _register(spark, GeotiffSource)
     reader = spark.read.format("geotiff").option("path", path)
     for name, (low, high) in ranges.items():
         reader = reader.option(f"{name}.from", str(low)).option(f"{name}.to", str(high))
