@@ -158,11 +158,33 @@ def zoom(cells: DataFrame, rows: int, cols: int, factor: int, order: int = 1) ->
     return made.select(F.col("i").alias("r"), F.col("j").alias("c"), "value")
 
 
-def reproject(cells: DataFrame, targets: DataFrame, back, x0: float, y0: float, size: float) -> DataFrame:
-    """targets (r, c, x, y in the new system) with the value of the cell (corners at x0 + size * c) in which
-    back(x, y), the point in the old system, lies: the nearest one's. Null outside."""
+def reproject(cells: DataFrame, targets: DataFrame, back, x0: float, y0: float, size: float, method: str = "nearest", width: float | None = None, steps: int = 4) -> DataFrame:
+    """targets (r, c, x, y of centres in the new system) with values of cells (corners at x0 + size * c) at back(x, y), the point in the
+    old system.
+
+    nearest: of the cell in which the point lies. bilinear: between the four centres around it; null where one that
+    counts has no value. average: of all cells by the share of the target cell, of the given width, that lies in each; its
+    footprint is cut out in the old system, with so many steps a side. Null outside, and where no cell has a value.
+    """
+    if method == "average":
+        from fluvia.operators.polygons import cell_weights
+
+        if width is None:
+            raise ValueError("an average needs the width of the target cells")
+        around = [(k / steps - 0.5, -0.5) for k in range(steps)] + [(0.5, k / steps - 0.5) for k in range(steps)] + [(0.5 - k / steps, 0.5) for k in range(steps)] + [(-0.5, 0.5 - k / steps) for k in range(steps)]
+        corners = (back(F.col("x") + u * width, F.col("y") + v * width) for u, v in around)
+        ring = F.array(*(F.struct(((x - x0) / size).alias("x"), ((y - y0) / size).alias("y")) for x, y in corners))
+        named = targets.select("r", "c", (F.col("r").cast("long") * (1 << 32) + F.col("c")).alias("zone"), F.array(ring).alias("rings"))
+        shares = cell_weights(named, 1.0).join(cells.where("value is not null").select("r", "c", "value"), ["r", "c"]).groupBy("zone")
+        means = shares.agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
+        return named.select("r", "c", "zone").join(means, "zone", "left").select("r", "c", "value")
     x, y = back(F.col("x"), F.col("y"))
     moved = targets.select(F.col("r").alias("i"), F.col("c").alias("j"), x.alias("x"), y.alias("y"))
+    if method == "bilinear":
+        placed = moved.select("i", "j", ((F.col("y") - y0) / size - 0.5).alias("fr"), ((F.col("x") - x0) / size - 0.5).alias("fc"))
+        return bilinear(cells, placed).select(F.col("i").alias("r"), F.col("j").alias("c"), "value")
+    if method != "nearest":
+        raise ValueError("method is 'nearest', 'bilinear' or 'average'")
     return sample(cells, moved, x0, y0, size).select(F.col("i").alias("r"), F.col("j").alias("c"), "value")
 
 
