@@ -158,9 +158,77 @@ def cut_distance(pairs: DataFrame, share: float | str = 0.5, variance: float | N
 FITTED = {"Nug": 1, "Sph": 2, "Exp": 2, "Gau": 2, "Lin": 2}
 
 
+def _slopes(h: np.ndarray, kinds: tuple[str, ...], ranges: np.ndarray) -> np.ndarray:
+    """How the terms of sill one change with their ranges at distances h: (distances, terms)."""
+    out = np.zeros((len(h), len(kinds)))
+    for j, (kind, r) in enumerate(zip(kinds, ranges, strict=True)):
+        if kind == "Sph":
+            out[:, j] = np.where(h < r, 1.5 * (h**3 / r**4 - h / r**2), 0.0)
+        elif kind == "Exp":
+            out[:, j] = -np.exp(-h / r) * h / r**2
+        elif kind == "Gau":
+            out[:, j] = -np.exp(-((h / r) ** 2)) * 2 * h**2 / r**3
+        elif kind == "Lin":
+            out[:, j] = np.where(h <= r, -h / r**2, 0.0)
+    return out
+
+
+def _loss(h: np.ndarray, g: np.ndarray, w: np.ndarray, kinds: tuple[str, ...], sills: np.ndarray, ranges: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted sum of squares of a nested model, and its slopes along sills and ranges."""
+    shapes = np.stack([gamma_array(h, [(1.0, k, r)]) for k, r in zip(kinds, ranges, strict=True)], 1)
+    off = shapes @ sills - g
+    return float(w @ off**2), np.concatenate([2 * (w * off) @ shapes, 2 * (w * off) @ (_slopes(h, kinds, ranges) * sills)])
+
+
+def _refine(h: np.ndarray, g: np.ndarray, w: np.ndarray, kinds: tuple[str, ...], sills: np.ndarray, ranges: np.ndarray, steps: int = 60, memory: int = 6) -> tuple[float, np.ndarray, np.ndarray]:
+    """Limited-memory quasi-Newton steps within bounds, sills from 0 and ranges up to 1.5 times the largest distance, all numbers
+    together. A step is taken only where it lowers the sum, so that the result is never above the start's."""
+    k = len(kinds)
+    unit = np.concatenate([np.full(k, max(g.max(), 1e-12)), np.full(k, h.max())])
+    low = np.concatenate([np.zeros(k), np.full(k, 1e-6)]) / unit
+    high = np.concatenate([np.full(k, np.inf), np.maximum(1.5 * h.max(), ranges)]) / unit
+    loss = lambda x: (lambda f, d: (f, d * unit))(*_loss(h, g, w, kinds, *np.split(x * unit, 2)))
+    x = np.clip(np.concatenate([sills, ranges]) / unit, low, high)
+    f, d = loss(x)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        # What would leave the bounds stays where it is.
+        free = ~(((x <= low) & (d > 0)) | ((x >= high) & (d < 0)))
+        if np.abs(d[free]).max(initial=0.0) <= 1e-10 * max(1.0, f):
+            break
+        q, a = np.where(free, d, 0.0), []
+        for s, y in reversed(kept):
+            a.append(s @ q / (s @ y))
+            q = q - a[-1] * y
+        if kept:
+            q = q * (kept[-1][0] @ kept[-1][1] / (kept[-1][1] @ kept[-1][1]))
+        for (s, y), b in zip(kept, reversed(a), strict=True):
+            q = q + s * (b - y @ q / (s @ y))
+        way = np.where(free, -q, 0.0)
+        if way @ d >= 0:
+            kept, way = [], np.where(free, -d, 0.0)
+        size = 1.0 if kept else min(1.0, 0.1 / max(np.abs(way).max(), 1e-300))
+        for _ in range(30):
+            there = np.clip(x + size * way, low, high)
+            f2, d2 = loss(there)
+            if f2 < f and f2 <= f + 1e-4 * (d @ (there - x)):
+                break
+            size /= 2
+        else:
+            if not kept:
+                break
+            kept = []
+            continue
+        s, y = there - x, d2 - d
+        if s @ y > 1e-12 * np.sqrt((s @ s) * (y @ y)):
+            kept = [*kept, (s, y)][-memory:]
+        x, f, d = there, f2, d2
+    return f, *np.split(x * unit, 2)
+
+
 def _fit(h: np.ndarray, g: np.ndarray, w: np.ndarray, kinds: tuple[str, ...], grid: int) -> tuple[float, Model]:
-    """Weighted least squares of a nested model: ranges over a grid, then refined in turn by golden sections; sills, which
-    enter linearly, by least squares with none below zero for each choice of ranges."""
+    """Weighted least squares of a nested model: ranges over a grid, then refined in turn by golden sections, with sills, which
+    enter linearly, by least squares with none below zero for each choice of ranges; then all together (see _refine)."""
 
     def sills(ranges):
         shapes = np.stack([gamma_array(h, [(1.0, k, r)]) for k, r in zip(kinds, ranges, strict=True)], 1) * np.sqrt(w)[:, None]
@@ -201,6 +269,9 @@ def _fit(h: np.ndarray, g: np.ndarray, w: np.ndarray, kinds: tuple[str, ...], gr
             if c <= cost:
                 start, cost = moved, c
     cost, s = sills(start)
+    better, s2, ranges = _refine(h, g, w, kinds, s, start)
+    if better < cost:
+        cost, s, start = better, s2, ranges
     model = sorted(((float(v), k, float(r)) for v, k, r in zip(s, kinds, start, strict=True) if v > 0), key=lambda t: t[2])
     return cost, model or [(1e-9, "Nug", 0.0)]
 
