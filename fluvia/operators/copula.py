@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvia.session import materialize
+
 
 def density(pairs: DataFrame, by: str, bins: int) -> DataFrame:
     """(by, i, j, density) for all bins * bins cells; u = 1 belongs to the last bin."""
@@ -53,24 +55,52 @@ def _inversions(v: np.ndarray) -> int:
     return _inversions(left) + _inversions(right) + across
 
 
-def _tied(*columns: np.ndarray) -> int:
-    """Pairs of rows that agree in all columns."""
-    _, n = np.unique(np.stack(columns, 1), axis=0, return_counts=True)
-    return int((n * (n - 1) // 2).sum())
+#: Rows of a part of a long group.
+PART = 100_000
 
 
-def kendall_tau_b(pairs: DataFrame, by: str) -> DataFrame:
+def kendall_tau_b(pairs: DataFrame, by: str, part_rows: int = PART) -> DataFrame:
     """(by, tau_b) from the concordance of all pairs of rows (u, v) in a group; ties count in neither direction.
 
-    A group is sorted once and its discordant pairs are counted by halves; a group fits in a task.
+    Rows are dealt into ranges of (by, u, v), written out. Discordant pairs are counted within each range by halves, and
+    for a group of several ranges between each two of them, as a task's work; ties are counted by grouping. A
+    task holds two ranges, however long a group; NaN and null rows are left out.
     """
-
-    def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        u, v = frame["u"].to_numpy(float), frame["v"].to_numpy(float)
-        total, tu, tv, both = len(u) * (len(u) - 1) // 2, _tied(u), _tied(v), _tied(u, v)
-        discordant = _inversions(v[np.lexsort((v, u))])
-        below = float((total - tu) * (total - tv)) ** 0.5
-        tau = (total - tu - tv + both - 2 * discordant) / below if below else None
-        return pd.DataFrame([(key[0], tau)], columns=[by, "tau_b"])
-
-    return pairs.select(by, "u", "v").groupBy(by).applyInPandas(work, f"{by} {dict(pairs.dtypes)[by]}, tau_b double")
+    rows = pairs.select(by, F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+    rows = rows.where("u is not null and v is not null and not isnan(u) and not isnan(v)")
+    kind = dict(pairs.dtypes)[by]
+    spark = pairs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // part_rows))
+    dealt = materialize(rows.repartitionByRange(parts, by, "u", "v").withColumn("part", F.spark_partition_id()), "ranges")
+    # Values in the order of u and v: one row a group and range, in which it stands by itself.
+    ranges = dealt.groupBy(by, "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("u", "v"))), lambda p: p["v"]).alias("vs"))
+
+    def within(batches):
+        for batch in batches:
+            vs = batch.column(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_inversions(vs[i].values.to_numpy()) for i in range(batch.num_rows)], pa.int64())], [by, "n"])
+
+    def between(batches):
+        for batch in batches:
+            out = [len(a := batch.column(1)[i].values) * len(b := batch.column(2)[i].values) - int(np.searchsorted(np.sort(a.to_numpy()), b.to_numpy(), "right").sum()) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], [by, "n"])
+
+    several = dealt.select(by, "part").distinct().groupBy(by).agg(F.collect_list("part").alias("own")).where(F.size("own") > 1)
+    held = ranges.join(several, by)
+    # Each range meets the later ones of its group in a place of two ranges.
+    left = held.select(by, F.col("part").alias("i"), F.col("vs").alias("a"), F.explode(F.filter("own", lambda q: q > F.col("part"))).alias("j"))
+    right = held.select(by, F.col("part").alias("j"), F.col("vs").alias("b"), F.explode(F.filter("own", lambda q: q < F.col("part"))).alias("i"))
+    met = left.join(right, [by, "i", "j"]).select(by, "a", "b")
+    discordant = ranges.select(by, "vs").mapInArrow(within, f"{by} {kind}, n long").union(met.mapInArrow(between, f"{by} {kind}, n long"))
+    discordant = discordant.groupBy(by).agg(F.sum("n").alias("discordant"))
+
+    def tied(*columns: str) -> DataFrame:
+        n = dealt.groupBy(by, *columns).agg(F.count(F.lit(1)).alias("k"))
+        return n.groupBy(by).agg((F.sum(F.col("k") * (F.col("k") - 1)) / 2).alias("_".join(("t", *columns))))
+
+    every = dealt.groupBy(by).agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("total"))
+    for t in (tied("u"), tied("v"), tied("u", "v"), discordant):
+        every = every.join(t, by)
+    c = F.col
+    below = F.sqrt((c("total") - c("t_u")) * (c("total") - c("t_v")))
+    return every.select(by, F.try_divide(c("total") - c("t_u") - c("t_v") + c("t_u_v") - 2 * c("discordant"), F.nullif(below, F.lit(0.0))).alias("tau_b"))

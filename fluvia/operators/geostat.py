@@ -145,9 +145,14 @@ def flattening(bins: DataFrame, variance: float, tolerance: float = 0.025) -> fl
     return found
 
 
-def cut_distance(pairs: DataFrame, share: float | str = 0.5, variance: float | None = None) -> float:
-    """Largest distance of the pairs that count: a share of the largest there is, or 'auto' (flattening of 20 bins, else half)."""
+def cut_distance(pairs: DataFrame, share: float | str = 0.5, variance: float | None = None, most: float | None = None) -> float:
+    """Largest distance of the pairs that count: a share of the largest there is, or 'auto' (flattening of 20 bins, else half); pairs
+    beyond most, if given, don't count at all."""
+    if most is not None:
+        pairs = pairs.where(F.col("dist") <= most)
     far = pairs.agg(F.max("dist").alias("d")).first()["d"]
+    if far is None:
+        return 0.0
     if share != "auto":
         return far * float(share)
     found = flattening(binned(lag_bins(pairs, far / 20, far), ["bin"]), variance or 1.0)

@@ -13,6 +13,14 @@ def set_null(cells: DataFrame, low: float, high: float) -> DataFrame:
     return cells.withColumn("value", F.when(F.col("value").between(low, high), F.col("value")))
 
 
+def mask_snapped(cells: DataFrame, x0: float, y0: float, size: float, other: DataFrame, other_x0: float, other_y0: float, other_size: float) -> DataFrame:
+    """Values stay where the other raster, of its own corner and cell size, has a value in the cell that a cell's centre snaps to."""
+    at = lambda k, start, begin: F.floor(((F.col(k) + 0.5) * size + start - begin) / other_size).cast("int")
+    placed = cells.withColumn("i_", at("r", y0, other_y0)).withColumn("j_", at("c", x0, other_x0))
+    shape = other.where("value is not null").select(F.col("r").alias("i_"), F.col("c").alias("j_"), F.lit(True).alias("in_"))
+    return placed.join(shape, ["i_", "j_"], "left").withColumn("value", F.when(F.col("in_"), F.col("value"))).drop("i_", "j_", "in_")
+
+
 def clip(cells: DataFrame, r0: int, r1: int, c0: int, c1: int) -> DataFrame:
     """Cells within the given rows and columns, both ends included."""
     return cells.where(F.col("r").between(r0, r1) & F.col("c").between(c0, c1))
@@ -115,17 +123,32 @@ def sample(cells: DataFrame, points: DataFrame, x0: float, y0: float, size: floa
     return placed.join(cells.select("r", "c", "value"), ["r", "c"], "left").drop("r", "c")
 
 
-def nearest_of_curved(points: DataFrame, cells: DataFrame, reach: float) -> DataFrame:
+def nearest_of_curved(points: DataFrame, cells: DataFrame, reach: float | None = None) -> DataFrame:
     """(stn, r, c, dist): the nearest centre (r, c, x, y) of a grid whose rows and columns are curved; ties to the smaller r, then c.
 
-    Both meet on tiles of side reach; points with nobody within reach have no row.
+    Both meet on tiles of side reach; points with nobody within reach have no row. Without a reach every point has
+    one: those that find nobody look again twice as far, from the mean spacing of the centres on.
     """
     from fluvia.operators.spatial import tiled_pairs
+    from fluvia.session import materialize
 
     left = points.select("stn", F.col("x").alias("ax"), F.col("y").alias("ay"))
     right = cells.select("r", "c", F.col("x").alias("bx"), F.col("y").alias("by"))
     best = F.min(F.struct("dist", "r", "c"))
-    return tiled_pairs(left, right, reach).groupBy("stn").agg(best.alias("b")).select("stn", "b.r", "b.c", "b.dist")
+    find = lambda some, far: tiled_pairs(some, right, far).groupBy("stn").agg(best.alias("b")).select("stn", "b.r", "b.c", "b.dist")
+    if reach is not None:
+        return find(left, reach)
+    box = right.agg(F.count(F.lit(1)).alias("n"), F.min("bx").alias("x0"), F.max("bx").alias("x1"), F.min("by").alias("y0"), F.max("by").alias("y1")).first()
+    if not box["n"]:
+        return find(left.limit(0), 1.0)
+    now, found = max(2 * ((box["x1"] - box["x0"]) * (box["y1"] - box["y0"]) / box["n"]) ** 0.5, 1e-9 * max(1.0, abs(box["x1"]), abs(box["y1"]))), None
+    while True:
+        made = materialize(find(left, now), "nearest-cells")
+        found = made if found is None else found.union(made)
+        left = materialize(left.join(made, "stn", "left_anti"), "far-points")
+        if not left.limit(1).count():
+            return found
+        now *= 2
 
 
 def bilinear(cells: DataFrame, targets: DataFrame) -> DataFrame:

@@ -168,3 +168,20 @@ def correlated_neighbours(obs: DataFrame, time: str, most: int, least_rho: float
     both = rho.select("a", "b", "rho", "n").union(rho.select("b", "a", "rho", "n")).toDF("stn", "neighbour", "rho", "n")
     place = F.row_number().over(Window.partitionBy("stn").orderBy(F.desc(F.round(F.abs("rho"), 9)), "neighbour"))
     return both.withColumn("place", place).where(F.col("place") <= most)
+
+
+def valid_neighbours(obs: DataFrame, near: DataFrame, time: str, most: int, more_than: int, gaps: bool = False) -> DataFrame:
+    """(stn, neighbour, place, n): of the neighbours (stn, neighbour, place) those with values at more than more_than steps at which the
+    station has one too, the `most` first of them in their order; n: those steps. gaps: only neighbours that have a
+    value at some step at which the station has none count."""
+    known = obs.where("value is not null").select("stn", time)
+    met = near.select("stn", "neighbour", F.col("place").alias("p_")).join(known.select(F.col("stn").alias("neighbour"), time), "neighbour")
+    both = met.join(known.withColumn("own_", F.lit(1)), ["stn", time], "left")
+    counts = both.groupBy("stn", "neighbour", "p_").agg(F.count("own_").alias("n"), F.count_if(F.col("own_").isNull()).alias("free_"))
+    kept = counts.where((F.col("n") > more_than) & ((F.col("free_") > 0) if gaps else F.lit(True)))
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("stn").orderBy("p_", "neighbour"))).where(F.col("place") <= most).select("stn", "neighbour", "place", "n")
+
+
+def mean_values(rows: DataFrame, *by: str, digits: int = 2) -> DataFrame:
+    """(by, value): means of the values that there are, rounded; null where there is none."""
+    return rows.groupBy(*by).agg(F.round(F.avg("value"), digits).alias("value"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fluvia import adapt
 from fluvia.functions import normal, projection
-from fluvia.operators import polygons, raster, spatial
+from fluvia.operators import polygons, raster, spatial, splines
 from fluvia.plans.registry import query, r6
 
 
@@ -121,6 +121,31 @@ def nearest_cell_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.nearest_of_curved(adapt.stations(spark, sf_dir), grid, 60.0).withColumn("dist", r6("dist"))
 
 
+@query("cells stations", "g AS (SELECT r, c, c*20e0+10+r*5e-1 AS x, r*20e0+10+c*2e-1 AS y FROM cells), d AS (SELECT s.stn, g.r, g.c, sqrt((s.x-g.x)*(s.x-g.x)+(s.y-g.y)*(s.y-g.y)) AS dist FROM stations s, g) SELECT stn, arg_min(r,(dist,r,c)) AS r, arg_min(c,(dist,r,c)) AS c, round(min(dist),6) AS dist FROM d GROUP BY stn")
+def nearest_cell_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every station's, however far."""
+    grid = adapt.cells(spark, sf_dir).select("r", "c", (F.col("c") * 20.0 + 10 + F.col("r") * 0.5).alias("x"), (F.col("r") * 20.0 + 10 + F.col("c") * 0.2).alias("y"))
+    return raster.nearest_of_curved(adapt.stations(spark, sf_dir), grid).withColumn("dist", r6("dist"))
+
+
+@query("cells stations", "b AS (SELECT r, c, r*4e1 AS y0, c*3e1 AS x0 FROM (SELECT DISTINCT r//2 AS r, (c*2)//3 AS c FROM cells)), o AS (SELECT b.r, b.c, k.value, (least(x0+30,(k.c+1)*20e0)-greatest(x0,k.c*20e0))*(least(y0+40,(k.r+1)*20e0)-greatest(y0,k.r*20e0)) AS a FROM b JOIN cells k ON k.c*20e0<x0+30 AND (k.c+1)*20e0>x0 AND k.r*20e0<y0+40 AND (k.r+1)*20e0>y0) SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(sum(value*a)/sum(a),6) AS value FROM o GROUP BY r, c")
+def reproject_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area-weighted means on cells of another size and shape: a system whose axes are stretched."""
+    given = cells(spark, sf_dir)
+    targets = given.select(F.floor(F.col("r") / 2).cast("int").alias("r"), F.floor(F.col("c") * 2 / 3).cast("int").alias("c")).distinct()
+    targets = targets.select("r", "c", (F.col("c") + 0.5).alias("x"), (F.col("r") + 0.5).alias("y"))
+    made = raster.reproject(given, targets, lambda x, y: (x * 30.0, y * 40.0), 0.0, 0.0, 20.0, "average", 1.0)
+    return made.select("r", "c", r6("value").alias("value"))
+
+
+@query()
+def spline_zoom_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the third order, over the whole raster, to twice its rows and columns; values beyond the input's range are missing."""
+    given = adapt.cells(spark, sf_dir)
+    rows = given.agg(F.max("r")).first()[0] + 1
+    return splines.spline_zoom(given, rows, 50, 2.0, 3).select("r", "c", r6("value").alias("value"))
+
+
 @query("cells", "SELECT r, c, CASE WHEN value>1500 THEN -9999e0 ELSE round(value,6) END AS value, CASE WHEN value<=1500 THEN CAST(floor(value) AS INT) ELSE -1 END AS whole, CASE WHEN value<=1000 THEN CAST(floor(value/4) AS INT) END AS small FROM cells")
 def ndv_and_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing values as a no-data value and back, and as other cell types."""
@@ -141,10 +166,11 @@ def axis_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("r", "c", "value", raster.corner(F.col("c") * 20.0 + 10, 20.0).alias("corner"), "flipped")
 
 
-@query("cells", "g AS (SELECT r, c, value FROM cells WHERE r<4 AND c<5 AND r*50+c>0), f AS (SELECT a.i AS r, b.i AS c, greatest(0e0,least(3e0,(a.i+5e-1)/3-5e-1)) AS fr, greatest(0e0,least(4e0,(b.i+5e-1)/3-5e-1)) AS fc FROM (SELECT unnest(range(12)) AS i) a, (SELECT unnest(range(15)) AS i) b), o AS (SELECT f.r, f.c, floor(fr)+i.i AS kr, floor(fc)+j.j AS kc, (CASE WHEN i.i=0 THEN floor(fr)+1-fr ELSE fr-floor(fr) END)*(CASE WHEN j.j=0 THEN floor(fc)+1-fc ELSE fc-floor(fc) END) AS w FROM f, (SELECT unnest(range(2)) AS i) i, (SELECT unnest(range(2)) AS j) j) SELECT CAST(o.r AS INT) AS r, CAST(o.c AS INT) AS c, CASE WHEN count(*)=count(g.value) THEN round(sum(g.value*w),5) END AS value FROM o LEFT JOIN g ON g.r=o.kr AND g.c=o.kc WHERE w>0 GROUP BY o.r, o.c")
+@query("cells", "e AS (SELECT max(r)+1 AS n FROM cells), f AS (SELECT a.i AS r, b.i AS c, greatest(0e0,least(n-1e0,(a.i+5e-1)/3-5e-1)) AS fr, greatest(0e0,least(49e0,(b.i+5e-1)/3-5e-1)) AS fc FROM e, (SELECT unnest(range((SELECT max(r)+1 FROM cells)*3)) AS i) a, (SELECT unnest(range(150)) AS i) b), o AS (SELECT f.r, f.c, floor(fr)+i.i AS kr, floor(fc)+j.j AS kc, (CASE WHEN i.i=0 THEN floor(fr)+1-fr ELSE fr-floor(fr) END)*(CASE WHEN j.j=0 THEN floor(fc)+1-fc ELSE fc-floor(fc) END) AS w FROM f, (SELECT unnest(range(2)) AS i) i, (SELECT unnest(range(2)) AS j) j) SELECT CAST(o.r AS INT) AS r, CAST(o.c AS INT) AS c, CASE WHEN count(*)=count(g.value) THEN round(sum(g.value*w),5) END AS value FROM o LEFT JOIN cells g ON g.r=o.kr AND g.c=o.kc WHERE w>0 GROUP BY o.r, o.c")
 def spline_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = adapt.cells(spark, sf_dir).where("r < 4 and c < 5 and r * 50 + c > 0")
-    return raster.zoom(part, 4, 5, 3, 1).withColumn("value", F.round("value", 5))
+    given = adapt.cells(spark, sf_dir)
+    rows = given.agg(F.max("r")).first()[0] + 1
+    return raster.zoom(given, rows, 50, 3, 1).withColumn("value", F.round("value", 5))
 
 
 @query("cells", "SELECT CAST(floor(r/4) AS INT) AS r, CAST(floor(c/4) AS INT) AS c, round(arg_min(value, (r,c)),6) AS near FROM cells GROUP BY 1, 2")

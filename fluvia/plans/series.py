@@ -186,6 +186,17 @@ def nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return spatial.nearest_stations(adapt.stations(spark, sf_dir), k).select(F.col("a").alias("stn"), F.col("b").alias("neighbour"), "place")
 
 
+@query("stations obs_month", "nn AS (SELECT a.stn, b.stn AS nb, row_number() OVER (PARTITION BY a.stn ORDER BY sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), b.stn) AS k FROM stations a JOIN stations b ON a.stn<>b.stn), c AS (SELECT nn.stn, nb, k, count(o.stn) AS n, count(*)-count(o.stn) AS free FROM nn JOIN obs_month p ON p.stn=nn.nb LEFT JOIN obs_month o ON o.stn=nn.stn AND o.m=p.m WHERE k<=8 GROUP BY ALL), v AS (SELECT *, row_number() OVER (PARTITION BY stn ORDER BY k, nb) AS place FROM c WHERE n>30 AND free>0) SELECT stn, nb AS neighbour, CAST(place AS INT) AS place, n FROM v WHERE place<=4")
+def nearest_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the eight nearest the four first with enough common months and with some value where the station has none."""
+    return series.valid_neighbours(adapt.obs_month(spark, sf_dir), nearest(spark, sf_dir, 8), "m", 4, 30, gaps=True)
+
+
+@query("obs", "SELECT stn, round(avg(value),2) AS value FROM obs GROUP BY stn")
+def station_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.mean_values(adapt.obs(spark, sf_dir), "stn")
+
+
 @query("stations obs_month", f"{_ONE} SELECT sc.stn, m, CAST(n AS INT) AS n_recs, round(rho*zw,6)+0e0 AS mu, round(sqrt(1-rho*rho),6) AS sigma FROM sc JOIN rh ON rh.stn=sc.stn WHERE n>=20 AND rho*rho<1")
 def infill_one_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = infill.infill(adapt.obs_month(spark, sf_dir), nearest(spark, sf_dir, 1), "m", everywhere=True)

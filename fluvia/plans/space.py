@@ -88,9 +88,8 @@ def variogram_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def variogram_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two best nested models of each third month with values of at least five stations."""
-    obs = adapt.obs_month(spark, sf_dir).where("m % 3 = 0")
-    made = geostat.fit_times(obs, stations(spark, sf_dir), "m", 50.0, 600.0, 5, n_best=2)
+    """The two best nested models of each month with values of at least five stations."""
+    made = geostat.fit_times(adapt.obs_month(spark, sf_dir), stations(spark, sf_dir), "m", 50.0, 600.0, 5, n_best=2)
     return made.select("m", "place", "model", r6("objective").alias("objective"), r6("aic").alias("aic"))
 
 
@@ -117,9 +116,9 @@ def total_sill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([variogram.total_sill_last_range(variogram.parse(MODEL))], "sill double, last double")
 
 
-@query("stations obs_month cells", "q AS (SELECT o.m, regr_slope(value, z) AS a, regr_intercept(value, z) AS b FROM obs_month o JOIN stations s ON s.stn=o.stn GROUP BY o.m HAVING count(DISTINCT z)>1) SELECT q.m, r, c, round(b+a*k.value,5) AS value FROM q, (SELECT r, c, value FROM cells WHERE r<3 AND r*50+c>0) k")
+@query("stations obs_month cells", "q AS (SELECT o.m, regr_slope(value, z) AS a, regr_intercept(value, z) AS b FROM obs_month o JOIN stations s ON s.stn=o.stn GROUP BY o.m HAVING count(DISTINCT z)>1) SELECT q.m, r, c, round(b+a*k.value,5) AS value FROM q, (SELECT r, c, value FROM cells) k")
 def drift_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = adapt.cells(spark, sf_dir).where("r < 3 and r * 50 + c > 0").select("r", "c", F.col("value").alias("z"))
+    grid = adapt.cells(spark, sf_dir).select("r", "c", F.col("value").alias("z"))
     return geostat.drift_fields(adapt.obs_month(spark, sf_dir), stations(spark, sf_dir), "m", "z", 1, grid).withColumn("value", F.round("value", 5))
 
 
@@ -193,6 +192,38 @@ def krige_simple_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kriged_from_two(spark, sf_dir, "simple", sill=13.0)
 
 
+@query("stations obs_month", f"{_TWO}, l AS (SELECT *, ((13-g1)*13-(13-g2)*(13-g))/(169-(13-g)*(13-g)) AS w1, ((13-g2)*13-(13-g1)*(13-g))/(169-(13-g)*(13-g)) AS w2 FROM gg), k AS (SELECT a, m, greatest(0e0,CASE WHEN v1<=25 THEN w1 ELSE 0e0 END+CASE WHEN v2<=25 THEN w2 ELSE 0e0 END) AS p FROM l) SELECT a AS stn, m, round(p,6) AS estimate, round(p*(1-p),6) AS variance FROM k")
+def krige_indicator_simple_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kriged_from_two(spark, sf_dir, "indicator_simple", sill=13.0, limit=25.0)
+
+
+@query("stations obs_month", f"{_TWO}, l AS (SELECT *, 5e-1+(g2-g1)/(2*g) AS w FROM gg) SELECT a AS stn, m, round(g1-(1-w)*g,6) AS multiplier, round(greatest(0e0,CASE WHEN v1<=25 THEN w ELSE 0e0 END+CASE WHEN v2<=25 THEN 1-w ELSE 0e0 END),6) AS share FROM l")
+def krige_multipliers_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multipliers of the systems of the two nearest, and the share of values up to 25 by indicators."""
+    s = stations(spark, sf_dir)
+    made = geostat.krige_all(s, s, adapt.obs_month(spark, sf_dir), "m", variogram.parse(MODEL), "indicator", k=2, limit=25.0)
+    return made.where("n = 2").select("stn", "m", r6(F.get("multipliers", F.lit(0))).alias("multiplier"), r6("estimate").alias("share"))
+
+
+@query()
+def krige_indicator_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kriged_from_all(spark, sf_dir, "indicator_simple", limit=25.0)
+
+
+@query("cells", "o AS (SELECT r, c FROM cells WHERE cls>25) SELECT k.r, k.c, CASE WHEN o.r IS NOT NULL THEN round(k.value,6) END AS value FROM cells k LEFT JOIN o ON o.r=CAST(floor(((k.r+5e-1)*20-7)/50) AS INT) AND o.c=CAST(floor(((k.c+5e-1)*20+3)/50) AS INT)")
+def mask_snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a coarser raster with a corner of its own."""
+    cells = adapt.cells(spark, sf_dir)
+    shape = cells.select("r", "c", F.when(F.col("cls") > 25, F.col("value")).alias("value"))
+    return raster.mask_snapped(cells.select("r", "c", r6("value").alias("value")), 0.0, 0.0, 20.0, shape, -3.0, 7.0, 50.0)
+
+
+@query("stations", f"{_EVERY} SELECT round(max(dist)*5e-1,6) AS half FROM pr WHERE dist<=600")
+def cut_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the largest distance up to 600."""
+    return spark.createDataFrame([(round(geostat.cut_distance(spatial.station_pairs(stations(spark, sf_dir)), 0.5, most=600.0), 6),)], "half double")
+
+
 def kriged_from_two(spark: SparkSession, sf_dir: str, kind: str, **more) -> DataFrame:
     """From the two nearest, where there are two."""
     s = stations(spark, sf_dir)

@@ -95,6 +95,15 @@ def date_catalogue(files: DataFrame, pattern: str, form: str) -> DataFrame:
     return files.withColumn("d", day).where("d is not null")
 
 
+def aligned(catalogues: dict[str, DataFrame]) -> DataFrame:
+    """(d, a path for each name): the days on which all catalogues (path, d) have a file, with the first path of each by name."""
+    made = None
+    for name, files in catalogues.items():
+        own = files.groupBy("d").agg(F.min("path").alias(name))
+        made = own if made is None else made.join(own, "d")
+    return made
+
+
 def new_raster(spark: SparkSession, rows: int, cols: int, value: float | None = None) -> DataFrame:
     """(r, c, value) of a raster of one value, made where its rows are."""
     axis = F.sequence(F.lit(0), F.lit(cols - 1))
@@ -130,11 +139,18 @@ def read_cube(spark: SparkSession, path: str, time: str, first=None, last=None,
     return cube.drop("year")
 
 
-def read_geojson(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """(zone, rings) of the polygons of GeoJSON feature collections; the parts of a multi-polygon are rows of their own."""
+def read_geojson(spark: SparkSession, path: str, key: str, lines: bool | None = None) -> DataFrame:
+    """(zone, rings) of the polygons of GeoJSON feature collections, or of files with a feature a line (lines; by default what the first
+    line says); the parts of a multi-polygon are rows of their own. Other shapes and features without one are left out."""
     point = "array<double>"
-    shape = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
-    rows = spark.read.schema(shape).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    feature = "type: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>"
+    if lines is None:
+        first = spark.read.text(path).where("trim(value) <> ''").limit(1).select(F.get_json_object("value", "$.type").alias("t")).first()
+        lines = first is not None and first["t"] == "Feature"
+    if lines:
+        rows = spark.read.schema(feature.replace(": ", " ", 1).replace("properties: ", "properties ").replace("geometry: ", "geometry ")).json(path).where("type = 'Feature'").select(F.struct("properties", "geometry").alias("f"))
+    else:
+        rows = spark.read.schema(f"features array<struct<{feature}>>").json(path, multiLine=True).select(F.explode("features").alias("f"))
     one, many = F.from_json("f.geometry.coordinates", f"array<array<{point}>>"), F.from_json("f.geometry.coordinates", f"array<array<array<{point}>>>")
     parts = F.when(F.col("f.geometry.type") == "Polygon", F.array(one)).when(F.col("f.geometry.type") == "MultiPolygon", many)
     made = rows.select(F.col("f.properties")[key].alias("zone"), F.explode(parts).alias("part"))
@@ -142,8 +158,9 @@ def read_geojson(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def write_geojson(polygons: DataFrame, path: str, key: str) -> None:
-    """Polygons (zone, rings) as lines of GeoJSON features."""
-    rings = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+    """Polygons (zone, rings) as files with a GeoJSON feature a line, rings closed; read_geojson reads them back."""
+    closed = lambda ring: F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+    rings = F.transform(F.filter("rings", lambda ring: F.size(ring) > 0), lambda ring: F.transform(closed(ring), lambda p: F.array(p["x"], p["y"])))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("zone").alias(key)).alias("properties"), F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")).alias("geometry"))
     polygons.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
 
