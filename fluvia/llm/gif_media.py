@@ -247,11 +247,12 @@ def pad_payload(text: str | None, row: int = ROW) -> bytes:
     return data.ljust(max(1, -(-len(data) // row)) * row, b" ")
 
 
-def histogram(pixels: np.ndarray, bins: int = 16) -> list[int]:
-    """Pixels per bin of grey level (mean of red, green and blue), opaque ones only."""
+def histogram(pixels: np.ndarray) -> list[int]:
+    """Opaque pixels in each of 64 cells of colours: quarters of red, of green and of blue, blue fastest."""
     flat = pixels.reshape(-1, 4)
-    level = flat[:, :3].astype(np.uint16).sum(1)[flat[:, 3] > 0] // 3
-    return np.bincount(level * bins // 256, minlength=bins).tolist()
+    quarter = flat[:, :3] >> 6
+    cell = (quarter[:, 0] << 4) | (quarter[:, 1] << 2) | quarter[:, 2]
+    return np.bincount(cell[flat[:, 3] > 0], minlength=64).tolist()
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -283,7 +284,7 @@ def decode_media(media: DataFrame) -> DataFrame:
 def media_digests(docs: DataFrame) -> DataFrame:
     """doc_id and digests of each whole text's stored GIF and of what is read back from it.
 
-    feature: number of frames, their time in hundredths of a second, and the 16-bin histogram over all
+    feature: number of frames, their time in hundredths of a second, and the colour histogram over all
     of them. Equal texts give equal values; an empty table stays empty.
     """
 
@@ -291,7 +292,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
         rows = []
         for t in texts:
             media = encode_gif(pad_payload(t))
-            parts, bins, delay = [], np.zeros(16, np.int64), 0
+            parts, bins, delay = [], np.zeros(64, np.int64), 0
             for f in decode_gif(media):
                 # The grey palette gives samples as colours; a frame's own place on the canvas holds them.
                 place = f.canvas[f.top : f.top + f.height, f.left : f.left + f.width]

@@ -23,7 +23,7 @@ def test_round_trip(request, name):
         for r in got[d]:
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
             frames = -(-len(padded) // (192 * gif_media.FRAME_ROWS))
-            level = np.bincount(np.frombuffer(padded, np.uint8) // 16, minlength=16)
+            level = np.bincount(np.frombuffer(padded, np.uint8) // 64 * 21, minlength=64)
             assert r["feature"] == f"{frames};{frames * gif_media.DELAY};" + ",".join(map(str, level))
 
 
@@ -108,3 +108,21 @@ def test_damaged_media(spark):
     rows = {r["i"]: r["frames"] for r in gif_media.decode_media(df).collect()}
     assert len(rows) == len(blobs) + 3 and len(rows[len(blobs) + 2]) == 1
     assert rows[len(blobs)] is None and rows[len(blobs) + 1] is None
+
+
+def test_histograms_tell_colours_apart(spark):
+    """One stream of samples under three palettes: red and blue, green and white, and grey."""
+    media = bytearray(gif_media.encode_gif(bytes([10] * 100 + [200] * 92)))
+    frames = {}
+    for name, (low, high) in {"a": ((255, 0, 0), (0, 0, 255)), "b": ((0, 200, 0), (255, 255, 255)), "c": ((10, 10, 10), (200, 200, 200))}.items():
+        media[13 + 30 : 13 + 33], media[13 + 600 : 13 + 603] = bytes(low), bytes(high)
+        frames[name] = bytes(media)
+    df = spark.createDataFrame([(n, bytearray(b)) for n, b in frames.items()], "name string, media binary")
+    got = {r["name"]: {i: n for i, n in enumerate(r["frames"][0]["histogram"]) if n} for r in gif_media.decode_media(df).collect()}
+    assert got == {"a": {3 << 4: 100, 3: 92}, "b": {3 << 2: 100, 63: 92}, "c": {0: 100, 63: 92}}
+
+
+def test_clear_pixels_are_not_counted():
+    pixels = np.zeros((2, 3, 4), np.uint8)
+    pixels[0, :, 0], pixels[0, :2, 3] = 130, 255
+    assert {i: n for i, n in enumerate(gif_media.histogram(pixels)) if n} == {2 << 4: 2}
