@@ -45,15 +45,19 @@ def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, r, c, x, y, value) of ASCII grids; the no-data value becomes null.
 
     A file may hold many grids one after another, each with its six header lines; block counts them from
-    0. Files are read as lines and put in order by the lines' numbers within a file, so that lines, not
-    files, are what a task holds; a block's lines are numbered by one window over the file.
+    0. Files are read as lines, split by split; lines are numbered within their split, and by what the splits
+    before it in the file hold, a row a split. A task holds a split, however large a file.
     """
     text = spark.read.text(path, lineSep="\n")
     lines = text.select(F.col("_metadata.file_path").alias("file"), F.trim(F.regexp_replace("value", "\r$", "")).alias("line"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("k")).where("line <> ''")
-    order = Window.partitionBy("file").orderBy("part", "k")
     words = F.split("line", r"\s+")
-    started = F.sum((F.lower(words[0]) == HEADER[0]).cast("int")).over(order) - 1
-    placed = lines.select("file", started.alias("block"), F.row_number().over(order).alias("at"), words.alias("words"))
+    starts = (F.lower(words[0]) == HEADER[0]).cast("int")
+    splits = lines.groupBy("file", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(starts).alias("s"))
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_") for c in ("n", "s")))
+    order = Window.partitionBy("file", "part").orderBy("k")
+    numbered = lines.select("file", "part", F.row_number().over(order).alias("i"), F.sum(starts).over(order).alias("b"), words.alias("words"))
+    placed = numbered.join(splits, ["file", "part"]).select("file", (F.col("b") + F.col("s_") - 1).alias("block"), (F.col("i") + F.col("n_")).alias("at"), "words")
     head = F.lower(F.col("words")[0]).isin(*HEADER)
     wide = placed.where(head).select("file", "block", "at", F.lower(F.col("words")[0]).alias("name"), F.col("words")[1].try_cast("double").alias("v")).groupBy("file", "block").agg(F.max("at").alias("last"), *(F.max(F.when(F.col("name") == h, F.col("v"))).alias(h) for h in HEADER))
     body = placed.where(~head).join(wide, ["file", "block"]).withColumn("r", (F.col("at") - F.col("last") - 1).cast("int"))

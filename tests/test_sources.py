@@ -4,6 +4,7 @@ import datetime
 import json
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,19 @@ def test_geojson(spark, tmp_path):
 def test_missing_files_say_so(spark, path):
     with pytest.raises(Exception, match="(?i)path"):
         tables.read_ascii_grid(spark, f"/nowhere/{path}").count()
+
+
+def test_grids_over_many_splits(spark, tmp_path):
+    """Three grids in a file that is read in small splits, with blank lines between."""
+    rng = np.random.default_rng(2)
+    grids = [rng.integers(0, 999, (40 + 7 * b, 25)) for b in range(3)]
+    text = "".join(f"ncols 25\nnrows {len(g)}\nxllcorner 0\nyllcorner 0\ncellsize 1\nNODATA_value -1\n\n" + "".join(" ".join(map(str, row)) + "\n" for row in g.tolist()) for g in grids)
+    (tmp_path / "many.asc").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        df = tables.read_ascii_grid(spark, str(tmp_path / "many.asc"))
+        got = {(r["block"], r["r"], r["c"]): r["value"] for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(b, r, c): float(v) for b, g in enumerate(grids) for (r, c), v in np.ndenumerate(g)}
