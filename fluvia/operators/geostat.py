@@ -340,7 +340,9 @@ def drift_fields(obs: DataFrame, stations: DataFrame, time: str, drift: str, deg
     fitted = sums.where(F.col("k") > degree).mapInPandas(solve, f"{time} {kind}, b_ array<double>")
     at = (F.col(drift).cast("double") - scale["m"]) / scale["s"]
     value = sum((F.col("b_")[i] * F.pow(at, F.lit(float(i))) for i in range(1, degree + 1)), F.col("b_")[0])
-    return cells.crossJoin(F.broadcast(fitted)).select(time, "r", "c", value.alias("value"))
+    named = cells.select((F.col("r").cast("long") * (1 << 32) + F.col("c")).alias("stn"), "r", "c", F.col(drift).cast("double").alias(drift))
+    each = meet(fitted, named, time).select(time, "b_", F.explode("wanted").alias("w_")).select(time, "b_", "w_.*")
+    return each.select(time, "r", "c", value.alias("value"))
 
 
 #: Targets whose right-hand sides are held at a time, and numbers of stacked systems.

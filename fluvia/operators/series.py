@@ -170,15 +170,18 @@ def correlated_neighbours(obs: DataFrame, time: str, most: int, least_rho: float
     return both.withColumn("place", place).where(F.col("place") <= most)
 
 
-def valid_neighbours(obs: DataFrame, near: DataFrame, time: str, most: int, more_than: int, gaps: bool = False) -> DataFrame:
+def valid_neighbours(obs: DataFrame, near: DataFrame, time: str, most: int, more_than: int, gaps: bool = False, first=None, last=None) -> DataFrame:
     """(stn, neighbour, place, n): of the neighbours (stn, neighbour, place) those with values at more than more_than steps at which the
     station has one too, the `most` first of them in their order; n: those steps. gaps: only neighbours that have a
-    value at some step at which the station has none count."""
+    value at some step at which the station has none count. first, last: only those with a common step from first to last."""
     known = obs.where("value is not null").select("stn", time)
     met = near.select("stn", "neighbour", F.col("place").alias("p_")).join(known.select(F.col("stn").alias("neighbour"), time), "neighbour")
     both = met.join(known.withColumn("own_", F.lit(1)), ["stn", time], "left")
-    counts = both.groupBy("stn", "neighbour", "p_").agg(F.count("own_").alias("n"), F.count_if(F.col("own_").isNull()).alias("free_"))
-    kept = counts.where((F.col("n") > more_than) & ((F.col("free_") > 0) if gaps else F.lit(True)))
+    inside = F.col("own_").isNotNull()
+    for edge in ((F.col(time) >= F.lit(first)) if first is not None else None, (F.col(time) <= F.lit(last)) if last is not None else None):
+        inside = inside if edge is None else inside & edge
+    counts = both.groupBy("stn", "neighbour", "p_").agg(F.count("own_").alias("n"), F.count_if(F.col("own_").isNull()).alias("free_"), F.count_if(inside).alias("in_"))
+    kept = counts.where((F.col("n") > more_than) & (F.col("in_") > 0) & ((F.col("free_") > 0) if gaps else F.lit(True)))
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("stn").orderBy("p_", "neighbour"))).where(F.col("place") <= most).select("stn", "neighbour", "place", "n")
 
 

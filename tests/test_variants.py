@@ -52,6 +52,7 @@ def test_neighbours_with_enough_common_steps(spark):
     df, n = spark.createDataFrame(obs, "stn int, t int, value double"), spark.createDataFrame(near, "stn int, neighbour int, place int")
     found = lambda **more: [(r["neighbour"], r["place"], r["n"]) for r in series.valid_neighbours(df, n, "t", 3, 2, **more).orderBy("place").collect()]
     assert found() == [(3, 1, 9), (2, 2, 6)] and found(gaps=True) == [(2, 1, 6)]
+    assert found(first=9) == [(2, 1, 6)] and found(last=3) == [(3, 1, 9)] and found(first=20, last=30) == []
 
 
 def test_infill_of_dates_without_gaps(spark):
