@@ -36,6 +36,8 @@ PATIENCE = 2
 KNOWN_FROM = 4
 #: One in so many documents of the sample is kept from the gradients.
 CHECKED = 5
+#: Characters of texts that are scored at a time, about (one longer text may exceed them).
+SCORED = 1 << 21
 #: Rows of a product in scoring: always so many, padded, since the order of sums may follow the shape.
 BLOCK = 512
 #: Words whose gate inputs a task keeps, and their characters; the table is emptied when full.
@@ -240,8 +242,8 @@ class Scorer:
         x = self.net.inputs(_spread(new))
         room = self.used + len(new)
         for d in "fb":
-            if room > len(self.table[d]):
-                self.table[d] = np.concatenate([self.table[d], np.zeros((room, 3 * HIDDEN), np.float32)])
+            if room > len(self.table[d]):  # in place, so that old and new never stand side by side
+                self.table[d].resize((room + room // 2, 3 * HIDDEN), refcheck=False)
         for part in _blocks(len(new)):
             gates = self.net.gates(_padded(x[part]), _row_product)
             n = len(x[part])
@@ -424,7 +426,10 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
         scorer = Scorer(model.value)
 
         def work(texts):
-            scores = scorer.scores(texts)
+            # Many long texts at a time would need much memory at once; none depends on those beside it.
+            which = np.cumsum([len(t or "") for t in texts]) // SCORED
+            cuts = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(texts)]
+            scores = [s for a, b in zip(cuts[:-1], cuts[1:], strict=True) for s in scorer.scores(texts[a:b])]
             return scores, [int(s >= THRESHOLD) for s in scores]
 
         return work

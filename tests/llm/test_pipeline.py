@@ -85,7 +85,7 @@ def test_registry():
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert [f"op{n}_" for n in range(1, 11)] == [n[: n.index("_") + 1] for n in names if n.startswith("op")]
+    assert [f"op{n}_" for n in range(1, 14)] == [n[: n.index("_") + 1] for n in names if n.startswith("op")]
     assert "pipeline" in names and "op9_line_dedup" in __spark_entry__.oracle_sql()
 
 
