@@ -225,6 +225,12 @@ def infill_precip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.infill(rain, near, "d", infill.Settings(kind="precipitation", min_valid=15, dry=0.0, damp=1.0)).drop("density", "draws")
 
 
+@query("series", f"{_CALENDAR}, rain AS (SELECT stn, d, greatest(0e0, value-45) AS value FROM series), j AS (SELECT a.stn AS a, b.stn AS b, a.value AS va, b.value AS vb FROM rain a JOIN rain b ON a.d=b.d AND a.stn<b.stn), k AS (SELECT a, b, rank() OVER (PARTITION BY a,b ORDER BY va)+(count(*) OVER (PARTITION BY a,b,va)-1)/2e0 AS ra, rank() OVER (PARTITION BY a,b ORDER BY vb)+(count(*) OVER (PARTITION BY a,b,vb)-1)/2e0 AS rb FROM j), c AS (SELECT a, b, corr(ra,rb) AS rho FROM k GROUP BY a,b HAVING count(*)>15 AND min(ra)<max(ra) AND min(rb)<max(rb)), u AS (SELECT a AS stn, b AS neighbour, rho FROM c UNION ALL SELECT b, a, rho FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY stn ORDER BY round(abs(rho),9) DESC, neighbour) AS place FROM u) SELECT g.stn, g.d, CAST(count(r.value) AS INT) AS n_raw, count(r.value)>0 AND coalesce(max(r.value)<=0, false) AS dry FROM panel g LEFT JOIN p ON p.stn=g.stn AND place<=4 LEFT JOIN rain r ON r.stn=p.neighbour AND r.d=g.d WHERE g.value IS NULL GROUP BY g.stn, g.d")
+def infill_dry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps with the number of neighbours that have a value, and whether these are all dry."""
+    return infill_precip(spark, sf_dir).select("stn", "d", "n_raw", (F.col("status") == "dry").alias("dry"))
+
+
 @query()
 def qc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed values against the conditional quantiles of their neighbours."""
