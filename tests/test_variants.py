@@ -88,3 +88,19 @@ def test_catalogues_and_geojson(spark, tmp_path):
     assert back == {"1": [[(0, 0), (4, 0), (4, 4), (0, 0)]], "2": [[(1.5, 1.5), (2.5, 1.5), (2, 9), (1.5, 1.5)]]}
     (tmp_path / "c.json").write_text('{"type": "FeatureCollection", "features": [\n{"type": "Feature", "properties": {"id": "k"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[0,0],[1,0],[1,1]]],[[[5,5],[6,5],[6,6]]]]}}\n]}')
     assert tables.read_geojson(spark, str(tmp_path / "c.json"), "id").count() == 2
+
+
+def test_equal_means_are_equal_however_rows_are_dealt(spark, tmp_path):
+    import datetime
+    import itertools
+
+    from fluvia import plans
+
+    day = lambda k: datetime.datetime(2024, 1, k, 5)
+    rows = []
+    for user, order in enumerate(itertools.permutations([60.32, 110.86, 17.23, 45.71])):
+        rows += [(4 * user + 1, day(1), v) for v in (59.71, 57.35)] + [(4 * user + 1, day(2), v) for v in order]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, value double").repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    steps = plans.queries()["first_differences"](spark, str(tmp_path)).where("step is not null").collect()
+    assert len(steps) == 24 and {(r["step"], r["rises"]) for r in steps} == {(0.0, True)}
+    assert all(r["rising"] for r in plans.queries()["monotonic_check"](spark, str(tmp_path)).collect())
