@@ -107,8 +107,7 @@ def lag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stations", f"{_EVERY}, e AS (SELECT *, least(CAST(floor((dist-15e0)/70) AS INT),5) AS bin FROM pr WHERE dist>=15 AND dist<=400) SELECT bin, 15e0+bin*70 AS low, least(400e0,15e0+(bin+1)*70) AS high, round(avg(dist),6) AS dist, count(*) AS n FROM e GROUP BY bin")
 def lag_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = geostat.lag_bins(spatial.station_pairs(stations(spark, sf_dir)), 70.0, 400.0, start=15.0)
-    return made.groupBy("bin", "low", "high").agg(r6(F.avg("dist")).alias("dist"), F.count(F.lit(1)).alias("n"))
+    return geostat.lag_figures(stations(spark, sf_dir), 70.0, 400.0, 15.0).withColumn("dist", r6("dist"))
 
 
 @query("", "m AS (SELECT 13e0 AS sill, 120e0 AS last) SELECT * FROM m")
@@ -221,7 +220,8 @@ def mask_snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stations", f"{_EVERY} SELECT round(max(dist)*5e-1,6) AS half FROM pr WHERE dist<=600")
 def cut_below(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half the largest distance up to 600."""
-    return spark.createDataFrame([(round(geostat.cut_distance(spatial.station_pairs(stations(spark, sf_dir)), 0.5, most=600.0), 6),)], "half double")
+    far = geostat.farthest(stations(spark, sf_dir), 600.0)
+    return spark.createDataFrame([(round((far or 0.0) * 0.5, 6),)], "half double")
 
 
 def kriged_from_two(spark: SparkSession, sf_dir: str, kind: str, **more) -> DataFrame:
