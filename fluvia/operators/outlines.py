@@ -1,17 +1,20 @@
 """Unions of polygons and outlines of patches, by edges.
 
 Coordinates are put on a lattice of whole numbers, so that equal points are equal. Edges of one zone meet on
-tiles, are cut where they cross or touch, and equal pieces become one; a piece stays if exactly one of its sides
-lies within some polygon of the zone, found by counting the pieces of each polygon to the right of either side
-in the piece's strip. All of that is joins and aggregates. What is left is walked, a zone a task, into closed rings
-with the inside on their left: outlines run against the clock, holes with it.
+tiles, but for those tiles that a single polygon covers, within which no boundary runs. They are cut where they cross
+or touch, and equal pieces become one; a piece stays if exactly one of its sides lies within some polygon of the
+zone: on a covered tile, or with an odd number of pieces of a polygon of its tile to its right in that row of tiles. All
+of that is joins and aggregates. What is left is walked, a zone a task, into closed rings with the inside on their
+left: outlines run against the clock, holes with it.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,10 +85,128 @@ def _lattice_edges(polygons: DataFrame, grain: float) -> DataFrame:
     return materialize(sides.where("x0 <> x1 or y0 <> y1").withColumn("e", F.monotonically_increasing_id()), "edges")
 
 
-def _cut(edges: DataFrame, tile: float) -> DataFrame:
-    """Edges cut where others of their zone cross or touch them: (zone, part, x0, y0, x1, y1)."""
-    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - 1) / tile), F.floor((F.greatest(a, b) + 1) / tile))
-    placed = edges.withColumn("i", F.explode(span("x0", "x1"))).withColumn("j", F.explode(span("y0", "y1")))
+#: Lattice units around a tile whose edges count as the tile's: rounding moves pieces by less.
+NEAR = 2
+#: Edges that a task deals to tiles at a time.
+PART_EDGES = 65536
+
+
+def _repeat(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of n[i] items for each i, and the items' numbers."""
+    own = np.repeat(np.arange(len(n)), n)
+    return own, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def touched(x0, y0, x1, y1, tile: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k, i, j): the tiles, in columns i and rows j, within NEAR of each edge k."""
+    low, high = np.minimum(x0, x1), np.maximum(x0, x1)
+    first = np.floor((low - NEAR) / tile).astype(np.int64)
+    k, step = _repeat(np.floor((high + NEAR) / tile).astype(np.int64) - first + 1)
+    i = first[k] + step
+    a, b = np.maximum(low[k], i * tile - NEAR), np.minimum(high[k], (i + 1) * tile + NEAR)
+    with np.errstate(all="ignore"):
+        slope = np.where(x1 != x0, (y1 - y0) / (x1 - x0), 0.0)[k]
+    ya, yb = (np.where(x0[k] == x1[k], y, y0[k] + (x - x0[k]) * slope) for x, y in ((a, y0[k]), (b, y1[k])))
+    row = np.floor((np.minimum(ya, yb) - NEAR) / tile).astype(np.int64)
+    m, step = _repeat(np.floor((np.maximum(ya, yb) + NEAR) / tile).astype(np.int64) - row + 1)
+    return k[m], i[m], row[m] + step
+
+
+def covered_runs(part, x0, y0, x1, y1, met, tile: float) -> tuple[np.ndarray, ...]:
+    """(part, j, i0, i1): runs of tiles i0 to i1 - 1 of row j that lie within a polygon, away from all of its edges.
+
+    met: what touched() gave for the edges. Between two touched tiles of a row all is within or without, as
+    the number of edges tells that cross the row's middle to the left.
+    """
+    k, i, j = met
+    empty = (np.zeros(0, np.int64),) * 4
+    if not len(k):
+        return empty
+    tiles = np.unique(np.stack([part[k], j, i], 1), axis=0)
+    same = (tiles[1:, 0] == tiles[:-1, 0]) & (tiles[1:, 1] == tiles[:-1, 1])
+    row = np.r_[0, np.cumsum(~same)]
+    gap = np.flatnonzero(same & (tiles[1:, 2] - tiles[:-1, 2] > 1))
+    if not len(gap):
+        return empty
+    # Edges across the middle of each row, by row and place.
+    _, heads = np.unique(row, return_index=True)
+    names = np.unique(np.stack([part[k], j], 1), axis=0, return_inverse=True)[1].ravel()
+    once = np.unique(np.stack([names, k], 1), axis=0)
+    own, e = once.T
+    mid = (tiles[heads, 1][own] + 0.5) * tile
+    across = (y0[e] > mid) != (y1[e] > mid)
+    own, e, mid = own[across], e[across], mid[across]
+    at = x0[e] + (mid - y0[e]) * (x1[e] - x0[e]) / (y1[e] - y0[e])
+    order = np.lexsort((at, own))
+    own, at = own[order], at[order]
+    place = (tiles[gap, 2] + 1.5) * tile
+    # Of crossings and gaps sorted together, the crossings of its row before each gap.
+    rows, kind = np.r_[own, row[gap]], np.r_[np.zeros(len(own), int), np.ones(len(gap), int)]
+    order = np.lexsort((kind, np.r_[at, place], rows))
+    before = np.cumsum(kind[order] == 0)
+    count = np.empty(len(order), np.int64)
+    count[order] = before
+    left = count[len(own) :] - np.searchsorted(own, row[gap])
+    g = gap[left % 2 == 1]
+    return tiles[g, 0], tiles[g, 1], tiles[g, 2] + 1, tiles[g + 1, 2]
+
+
+def _dyadic(low: np.ndarray, high: np.ndarray):
+    """Runs of whole numbers low to high - 1 as blocks of 2**level with numbers n: (level, run, n)."""
+    low, high, level = low.copy(), high.copy(), 0
+    while (low < high).any():
+        for end, step in ((low, 1), (high, -1)):
+            odd = np.flatnonzero((low < high) & (end % 2 == 1))
+            yield level, odd, end[odd] - (step < 0)
+            end[odd] += step
+        low, high, level = low // 2, high // 2, level + 1
+
+
+def _deal(edges: DataFrame, tile: float) -> DataFrame:
+    """(zone, part, e, x0, y0, x1, y1, i, j, level): edges on the tiles that they touch, level 0; and, without an edge, the blocks of 2**level tiles of
+    a row that a polygon covers."""
+    kind = dict(edges.dtypes)["zone"]
+    shapes = edges.groupBy("zone", "part").agg(F.collect_list(F.struct("e", "x0", "y0", "x1", "y1")).alias("sides"))
+    names = ["zone", "part", "e", "x0", "y0", "x1", "y1", "i", "j", "level"]
+
+    def work(batches):
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("sides"))
+            ends = np.cumsum(np.r_[0, column.value_lengths().to_numpy(zero_copy_only=False)]).astype(np.int64)
+            flat, start = column.flatten(), 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + PART_EDGES, "right")) - 1)
+                piece = flat.slice(ends[start], ends[stop] - ends[start])
+                e, *corners = (piece.field(n).to_numpy(zero_copy_only=False) for n in range(5))
+                x0, y0, x1, y1 = (c.astype(float) for c in corners)
+                own = np.repeat(np.arange(start, stop), np.diff(ends[start : stop + 1]))
+                met = touched(x0, y0, x1, y1, tile)
+                take = lambda rows, c: batch.column(c).take(pa.array(rows))  # noqa: B023, E731
+                k, i, j = met
+                yield pa.RecordBatch.from_arrays([take(own[k], 0), take(own[k], 1), *(pa.array(c[k]) for c in (e, *corners)), pa.array(i), pa.array(j), pa.array(np.zeros(len(k), np.int32))], names)
+                part, rows, low, high = covered_runs(own, x0, y0, x1, y1, met, tile)
+                for level, run, n in _dyadic(low, high):
+                    none = pa.nulls(len(run), pa.int64())
+                    yield pa.RecordBatch.from_arrays([take(part[run], 0), take(part[run], 1), *[none] * 5, pa.array(n), pa.array(rows[run]), pa.array(np.full(len(run), level, np.int32))], names)
+                start = stop
+
+    made = shapes.mapInArrow(work, f"zone {kind}, part long, e long, x0 long, y0 long, x1 long, y1 long, i long, j long, level int")
+    return materialize(made, "tiles")
+
+
+def _open(dealt: DataFrame) -> DataFrame:
+    """(zone, i, j): tiles with edges that no polygon covers by itself."""
+    full = dealt.where("e is null").select("zone", "j", "level", F.col("i").alias("n")).distinct()
+    levels = [r["level"] for r in full.select("level").distinct().collect()]
+    tiles = dealt.where("e is not null").select("zone", "i", "j").distinct()
+    if not levels:
+        return tiles
+    above = tiles.withColumn("level", F.explode(F.array(*map(F.lit, sorted(levels))))).withColumn("n", F.expr("shiftright(i, level)"))
+    return tiles.join(above.join(full, ["zone", "j", "level", "n"]).select("zone", "i", "j"), ["zone", "i", "j"], "left_anti")
+
+
+def _cut(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """Edges cut where others of their zone cross or touch them on the tiles where both are placed: (zone, part, x0, y0, x1, y1)."""
     other = placed.select("zone", "i", "j", *(F.col(c).alias(f"{c}_") for c in ("e", "x0", "y0", "x1", "y1")))
     met = placed.join(other, ["zone", "i", "j"]).where("e <> e_")
     meets = lambda a: (F.least(f"{a}0", f"{a}1") - 1 <= F.greatest(f"{a}0_", f"{a}1_")) & (F.greatest(f"{a}0", f"{a}1") + 1 >= F.least(f"{a}0_", f"{a}1_"))
@@ -118,7 +239,7 @@ def _cut(edges: DataFrame, tile: float) -> DataFrame:
     return flat.where("x0 <> x1 or y0 <> y1")
 
 
-def _boundary(pieces: DataFrame, tile: float) -> DataFrame:
+def _boundary(pieces: DataFrame, placed: DataFrame, tiles: DataFrame, tile: float) -> DataFrame:
     """Pieces with exactly one side within a polygon of their zone, directed with it on the left."""
     low = (F.col("x0") < F.col("x1")) | ((F.col("x0") == F.col("x1")) & (F.col("y0") < F.col("y1")))
     turned = pieces.select("zone", "part", *(F.when(low, F.col(f"{k}{a}")).otherwise(F.col(f"{k}{1 - a}")).alias(f"{k}{a}") for a in (0, 1) for k in ("x", "y")))
@@ -131,12 +252,15 @@ def _boundary(pieces: DataFrame, tile: float) -> DataFrame:
     mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     sides = named.select("zone", "s", (mx - dy * step).alias("lx"), (my + dx * step).alias("ly"), (mx + dy * step).alias("rx"), (my - dx * step).alias("ry"))
     points = sides.select("zone", "s", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("lx").alias("px"), F.col("ly").alias("py")), F.struct(F.lit(False).alias("left"), F.col("rx").alias("px"), F.col("ry").alias("py")))).alias("p")).select("zone", "s", "p.*")
-    points = points.withColumn("j", F.floor(F.col("py") / tile))
+    points = points.withColumns({"i": F.floor(F.col("px") / tile), "j": F.floor(F.col("py") / tile)})
+    points = points.join(tiles.withColumn("open", F.lit(True)), ["zone", "i", "j"], "left")
+    # A polygon that holds a point of an open tile has an edge there.
+    asked = points.where("open").join(placed.select("zone", "i", "j", "part").distinct(), ["zone", "i", "j"]).select("s", "left", "px", "py", "part", "j")
     strips = turned.where("y0 <> y1").withColumn("j", F.explode(F.sequence(F.floor(F.least("y0", "y1") / tile), F.floor(F.greatest("y0", "y1") / tile))))
     across = (F.col("y0") > F.col("py")) != (F.col("y1") > F.col("py"))
     beyond = F.col("px") < F.col("x0") + (F.col("py") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
-    hit = points.join(strips, ["zone", "j"]).where(across & beyond).groupBy("s", "left", "part").count().where("count % 2 = 1")
-    within = hit.groupBy("s").agg(F.bool_or("left").alias("l"), F.bool_or(~F.col("left")).alias("r"))
+    hit = asked.join(strips.drop("zone"), ["part", "j"]).where(across & beyond).groupBy("s", "left", "part").count().where("count % 2 = 1")
+    within = hit.select("s", "left").union(points.where("open is null").select("s", "left")).groupBy("s").agg(F.bool_or("left").alias("l"), F.bool_or(~F.col("left")).alias("r"))
     kept = named.join(within, "s").where("l <> r")
     return kept.select("zone", *(F.when(F.col("l"), F.col(f"{k}{a}")).otherwise(F.col(f"{k}{1 - a}")).alias(f"{k}{a}") for a in (0, 1) for k in ("x", "y")))
 
@@ -149,9 +273,15 @@ def union(polygons: DataFrame, grain: float = 1e-6) -> DataFrame:
     zone without any has no row.
     """
     edges = _lattice_edges(polygons, grain)
-    size = edges.agg(F.avg(F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))).alias("s")).first()["s"]
-    tile = 2.0 * max(1.0, size or 1.0)
-    return assemble(_boundary(_cut(edges, tile), tile), "zone", grain)
+    longer = lambda a, b: F.greatest(a("x1") - b("x0"), a("y1") - b("y0"))
+    edge = edges.agg(F.avg(F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))))).first()[0]
+    shape = edges.groupBy("part").agg(longer(F.max, F.min).alias("s")).agg(F.avg("s")).first()[0]
+    # Small beside an edge, so that polygons cover tiles; a polygon of many edges has some 16 by 16.
+    tile = max(64.0, (edge or 0.0) / 8, (shape or 0.0) / 16)
+    dealt = _deal(edges, tile)
+    tiles = materialize(_open(dealt), "open")
+    placed = dealt.where("e is not null").drop("level").join(tiles, ["zone", "i", "j"], "left_semi")
+    return assemble(_boundary(_cut(edges, placed), placed, tiles, tile), "zone", grain)
 
 
 def patch_edges(patches: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,41 @@ def test_union_of_random_rectangles_is_the_count_of_unit_squares(spark):
     assert hit == {(z, x, y) for z, c in covered.items() for x, y in c}
 
 
+def test_polygons_deep_in_each_other_are_not_cut(spark):
+    """Edges under other polygons meet no others, so that the work grows with the outline; holes and large polygons count as they are."""
+    rng, rows, covered = random.Random(3), [(2, [square(0, 0, 200), square(20, 20, 100)]), (2, [square(30, 30, 10)]), (2, [square(150, 150, 4)])], {}
+    for _ in range(400):
+        x, y = rng.randrange(-20, 40), rng.randrange(-20, 40)
+        rows.append((1, [square(x, y, 45, 35)]))
+        covered.setdefault(1, set()).update(itertools.product(range(x, x + 45), range(y, y + 35)))
+    df = table(spark, rows)
+    made = {r["zone"]: (r["outlines"], r["a"]) for r in outlines.union(df).select("zone", "outlines", polygons.area(F.col("rings")).alias("a")).collect()}
+    assert made == {1: (1, pytest.approx(len(covered[1]))), 2: (2, pytest.approx(200 * 200 - 100 * 100 + 100))}
+    edges = outlines._lattice_edges(df, 1e-6)
+    dealt = outlines._deal(edges, 5e6)
+    placed = dealt.where("e is not null").join(outlines._open(dealt), ["zone", "i", "j"], "left_semi")
+    assert outlines._cut(edges, placed).count() < 4 * edges.count()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_touched_and_covered_tiles(seed):
+    """Every tile that a polygon covers away from its edges is in a run, and no other."""
+    rng = np.random.default_rng(seed)
+    p = rng.integers(-400, 400, (7, 2)).astype(float)
+    q = np.roll(p, -1, 0)
+    x0, y0, x1, y1 = *p.T, *q.T
+    met = outlines.touched(x0, y0, x1, y1, 25.0)
+    t = np.linspace(0, 1, 4000)[:, None]
+    on = {(int(a), int(b)) for x, y in zip((x0 + t * (x1 - x0)).ravel(), (y0 + t * (y1 - y0)).ravel(), strict=True) for a, b in [(x // 25, y // 25)]}
+    near = set(zip(met[1].tolist(), met[2].tolist(), strict=True))
+    assert on <= near
+    part, j, low, high = outlines.covered_runs(np.zeros(7, int), x0, y0, x1, y1, met, 25.0)
+    inside = {(i, b) for b, c, d in zip(j.tolist(), low.tolist(), high.tolist(), strict=True) for i in range(c, d)}
+    assert inside == {(i, b) for i in range(-20, 20) for b in range(-20, 20) if (i, b) not in near and polygons._holds(p, i * 25 + 12.5, b * 25 + 12.5)}
+    blocks = [(level, run, n) for level, runs, ns in outlines._dyadic(low, high) for run, n in zip(runs.tolist(), ns.tolist(), strict=True)]
+    assert sorted((int(j[run]), n * 2**level + s) for level, run, n in blocks for s in range(2**level)) == sorted((b, i) for i, b in inside)
+
+
 def test_union_of_triangles_by_sampling(spark):
     rng, rows = random.Random(9), []
     for i in range(12):
