@@ -161,3 +161,36 @@ def test_rank_correlations_with_gaps(spark):
             assert got[a, b] == (pytest.approx(pearson(x, y)), len(common))
     flat = spark.createDataFrame([(1, t, 5.0) for t in range(5)] + [(2, t, float(t)) for t in range(5)], "stn int, d int, value double")
     assert [(r["rho"], r["n"]) for r in series.correlations(flat, "d").collect()] == [(None, 5)]
+
+
+@pytest.mark.parametrize("share", [0.7, 1.0])
+def test_best_neighbours_of_blocks(spark, share):
+    """Of many blocks, ties to the smaller id; a block is sent a bounded number of times, however many stations there are."""
+    rng = random.Random(8)
+    rows = [(s, t, float(rng.randrange(4))) for s in range(40) for t in range(12) if rng.random() < share]
+    rows += [(s + 100, t, v) for s, t, v in rows if s < 10]
+    df = spark.createDataFrame(rows, "stn int, d int, value double")
+    rho = [r for r in series.rank_correlations(df, "d", 100).collect() if r["rho"] is not None and r["n"] > 5 and abs(r["rho"]) >= 0.2]
+    want = {}
+    for r in rho:
+        for s, o in ((r["a"], r["b"]), (r["b"], r["a"])):
+            want.setdefault(s, []).append((-math.floor(abs(r["rho"]) * 1e9 + 0.5), o))
+    made = {}
+    for r in series.correlated_neighbours(df, "d", 3, 0.2, 5, block=2).collect():
+        made.setdefault(r["stn"], {})[r["place"]] = r["neighbour"]
+    assert made == {s: {i + 1: o for i, (_, o) in enumerate(sorted(v)[:3])} for s, v in want.items()}
+    blocks = series._blocks_met(df, "d", 1).select("i_", "j_").collect()
+    assert len(blocks) <= series.BLOCKS * (series.BLOCKS + 1) // 2 and all(r["i_"] <= r["j_"] for r in blocks)
+
+
+def test_counted_ranks_are_those_of_each_pair():
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 6, (30, 40)).astype(float), rng.integers(0, 6, (30, 50)).astype(float)
+    mx, my = ((rng.random(v.shape) < 0.8).astype(float) for v in (x, y))
+    mx[:, 3] = 0
+    rho, n = series._counted_moments(x * mx, y * my, mx, my)
+    for i, j in itertools.product(range(40), range(50)):
+        common = (mx[:, i] * my[:, j]) > 0
+        a, b = ranks(x[common, i].tolist()), ranks(y[common, j].tolist())
+        flat = len(set(a)) < 2 or len(set(b)) < 2
+        assert n[i, j] == common.sum() and (np.isnan(rho[i, j]) if flat else rho[i, j] == pytest.approx(pearson(a, b)))
