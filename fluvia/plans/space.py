@@ -47,8 +47,8 @@ def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stations(spark, sf_dir).select("stn", raster.nearest_index(F.col("x"), 10.0, 20.0, edges[0], edges[1]).alias("c"), raster.nearest_index(F.col("y"), 10.0, 20.0, edges[2], edges[3]).alias("r"))
 
 
-def month_pairs(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
-    return geostat.value_pairs(adapt.obs_month(spark, sf_dir), stations(spark, sf_dir), REACH, "m", **more)
+def month_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geostat.value_pairs(adapt.obs_month(spark, sf_dir), stations(spark, sf_dir), REACH, "m")
 
 
 @query("stations obs_month", f"{_VP} SELECT m, CAST(floor(dist/50e0) AS INT) AS bin, {_BINNED} FROM vp GROUP BY 1, 2")
@@ -59,7 +59,7 @@ def variogram_cnst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stations obs_month", f"{_VP}, k AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY m ORDER BY dist, a, b)-1)/50) AS INT) AS bin FROM vp) SELECT m, bin, {_BINNED} FROM k GROUP BY m, bin")
 def variogram_var(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = geostat.binned(geostat.equal_count(month_pairs(spark, sf_dir, ranged=True), 50, "m"), ["m", "bin"])
+    bins = geostat.equal_count_bins(adapt.obs_month(spark, sf_dir), stations(spark, sf_dir), REACH, 50, "m")
     return bins.select("m", "bin", *(r6(c).alias(c) for c in ("dist", "classic", "robust")), "n")
 
 

@@ -1,6 +1,7 @@
 """Long groups in parts, neighbours with rules, snapping, catalogues and GeoJSON, against plain versions."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -46,6 +47,29 @@ def test_equal_counts_by_ranges(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("kind", ["string", "date"])
+def test_equal_count_bins(spark, monkeypatch, kind):
+    """Bins of seven that lie in one or several ranges of some ten pairs; series in several pieces."""
+    for name, v in (("PAIRS", 10), ("PIECE", 8)):
+        monkeypatch.setattr(geostat, name, v)
+    rng = random.Random(3)
+    places = {i: (float(rng.randrange(30)), float(rng.randrange(30))) for i in range(15)}
+    known = {"2001-01-%02d" % d: {i: rng.uniform(0, 9) for i in places if rng.random() < 0.6} for d in range(1, 20)}
+    obs = spark.createDataFrame([(i, t, v) for t, own in known.items() for i, v in own.items()], "stn int, t string, value double")
+    s = spark.createDataFrame([(i, *p) for i, p in places.items()], "stn int, x double, y double")
+    made = geostat.equal_count_bins(obs.selectExpr("stn", f"cast(t as {kind}) as t", "value"), s, None, 7, "t")
+    got = {(str(r["t"]), r["bin"]): (r["dist"], r["classic"], r["robust"], r["n"]) for r in made.collect()}
+    want = {}
+    for t, own in known.items():
+        order = sorted((math.dist(places[a], places[b]), a, b) for a, b in itertools.combinations(sorted(own), 2))
+        for k in range(0, len(order), 7):
+            some, n = order[k : k + 7], len(order[k : k + 7])
+            off = [abs(own[a] - own[b]) for _, a, b in some]
+            root = (sum(v**0.5 for v in off) / n) ** 4 / (0.457 + 0.494 / n) / 2
+            want[t, k // 7] = (sum(d for d, _, _ in some) / n, sum(v * v for v in off) / (2 * n), root, n)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_neighbours_with_enough_common_steps(spark):
     obs = [(1, t, 1.0) for t in range(10)] + [(2, t, 1.0) for t in range(4, 16)] + [(3, t, 1.0) for t in range(9)] + [(4, 20, 1.0)] + [(5, t, None) for t in range(10)]
     near = [(1, n, p) for p, n in enumerate((4, 5, 3, 2), 1)]
