@@ -127,7 +127,7 @@ def nearest_of_curved(points: DataFrame, cells: DataFrame, reach: float | None =
     """(stn, r, c, dist): the nearest centre (r, c, x, y) of a grid whose rows and columns are curved; ties to the smaller r, then c.
 
     Both meet on tiles of side reach; points with nobody within reach have no row. Without a reach every point has
-    one: those that find nobody look again twice as far, from the mean spacing of the centres on.
+    one: those that find nobody look again twice as far, from the mean spacing of the centres around them on.
     """
     from fluvia.operators.spatial import tiled_pairs
     from fluvia.session import materialize
@@ -141,7 +141,14 @@ def nearest_of_curved(points: DataFrame, cells: DataFrame, reach: float | None =
     box = right.agg(F.count(F.lit(1)).alias("n"), F.min("bx").alias("x0"), F.max("bx").alias("x1"), F.min("by").alias("y0"), F.max("by").alias("y1")).first()
     if not box["n"]:
         return find(left.limit(0), 1.0)
-    now, found = max(2 * ((box["x1"] - box["x0"]) * (box["y1"] - box["y0"]) / box["n"]) ** 0.5, 1e-9 * max(1.0, abs(box["x1"]), abs(box["y1"]))), None
+    now = max(2 * ((box["x1"] - box["x0"]) * (box["y1"] - box["y0"]) / box["n"]) ** 0.5, 1e-9 * max(1.0, abs(box["x1"]), abs(box["y1"])))
+    # Where points fill but a part of the grid, the spacing there: tiles that suit the whole would hold too many of them.
+    part = left.agg(F.min("ax").alias("x0"), F.max("ax").alias("x1"), F.min("ay").alias("y0"), F.max("ay").alias("y1")).first()
+    if part["x0"] is not None:
+        near = right.where(F.col("bx").between(part["x0"], part["x1"]) & F.col("by").between(part["y0"], part["y1"])).count()
+        spacing = ((part["x1"] - part["x0"]) * (part["y1"] - part["y0"]) / near) ** 0.5 if near else 0.0
+        now = min(now, max(spacing, now / 1024)) if spacing > 0 else now
+    found = None
     while True:
         made = materialize(find(left, now), "nearest-cells")
         found = made if found is None else found.union(made)

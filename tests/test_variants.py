@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from fluvia.operators import copula, geostat, infill, polygons, raster, series
+from fluvia.operators import copula, geostat, infill, polygons, raster, series, spatial
 from fluvia.sources import tables
 
 
@@ -70,6 +70,19 @@ def test_equal_count_bins(spark, monkeypatch, kind):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_nearest_cells_of_a_part_of_the_grid(spark, monkeypatch):
+    """Points of a dense corner of a wide and thin grid are looked for at the spacing there."""
+    rng = random.Random(5)
+    cells = [(r, c, c + 0.1 * r, r + 0.1 * c) for r in range(8) for c in range(8)] + [(9, k, 5000.0 * k, 5000.0 * k) for k in range(1, 9)]
+    points = [(i, rng.uniform(0, 7), rng.uniform(0, 7)) for i in range(40)] + [(40, 0.0, 0.0), (41, 7.0, 7.0)]
+    reaches, pairs = [], spatial.tiled_pairs
+    monkeypatch.setattr(spatial, "tiled_pairs", lambda a, b, reach=None: reaches.append(reach) or pairs(a, b, reach))
+    made = raster.nearest_of_curved(spark.createDataFrame(points, "stn int, x double, y double"), spark.createDataFrame(cells, "r int, c int, x double, y double"))
+    got = {r["stn"]: (r["r"], r["c"]) for r in made.collect()}
+    assert got == {i: min((math.dist((x, y), at), r, c) for r, c, *at in cells)[1:] for i, x, y in points}
+    assert max(reaches) < 20
+
+
 def test_neighbours_with_enough_common_steps(spark):
     obs = [(1, t, 1.0) for t in range(10)] + [(2, t, 1.0) for t in range(4, 16)] + [(3, t, 1.0) for t in range(9)] + [(4, 20, 1.0)] + [(5, t, None) for t in range(10)]
     near = [(1, n, p) for p, n in enumerate((4, 5, 3, 2), 1)]
