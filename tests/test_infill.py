@@ -144,6 +144,16 @@ def test_symmetry_against_simulation(spark):
     assert (got[2]["a1"], got[2]["a2"]) == pytest.approx((((u + v - 1) ** 3).mean(), ((u - v) ** 3).mean()))
 
 
+def test_symmetry_of_many_pairs_in_a_task(spark):
+    """Pairs are rows of batches, not groups; one with a single value, or one value alone, has no correlation."""
+    rows = [(1, 2, 1.0, 2.0), (1, 3, 1.0, 5.0), (1, 3, 1.0, 5.0)] + [(1, 4, float(i), float(i * i % 7)) for i in range(20)]
+    made = infill.symmetric_pairs(spark.createDataFrame(rows, "a int, b int, va double, vb double"))
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+    got = {r["b"]: r for r in made.collect()}
+    assert {b: r["n"] for b, r in got.items()} == {2: 1, 3: 2, 4: 20}
+    assert got[2]["rho"] is None and got[3]["rho"] is None and not got[2]["symmetric"] and got[4]["low1"] < got[4]["high1"]
+
+
 def test_rank_correlations_with_gaps(spark):
     rng = random.Random(6)
     rows = [(s, t, rng.choice([1.0, 2.0, 3.5, rng.random() * 9])) for s in range(9) for t in range(40) if rng.random() < 0.7]
