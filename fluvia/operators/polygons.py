@@ -10,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from fluvia.operators.fields import MOST_TASKS
 from fluvia.operators.outlines import RINGS, union  # noqa: F401
 
 
@@ -63,11 +65,96 @@ def _tiles(boxes: DataFrame, size: float) -> DataFrame:
     return boxes.withColumn("i_", F.explode(span("x0", "x1"))).withColumn("j_", F.explode(span("y0", "y1")))
 
 
+#: Points of a piece, sides and numbers of an array of both that are met at a time, and rows that come out at a time.
+POINTS, SIDES, NUMBERS, ROWS = 2048, 384, 1 << 17, 1 << 16
+
+
+def _sides(rings: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """(first, x0, y0, x1, y1): the sides of the rings of polygons that have some, and where each polygon's begin."""
+    count = lambda lists: lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ring = rings.flatten()
+    n = count(ring)
+    x, y = (ring.flatten().field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+    ends, after = np.cumsum(n), np.arange(1, len(x) + 1)
+    after[ends[n > 0] - 1] = (ends - n)[n > 0]
+    own = np.repeat(np.repeat(np.arange(len(rings)), count(rings)), n)
+    return np.searchsorted(own, np.arange(len(rings))), x, y, x[after], y[after]
+
+
+def _held(px: np.ndarray, py: np.ndarray, first: np.ndarray, x0, y0, x1, y1):
+    """(point, polygon): numbers of points and of polygons that hold them, as contains() has it, some pairs at a time."""
+    ends, low = np.r_[first[1:], len(x0)], 0
+    while low < len(first):
+        high = max(low + 1, int(np.searchsorted(ends, first[low] + SIDES, "right")))
+        part = slice(first[low], ends[high - 1])
+        ax, ay, bx, by = (v[part, None] for v in (x0, y0, x1, y1))
+        wide = max(1, NUMBERS // (ends[high - 1] - first[low]))
+        for start in range(0, len(px), wide):
+            x, y = px[start : start + wide], py[start : start + wide]
+            at = y - ay
+            at *= bx - ax
+            with np.errstate(divide="ignore", invalid="ignore"):
+                at /= by - ay
+            at += ax
+            crossed = ((ay > y) != (by > y)) & (x < at)
+            polygon, point = np.nonzero(np.bitwise_xor.reduceat(crossed, first[low:high] - first[low], axis=0))
+            yield point + start, polygon + low
+        low = high
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, tile: float) -> DataFrame:
-    """points (x, y, ...) with the zone of each polygon (zone, rings) that they lie in; tile: side of the tiles on which both meet."""
-    near = points.withColumn("i_", F.floor(F.col("x") / tile)).withColumn("j_", F.floor(F.col("y") / tile))
-    met = near.join(_tiles(extents(polygons), tile), ["i_", "j_"])
-    return met.where(contains(F.col("rings"), F.col("x"), F.col("y"))).select(*points.columns, "zone")
+    """points (x, y, ...) with the zone of each polygon (zone, rings) that they lie in; tile: side of the tiles on which both meet.
+
+    A tile's points come in pieces of some POINTS, and its polygons stream past each piece: a task holds a piece, however many
+    polygons touch its tile, and tiles with many points are the work of as many tasks as they have pieces.
+    """
+    columns = points.columns
+    near = points.withColumn("i_", F.floor(F.col("x") / tile)).withColumn("j_", F.floor(F.col("y") / tile)).where("i_ is not null and j_ is not null")
+    pieces = near.groupBy("i_", "j_").agg(F.count(F.lit(1)).alias("m_")).withColumn("n_", F.ceil(F.col("m_") / POINTS))
+    size = pieces.agg(F.sum("n_").alias("units"), F.sum("m_").alias("points")).first()
+    dealt = near.join(pieces.hint("shuffle_hash"), ["i_", "j_"]).withColumn("k_", F.pmod(F.xxhash64(*columns), "n_"))
+    shapes = _tiles(extents(polygons.select("zone", "rings")), tile).join(pieces.hint("shuffle_hash"), ["i_", "j_"]).withColumn("k_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_") - 1)))
+    keys = ["i_", "j_", "k_"]
+    point = F.struct(*columns)
+    first = dealt.select(*keys, F.lit(0).alias("o_"), F.col("x").cast("double").alias("px_"), F.col("y").cast("double").alias("py_"), point.alias("p_"))
+    sent = shapes.select(*keys, F.lit(1).alias("o_"), "zone", F.col("rings").cast(RINGS).alias("rings"))
+    # Rows are few beside their pairs, hence partitions of their own.
+    n = min(size["units"] or 1, max(4 * points.sparkSession.sparkContext.defaultParallelism, (size["points"] or 0) // 256), MOST_TASKS)
+    units = first.unionByName(sent, allowMissingColumns=True).repartition(n, *keys).sortWithinPartitions(*keys, "o_")
+
+    def meet(batches):
+        key, given, px, py = None, [], None, None
+        for batch in batches:
+            get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            marks = np.stack([get(c).to_numpy() for c in (*keys, "o_")], 1)
+            starts = np.flatnonzero(np.r_[True, (marks[1:] != marks[:-1]).any(1)][: len(marks)])
+            for low, high in zip(starts, np.r_[starts[1:], len(marks)], strict=True):
+                part = slice(low, high)
+                if key != (key := tuple(marks[low, :3])):
+                    given, px, py = [], np.zeros(0), np.zeros(0)
+                take = lambda c: get(c)[part]  # noqa: B023, E731
+                if not marks[low, 3]:
+                    given.append(take("p_"))
+                    px, py = (np.r_[v, take(c).to_numpy(zero_copy_only=False)] for v, c in ((px, "px_"), (py, "py_")))
+                    continue
+                if len(given) > 1:
+                    given = [pa.concat_arrays(given)]
+                zones, found, rows = take("zone"), [], 0
+                for pair in _held(px, py, *_sides(take("rings"))) if given else ():
+                    found.append(pair)
+                    rows += len(pair[0])
+                    if rows >= ROWS:
+                        yield _joined(given[0], zones, found)
+                        found, rows = [], 0
+                if rows:
+                    yield _joined(given[0], zones, found)
+
+    def _joined(given, zones, found):
+        who, where = (pa.array(np.concatenate(side)) for side in zip(*found, strict=True))
+        held = given.take(who)
+        return pa.RecordBatch.from_arrays([*(held.field(c) for c in range(len(columns))), zones.take(where)], [*columns, "zone"])
+
+    return units.mapInArrow(meet, StructType([*points.schema.fields, polygons.schema["zone"]]))
 
 
 def rasterise(polygons: DataFrame, size: float, touched: bool = False) -> DataFrame:

@@ -44,6 +44,16 @@ def test_points_in_polygons(spark, shapes):
     assert got == {(i, z) for i, x, y in points for z, rings in SHAPES.items() if inside(rings, x, y)}
 
 
+def test_points_of_one_tile_are_the_work_of_several_tasks(spark, shapes, monkeypatch):
+    monkeypatch.setattr(polygons, "POINTS", 40)
+    rng = random.Random(3)
+    points = [(i, rng.uniform(-4, 11), rng.uniform(-3, 11), f"p{i}") for i in range(400)] + [(400, None, 1.0, None), (401, float("nan"), 1.0, None)]
+    made = polygons.points_in_polygons(spark.createDataFrame(points, "id int, x double, y double, name string"), shapes, 100.0)
+    got = made.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["id"], r["zone"], r["name"]) for r in got} == {(i, z, n) for i, x, y, n in points[:400] for z, rings in SHAPES.items() if inside(rings, x, y)}
+    assert len(got) == len({(r["id"], r["zone"]) for r in got}) and len({r["task"] for r in got}) > 4
+
+
 def test_weights_by_sampling(shapes):
     got = {}
     for r in polygons.cell_weights(shapes, 2.0).collect():
