@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fluvia.functions.normal import cdf_array, ppf_array
 from fluvia.operators import infill, series
@@ -90,6 +91,19 @@ def test_only_gaps_and_their_status(spark, panel):
     assert {r["n_used"] for r in both} == {1}  # a neighbour that equals another is dropped
 
 
+def test_moments_alone_and_in_several_tasks(spark, panel):
+    rows, df = panel
+    near = neighbours(spark, [2, 3, 4])
+    both = [infill.infill(df, near, "m", infill.Settings(quantiles=q), everywhere=True) for q in (True, False)]
+    whole, moments = ({(r["stn"], r["m"]): r for r in made.collect()} for made in both)
+    assert whole.keys() == moments.keys() and any(r["q"] for r in whole.values())
+    for k, r in moments.items():
+        assert all(r[c] == whole[k][c] for c in ("observed", "status", "n_raw", "n_used", "n_recs", "mu", "sigma"))
+        assert r["q"] is r["prob"] is None or r["status"] == "dry"
+    # Stations are spread, however few rows they have.
+    assert len({r["task"] for r in both[1].select(F.spark_partition_id().alias("task")).collect()}) > 1
+
+
 def test_draws_are_seeded_and_within_range(spark, panel):
     rows, df = panel
     s = infill.Settings(draws=50)
