@@ -10,14 +10,15 @@ left: outlines run against the clock, holes with it.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluvia.operators.fields import spread, whole_groups
 from fluvia.session import materialize
 
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -64,13 +65,24 @@ def assemble(edges: DataFrame, key: str, grain: float = 1.0) -> DataFrame:
     """(key, rings, outlines): rings walked from directed edges (key, x0, y0, x1, y1) on the lattice, times grain; outlines: those
     that aren't holes. Collinear corners go. The edges of a key fit in a task, as their rings have to fit in a row."""
 
-    def run(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rings = walk(list(map(tuple, frame[["x0", "y0", "x1", "y1"]].to_numpy().tolist())))
-        area = [sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1], strict=True)) for r in rings]
-        shaped = [[{"x": x * grain, "y": y * grain} for x, y in r] for r in rings]
-        return pd.DataFrame({key: [keys[0]], "rings": [shaped], "outlines": [sum(a > 0 for a in area)]})
-
-    return edges.select(key, *(F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1"))).groupBy(key).applyInPandas(run, f"{key} {dict(edges.dtypes)[key]}, rings {RINGS}, outlines int")
+    def run(batches):
+        for batch, starts in whole_groups(batches):
+            corners = np.stack([batch.column(c).to_numpy() for c in range(1, 5)], 1)
+            points, rings, shapes, outlines = [], [0], [0], []
+            for low, high in itertools.pairwise(starts):
+                made = walk(list(map(tuple, corners[low:high].tolist())))
+                for ring in made:
+                    points += ring
+                    rings.append(len(points))
+                shapes.append(len(rings) - 1)
+                outlines.append(sum(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1], strict=True)) > 0 for r in made))
+            at = np.array(points, np.int64).reshape(-1, 2) * grain
+            flat = pa.StructArray.from_arrays([pa.array(at[:, 0].astype(float)), pa.array(at[:, 1].astype(float))], ["x", "y"])
+            nested = pa.ListArray.from_arrays(pa.array(shapes, pa.int32()), pa.ListArray.from_arrays(pa.array(rings, pa.int32()), flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(starts[:-1])), nested, pa.array(outlines, pa.int32())], [key, "rings", "outlines"])
+
+    rows = spread(edges.select(key, *(F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1"))), key)
+    return rows.mapInArrow(run, f"{key} {dict(edges.dtypes)[key]}, rings {RINGS}, outlines int")
 
 
 def _lattice_edges(polygons: DataFrame, grain: float) -> DataFrame:

@@ -160,3 +160,22 @@ def test_rings_of_patches(spark, seed):
 def test_empty(spark):
     none = table(spark, [])
     assert outlines.union(none).count() == 0 and polygons.dissolve(none).count() == 0
+
+
+def test_outlines_of_many_patches_in_several_tasks(spark):
+    """Patches go to tasks many at a time, whole however they are cut into batches, and to several tasks however few rows they have."""
+    rng = random.Random(8)
+    grid = [(r, c, rng.randrange(3)) for r in range(30) for c in range(30)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        made = raster.patch_polygons(spark.createDataFrame(grid, "r int, c int, value int"))
+        rows = made.select("patch", "value", "cells", polygons.area(F.col("rings")).alias("area")).collect()
+        edges = spark.createDataFrame([(k, *(v + 3 * k for v in e)) for k in range(40) for e in ((0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0))], "zone int, x0 int, y0 int, x1 int, y1 int")
+        squares = outlines.assemble(edges, "zone", 0.5).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len({r["patch"] for r in rows}) == len(rows) and sum(r["cells"] for r in rows) == 900
+    assert all(r["area"] == r["cells"] for r in rows)
+    assert {r["zone"]: [[tuple(p) for p in ring] for ring in r["rings"]] for r in squares} == {k: [[(1.5 * k + x / 2, 1.5 * k + y / 2) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))]] for k in range(40)}
+    assert len({r["task"] for r in squares}) > 4
