@@ -6,6 +6,8 @@ equality joins; what is exact follows on the pairs that met.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -203,9 +205,8 @@ def _holds(points: np.ndarray, x: float, y: float) -> bool:
     return bool((crossed & (x < at)).sum() % 2)
 
 
-def _cut_lines(p: np.ndarray) -> np.ndarray:
-    """Pieces (x0, y0, x1, y1) of a closed ring's sides, cut at all whole numbers of either axis."""
-    q = np.roll(p, -1, 0)
+def _cut_lines(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces (x0, y0, x1, y1) of sides from p to q, cut at all whole numbers of either axis, and the number of each piece's side."""
     side = [np.repeat(np.arange(len(p)), 2)]
     at = [np.tile([0.0, 1.0], len(p))]
     for k in (0, 1):
@@ -221,46 +222,90 @@ def _cut_lines(p: np.ndarray) -> np.ndarray:
     side, at = side[order], at[order]
     points = p[side] + (q - p)[side] * at[:, None]
     same = side[1:] == side[:-1]
-    return np.concatenate([points[:-1], points[1:]], 1)[same]
+    return np.concatenate([points[:-1], points[1:]], 1)[same], side[:-1][same]
 
 
-def covered(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns and shares of the unit cells that a polygon covers; outlines run against the clock and holes with it.
+def covered_each(polygon: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Polygons, rows, columns and shares of the unit cells that each polygon covers, from its sides p to q; outlines run against the clock and
+    holes with it.
 
     What a piece of boundary has to its right is summed along each row of cells: cells on the boundary get their own
     pieces' parts, and those between them what has added up.
     """
-    pieces = np.concatenate([_cut_lines(p) for p in rings])
+    pieces, side = _cut_lines(p, q)
     mid = (pieces[:, :2] + pieces[:, 2:]) / 2
     c, r = np.floor(mid).astype(np.int64).T
-    rise = pieces[:, 3] - pieces[:, 1]
-    keys, where = np.unique(np.stack([r, c], 1), axis=0, return_inverse=True)
-    where = where.ravel()
-    part, full = np.bincount(where, rise * (1 - (mid[:, 0] - c))), np.bincount(where, rise)
-    fresh = np.r_[True, keys[1:, 0] != keys[:-1, 0]]
+    rise, own = pieces[:, 3] - pieces[:, 1], polygon[side]
+    order = np.lexsort((c, r, own))
+    keys = np.stack([own, r, c], 1)[order]
+    new = np.r_[True, (keys[1:] != keys[:-1]).any(1)][: len(keys)]
+    where = np.cumsum(new) - 1
+    keys = keys[new]
+    part, full = np.bincount(where, (rise * (1 - (mid[:, 0] - c)))[order]), np.bincount(where, rise[order])
+    fresh = np.r_[True, (keys[1:, :2] != keys[:-1, :2]).any(1)][: len(keys)]
     total = np.cumsum(full)
     start = np.flatnonzero(fresh)
     base = np.repeat(total[start] - full[start], np.diff(np.r_[start, len(keys)]))
     after = total - base
     share = -(part + after - full)
     # Cells between two of a row's boundary cells.
-    gap = np.where(np.r_[fresh[1:], True], 0, np.r_[keys[1:, 1], 0] - keys[:, 1] - 1)
+    gap = np.where(np.r_[fresh[1:], True], 0, np.r_[keys[1:, 2], 0] - keys[:, 2] - 1)
     gap = np.where(np.abs(after) > 1e-12, gap, 0)
     own = np.repeat(np.arange(len(keys)), gap)
-    between = keys[own, 1] + 1 + np.arange(gap.sum()) - np.repeat(np.cumsum(gap) - gap, gap)
-    return np.r_[keys[:, 0], keys[own, 0]], np.r_[keys[:, 1], between], np.r_[share, -after[own]]
+    between = keys[own, 2] + 1 + np.arange(gap.sum()) - np.repeat(np.cumsum(gap) - gap, gap)
+    return np.r_[keys[:, 0], keys[own, 0]], np.r_[keys[:, 1], keys[own, 1]], np.r_[keys[:, 2], between], np.r_[share, -after[own]]
+
+
+def covered(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and shares of the unit cells that one polygon covers; outlines run against the clock and holes with it."""
+    p = np.concatenate(rings)
+    return covered_each(np.zeros(len(p), np.int64), p, np.concatenate([np.roll(ring, -1, 0) for ring in rings]))[1:]
+
+
+#: Sides and cells of the envelopes of polygons that are cut at a time.
+CUT = 1 << 18
+
+
+def _cut_single(rings: pa.ListArray, size: float):
+    """(polygon, r, c, weight) of polygons of one ring each, many at a time."""
+    first, x0, y0, x1, y1 = _sides(rings)
+    n = np.diff(np.r_[first, len(x0)])
+    own = np.repeat(np.arange(len(n)), n)
+    # From a corner of its own, so that a polygon's place doesn't show in its area.
+    ax, ay = np.repeat(x0[first], n), np.repeat(y0[first], n)
+    whole = np.bincount(own, (x0 - ax) * (y1 - ay) - (x1 - ax) * (y0 - ay), len(n)) / 2
+    p, q = np.stack([x0, y0], 1) / size, np.stack([x1, y1], 1) / size
+    turn = (whole < 0)[own, None]
+    p, q = np.where(turn, q, p), np.where(turn, p, q)
+    spans = (np.maximum.reduceat(p, first) - np.minimum.reduceat(p, first) + 1).prod(1)
+    place = np.cumsum(spans + n) // CUT
+    for low, high in itertools.pairwise(np.r_[np.flatnonzero(np.r_[True, place[1:] != place[:-1]]), len(n)]):
+        sides = np.flatnonzero((whole != 0)[own[first[low] : first[low] + n[low:high].sum()]]) + first[low]
+        if len(sides):
+            polygon, r, c, share = covered_each(own[sides], p[sides], q[sides])
+            share = share * size * size / np.abs(whole)[polygon]
+            some = share > 1e-12
+            yield polygon[some], r[some], c[some], share[some]
 
 
 def cell_weights(polygons: DataFrame, size: float) -> DataFrame:
     """(zone, r, c, weight): share of each polygon's area that lies in a square cell, exact for any simple rings.
 
-    Rings in an odd number of others are holes and count against the rest. Polygons are spread over tasks, each cut
-    by itself, along the cells of its boundary. Polygons without area have no row.
+    Rings in an odd number of others are holes and count against the rest. Polygons of one ring are cut many at a time,
+    others each by itself, along the cells of their boundaries. Polygons without area have no row.
     """
 
     def cut(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
+            n = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            single = np.flatnonzero(n == 1)
+            # Of those with one ring, rings of some points.
+            points = batch.column(1).take(pa.array(single)).flatten().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            single = single[points > 2]
+            if len(single):
+                for i, r, c, share in _cut_single(batch.column(1).take(pa.array(single)), size):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(single[i])), pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(share)], ["zone", "r", "c", "weight"])
+            for i in np.flatnonzero(n > 1).tolist():
                 shapes = batch.column(1)[i]
                 shapes = [np.stack([ring.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1).astype(float) for ring in shapes if ring.is_valid] if shapes.is_valid else []
                 shapes = [p[:-1] if len(p) > 1 and (p[0] == p[-1]).all() else p for p in shapes]

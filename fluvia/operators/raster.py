@@ -197,6 +197,7 @@ def reproject(cells: DataFrame, targets: DataFrame, back, x0: float, y0: float,
     footprint is cut out in the old system, with so many steps a side. Null outside, and where no cell has a value.
     """
     if method == "average":
+        from fluvia.operators.fields import spread
         from fluvia.operators.polygons import cell_weights
 
         if width is None:
@@ -205,7 +206,7 @@ def reproject(cells: DataFrame, targets: DataFrame, back, x0: float, y0: float,
         corners = (back(F.col("x") + u * width, F.col("y") + v * width) for u, v in around)
         ring = F.array(*(F.struct(((x - x0) / size).alias("x"), ((y - y0) / size).alias("y")) for x, y in corners))
         named = targets.select("r", "c", (F.col("r").cast("long") * (1 << 32) + F.col("c")).alias("zone"), F.array(ring).alias("rings"))
-        shares = cell_weights(named, 1.0).join(cells.where("value is not null").select("r", "c", "value"), ["r", "c"]).groupBy("zone")
+        shares = cell_weights(spread(named, "zone"), 1.0).join(cells.where("value is not null").select("r", "c", "value"), ["r", "c"]).groupBy("zone")
         means = shares.agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
         return named.select("r", "c", "zone").join(means, "zone", "left").select("r", "c", "value")
     x, y = back(F.col("x"), F.col("y"))

@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,30 @@ def test_weights_by_sampling(shapes):
             assert got[z].get((r, c), 0) == pytest.approx(share, abs=0.04 if z == 3 else 0.004)
 
 
+def test_weights_of_many_polygons_are_those_of_each(spark, monkeypatch):
+    """Cut many at a time, of either direction, closed or not, flat ones left out."""
+    monkeypatch.setattr(polygons, "CUT", 50)
+    rng = np.random.default_rng(4)
+    shapes = []
+    for k in range(60):
+        n, turn = int(rng.integers(3, 9)), np.sort(rng.uniform(0, 2 * np.pi, 9))
+        ring = [(1e4 * (k % 3) + 7 * np.cos(a), 5 * np.sin(a)) for a in turn[:n]]
+        shapes.append(ring[::-1] if k % 2 else [*ring, ring[0]] if k % 5 == 0 else ring)
+    flat = [[(0.0, 0.0), (5.0, 5.0), (2.0, 2.0)], [(1.0, 1.0)], []]
+    got = {}
+    for i, r, c, share in polygons._cut_single(pa.array([[[{"x": x, "y": y} for x, y in ring]] for ring in (*shapes, flat[0])]), 2.0):
+        for *key, w in zip(i.tolist(), r.tolist(), c.tolist(), share.tolist()):
+            got[tuple(key)] = w
+    want = {}
+    for k, ring in enumerate(shapes):
+        p = np.array(ring)
+        p = p if polygons._area(p) > 0 else p[::-1]
+        r, c, share = polygons.covered([p / 2])
+        want |= {(k, *at): w for *at, w in zip(r.tolist(), c.tolist(), (share * 4 / abs(polygons._area(p - p[0]))).tolist()) if w > 1e-12}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(w, abs=1e-9) for k, w in want.items())
+    assert not polygons.cell_weights(spark.createDataFrame([(k, [ring]) for k, ring in enumerate(flat)], f"zone int, rings {polygons.RINGS}"), 2.0).count()
+
+
 def test_all_touched_and_burn(spark, shapes):
     touched = {(r["r"], r["c"]) for r in polygons.rasterise(shapes.where("zone = 3"), 2.0, touched=True).collect()}
     assert touched == {(1, 1)} and polygons.rasterise(shapes.where("zone = 3"), 2.0).count() == 0
