@@ -133,6 +133,19 @@ def test_precipitation(spark):
     assert np.mean(wet) > np.mean(damp)
 
 
+def test_mixed_probabilities_are_sorted_twice_at_most(spark):
+    rng = random.Random(5)
+    rows = [(s, k, float(rng.randrange(0, 12))) for s in range(3) for k in range(49)]
+    made = series.mixed_probabilities(spark.createDataFrame(rows, "stn int, m int, value double"), 3, 6)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("+- Sort ") <= 2
+    for r in made.collect():
+        own = [v for s, _, v in rows if s == r["stn"]]
+        wet, p0, p1 = [v for v in own if v > 6], sum(v <= 3 for v in own) / 49, sum(v <= 6 for v in own) / 49
+        rank = sum(v < r["value"] for v in wet) + (sum(v == r["value"] for v in wet) + 1) / 2
+        assert r["p"] == (p1 + (1 - p1) * rank / (len(wet) + 1) if r["value"] > 6 else p0 / 2 if r["value"] <= 3 else (p0 + p1) / 2)
+
+
 def test_mixed_probabilities_of_a_sample():
     s = infill.Settings(kind="precipitation", dry=0.0, damp=1.0)
     m = infill._Marginal(np.array([0, 0, 0, 0.5, 2, 5, 5, 9.0]), s)
