@@ -99,9 +99,10 @@ _CUT = "ft AS (SELECT max(dist)*35e-2 AS cut, min(dist) AS lo FROM pr), wd AS (S
 @query("stations", f"{_EVERY}, {_CUT} SELECT round(max(cut),6) AS cut, (SELECT round(min(w),5) FROM ok) AS width FROM ft")
 def lag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cut at 0.35 of the largest distance, and the smallest width whose bins all hold two pairs."""
-    pairs = spatial.station_pairs(stations(spark, sf_dir))
-    cut = geostat.cut_distance(pairs, 0.35)
-    width = geostat.search_lag(pairs, cut, 2)
+    s = stations(spark, sf_dir)
+    low, far = geostat.extremes(s) or (0.0, 0.0)
+    cut = far * 0.35
+    width = geostat.search_lag_of(s, low, cut, 2)
     return spark.createDataFrame([(round(cut, 6), None if width is None else round(width, 5))], "cut double, width double")
 
 
