@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,13 +48,9 @@ def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stations(spark, sf_dir).select("stn", raster.nearest_index(F.col("x"), 10.0, 20.0, edges[0], edges[1]).alias("c"), raster.nearest_index(F.col("y"), 10.0, 20.0, edges[2], edges[3]).alias("r"))
 
 
-def month_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geostat.value_pairs(adapt.obs_month(spark, sf_dir), stations(spark, sf_dir), REACH, "m")
-
-
 @query("stations obs_month", f"{_VP} SELECT m, CAST(floor(dist/50e0) AS INT) AS bin, {_BINNED} FROM vp GROUP BY 1, 2")
 def variogram_cnst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = geostat.binned(geostat.equal_width(month_pairs(spark, sf_dir), 50.0), ["m", "bin"])
+    bins = geostat.binned_blocks(adapt.obs_month(spark, sf_dir), stations(spark, sf_dir), REACH, "m", lambda d: np.floor(d / 50.0))
     return bins.select("m", "bin", *(r6(c).alias(c) for c in ("dist", "classic", "robust")), "n")
 
 
