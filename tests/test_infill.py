@@ -231,3 +231,27 @@ def test_counted_ranks_are_those_of_each_pair():
         a, b = ranks(x[common, i].tolist()), ranks(y[common, j].tolist())
         flat = len(set(a)) < 2 or len(set(b)) < 2
         assert n[i, j] == common.sum() and (np.isnan(rho[i, j]) if flat else rho[i, j] == pytest.approx(pearson(a, b)))
+
+
+def test_equal_masks_are_ranked_together(monkeypatch):
+    """Stations whose masks alternate in a block meet by their masks, with the results of each pair by itself."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    masks = rng.random((9, 24)) > 0.2
+    x = np.where(masks[np.arange(240) % 9].T, rng.integers(0, 6, (24, 240)), np.nan)
+    names = list(range(240))
+    batch = pa.RecordBatch.from_arrays([pa.array([v]) for v in (0, 1, names, list(range(24)), x.tobytes(), names, list(range(24)), x.tobytes())], list("ijabcdef"))
+    calls, ranks = [], series.average_ranks
+    monkeypatch.setattr(series, "PAIRS", 240 * 20)
+    monkeypatch.setattr(series, "KINDS", 0)
+    monkeypatch.setattr(series, "average_ranks", lambda m: calls.append(1) or ranks(m))
+    rho, n = np.full((240, 240), np.inf), np.zeros((240, 240))
+    for own, _, _, at, r, k in series._slices(batch, 0, series._ranked_moments):
+        assert not own
+        rho[at], n[at] = r, k
+    assert len(calls) <= 2 * 9 * (12 + 9)  # 2 * 9 * 9 * 12 before
+    for i, j in rng.integers(0, 240, (300, 2)):
+        both = ~np.isnan(x[:, [i, j]]).any(1)
+        p, q = ranks(x[both][:, [i, j]]).T
+        assert n[i, j] == both.sum() and rho[i, j] == pytest.approx(np.corrcoef(p, q)[0, 1], nan_ok=True)
